@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import htmltext, langid, media, quality, tokens
+from palimpsest.llm import htmltext, langid, linededup, media, quality, tokens
 from palimpsest.llm.common import table
 
 
@@ -14,6 +15,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_language(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(spark, table(spark, sf_dir, "documents"), media=False).drop("codec", "timescale", "duration", "keyframes")
 
@@ -33,8 +40,26 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": r"""
+WITH lines AS (
+    SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+    FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i)
+), keyed AS (
+    SELECT doc_id, i, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), frequent AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT k.doc_id, k.i, k.line, f.key IS NULL OR f.keeper = k.doc_id AS stays FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+    }
