@@ -196,16 +196,14 @@ def identify(spark: SparkSession, docs: DataFrame, net: ByteConvNet | None) -> D
     small_arrow_batches(spark)
     plain = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double"
-    shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for pdf in batches:
             lang = np.full(len(pdf), UNDETERMINED, object)
             score = np.where(pdf["letters"], 0.0, 1.0)
             has = np.flatnonzero(pdf["letters"].to_numpy(bool))
-            if model is not None and len(has):
-                lang[has], score[has] = predict_texts(model, list(pdf["text"].iloc[has]))
+            if net is not None and len(has):
+                lang[has], score[has] = predict_texts(net, list(pdf["text"].iloc[has]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
 
     return plain.mapInPandas(run, schema)

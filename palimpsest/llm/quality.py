@@ -191,13 +191,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Setti
 def score(spark: SparkSession, docs: DataFrame, model: AdditiveModel, *kept: str) -> DataFrame:
     """``kept`` columns and the score of every whole text, null or empty ones too; a row for each row."""
     small_arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([measure(t) for t in pdf["text"]]).reshape(len(pdf), len(FEATURES))
-            yield pdf[list(kept)].assign(score=shared.value.score(x))
+            yield pdf[list(kept)].assign(score=model.score(x))
 
     columns = list(dict.fromkeys([*kept, "text"]))
     return docs.select(*columns).mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "score double"]))

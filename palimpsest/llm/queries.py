@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import htmltext, langid, linededup, media, quality, tokens
+from palimpsest.llm import dartminhash, htmltext, langid, linededup, media, quality, tokens
 from palimpsest.llm.common import table
 
 
@@ -39,8 +39,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
