@@ -91,7 +91,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
     and stays null; a document all of whose lines go has an empty text. Rows stay as many as they are.
     """
     scratch = Scratch(spark, "lines")
-    exploded = docs.select("doc_id", F.explode(_long_keys(F.col("text"), min_chars)).alias("key")).select("doc_id", *_hash(F.col("key")))
+    # Outer: else Spark would compute all keys twice, first for a filter below.
+    exploded = docs.select("doc_id", F.explode_outer(_long_keys(F.col("text"), min_chars)).alias("key")).where("key IS NOT NULL").select("doc_id", *_hash(F.col("key")))
     batch = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(5)), F.lit(batches)).cast("int")
     entries = exploded.distinct().withColumn("batch", batch)
     path = scratch.path("entries")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import dartminhash, htmltext, langid, linededup, media, quality, tokens
+from palimpsest.llm import dartminhash, decontam, htmltext, langid, linededup, media, quality, tokens
 from palimpsest.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_language(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
@@ -44,7 +48,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
