@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import id_text_crc, small_arrow_batches, spread
@@ -188,22 +188,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Setti
     return AdditiveModel().fit(np.array([r["features"] for r in sample]), np.array([r["y"] for r in sample]), settings)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: AdditiveModel, *kept: str) -> DataFrame:
-    """``kept`` columns and the score of every whole text, null or empty ones too; a row for each row."""
+def score_column(spark: SparkSession, text: Column, model: AdditiveModel) -> Column:
+    """The score of every whole text, null or empty ones too; only the text goes to Python."""
     small_arrow_batches(spark)
-    kinds = dict(docs.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([measure(t) for t in pdf["text"]]).reshape(len(pdf), len(FEATURES))
-            yield pdf[list(kept)].assign(score=model.score(x))
+    def rate(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([measure(t) for t in texts]).reshape(len(texts), len(FEATURES))))
 
-    columns = list(dict.fromkeys([*kept, "text"]))
-    return docs.select(*columns).mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "score double"]))
+    return F.pandas_udf(rate, "double")(text)
 
 
 def held_out_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Train on labels whose crc32(doc_id as text) mod 5 is not 0, score all: doc_id, held_out, score, predicted."""
     out = F.coalesce(id_text_crc(F.col("doc_id"), 5) == 0, F.lit(False))
     model = fit(spark, docs, labels.where(~out), settings)
-    return score(spark, docs, model, "doc_id").select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", score_column(spark, F.col("text"), model).alias("score"))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import dartminhash, decontam, htmltext, langid, linededup, media, quality, tokens
+from palimpsest.llm import dartminhash, decontam, htmltext, langid, licenses, linededup, media, mixing, quality, tokens
 from palimpsest.llm.common import table
 
 
@@ -33,12 +33,22 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths; each gets one of source, thousand and fifty of its id, and the id."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), "doc_id")
+    return licenses.scan(spark, table(spark, sf_dir, "documents"), path)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,11 +58,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_line_dedup, op4_media_columns, op5_html_extraction, op7_token_counts, op9_quality_classifier, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_line_dedup, op4_media_columns, op5_html_extraction, op6_source_mixing, op7_token_counts, op8_license_scan, op9_quality_classifier, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_source_mixing": mixing.oracle(),
         "op3_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
