@@ -21,7 +21,7 @@ from palimpsest.llm.common import Scratch, join_counted, words
 
 #: Least cosine of a line, and of a whole file, to a template.
 LEAST = 0.6
-LEAST_FILE = 0.3
+LEAST_FILE = 0.5
 #: Words of more templates than this part of them are common, as far as the bound in ``strong_terms`` allows.
 COMMON = 0.3
 #: Names of files that hold a directory's licence.
