@@ -10,7 +10,8 @@ From signatures to classes:
 
 1. texts with equal words collapse into one node;
 2. signatures are cut into bands; nodes with an equal band share a bucket;
-3. every node of a bucket is paired with the bucket's least node and verified exactly;
+3. every node of a bucket is paired with the bucket's most central node, which shares buckets with the most others, and
+   verified exactly;
 4. components of the verified links are taken; a bucket within one component needs nothing more;
 5. the nodes of buckets that hold several components are joined exactly among each other, by the rarest shingles of
    each (prefix filter) and across components only, verified, and the components taken again.
@@ -155,7 +156,7 @@ def _rare_pairs(mixed: DataFrame, scratch: Scratch, similarity: float) -> DataFr
     """Pairs of (id, label, shingles) with different labels that share a shingle in their prefixes of rarest ones.
 
     Exact: sets at least ``similarity`` alike share one of their n - ceil(similarity n) + 1 rarest shingles, in any
-    common order of the shingles.
+    common order of the shingles, and at the first of those enough is left of both for that similarity.
     """
     size = F.size("shingles")
     each = scratch.keep(mixed.select("id", "label", size.alias("n"), F.explode("shingles").alias("shingle")), "mixed")
@@ -167,15 +168,18 @@ def _rare_pairs(mixed: DataFrame, scratch: Scratch, similarity: float) -> DataFr
     by_set = Window.partitionBy("id", "n")
     place = F.col("n") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("df", "shingle"))
     prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    kept = scratch.keep(shared.withColumn("place", place).where(F.col("place") <= prefix).select("id", "label", "n", "shingle"), "prefix")
+    # What is left of a set from this shingle on, itself included.
+    kept = scratch.keep(shared.withColumn("place", place).where(F.col("place") <= prefix).select("id", "label", "n", "shingle", (F.col("n") - F.col("place") + 1).alias("rest")), "prefix")
     groups = kept.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("rows"))
     groups = scratch.keep(groups.where(F.col("labels") > 1), "groups")
     held = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
     left = join_counted(kept, groups, ["shingle"], "rows", held)
     # Of a shingle's sets, those with its commonest label meet only the others.
-    others = left.where(F.col("label") != F.col("main")).select("shingle", F.col("id").alias("b"), F.col("label").alias("bl"), F.col("n").alias("bn"))
-    met = left.select("shingle", F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("an")).join(others, "shingle")
-    alike = (F.col("al") != F.col("bl")) & (F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn") - 1e-9)
+    others = left.where(F.col("label") != F.col("main")).select("shingle", F.col("id").alias("b"), F.col("label").alias("bl"), F.col("n").alias("bn"), F.col("rest").alias("br"))
+    met = left.select("shingle", F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("an"), F.col("rest").alias("ar")).join(others, "shingle")
+    # At the first shingle that two sets share, what is left of either is all they can share.
+    enough = F.least("ar", "br") >= F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-9
+    alike = enough & (F.col("al") != F.col("bl")) & (F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn") - 1e-9)
     return met.where(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -199,10 +203,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
     # Of each text the row with the least id goes on; texts of one id share the node.
     first = table.where(F.size("bands") > 0).join(texts.hint("merge"), (table["k1"] == texts["k1"]) & (table["k2"] == texts["k2"]) & (table["id"] == texts["node"]), "left_semi")
     entries = scratch.keep(first.select(F.col("id").alias("node"), F.explode("bands").alias("bucket")).distinct(), "entries")
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > 1)
-    buckets = scratch.keep(buckets, "buckets")
+    buckets = scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
     n_entries = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hits = scratch.keep(join_counted(entries, buckets, ["bucket"], "n", n_entries).select("bucket", "node", "pivot"), "hits")
+    shared = scratch.keep(join_counted(entries, buckets, ["bucket"], "n", n_entries), "shared")
+    # A text in the midst of its near copies shares buckets with the most of them, and so links the most of them.
+    central = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = shared.join(central.hint("merge"), "node").groupBy("bucket", "n").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("pivot"))
+    pivots = scratch.keep(pivots, "pivots")
+    hits = scratch.keep(join_counted(shared.select("bucket", "node"), pivots, ["bucket"], "n", n_entries).select("bucket", "node", "pivot"), "hits")
 
     pairs = hits.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
