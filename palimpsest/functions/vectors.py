@@ -104,7 +104,11 @@ def group_of(version: Column, name: Column) -> Column:
 
 def classify_changed(version: Column, names: Column) -> Column:
     """struct of one array for each group, base_components_changed and threat_only_change."""
-    arrays = {g: F.filter(names, lambda k, g=g: group_of(version, k) == g) for g in GROUPS}
+
+    def of(group: str) -> Column:
+        return F.filter(names, lambda k: group_of(version, k) == group)
+
+    arrays = {g: of(g) for g in GROUPS}
     only = F.size(arrays["threat"]) > 0
     for g in ("base", "environmental", "supplemental", "unknown"):
         only = only & (F.size(arrays[g]) == 0)
