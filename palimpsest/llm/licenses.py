@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Scratch, join_counted, words
 
 #: Least cosine of a line, and of a whole file, to a template.
-LEAST = 0.6
-LEAST_FILE = 0.5
-#: Words of more templates than this part of them are common, as far as the bound in ``strong_terms`` allows.
-COMMON = 0.3
+LEAST = 0.72
+LEAST_FILE = 0.72
+#: Words that any text may have.
+FUNCTION_WORDS = frozenset("a an and any are as at be by can for from if in is it later may not of or other out see such than that the this to under use you all with without that".split())
 #: Names of files that hold a directory's licence.
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 #: Notices by SPDX identifier.
@@ -63,13 +63,11 @@ class Templates:
     def strong_terms(self, least: float) -> list[str]:
         """Words one of which every text at least ``least`` similar to some template has.
 
-        Common words are left out while, for every template, those left out are less than ``least`` of its unit vector:
-        a text with only such words has a smaller cosine. So looking at these words first loses nothing.
+        Function words, then short words are left out while, for every template, those left out are less than ``least`` of its
+        unit vector: a text with only such words has a smaller cosine. So looking at these words first loses nothing.
         """
         out: set[str] = set()
-        for word, n in sorted(self.df.items(), key=lambda x: (-x[1], x[0])):
-            if n < COMMON * self.count and len(word) > 3:
-                continue
+        for word in sorted(self.df, key=lambda w: (w not in FUNCTION_WORDS, len(w), w)):
             trial = out | {word}
             if all(math.sqrt(sum(v * v for w, v in vector.items() if w in trial)) < least for _, vector in self.vectors):
                 out = trial
