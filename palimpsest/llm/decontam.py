@@ -27,6 +27,8 @@ BITS = 64
 RADIUS = 19
 BLOCKS = 5
 SLACK = 2
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Rows of an index that may be broadcast (some 40 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -38,7 +40,7 @@ def _runs(hashes: Column) -> Column:
 
 
 def _shingled(df: DataFrame, id_: str, name: str) -> DataFrame:
-    hashed = df.select(F.col(id_).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     return hashed.select(name, F.size("words").alias("n"), _runs(F.col("words")).alias("shingles"))
 
 
@@ -77,8 +79,8 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, similarity and first_word of every item found in a document (at its best place).
 
-    docs (doc_id, text) and benchmark (item_id, text); a row for each pair of ids, however often either is repeated. Null
-    and empty texts, and items of fewer than five words, are found nowhere. first_word counts from 0; of places equally
+    docs (doc_id, text) and benchmark (item_id, text); a row for each pair of ids, however often either is repeated; rows
+    with a null id are one document or item. Null and empty texts, and items of fewer than five words, are found nowhere. first_word counts from 0; of places equally
     similar the first is given.
     """
     scratch = Scratch(spark, "decontam")
@@ -116,4 +118,6 @@ def contaminated(
     both = candidates.join(windows.select("doc_id", "n", "start", "window"), ["doc_id", "n", "start"]).join(small(sets, n_marks), ["item_id", "n"])
     shared = F.size(F.array_intersect(occurrences(F.col("window")), occurrences(F.col("item"))))
     judged = both.select("doc_id", "item_id", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
-    return judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
+    found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
+    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return found.select(back("doc_id"), back("item_id"), "similarity", "first_word")

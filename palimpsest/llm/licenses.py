@@ -116,11 +116,11 @@ def scan(spark: SparkSession, files: DataFrame, path: Column, templates: Templat
     chosen = F.min_by(F.struct("own.spdx", "own.similarity"), F.struct((-F.col("own.similarity")).alias("less"), "own.spdx"))
     licensed = scratch.keep(known.where("is_file AND dir IS NOT NULL").groupBy("dir").agg(chosen.alias("of")).select(F.col("dir").alias("above"), F.col("of.spdx").alias("spdx"), F.col("of.similarity").alias("of_similarity")), "licensed")
 
-    # Each directory once, whatever the number of its files, with all directories above it.
+    # Each directory once, whatever the number of its files, with all directories above it and the root.
     dirs = known.where("own IS NULL AND dir IS NOT NULL").groupBy("dir").agg(F.count("*").alias("files"))
     dirs = scratch.keep(dirs, "dirs")
     steps = F.split("dir", "/")
-    above = dirs.select("dir", "files", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("above"))
+    above = dirs.select("dir", "files", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("above"))
     nearest = above.join(licensed, "above").groupBy("dir", "files").agg(F.max_by(F.struct("spdx", "of_similarity", "above"), F.length("above")).alias("from"))
     nearest = scratch.keep(nearest, "nearest")
     total = nearest.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"]
