@@ -157,3 +157,13 @@ def pair_classify_tiers(spark, sf):
     names = F.element_at(F.array(*[F.lit(x) for x in ("CVE Modified", "Modified Analysis", "Reanalysis", "Data Remediation", "Other Event")]), (F.col("first_id") % 5 + 1).cast("int"))
     judged = timeline.classify_pair(names, F.lit("CVSS V3.1"), F.lit("NIST"), F.lit(" nist"), vec("ov"), vec("nv"), F.col("r"), F.col("a"))
     return pairs.select(judged.alias("c")).groupBy("c.tier").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {A2} SELECT CAST(entity AS VARCHAR) AS entity, source, seq, value, valid_from, valid_until FROM a2 WHERE valid_until IS NOT NULL")
+def event_chain_stream(spark, sf):
+    import uuid
+
+    from palimpsest.streaming.chains import replay_files
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/palimpsest-{uuid.uuid4().hex}") + f"/stream-{uuid.uuid4().hex}"
+    return replay_files(spark, sf, f"{base}/out", f"{base}/checkpoint").where("status = 'CLOSED'").drop("status")
