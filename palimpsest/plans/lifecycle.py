@@ -32,7 +32,9 @@ def build_corpus(spark: SparkSession, intervals: DataFrame, out: str, lookup: Co
     seen = splits.periods(events, "cve_id", "year", cfg)
     dev = splits.seeded_sample(seen.where("in_train").select("cve_id"), "cve_id", cfg.dev_fraction, cfg.seed)
     assigned = splits.assign(intervals.select("cve_id"), seen, "cve_id", dev)
-    accepted, excluded = corpus.admit(corpus.documents(intervals, assigned, lookup), corpus.eligibility(q.forbidden))
+    # Written before it is filtered: a filter pushed below the rendering would compute scores and sentences once for each rule.
+    corpus.documents(intervals, assigned, lookup).write.mode("overwrite").parquet(f"{out}/documents")
+    accepted, excluded = corpus.admit(spark.read.parquet(f"{out}/documents"), corpus.eligibility(q.forbidden))
     asked = splits.event_splits(events.where("base_components_changed"), assigned, "cve_id", "year", cfg)
     drawn = splits.seeded_choice(asked.select(F.concat_ws("|", "termination_event_id", "old_evidence_id").alias("k")), "k", q.templates, q.seed, "query_template_id")
     templates = drawn.select(F.regexp_replace("k", r"^[^|]*\|", "").alias("old_evidence_id"), "query_template_id")
