@@ -21,34 +21,52 @@ def postings(docs: DataFrame, id_: str, tokens: Column) -> DataFrame:
 
 def term_weights(posted: DataFrame, n_docs: int, epsilon: float = Retrieval.epsilon) -> DataFrame:
     """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean of all."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return _idf(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs, epsilon)
+
+
+def _idf(df: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
     raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Rows (query, term) that may be broadcast; more are joined over a shuffle by term.
+ASKED_ROWS = 2_000_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, id_: str = "evidence_id", observed: str = "observed_from", at: str = "query_time", cfg: Retrieval = Retrieval(), k: int | None = None) -> DataFrame:
     """(query_id, evidence_id, score, rank): top k of the documents visible at each query.
 
     Document frequencies and lengths are those of the whole corpus, also of documents that are not visible yet. A query term
-    counts as often as it is asked. Where fewer than k visible documents have a score, others fill up with score 0. Terms
-    join postings, so the work is the length of the asked terms' postings; the queries' terms are the small side.
+    counts as often as it is asked. Where fewer than k visible documents have a score, others fill up with score 0.
+
+    Postings are dealt by document and meet the broadcast terms of all queries, so a document's scores are summed where it lies,
+    and only each task's best k of a query are shuffled. Too many terms for a broadcast are joined by term instead.
     """
     k = k or cfg.top_k
-    posted = postings(docs, id_, doc_tokens)
-    stats = docs.select(F.size(doc_tokens).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    tokens = docs.select(F.col(id_).alias("evidence_id"), F.col(observed).alias("__obs"), doc_tokens.alias("__t"))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("mean")).first()
     if not stats["n"]:
         return queries.select("query_id").limit(0).select("query_id", F.lit("").alias("evidence_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    asked = queries.select("query_id", at, F.explode(query_tokens).alias("term")).groupBy("query_id", at, "term").agg(F.count("*").alias("times"))
-    weights = term_weights(posted, stats["n"], cfg.epsilon)
-    times_idf = asked.join(weights, "term").select("query_id", at, "term", (F.col("times") * F.col("idf")).alias("w"))
-    seen = docs.select(F.col(id_).alias("evidence_id"), F.col(observed).alias("__obs"))
-    part = F.col("w") * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.lit(stats["mean"])))
-    scored = posted.join(times_idf, "term").join(seen, "evidence_id").where(F.col("__obs") <= F.col(at)).groupBy("query_id", "evidence_id").agg(F.sum(part).alias("score"))
-    ranked = top_k(scored, k, order_by_score(seed=cfg.tie_seed))
+    # A term counts once for a document here: frequencies need no postings.
+    df = tokens.select(F.explode_outer(F.array_distinct("__t")).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
+    weights = _idf(df, stats["n"], cfg.epsilon)
+    asked = queries.select("query_id", at, F.explode_outer(query_tokens).alias("term")).groupBy("query_id", at, "term").agg(F.count("*").alias("times"))
+    asked = asked.join(weights, "term").select("query_id", at, "term", (F.col("times") * F.col("idf")).alias("w"))
+    small = queries.select(F.coalesce(F.sum(F.size(query_tokens)), F.lit(0)).alias("n")).first()["n"] <= ASKED_ROWS
+    each = tokens.repartition("evidence_id").select("evidence_id", "__obs", F.size("__t").alias("dl"), F.explode_outer("__t").alias("term"))
+    posted = each.groupBy("evidence_id", "__obs", "dl", "term").agg(F.count("*").alias("tf"))
+    part = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.lit(stats["mean"])))
+    part = posted.select("evidence_id", "__obs", "term", part.alias("__p"))
+    joined = part.join(F.broadcast(asked) if small else asked.hint("merge"), "term").where(F.col("__obs") <= F.col(at))
+    scored = joined.groupBy("evidence_id", "query_id").agg(F.sum(F.col("w") * F.col("__p")).alias("score")).select("query_id", "evidence_id", "score")
+    # At most k rows a query, read three times; the caller frees it with ``spark.catalog.clearCache()``.
+    ranked = top_k(scored, k, order_by_score(seed=cfg.tie_seed)).persist()
     # Fill up only the queries that came out short: the rest never meets the whole corpus.
+    seen = docs.select(F.col(id_).alias("evidence_id"), F.col(observed).alias("__obs"))
     short = queries.select("query_id", at).join(ranked.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", at)
-    zero = short.join(seen, F.col("__obs") <= F.col(at)).select("query_id", "evidence_id").join(scored.select("query_id", "evidence_id"), ["query_id", "evidence_id"], "left_anti").withColumn("score", F.lit(0.0))
+    have = ranked.select("query_id", "evidence_id")  # a short query's list holds all that has a score
+    zero = short.join(seen, F.col("__obs") <= F.col(at)).select("query_id", "evidence_id").join(have, ["query_id", "evidence_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(ranked.drop("rank").unionByName(zero), k, order_by_score(seed=cfg.tie_seed))
 
 
