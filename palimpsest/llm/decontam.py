@@ -64,9 +64,10 @@ def _block_values(fingerprint: Column, blocks: int) -> Column:
 
 def _flips(spark: SparkSession, radius: int, blocks: int) -> DataFrame:
     """(block, flip): every mask of at most radius // blocks bits of each block."""
-    most = radius // blocks
-    rows = [(i, sum(1 << b for b in chosen)) for i, (_, n) in enumerate(block_bounds(blocks)) for r in range(most + 1) for chosen in itertools.combinations(range(n), r)]
-    return spark.createDataFrame(rows, "block int, flip long")
+    widths = [n for _, n in block_bounds(blocks)]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.lit(1 << n).alias("end")) for i, n in enumerate(widths)])).alias("b")
+    masks = spark.range(1 << max(widths)).where(F.bit_count("id") <= radius // blocks)
+    return masks.select(F.col("id").alias("flip"), each).where(F.col("flip") < F.col("b.end")).select("b.block", "flip")
 
 
 def occurrences(shingles: Column) -> Column:

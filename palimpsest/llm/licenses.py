@@ -46,6 +46,12 @@ TEMPLATES = (
 )
 
 
+def literals(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A table of fixed values."""
+    structs = [F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 class Templates:
     """TF-IDF vectors of the templates. A word of no template has the largest idf and counts in norms alone."""
 
@@ -76,13 +82,13 @@ class Templates:
     def frame(self, spark: SparkSession) -> DataFrame:
         """term, template (its number), spdx, weight (in the unit vector), idf."""
         rows = [(w, i, spdx, v, self.idf[w]) for i, (spdx, vector) in enumerate(self.vectors) for w, v in vector.items()]
-        return spark.createDataFrame(rows, "term string, template int, spdx string, weight double, idf double")
+        return literals(spark, rows, ("term", "template", "spdx", "weight", "idf"))
 
 
 def _similar(spark: SparkSession, parts: DataFrame, keys: list[str], templates: Templates, least: float) -> DataFrame:
     """keys, spdx, similarity: the best template of each part (keys, text) that is similar enough."""
     terms = parts.select(*keys, F.explode_outer(words(F.col("text"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    idf = spark.createDataFrame(sorted(templates.idf.items()), "term string, idf double")
+    idf = literals(spark, sorted(templates.idf.items()), ("term", "idf"))
     rated = terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(templates.unknown))).select(*keys, "term", "w")
     norms = rated.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = rated.join(F.broadcast(templates.frame(spark).select("term", "template", "spdx", "weight")), "term").groupBy(*keys, "template", "spdx").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
