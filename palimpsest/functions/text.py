@@ -94,7 +94,10 @@ def severity_word(severity: Column) -> Column:
 
 
 def evidence_text(date: Column, source: Column, entity: Column, version: Column, vector: Column, score: Column, severity: Column, censored: Column) -> Column:
-    """A document's sentence: one for values of before the window, one without a score, one with it."""
+    """A document's sentence: one for values of before the window, one without a score, one with it.
+
+    Fixed values: the wording of the three sentences.
+    """
     who = F.concat(source, F.lit(" assessed "), entity, F.lit(" under CVSS "), version, F.lit(" with Base metric vector "), vector)
     tail = F.concat(F.lit(", a CVSS-B score of "), score.cast("string"), F.lit(", and "), severity_word(severity), F.lit(" severity."))
     old = F.concat(F.lit("At the beginning of the observation window, "), source, F.lit(" had an active CVSS "), version, F.lit(" Base assessment for "), entity, F.lit(" with Base metric vector "), vector)
@@ -104,6 +107,7 @@ def evidence_text(date: Column, source: Column, entity: Column, version: Column,
 
 
 def query_text(template: Column, date: Column, version: Column, source: Column, entity: Column) -> Column:
+    """A question's sentence by its template; null for an unknown one. The wording of the four sentences."""
     start = F.concat(F.lit("As of "), date, F.lit(", what was the current "))
     by = F.concat(F.lit(" issued by "), source, F.lit(" for "), entity)
     return (

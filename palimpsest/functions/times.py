@@ -58,7 +58,7 @@ def offset_before(event: Column, start: Column, window_start: Column, days: int
 def retime(start: Column, end: Column, window_end: Column, days: Column) -> Column:
     """(at, reason): ``days`` after the start, unless the interval or the window has ended by then."""
     at = start + days * F.lit(DAY)
-    reason = F.when(at > window_end, F.lit("BEYOND_WINDOW")).when(at >= end, F.lit("INTERVAL_ENDED"))
+    reason = F.when(at >= end, F.lit("CURRENT_INTERVAL_ENDS_BEFORE_OFFSET")).when(at > window_end, F.lit("BEYOND_OBSERVATION_WINDOW"))
     return F.struct(F.when(reason.isNull(), at).alias("at"), reason.alias("reason"))
 
 

@@ -43,7 +43,7 @@ def per_query(ranked: DataFrame, gold: DataFrame | None = None, k: int = K, pool
     current, other, stale = cls == "TARGET_CURRENT", cls == "OTHER_SOURCE_CURRENT", cls == "TARGET_OUTDATED"
     aggs = [
         F.count_if(current).cast("int").alias("c_all"), F.count_if(other).cast("int").alias("o_all"), F.count("*").alias("listed"),
-        F.count_if(current & (rank <= k)).alias("c_k"), F.min(F.when(current, rank)).alias("first_current"), F.min(F.when(stale, rank)).alias("first_stale"),
+        F.count_if(current & (rank <= k)).alias("c_k"), F.count_if(current & (rank <= pool)).alias("c_pool"), F.min(F.when(other, rank)).alias("first_other"), F.min(F.when(current, rank)).alias("first_current"), F.min(F.when(stale, rank)).alias("first_stale"),
         dcg(F.when(current, 1.0).otherwise(0.0), rank, k).alias("dcg"), dcg(graded(cls).cast("double"), rank, k).alias("gdcg"),
         F.count_if(stale & (rank <= k)).alias("outdated_at_k"), F.min_by("class", "rank").alias("top1_class"), F.count_if(stale & (rank <= pool)).alias("stale_pool"),
     ]
@@ -65,9 +65,15 @@ def per_query(ranked: DataFrame, gold: DataFrame | None = None, k: int = K, pool
         f"stale@{k}": F.when(F.col("listed") > 0, F.col("outdated_at_k") / float(k)).otherwise(F.lit(0.0)),
         f"outdated_count@{k}": F.col("outdated_at_k").cast("double"),
         "first_outdated_rank": F.coalesce("first_stale", F.lit(pool + 1)).cast("double"),
-        "current_in_pool": (F.col("first_current") <= pool),
-        "outdated_in_pool": F.col("stale_pool") > 0,
+        f"recall@{pool}": F.when(F.col("n_c") > 0, F.col("c_pool") / F.col("n_c")).otherwise(F.lit(0.0)),
+        f"current_in_top{pool}": F.col("first_current") <= pool,
+        f"current_in_top{k}": F.col("first_current") <= k,
+        f"outdated_in_top{pool}": F.col("stale_pool") > 0,
+        f"outdated_in_top{k}": F.col("outdated_at_k") > 0,
+        f"other_current_in_top{pool}": F.col("first_other") <= pool,
+        f"other_current_in_top{k}": F.col("first_other") <= k,
         "top1_current": F.col("top1_class") == "TARGET_CURRENT",
+        "top1_outdated": F.col("top1_class") == "TARGET_OUTDATED",
         f"current_at1_no_stale@{k}": (F.col("top1_class") == "TARGET_CURRENT") & (F.col("outdated_at_k") == 0),
     }
     out = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in metrics.items()]

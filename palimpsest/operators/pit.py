@@ -58,6 +58,18 @@ def graded(class_: Column) -> Column:
     return F.when(class_ == "TARGET_CURRENT", 2).when(class_ == "OTHER_SOURCE_CURRENT", 1).otherwise(0)
 
 
+def suppression_category(class_: Column, same_entity: Column, same_source: Column, same_version: Column) -> Column:
+    """What kind of candidate a rule has put behind: the first that holds."""
+    return (
+        F.when(class_ == "TARGET_OUTDATED", "TARGET_CHAIN_OUTDATED")
+        .when(~same_entity, "OTHER_CVE_INFERRED_SUPERSEDED")
+        .when(~same_source, "SAME_CVE_OTHER_SOURCE_INFERRED_SUPERSEDED")
+        .when(~same_version, "SAME_CVE_OTHER_VERSION_INFERRED_SUPERSEDED")
+        .when(class_ != "TARGET_CURRENT", "UNLABELED_CHAIN_CONTEXT")
+        .otherwise("OTHER")
+    )
+
+
 def snapshot(rows: DataFrame, at: Column, observed: str = "valid_from", until: str = "valid_until") -> DataFrame:
     """What was active at one instant."""
     return rows.where(active(F.col(observed), F.col(until), at))
@@ -150,9 +162,9 @@ def excluded_events(intervals: DataFrame, kind: str = "STRICT_SAME_CHANGE") -> D
 
 
 def roles(rows: DataFrame, old_ids: DataFrame, new_ids: DataFrame, id_: str) -> DataFrame:
-    """Adds evidence_role: OLD before NEW before CONTEXT."""
+    """Adds evidence_role: replaced_old before replacing_new before chain_context."""
     flagged = rows.join(old_ids.select(F.col(id_)).distinct().withColumn("__o", F.lit(True)), id_, "left").join(new_ids.select(F.col(id_)).distinct().withColumn("__n", F.lit(True)), id_, "left")
-    return flagged.withColumn("evidence_role", F.when(F.col("__o"), "OLD").when(F.col("__n"), "NEW").otherwise("CONTEXT")).drop("__o", "__n")
+    return flagged.withColumn("evidence_role", F.when(F.col("__o"), "replaced_old").when(F.col("__n"), "replacing_new").otherwise("chain_context")).drop("__o", "__n")
 
 
 def generate_queries(events: DataFrame, evidence: DataFrame, templates: DataFrame, window: tuple[int, int], cfg: Queries = Queries()) -> tuple[DataFrame, DataFrame]:

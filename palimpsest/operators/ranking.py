@@ -64,7 +64,7 @@ def by_class(pool: DataFrame, order: tuple[str, ...], method: str) -> DataFrame:
 
 
 #: Orders of the two oracles.
-CURRENT_FIRST = ("TARGET_CURRENT",)
+CURRENT_FIRST = CLASSES
 TEMPORAL = CLASSES[:2] + ("OTHER", "TARGET_OUTDATED")
 
 

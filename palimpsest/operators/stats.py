@@ -71,11 +71,13 @@ def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Stati
 def intervals(replicates: DataFrame, by: list[str], level: float = Statistics.level) -> DataFrame:
     """(by, low, high): percentile interval."""
     tail = (1 - level) / 2
+    replicates = replicates.withColumn("mean", F.nullif("mean", F.lit(float("nan"))))  # a replicate without any defined value
     return replicates.groupBy(*by).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
 
 
 def paired_difference(replicates: DataFrame, method: str, baseline: str, by: list[str], level: float = Statistics.level) -> DataFrame:
     """(by, diff_low, diff_high, p): of a method against a baseline, two-sided, no less than one in the number of replicates."""
+    replicates = replicates.where(~F.isnan("mean"))
     b = replicates.where(F.col("method") == baseline).select(*by, "replicate", F.col("mean").alias("__b"))
     d = replicates.where(F.col("method") == method).join(b, [*by, "replicate"]).withColumn("d", F.col("mean") - F.col("__b"))
     tail = (1 - level) / 2

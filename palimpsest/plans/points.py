@@ -116,14 +116,14 @@ def replacement_events_selfjoin(spark, sf):
     return o.join(n, F.col("o.replaced_by") == F.col("n.id")).select(F.col("o.evidence_id").alias("old_evidence_id"), F.col("n.evidence_id").alias("new_evidence_id"), F.col("n.valid_from").alias("event_time"), F.col("o.value").alias("old_value"), F.col("n.value").alias("new_value"))
 
 
-@query(f"WITH {A4} SELECT evidence_id, CASE WHEN evidence_id IN (SELECT old_id FROM a4) THEN 'OLD' WHEN evidence_id IN (SELECT new_id FROM a4) THEN 'NEW' ELSE 'CONTEXT' END AS evidence_role FROM a2")
+@query(f"WITH {A4} SELECT evidence_id, CASE WHEN evidence_id IN (SELECT old_id FROM a4) THEN 'replaced_old' WHEN evidence_id IN (SELECT new_id FROM a4) THEN 'replacing_new' ELSE 'chain_context' END AS evidence_role FROM a2")
 def role_tagging(spark, sf):
     rows = A.intervals(spark, sf)
     q = A.questions(rows)
     return pit.roles(rows.select("evidence_id"), q.select(F.col("old_id").alias("evidence_id")), q.select(F.col("new_id").alias("evidence_id")), "evidence_id")
 
 
-@query(f"WITH {A2}, d AS (SELECT evidence_id, valid_from, valid_until, unnest([1, 5, 10])::BIGINT AS days FROM a2), e AS (SELECT *, valid_from + days * 86400000000 AS at0 FROM d) SELECT evidence_id, days, CASE WHEN at0 > {WINDOW_END} THEN 'BEYOND_WINDOW' WHEN at0 >= valid_until THEN 'INTERVAL_ENDED' ELSE 'KEPT' END AS outcome, CASE WHEN at0 <= {WINDOW_END} AND (valid_until IS NULL OR at0 < valid_until) THEN at0 ELSE -1 END AS query_time FROM e")
+@query(f"WITH {A2}, d AS (SELECT evidence_id, valid_from, valid_until, unnest([1, 5, 10])::BIGINT AS days FROM a2), e AS (SELECT *, valid_from + days * 86400000000 AS at0 FROM d) SELECT evidence_id, days, CASE WHEN at0 >= valid_until THEN 'CURRENT_INTERVAL_ENDS_BEFORE_OFFSET' WHEN at0 > {WINDOW_END} THEN 'BEYOND_OBSERVATION_WINDOW' ELSE 'KEPT' END AS outcome, CASE WHEN at0 <= {WINDOW_END} AND (valid_until IS NULL OR at0 < valid_until) THEN at0 ELSE -1 END AS query_time FROM e")
 def offset_exclusions(spark, sf):
     rows = A.intervals(spark, sf).select("evidence_id", "valid_from", "valid_until", F.explode(F.array(*[F.lit(d).cast("long") for d in (1, 5, 10)])).alias("days"))
     w = rows.withColumn("w", times.retime(F.col("valid_from"), F.col("valid_until"), F.lit(WINDOW_END), F.col("days")))

@@ -240,11 +240,11 @@ def scope_comparison(spark, sf):
     return wide.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_FLAG} SELECT CASE WHEN on_target THEN 'target_chain' WHEN class = 'OTHER_SOURCE_CURRENT' THEN 'other_source_current' ELSE 'other' END AS category, count(*) AS occurrences, count(DISTINCT evidence_id) AS evidence, count(DISTINCT entity) AS entities, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM flag WHERE superseded GROUP BY 1")
+@query(f"WITH {_FLAG} SELECT CASE WHEN class = 'TARGET_OUTDATED' THEN 'TARGET_CHAIN_OUTDATED' WHEN e_source <> source THEN 'SAME_CVE_OTHER_SOURCE_INFERRED_SUPERSEDED' WHEN class <> 'TARGET_CURRENT' THEN 'UNLABELED_CHAIN_CONTEXT' ELSE 'OTHER' END AS category, count(*) AS occurrences, count(DISTINCT evidence_id) AS evidence, count(DISTINCT entity) AS entities, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM flag WHERE superseded GROUP BY 1")
 def suppression_audit(spark, sf):
     from pyspark.sql import Window
 
-    category = F.when(F.col("on_target"), "target_chain").when(F.col("class") == "OTHER_SOURCE_CURRENT", "other_source_current").otherwise("other")
+    category = pit.suppression_category(F.col("class"), F.lit(True), F.col("source") == F.col("q_source"), F.lit(True))
     a = flagged(spark, sf).where("superseded").groupBy(category.alias("category")).agg(F.count("*").alias("occurrences"), F.count_distinct("evidence_id").alias("evidence"), F.count_distinct("entity").alias("entities"))
     return a.withColumn("share", F.col("occurrences") / F.sum("occurrences").over(Window.partitionBy()))
 

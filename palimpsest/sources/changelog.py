@@ -88,17 +88,17 @@ def issues(pages: DataFrame) -> DataFrame:
 
 
 def empty_details(pages: DataFrame) -> DataFrame:
-    """source_file, change_pos and class of every change: KEY_MISSING, NULL, NOT_LIST:type, EMPTY_LIST, NO_DICT_INSIDE or OK."""
+    """source_file, change_pos and class of every change: DETAILS_KEY_MISSING, DETAILS_NULL, DETAILS_NOT_LIST:type,
+    DETAILS_EMPTY_LIST, NO_DICT_DETAIL or null."""
     change = _levels(pages)[1].where(F.col("change_shape") == "dict")
     inside = F.try_variant_get("change", "$.details", "array<variant>")
     dicts = F.exists(inside, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
     kind = (
-        F.when(~F.col("has_details"), "KEY_MISSING")
-        .when(F.col("details_shape") == "null", "NULL")
-        .when(F.col("details_shape") != "list", F.concat(F.lit("NOT_LIST:"), "details_shape"))
-        .when(F.size(inside) == 0, "EMPTY_LIST")
-        .when(~dicts, "NO_DICT_INSIDE")
-        .otherwise("OK")
+        F.when(~F.col("has_details"), "DETAILS_KEY_MISSING")
+        .when(F.col("details_shape") == "null", "DETAILS_NULL")
+        .when(F.col("details_shape") != "list", F.concat(F.lit("DETAILS_NOT_LIST:"), F.when(F.col("details_shape") == "string", "str").otherwise(F.col("details_shape"))))
+        .when(F.size(inside) == 0, "DETAILS_EMPTY_LIST")
+        .when(~dicts, "NO_DICT_DETAIL")
     )
     return change.select("source_file", "change_pos", kind.alias("class"))
 

@@ -130,7 +130,7 @@ def test_rerankers(spark):
     assert order(ranking.recency(p, F.col("age"))) == ["e2", "e3", "e1", "e4"]
     assert order(ranking.blended_recency(p, F.col("age"), F.lit(30.0), F.lit(5.0)))[0] == "e2"
     assert order(ranking.block_order(p, F.col("class") == "TARGET_OUTDATED", "rule")) == ["e2", "e3", "e4", "e1"]
-    assert order(ranking.by_class(p, ranking.CURRENT_FIRST, "o")) == ["e2", "e1", "e3", "e4"] and order(ranking.by_class(p, ranking.TEMPORAL, "o")) == ["e2", "e3", "e4", "e1"]
+    assert order(ranking.by_class(p, ranking.CURRENT_FIRST, "o")) == ["e2", "e3", "e1", "e4"] and order(ranking.by_class(p, ranking.TEMPORAL, "o")) == ["e2", "e3", "e4", "e1"]
     assert order(ranking.newest_tiebreak(p.withColumn("score", F.lit(1.0)), F.col("on_target"), F.col("age")))[:2] == ["e2", "e1"]
     assert ranking.same_candidates(p, ranking.recency(p, F.col("age"))).count() == 0 and ranking.same_candidates(p, p.where("rank < 4")).count() == 1
     assert ranking.overlap(p, p.where("rank < 4")).first()["ratio"] == 0.75 and ranking.prefix_mismatches(p.where("rank < 3"), p).count() == 0

@@ -52,18 +52,18 @@ def test_left_censored(spark):
 def test_additions_and_removals(spark):
     assert [r["timeline_status"] for r in replay(spark, change(day(1), ("Added", A)))[0]] == ["INITIAL_ADDITION"]
     rows, _, _ = replay(spark, change(day(1), ("Added", A)), change(day(2), ("Removed", A)))
-    assert (rows[0]["timeline_status"], rows[0]["superseded_by_evidence_id"]) == ("WITHDRAWN", None)
+    assert (rows[0]["timeline_status"], rows[0]["superseded_by_evidence_id"]) == ("WITHDRAWN_WITHOUT_REPLACEMENT", None)
 
 
 def test_cross_event(spark):
     rows, _, crossings = replay(spark, change("2024-01-01T10:00:00.000", ("Added", A)), change("2024-01-02T10:00:00.000", ("Removed", A)), change("2024-03-03T10:00:00.000", ("Added", B)))
-    assert (rows[0]["timeline_status"], rows[0]["replacement_type"], rows[0]["superseded_by_evidence_id"], rows[1]["replaces_evidence_id"]) == ("REPLACED", "CROSS_EVENT_REPLACEMENT", None, rows[0]["evidence_id"])
+    assert (rows[0]["timeline_status"], rows[0]["replacement_type"], rows[0]["superseded_by_evidence_id"], rows[1]["replaces_evidence_id"]) == ("REPLACED", "HIGH_CONFIDENCE_CROSS_EVENT", None, rows[0]["evidence_id"])
     assert crossings[0]["gap_days"] == 61.0 and rows[0]["changed_components"] == ["AV"]
 
 
 def test_same_value_again_and_reversal(spark):
     rows, _, _ = replay(spark, change(day(1), ("Added", A)), change(day(2), ("Removed", A)), change(day(3), ("Added", A)))
-    assert (rows[0]["timeline_status"], rows[1]["readded_same_value"], rows[1]["explicit_reversal"]) == ("WITHDRAWN", True, False)
+    assert (rows[0]["timeline_status"], rows[1]["readded_same_value"], rows[1]["explicit_reversal"]) == ("WITHDRAWN_WITHOUT_REPLACEMENT", True, False)
     rows, _, _ = replay(spark, change(day(1), ("Added", A)), change(day(2), ("Removed", A), ("Added", B)), change(day(3), ("Removed", B), ("Added", A)))
     assert [r["explicit_reversal"] for r in rows] == [False, False, True]
 
@@ -186,7 +186,7 @@ def test_reader(spark):
     found = sorted((r["source_file"], r["kind"]) for r in changelog.issues(p).collect())
     assert found == [("p0.json", "CHANGE_NOT_DICT"), ("p0.json", "CHANGE_NOT_DICT"), ("p0.json", "CREATED_UNPARSEABLE"), ("p0.json", "DETAILS_NOT_LIST"), ("p0.json", "DETAIL_NOT_DICT"), ("p1.json", "PAGE_READ_ERROR"), ("p2.json", "PAGE_READ_ERROR"), ("p3.json", "CVE_CHANGES_NOT_LIST")]
     kinds = {r["change_pos"]: r["class"] for r in changelog.empty_details(p).collect()}
-    assert kinds == {0: "OK", 1: "EMPTY_LIST", 4: "NOT_LIST:string", 5: "OK", 6: "KEY_MISSING"}
+    assert kinds == {0: None, 1: "DETAILS_EMPTY_LIST", 4: "DETAILS_NOT_LIST:str", 5: None, 6: "DETAILS_KEY_MISSING"}
 
 
 def test_files_with_a_byte_order_mark(spark, tmp_path):
