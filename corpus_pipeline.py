@@ -36,8 +36,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected token shares by source, language and topic are the targets, with its probabilities."""
-    return mixing.sample(spark, docs).withColumnRenamed("__probability", "probability")
+    """A sample whose expected token shares by source, language and topic are the targets, with its probabilities.
+
+    As large as that allows without repeating a document: the factor is the largest that cuts no cell's probability.
+    """
+    return mixing.sample(spark, docs, fraction=None).withColumnRenamed("__probability", "probability")
 
 
 STAGES = [

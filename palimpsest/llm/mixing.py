@@ -119,8 +119,8 @@ def mix(
     """doc_id, source, lang, topic, tokens, probability and sampled (boolean) of every row of ``docs``.
 
     docs has doc_id, text, source, lang; a null source or language is the value ``-``. The probability is the cell's fitted share
-    over its observed share, times ``fraction``, at most 1: a cell whose target is more than it has is taken whole, and the
-    sample is so much smaller. With ``fraction=None`` the factor is the largest that keeps all at most 1, and the sample's
+    over its observed share, times ``fraction``, at most 1: a cell whose target is more than it has is taken whole, so the
+    sample is smaller and its expected margins miss the targets wherever a cell is cut. With ``fraction=None`` the factor is the largest that keeps all at most 1, and the sample's
     expected margins are exactly the targets. Rows that share a doc_id are sampled together if their cells are the
     same. An empty table gives no row.
     """

@@ -179,6 +179,27 @@ def test_sample_follows_the_probabilities(spark):
         assert abs(np.mean([r["sampled"] for r in own]) - own[0]["probability"]) < 0.05
 
 
+def test_pipeline_sample_has_the_target_margins(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(2, 9)) + rng.choice([""] * 9 + [" | "]), rng.choice("aaaaaaaab"), rng.choice(["en"] * 5 + ["de"])) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cell = lambda r: (r[2], r[3], "tabular" if " | " in r[1] else "prose")
+    rates = {cell(r): r["probability"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()}
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[cell(r)] += len(re.findall("[ \n]", r[1])) + 1
+    assert set(rates) == set(tokens) and max(rates.values()) == pytest.approx(1)
+    expected = sum(n * rates[c] for c, n in tokens.items())
+    for k in range(3):
+        seen, got = collections.Counter(), collections.Counter()
+        for c, n in tokens.items():
+            seen[c[k]] += n
+            got[c[k]] += n * rates[c]
+        root = sum(math.sqrt(n) for n in seen.values())
+        assert all(abs(got[v] / expected - math.sqrt(n) / root) < 1e-6 for v, n in seen.items())
+
+
 # ---- licences
 
 
