@@ -2,8 +2,9 @@
 
 Native: DataFrame functions only.
 
-Every line of a file (its headers) and every whole file (licence files) is compared to templates of licence notices.
-A file's own licence is that of its most similar line or whole text. A file that as a whole is a notice, or whose name says so,
+Lines of a file and runs of joined lines (its headers) and every whole file (licence files) are compared to templates of
+licence notices. A file's own licence is that of its most similar run or whole text; a bare reservation of rights counts only
+where nothing else is found. A file that as a whole is a notice, or whose name says so,
 is its directory's licence file, and files without a licence of their own inherit from the nearest directory
 above them that has one. Ancestors are found by joins on directory paths.
 """
@@ -22,19 +23,60 @@ from palimpsest.llm.common import Scratch, join_counted, words
 #: Least cosine of a line, and of a whole file, to a template.
 LEAST = 0.72
 LEAST_FILE = 0.72
+#: Lines that are joined, blank ones left out: from a line to the length of a full text of the BSD or MIT licence, wrapped.
+RUNS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 28, 36)
+#: Gives way to any other licence of the same file.
+BARE = "Proprietary"
 #: Words that any text may have.
 FUNCTION_WORDS = frozenset("a an and any are as at be by can for from if in is it later may not of or other out see such than that the this to under use you all with without that".split())
 #: Names of files that hold a directory's licence.
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
-#: Notices by SPDX identifier.
+_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def _gnu(spdx: str, title: str, version: str, head: str) -> tuple[tuple[str, str], ...]:
+    """A GNU licence by its name in a sentence, by the notice for source files, and by the head of its full text."""
+    library = "library" if version.startswith("2.1") else "program"
+    published = f"it under the terms of the GNU {title} as published by the Free Software Foundation, either version {version} of the License, or any later version."
+    return (
+        (spdx, f"This work is licensed under the GNU {title}, version {version}."),
+        (spdx, f"This {library} is free software: you can redistribute it and/or modify {published}"),
+        (spdx, f"GNU {title} Version {version}, {head} Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    )
+
+
+#: Notices by SPDX identifier, the full texts of the short licences and the heads of the long ones.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    *_gnu("GPL-3.0", "General Public License", "3", "29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    *_gnu("GPL-2.0", "General Public License", "2", "June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    *_gnu("LGPL-3.0", "Lesser General Public License", "3", "29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    *_gnu("LGPL-2.1", "Lesser General Public License", "2.1", "February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    *_gnu("AGPL-3.0", "Affero General Public License", "3", "19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MIT", _MIT),
+    ("BSD-2-Clause", _CONDITIONS + _DISCLAIMER),
+    ("BSD-3-Clause", _CONDITIONS + _NAME + _DISCLAIMER),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -42,7 +84,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("Proprietary", "All rights reserved."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    (BARE, "All rights reserved."),
 )
 
 
@@ -93,27 +136,31 @@ def _similar(spark: SparkSession, parts: DataFrame, keys: list[str], templates:
     norms = rated.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = rated.join(F.broadcast(templates.frame(spark).select("term", "template", "spdx", "weight")), "term").groupBy(*keys, "template", "spdx").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).select(*keys, "spdx", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.groupBy(*keys).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "spdx")).alias("best")).select(*keys, "best.spdx", (-F.col("best.less")).alias("similarity"))
+    return scored.groupBy(*keys).agg(F.min(F.struct((F.col("spdx") == BARE).alias("bare"), (-F.col("similarity")).alias("less"), "spdx")).alias("best")).select(*keys, "best.spdx", (-F.col("best.less")).alias("similarity"))
 
 
 def scan(spark: SparkSession, files: DataFrame, path: Column, templates: Templates | None = None, least: float = LEAST, least_file: float = LEAST_FILE) -> DataFrame:
     """doc_id, path, license, basis, similarity and inherited_from of every document of ``files`` (doc_id, text).
 
-    basis is ``header`` (its best line), ``file`` (its whole text, or its name says so), ``inherited`` (inherited_from is the directory) or ``none``.
+    basis is ``header`` (its best run of lines), ``file`` (its whole text, or its name says so), ``inherited`` (inherited_from is the directory) or ``none``.
     Texts may be null or empty: they have no licence of their own. Rows that share a doc_id are one document; its path is the
     least of theirs. Of equally similar licences the one first in the alphabet is taken, of several licence files of a
     directory the most similar, then the first. A null path has no directory and inherits nothing.
     """
     scratch = Scratch(spark, "licenses")
     templates = templates or Templates()
-    cue = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(templates.strong_terms(min(least, least_file))) + ")(?![\\p{L}\\p{N}])"
+    # Texts of function words alone, which the long templates would let pass, are no notices.
+    cue = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(sorted(set(templates.strong_terms(min(least, least_file))) - FUNCTION_WORDS)) + ")(?![\\p{L}\\p{N}])"
     listed = scratch.keep(files.groupBy("doc_id").agg(F.min(path).alias("path")), "paths")
     asked = scratch.keep(files.where(F.col("text").rlike(cue)).select("doc_id", "text"), "asked")
-    each_line = asked.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(cue)).select("doc_id", F.xxhash64("text").alias("part"), "text").distinct()
+    # Runs begin at the lines with a cue.
+    lines = asked.select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike("[\\p{L}\\p{N}]")).alias("lines"))
+    joined = F.transform("lines", lambda x, i: F.when(x.rlike(cue), F.array(*[F.array_join(F.slice("lines", i + 1, n), "\n") for n in RUNS])))
+    runs = lines.select("doc_id", F.explode(F.flatten(F.filter(joined, lambda x: x.isNotNull()))).alias("text")).select("doc_id", F.xxhash64("text").alias("part"), "text").distinct()
     whole = asked.select("doc_id", F.xxhash64("text").alias("part"), "text").distinct()
-    by_line = _similar(spark, each_line, ["doc_id", "part"], templates, least).withColumn("basis", F.lit("header"))
+    by_line = _similar(spark, runs, ["doc_id", "part"], templates, least).withColumn("basis", F.lit("header"))
     by_file = _similar(spark, whole, ["doc_id", "part"], templates, least_file).withColumn("basis", F.lit("file"))
-    order = F.struct((-F.col("similarity")).alias("less"), "basis", "spdx")  # "file" comes before "header"
+    order = F.struct((F.col("spdx") == BARE).alias("bare"), (-F.col("similarity")).alias("less"), "basis", "spdx")  # "file" comes before "header"
     own = by_line.union(by_file).groupBy("doc_id").agg(F.min_by(F.struct("spdx", "similarity", "basis"), order).alias("own"))
     own = scratch.keep(own, "own")
 

@@ -257,6 +257,31 @@ def test_licence_cues_lose_nothing():
         assert strong & set(words(notice))
 
 
+def test_wrapped_notices_and_full_texts(spark):
+    code = "".join(f"\nx{i} = call(y{i})" for i in range(40))
+    fsf = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU{} General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n"
+    bsd = {spdx: text for spdx, text in licenses.TEMPLATES if spdx.startswith("BSD") and len(text) > 500}
+    full = {k: "Copyright (c) 2020, Somebody\nAll rights reserved.\n\n" + re.sub(r"(.{60,75}) ", r"\1\n", v) for k, v in bsd.items()}
+    head = "GNU {}GENERAL PUBLIC LICENSE\n   Version {}\n\n Copyright (C) {} Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n"
+    words = " ".join(VOCABULARY)
+    cases = [
+        ("GPL-3.0", fsf.format("", 3) + code),
+        ("GPL-2.0", "import x\n" + fsf.format("", 2) + code),
+        ("LGPL-3.0", fsf.format(" Lesser", 3) + code),
+        ("AGPL-3.0", fsf.format(" Affero", 3) + code),
+        ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+        ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+        *full.items(),
+        ("BSD-3-Clause", full["BSD-3-Clause"] + code),
+        ("GPL-2.0", head.format("", "2, June 1991", "1989, 1991") + words),
+        ("AGPL-3.0", head.format("AFFERO ", "3, 19 November 2007", "2007") + words),
+    ]
+    rows = [(i, text, f"p{i}/LICENSE") for i, (_, text) in enumerate(cases)] + [(100 + i, "words", f"p{i}/a") for i in range(len(cases))]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string, where string"), F.col("where")).collect()}
+    assert [got[i] for i in range(len(cases))] == [spdx for spdx, _ in cases]
+    assert [got[100 + i] for i in range(len(cases))] == [spdx for spdx, _ in cases]
+
+
 def test_licences_of_nothing(spark, nothing, messy):
     assert licenses.scan(spark, nothing, F.col("source")).collect() == []
     assert licenses.scan(spark, messy, F.col("source")).count() == messy.select("doc_id").distinct().count()
