@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block-level element. Elements that never hold an article (menus, forms,
 scripts, adverts and the like, known by tag, role or class) become a barrier: empty lines, as many as a window
-is long. Then the text lengths of the lines, less what is link text, are summed over sliding windows; where the
+is long; within an article they only end the line. Then the text lengths of the lines, less what is link text, are summed over sliding windows; where the
 sum surges above the threshold a run begins, where it dives to nothing the run ends, and the text between
 is kept, short lines too.
 """
@@ -76,8 +76,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[bool]]:
 
     def barrier() -> None:
         close()
-        lines.extend([("", 0)] * WINDOW)
-        inside.extend([False] * WINDOW)
+        if not article:  # what is removed from an article does not end it
+            lines.extend([("", 0)] * WINDOW)
+            inside.extend([False] * WINDOW)
 
     while at < len(page):
         found = TOKEN.search(page, at)

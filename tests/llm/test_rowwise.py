@@ -154,6 +154,12 @@ def test_html_unclosed_menu_and_plain_text():
     assert htmltext.main_text("just words") == "just words"
 
 
+def test_html_short_text_between_removed_elements():
+    long, short = PROSE + " " + PROSE, "Sixty characters or so of a paragraph between two adverts."
+    page = f"<article><p>{long}</p><div class=ad>Buy this</div><p>{short}</p><aside>More</aside><p>{long}</p><form><input></form><p>The end.</p></article>"
+    assert htmltext.main_text(page) == "\n".join([long, short, long, "The end."])
+
+
 def test_html_surge_and_dive():
     assert htmltext.runs([5, 0, 0, 0, 100, 3, 90, 0, 0, 0, 7]) == [(2, 7)]
     assert htmltext.runs([]) == [] and htmltext.runs([4]) == [(0, 1)]
