@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,25 @@ MARKS = frozenset(
     "sidebar sidebars aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations footer header masthead popup modal overlay "
     "newsletter subscribe subscription signup login search toolbar skip copyright".split()
 )
+#: Fixed values of HTML: what a start tag closes though its end tag is missing, and the elements beyond which it closes nothing.
+BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+SCOPES = frozenset("html template table td th caption object applet marquee".split())
+LISTS = SCOPES | frozenset("ul ol menu dir dl blockquote section article aside nav header footer main form fieldset details dialog figure button select".split())
+CELLS = frozenset("td th tr".split())
+SECTIONS = CELLS | frozenset("thead tbody tfoot caption colgroup".split())
+TABLE_PARTS = frozenset("html body table tr td th thead tbody tfoot caption colgroup".split())
+OMITTED = (
+    (frozenset({"head"}), BLOCKS | {"body"}, frozenset("template noscript".split())),
+    (frozenset({"p"}), BLOCKS, SCOPES | {"button"}),
+    (frozenset({"li"}), frozenset({"li"}), LISTS),
+    (frozenset("dd dt".split()), frozenset("dd dt".split()), LISTS),
+    (frozenset({"option"}), frozenset("option optgroup hr".split()), frozenset("select datalist".split())),
+    (frozenset({"optgroup"}), frozenset("optgroup hr".split()), frozenset({"select"})),
+    (frozenset("td th".split()), frozenset("td th".split()), frozenset("table tr template".split())),
+    (CELLS, frozenset({"tr"}), frozenset("table template".split())),
+    (SECTIONS, frozenset("thead tbody tfoot".split()), frozenset("table template".split())),
+)
+CLOSES = {name: [(closed, bounds) for closed, by, bounds in OMITTED if name in by] for _, by, _ in OMITTED for name in by}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -57,12 +77,51 @@ def _no_article(name: str, attributes: str) -> bool:
     return False
 
 
+class Open:
+    """Names of the open elements, outermost first; inline ones only within what is skipped."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.held: Counter[str] = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.held[name] += 1
+
+    def cut(self, to: int) -> None:
+        self.held.subtract(self.names[to:])
+        del self.names[to:]
+
+    def closed_by(self, name: str) -> int | None:
+        """Place of the outermost element that a start tag closes."""
+        found = None
+        for closed, bounds in CLOSES.get(name, ()):
+            if any(self.held[x] for x in closed):
+                for i in range(len(self.names) - 1, -1, -1):
+                    if self.names[i] in closed:
+                        found = i if found is None else min(found, i)
+                    if self.names[i] in bounds:
+                        break
+        return found
+
+    def ended_by(self, name: str) -> int | None:
+        """Place of the element that an end tag closes, with all within it."""
+        if self.held[name]:
+            for i in range(len(self.names) - 1, -1, -1):
+                if self.names[i] == name:
+                    return i
+                if self.names[i] in SCOPES and name not in TABLE_PARTS:
+                    break
+        return None
+
+
 def lines_of(page: str) -> tuple[list[tuple[str, int]], list[bool]]:
     """(text, characters of it within links) of each block, barriers as empty lines; which lines an article holds."""
     lines: list[tuple[str, int]] = []
     inside: list[bool] = []
     parts: list[str] = []
-    linked, link, article, skip, skipping, at = 0, 0, 0, 0, "", 0
+    linked, link, article, skip, skipping, at = 0, 0, 0, False, "", 0
+    opened, base = Open(), 0  # base: place of the element that is skipped
     breaks = 0
 
     def close() -> None:
@@ -101,12 +160,21 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[bool]]:
             if not skip and name not in DROPPED and name != "title":
                 barrier()
             continue
+        place = opened.ended_by(name) if ends else opened.closed_by(name)
+        if place is not None and not (skip and ends and name in INLINE and place < base):
+            opened.cut(place)
+            if skip and place <= base:
+                skip = False
+                if ends and place == base:
+                    continue
         if skip:
-            if name == skipping:
-                skip += -1 if ends else 1
-            elif name in ("article", "main") and not ends and skipping not in ("aside", "template", "noscript"):
-                skip = 0  # a container that was never closed
+            if name in ("article", "main") and not ends and skipping not in ("aside", "template", "noscript"):
+                skip = False  # a container that was never closed
                 article += 1
+                opened.cut(base)
+                opened.push(name)
+            elif not ends and name not in VOID:
+                opened.push(name)
             continue
         if ends:
             if name == "a":
@@ -119,8 +187,12 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], list[bool]]:
             continue
         if name not in VOID and _no_article(name, attributes):
             barrier()
-            skip, skipping = 1, name
-        elif name == "br":
+            skip, skipping, base = True, name, len(opened.names)
+            opened.push(name)
+            continue
+        if name not in VOID and name not in INLINE:
+            opened.push(name)
+        if name == "br":
             breaks += 1
             parts.append("\n")
             if breaks > 1:

@@ -160,6 +160,29 @@ def test_html_short_text_between_removed_elements():
     assert htmltext.main_text(page) == "\n".join([long, short, long, "The end."])
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>One.<p class=notice>x<p>Two.<p>Three.</article>", "One.\nTwo.\nThree."),
+        ("<article><p>One.<p class=notice>x <b>y</b><div>Two.</div></article>", "One.\nTwo."),
+        ("<article><ul><li>One.<li class=share>x<ul><li>y</ul>z<li>Two.</ul><p>Three.</article>", "One.\nTwo.\nThree."),
+        ("<article><ul><li>One.<li class=share>x</ul><p>Two.</article>", "One.\nTwo."),
+        ("<article><dl><dt>One.<dd class=ad>x<dt>Two.</dl></article>", "One.\nTwo."),
+        ("<article><table><tr><td>One.<td class=ad>x<tr><td>Two.</table></article>", "One.\nTwo."),
+        ("<section><p>One.</p><div class=ad>x<p>y</section><p>Two.", "One."),
+        ("<article>One.<div class=ad>x</article><article>Two.</article>", "One.\nTwo."),
+        ("<article>One.<div class=ad>x<div>y</div><p>z</div>Two.</article>", "One.\nTwo."),
+        ("<article>One.<span class=ad>x<b>y</span>Two.</article>", "One.\nTwo."),
+        ("<html><head><title>x</title><meta name=y><body><p>One.", "One."),
+    ],
+)
+def test_html_skips_end_as_html_says(page, text):
+    if "<section>" in page:
+        page = page.replace("One.", PROSE).replace("Two.", PROSE)
+        text = PROSE + "\n" + PROSE
+    assert htmltext.main_text(page) == text
+
+
 def test_html_surge_and_dive():
     assert htmltext.runs([5, 0, 0, 0, 100, 3, 90, 0, 0, 0, 7]) == [(2, 7)]
     assert htmltext.runs([]) == [] and htmltext.runs([4]) == [(0, 1)]
