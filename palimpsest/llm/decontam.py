@@ -4,10 +4,11 @@ Native: DataFrame functions only.
 
 A window is as many words of a document as a benchmark item has. Only windows that share a five-word shingle
 with an item can be similar to one at all, so windows are laid where such a shingle stands: at the place that
-aligns it with the item, and ``slack`` words to either side. Each window gets a 64-bit SimHash of its shingles,
+aligns it with the item, and ``slack`` words to either side, moved to the document's edge where they would stick out of it. A
+document shorter than the item is one window. Each window gets a 64-bit SimHash of its shingles,
 weighted by their number. The fingerprints of items are indexed by blocks of bits: two fingerprints within ``radius`` differ in
 at most radius // blocks bits of some block, so every item is entered under all such values of each of its blocks,
-and looking up a window's own block values finds every item within the radius. Candidates of the same number of words and within the radius are verified: the
+and looking up a window's own block values finds every item within the radius. Candidates laid for items of the same number of words and within the radius are verified: the
 weighted Jaccard similarity of their shingles, each weighted by its number, must reach the threshold.
 """
 
@@ -95,15 +96,16 @@ def contaminated(
     text = _shingled(docs, "doc_id", "doc_id")
     starts = F.explode(F.array(*[F.col("p") - F.col("q") + d for d in range(-slack, slack + 1)])).alias("start")
     length = F.col("n") - SHINGLE + 1
-    within = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("words"))
+    # At the edge where a window would stick out; a document shorter than the item is its only window.
+    clamped = F.greatest(F.least("start", F.col("words") - F.col("n")), F.lit(0)).alias("start")
     if n_marks <= broadcast_rows:
         hit = text.select("doc_id", F.col("n").alias("words"), "shingles", F.posexplode_outer("shingles").alias("p", "shingle")).join(F.broadcast(marks), "shingle")
-        laid = hit.select("doc_id", "words", "n", "shingles", starts).where(within).select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, length).alias("window"))
+        laid = hit.select("doc_id", "words", "n", "shingles", starts).select("doc_id", "n", "shingles", clamped).select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, length).alias("window"))
         windows = laid.groupBy("doc_id", "n", "start", "window").agg(F.lit(1).alias("one")).drop("one")
     else:
         hit = text.select("doc_id", F.posexplode_outer("shingles").alias("p", "shingle")).join(marks, "shingle")
         places = hit.select("doc_id", "n", starts).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("places"))
-        laid = text.withColumnRenamed("n", "words").join(places, "doc_id").select("doc_id", "words", "shingles", F.inline("places")).where(within)
+        laid = text.withColumnRenamed("n", "words").join(places, "doc_id").select("doc_id", "words", "shingles", F.inline("places")).select("doc_id", "n", "shingles", clamped)
         windows = laid.select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, length).alias("window")).distinct()
     windows = scratch.keep(windows.withColumn("fingerprint", simhash("window")), "windows")
 

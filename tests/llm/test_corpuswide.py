@@ -111,6 +111,28 @@ def test_windows_are_found_and_clean_texts_left(spark):
     assert spilled == got
 
 
+def test_items_cut_by_the_document_are_found(spark):
+    rng = random.Random(13)
+    w = [rng.choice(VOCABULARY) for _ in range(50)]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(1, other + w[:45]), (2, w[5:] + other), (3, w[:-3]), (4, w[3:]), (5, w[4:-4]), (6, w[:30])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(w)), (8, " ".join(w[:40]))], "item_id long, text string")
+    truth = {}
+    for i, t in rows:
+        for k, n in ((7, 50), (8, 40)):
+            y, s = collections.Counter(shingles(" ".join(w[:n]))), shingles(" ".join(t))
+            for a in range(max(1, len(t) - n + 1)):
+                x = collections.Counter(s[a : a + n - 4])
+                j = (x & y).total() / (x | y).total()
+                if j >= 0.8:
+                    truth[i, k] = max(truth.get((i, k), (0, 0)), (j, -a))
+    assert {k for k in truth if k[1] == 7} >= {(1, 7), (2, 7), (3, 7), (4, 7), (5, 7)}
+    for limit in (decontam.BROADCAST_ROWS, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["first_word"]) for r in decontam.contaminated(spark, docs, bench, broadcast_rows=limit).collect()}
+        assert set(got) == set(truth) and all(got[k] == pytest.approx(truth[k]) for k in truth)
+
+
 def test_hamming_index_finds_everything_within_the_radius(spark):
     rng = random.Random(4)
     flips = collections.defaultdict(list)
