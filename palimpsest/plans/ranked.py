@@ -284,7 +284,7 @@ def bootstrap_generator(spark, sf):
     from palimpsest.config import Statistics
 
     s = stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"])
-    return stats.intervals(stats.bootstrap_by_generator(s, "entity", ["method", "metric"], Statistics(replicates=1000), 100), ["method", "metric"])
+    return stats.intervals(stats.bootstrap_by_generator(s, "entity", ["method", "metric"], Statistics()), ["method", "metric"])
 
 
 @query("WITH t AS (SELECT event_type AS test, count(*) FILTER (WHERE value > 90) * 0.05 / count(*) AS p FROM events GROUP BY 1), s AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1) * p) AS step FROM t) SELECT test, round(p, 9) AS p, round(max(step) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 9) AS p_holm, max(step) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) <= 0.05 AS rejected FROM s", digits=9)

@@ -41,6 +41,24 @@ def test_query(spark, sf, duck, name):
         assert got
 
 
+def test_generator_intervals_rest_on_all_replicates(spark, sf):
+    import numpy as np
+
+    from palimpsest.config import Statistics
+    from palimpsest.operators import stats
+    from palimpsest.plans import ranked
+
+    sums = stats.cluster_sums(ranked.values(spark, sf), "entity", ["method", "metric"]).toPandas()
+    units = sorted(sums["entity"].unique())
+    draws = np.random.Generator(np.random.PCG64(Statistics.seed)).integers(0, len(units), (10_000, len(units)))
+    got = {(r["method"], r["metric"]): (r["low"], r["high"]) for r in ranked.bootstrap_generator(spark, sf).collect()}
+    for key, g in sums.groupby(["method", "metric"]):
+        by = g.set_index("entity").reindex(units).fillna(0)
+        n = by["n"].to_numpy()[draws].sum(1)
+        mean = by["total"].to_numpy()[draws].sum(1)[n > 0] / n[n > 0]
+        assert got[key] == pytest.approx(tuple(np.percentile(mean, [2.5, 97.5])))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
