@@ -44,13 +44,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_b
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths; each gets one of source, thousand and fifty of its id, and a name.
-
-    Texts of under 300 characters are named like licence files, which tend to be that short; if they hold no notice, the
-    name means nothing.
-    """
-    name = F.concat(F.when(F.length("text") < 300, F.lit("LICENSE-")).otherwise(F.lit("text-")), F.col("doc_id"))
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), name)
+    """The documents have no paths; each gets one of source, thousand and fifty of its id."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), F.col("doc_id"))
     return licenses.scan(spark, table(spark, sf_dir, "documents"), path)
 
 
