@@ -2,21 +2,26 @@
 
 Native: DataFrame functions only.
 
-A window is as many words of a document as a benchmark item has. Only windows that share a five-word shingle
-with an item can be similar to one at all, so windows are laid where such a shingle stands: at the place that
-aligns it with the item, and ``slack`` words to either side, moved to the document's edge where they would stick out of it. A
-document shorter than the item is one window. Each window gets a 64-bit SimHash of its shingles,
-weighted by their number. The fingerprints of items are indexed by blocks of bits: two fingerprints within ``radius`` differ in
-at most radius // blocks bits of some block, so every item is entered under all such values of each of its blocks,
-and looking up a window's own block values finds every item within the radius. Candidates laid for items of the same number of words and within the radius are verified: the
-weighted Jaccard similarity of their shingles, each weighted by its number, must reach the threshold.
+A window is as many words of a document as a benchmark item has; a document shorter than the item is one window. A
+window similar to an item shares so many shingles with it that it has one of the item's rarest (its anchors). So:
+
+1. documents with an anchor of an item are candidates for it; rare shingles select, and most documents are done here;
+2. all places of the item's shingles in its candidates are found, and a window is laid at every place from which
+   enough of them follow within its length, wherever these stand in the item: sentences may be moved, halves swapped;
+3. each window gets a 64-bit SimHash of its shingles, weighted by their number. The fingerprint of every item is entered, for each
+   of its blocks of bits, under the values that differ in at most radius // blocks bits; two fingerprints within the
+   radius differ in no more than that in some block, so looking up the window's blocks finds all within the radius;
+4. what is within the radius is verified: the weighted Jaccard similarity of the shingles must reach the threshold.
+
+The best window of any length begins with a shingle of the item or ends with the document: from any other, the next one
+shares as much. So step 2 loses nothing, and only step 3 can, by the chance that the fingerprints are farther apart.
 """
 
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch, words
@@ -26,11 +31,10 @@ SIMILARITY = 0.8
 BITS = 64
 #: At similarity 0.8 two fingerprints differ in 9.7 bits on average with a deviation of 2.9; 19 is over three deviations.
 RADIUS = 19
-BLOCKS = 5
-SLACK = 2
+BLOCKS = 10
 #: Stands for a null id.
 NO_ID = -(1 << 63)
-#: Rows of an index that may be broadcast (some 40 bytes each); larger ones are shuffled.
+#: Rows of a table of anchors or marks that may be broadcast (some 30 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -42,7 +46,7 @@ def _runs(hashes: Column) -> Column:
 
 def _shingled(df: DataFrame, id_: str, name: str) -> DataFrame:
     hashed = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.select(name, F.size("words").alias("n"), _runs(F.col("words")).alias("shingles"))
+    return hashed.select(name, _runs(F.col("words")).alias("shingles"))
 
 
 def simhash(name: str) -> Column:
@@ -76,51 +80,75 @@ def occurrences(shingles: Column) -> Column:
     return F.transform(shingles, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(shingles, 1, i), lambda x: x == h))))
 
 
+def _anchors(items: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, t) of the rarest shingles of every item; any window similar enough has one of them.
+
+    Of an item's m places a similar window, be it shorter, has at least ceil(similarity m); the rarest shingles that hold more places
+    than may be missing cannot all be missing.
+    """
+    each = items.select("t", "m", F.explode("shingles").alias("shingle")).groupBy("t", "m", "shingle").agg(F.count("*").alias("places"))
+    rated = each.join(each.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    order = Window.partitionBy("t").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("places").over(order), F.lit(0))
+    return rated.withColumn("before", before).where(F.col("before") <= F.col("m") - F.ceil(F.lit(similarity) * F.col("m") - 1e-9)).select("shingle", "t")
+
+
 def contaminated(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, slack: int = SLACK, broadcast_rows: int = BROADCAST_ROWS
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """doc_id, item_id, similarity and first_word of every item found in a document (at its best place).
+    """doc_id, item_id, similarity and first_word of every item found in a document (at its best window).
 
     docs (doc_id, text) and benchmark (item_id, text); a row for each pair of ids, however often either is repeated; rows
-    with a null id are one document or item. Null and empty texts, and items of fewer than five words, are found nowhere. first_word counts from 0; of places equally
-    similar the first is given.
+    with a null id are one document or item, and texts of one id are searched apart. Null and empty texts, and items of fewer
+    than five words, which have no shingle, are found nowhere. first_word counts from 0 and is the first word of the best window;
+    of windows equally similar the first that begins with a shingle of the item, or ends with the document.
     """
     scratch = Scratch(spark, "decontam")
-    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
-    items = _shingled(benchmark, "item_id", "item_id").where(F.size("shingles") > 0)
+    keys = F.struct(F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), F.col("shingles")).alias("k2"))
+    named = scratch.keep(_shingled(benchmark, "item_id", "item_id").where(F.size("shingles") > 0).select("item_id", keys.alias("t"), "shingles"), "named")
+    # Items with equal words are one text t from here on.
+    items = named.dropDuplicates(["t"]).select("t", F.size("shingles").alias("m"), "shingles")
     items = scratch.keep(items.withColumn("fingerprint", simhash("shingles")), "items")
+    anchors = scratch.keep(_anchors(items, similarity), "anchors")
+    marks = scratch.keep(items.select("t", "m", F.explode(F.array_distinct("shingles")).alias("shingle")), "marks")
+    n_anchors, n_marks = anchors.count(), marks.count()
 
-    marks = scratch.keep(items.select("n", F.posexplode("shingles").alias("q", "shingle")).distinct(), "marks")
-    n_marks = marks.count()
-    # Outer: else Spark would compute the shingles once more for a filter below, within each lambda's step.
     text = _shingled(docs, "doc_id", "doc_id")
-    starts = F.explode(F.array(*[F.col("p") - F.col("q") + d for d in range(-slack, slack + 1)])).alias("start")
-    length = F.col("n") - SHINGLE + 1
-    # At the edge where a window would stick out; a document shorter than the item is its only window.
-    clamped = F.greatest(F.least("start", F.col("words") - F.col("n")), F.lit(0)).alias("start")
-    if n_marks <= broadcast_rows:
-        hit = text.select("doc_id", F.col("n").alias("words"), "shingles", F.posexplode_outer("shingles").alias("p", "shingle")).join(F.broadcast(marks), "shingle")
-        laid = hit.select("doc_id", "words", "n", "shingles", starts).select("doc_id", "n", "shingles", clamped).select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, length).alias("window"))
-        windows = laid.groupBy("doc_id", "n", "start", "window").agg(F.lit(1).alias("one")).drop("one")
+    if n_anchors <= broadcast_rows:
+        # Outer: else Spark would compute the shingles once more for a filter below, within each lambda's step.
+        met = text.select("doc_id", "shingles", F.explode_outer("shingles").alias("shingle")).join(F.broadcast(anchors), "shingle").select("doc_id", "shingles", "t")
     else:
-        hit = text.select("doc_id", F.posexplode_outer("shingles").alias("p", "shingle")).join(marks, "shingle")
-        places = hit.select("doc_id", "n", starts).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("n", "start")).alias("places"))
-        laid = text.withColumnRenamed("n", "words").join(places, "doc_id").select("doc_id", "words", "shingles", F.inline("places")).select("doc_id", "n", "shingles", clamped)
-        windows = laid.select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, length).alias("window")).distinct()
+        keyed = text.select("doc_id", "shingles", keys.alias("d"))
+        each = keyed.select("d", F.explode_outer(F.array_distinct("shingles")).alias("shingle")).distinct()
+        met = keyed.join(each.join(anchors, "shingle").select("d", "t").distinct(), "d").select("doc_id", "shingles", "t")
+    # A row for each text of a document and each of its candidates.
+    pairs = scratch.keep(met.distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    hits = pairs.select("pair", "t", F.posexplode("shingles").alias("p", "shingle")).join(F.broadcast(marks) if n_marks <= broadcast_rows else marks, ["t", "shingle"])
+    # No longer than one document.
+    places = hits.groupBy("pair").agg(F.array_sort(F.collect_list("p")).alias("places"), F.first("m").alias("m"))
+    laid = pairs.join(places, "pair").withColumn("length", F.least("m", F.size("shingles")))
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("length")) - 1e-9).cast("int")
+    last = F.size("shingles") - F.col("length")
+    follows = lambda p, i: F.get(F.col("places"), i + least - 1) < p + F.col("length")
+    begun = F.filter(F.transform("places", lambda p, i: F.when((p <= last) & follows(p, i), p)), lambda p: p.isNotNull())
+    ended = F.when(F.size(F.filter("places", lambda p: p >= last)) >= least, F.array(last)).otherwise(F.array().cast("array<int>"))
+    laid = laid.select("pair", "doc_id", "t", "length", "shingles", F.explode(F.array_union(begun, ended)).alias("start"))
+    windows = laid.select("pair", "doc_id", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
     windows = scratch.keep(windows.withColumn("fingerprint", simhash("window")), "windows")
 
     flips = _flips(spark, radius, blocks)
-    entered = items.select("item_id", "n", "fingerprint", "shingles", F.inline(_block_values(F.col("fingerprint"), blocks)))
-    index = entered.join(F.broadcast(flips), "block").select("block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "n", "item_id", F.col("fingerprint").alias("of_item"))
-    index = scratch.keep(index.distinct(), "index")
-    looked = windows.select("doc_id", "n", "start", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
-    near = looked.join(small(index, index.count()), ["n", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))) <= radius)
-    candidates = near.select("doc_id", "n", "start", "item_id").distinct()
-
-    sets = items.select("item_id", "n", F.col("shingles").alias("item"))
-    both = candidates.join(windows.select("doc_id", "n", "start", "window"), ["doc_id", "n", "start"]).join(small(sets, n_marks), ["item_id", "n"])
+    entered = items.select("t", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
+    index = entered.join(F.broadcast(flips), "block").select("t", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("fingerprint").alias("of_item"))
+    looked = windows.select("pair", "t", "start", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
+    near = looked.join(index, ["t", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))) <= radius)
+    candidates = near.select("pair", "start").distinct()
+
+    both = windows.join(candidates, ["pair", "start"]).join(items.select("t", F.col("shingles").alias("item")), "t")
     shared = F.size(F.array_intersect(occurrences(F.col("window")), occurrences(F.col("item"))))
-    judged = both.select("doc_id", "item_id", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
-    found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
+    judged = both.select("doc_id", "t", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
+    found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "t").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
+    found = scratch.keep(found.join(named.select("item_id", "t").distinct(), "t"), "found")
+    # Items of one id may have several texts.
+    best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("first_word", F.struct("similarity", -F.col("first_word"))).alias("first_word"))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return found.select(back("doc_id"), back("item_id"), "similarity", "first_word")
+    return best.select(back("doc_id"), back("item_id"), "similarity", "first_word")

@@ -134,20 +134,73 @@ def test_items_cut_by_the_document_are_found(spark):
         assert set(got) == set(truth) and all(got[k] == pytest.approx(truth[k]) for k in truth)
 
 
+def plain_contamination(rows, items):
+    """(document, item) to the best similarity of any window of the item's length, one word after the other."""
+    truth = {}
+    for d, text in rows:
+        s = shingles(text)
+        for i, item in items:
+            own = collections.Counter(shingles(item))
+            length = min(own.total(), len(s))
+            for a in range(len(s) - length + 1 if length else 0):
+                x = collections.Counter(s[a : a + length])
+                j = (x & own).total() / (x | own).total()
+                if j >= 0.8 - 1e-9:
+                    truth[d, i] = max(j, truth.get((d, i), 0))
+    return truth
+
+
+def test_moved_and_changed_items_are_found(spark):
+    """Rotations, moved sentences, insertions, deletions and items that share sentences, against all windows."""
+    rng = random.Random(21)
+    vocabulary = VOCABULARY[:120]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (20, 60, 120, 200, 200)]
+    items += [items[3][:150] + text(50), items[4][100:] + items[4][:100], items[1] + items[1][:30]]
+    docs = []
+    for w in items:
+        n = len(w)
+        for turn in (0.5, 0.25, 0.9):
+            k = int(n * turn)
+            docs.append(w[k:] + w[:k])
+        for _ in range(6):
+            cut = sorted(rng.sample(range(1, n), 3))
+            parts = [w[a:b] for a, b in zip([0, *cut], [*cut, n])]
+            i, j = rng.sample(range(4), 2)
+            parts[i], parts[j] = parts[j], parts[i]
+            docs.append(sum(parts, []))
+        for most in (1, n // 30 + 1, n // 20 + 1, n // 12 + 1):
+            x = list(w)
+            for _ in range(most):
+                at = rng.randrange(len(x))
+                rng.choice([lambda: x.insert(at, "more"), lambda: x.pop(at), lambda: x.__setitem__(at, "other")])()
+            docs.append(x)
+    rows = [(i, " ".join(text(rng.randint(0, 30)) + w + text(rng.choice([0, 3, 40])))) for i, w in enumerate(docs)]
+    named = [(i, " ".join(w)) for i, w in enumerate(items)]
+    truth = plain_contamination(rows, named)
+    assert len(truth) > 60 and any(j < 0.9 for j in truth.values())
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*named, (50, named[0][1]), (50, named[1][1]), (51, "one two")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(spark, docs, bench).collect()}
+    exact = {k: j for k, j in got.items() if k[1] < 50}
+    assert all(exact[k] == pytest.approx(truth[k]) for k in exact) and exact.keys() <= truth.keys()
+    assert len(exact) >= 0.99 * len(truth)  # fingerprints farther apart than the radius, by chance
+    assert {d for d, i in got if i == 50} == {d for d, i in got if i in (0, 1)}
+
+
 def test_hamming_index_finds_everything_within_the_radius(spark):
     rng = random.Random(4)
     flips = collections.defaultdict(list)
-    for r in decontam._flips(spark, 19, 5).collect():
+    for r in decontam._flips(spark, decontam.RADIUS, decontam.BLOCKS).collect():
         flips[r["block"]].append(r["flip"])
-    bounds = decontam.block_bounds(5)
+    bounds = decontam.block_bounds(decontam.BLOCKS)
     assert sum(n for _, n in bounds) == 64
     for _ in range(200):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), rng.randint(0, 19)):
+        for bit in rng.sample(range(64), rng.randint(0, decontam.RADIUS)):
             b ^= 1 << bit
         cut = lambda x, k: x >> bounds[k][0] & (1 << bounds[k][1]) - 1
-        assert any(cut(a, k) ^ f == cut(b, k) for k in range(5) for f in flips[k])
+        assert any(cut(a, k) ^ f == cut(b, k) for k in range(decontam.BLOCKS) for f in flips[k])
 
 
 def test_simhash_is_the_majority_of_bits(spark):
