@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,27 +33,48 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables in the shared folder, so that losing an executor loses none of them.
 
-    ``keep`` writes a frame as Parquet and reads it back, which cuts its lineage; ``drop`` removes everything
-    this object wrote, once nothing reads it any more.
+    ``keep`` writes a frame as Parquet and reads it back, which cuts its lineage; ``drop`` removes tables that nothing
+    reads any more, by their names, or everything this object wrote. What a lazy result still reads stays until its caller
+    drops it: ``collected`` gives the objects made within it.
     """
 
+    _watchers: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: list[tuple[str, str]] = []
+        for made in Scratch._watchers:
+            made.append(self)
 
     def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{name}"
+        path = f"{self.root}/{len(self.paths) + 1:03d}-{name}"
+        self.paths.append((name, path))
+        return path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def names(self) -> list[str]:
+        return [name for name, _ in self.paths]
+
+    def drop(self, *names: str) -> None:
+        for path in [path for name, path in self.paths if name in names] if names else [self.root]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    @staticmethod
+    @contextlib.contextmanager
+    def collected() -> Iterator[list[Scratch]]:
+        """The objects that are made while it is open, for their tables to be dropped once the results are written."""
+        made: list[Scratch] = []
+        Scratch._watchers.append(made)
+        try:
+            yield made
+        finally:
+            Scratch._watchers.remove(made)
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -35,7 +35,9 @@ from palimpsest.llm.graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-#: Stands for a null doc_id among the nodes.
+#: Sets of one shingle that are paired in one part.
+PART = 1000
+#: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 _CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1)) for i in range(16)])
 _STEPS = (_CDF * 2.0**53).astype(np.uint64)
@@ -108,20 +110,24 @@ def shingles(word_hashes: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(word_hashes) >= size, runs).when(F.size(word_hashes) > 0, F.array(F.xxhash64(word_hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """id, words (hashes) and text hash of every row; a null id becomes NO_ID, a null text an empty one."""
+def keyed(docs: DataFrame, *others: str) -> DataFrame:
+    """id, k1, k2 and words (hashes) of every row, and ``others``; a null id becomes NO_ID, a null text an empty one.
+
+    k1 and k2 are hashes of the words; of the raw text where there are none.
+    """
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
     raw = F.xxhash64(F.lit(3), F.coalesce(F.col("text"), F.lit(""))).alias("raw")
-    return docs.select(id_, raw, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    plain = docs.select(*others, id_, raw, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    wordless = F.size("words") == 0
+    k1 = F.when(wordless, F.col("raw")).otherwise(F.xxhash64("words")).alias("k1")
+    k2 = F.when(wordless, F.lit(0)).otherwise(F.xxhash64(F.lit(1), F.col("words"))).alias("k2")
+    return plain.select(*others, "id", k1, k2, "words")
 
 
 def sketch(spark: SparkSession, docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
     """id, k1, k2 (of the words) and band keys of every row. Texts without a word have no band."""
     small_arrow_batches(spark)
-    wordless = F.size("words") == 0
-    k1 = F.when(wordless, F.col("raw")).otherwise(F.xxhash64("words")).alias("k1")
-    k2 = F.when(wordless, F.lit(0)).otherwise(F.xxhash64(F.lit(1), F.col("words"))).alias("k2")
-    plain = shingled(docs).select("id", k1, k2, shingles(F.col("words")).alias("shingles"))
+    plain = keyed(docs).select("id", "k1", "k2", shingles(F.col("words")).alias("shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,33 +182,32 @@ def _rare_pairs(mixed: DataFrame, scratch: Scratch, similarity: float) -> DataFr
     left = join_counted(kept, groups, ["shingle"], "rows", held)
     # Of a shingle's sets, those with its commonest label meet only the others.
     others = left.where(F.col("label") != F.col("main")).select("shingle", F.col("id").alias("b"), F.col("label").alias("bl"), F.col("n").alias("bn"), F.col("rest").alias("br"))
-    met = left.select("shingle", F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("an"), F.col("rest").alias("ar")).join(others, "shingle")
+    # A shingle of many sets is dealt in parts: its sets over the parts, the others to each part.
+    parts = groups.where(F.col("rows") > PART).select("shingle", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    dealt = left.select("shingle", F.col("id").alias("a"), F.col("label").alias("al"), F.col("n").alias("an"), F.col("rest").alias("ar"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    others = others.join(parts, "shingle", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    met = dealt.join(others, ["shingle", "part"])
     # At the first shingle that two sets share, what is left of either is all they can share.
     enough = F.least("ar", "br") >= F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-9
     alike = enough & (F.col("al") != F.col("bl")) & (F.least("an", "bn") >= F.lit(similarity) * F.greatest("an", "bn") - 1e-9)
     return met.where(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """doc_id and class_id of every row of ``docs`` (doc_id, text): the least doc_id of its near-duplicate class.
-
-    Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least ``similarity``; words
-    are runs of letters and digits, in lower case; a text of one to four words has one shingle. A class is a component
-    of the links. A text without words is linked to equal texts only, null counting as empty. Rows that share a
-    doc_id are one document, as are all rows with a null doc_id; their class_id is null if no other document is in it.
-    ``weighted`` gives shingles their number of occurrences as weight in the signatures.
-
-    With 40 bands of 6, a pair at 0.8 is missed with probability 5e-6 for the lack of a common bucket.
-    """
+def _classified(spark: SparkSession, docs: DataFrame, similarity: float, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """id, k1, k2, class_id and first of every row; first marks the rows that stand for their class: one id with one text."""
     scratch = Scratch(spark, "neardup")
     table = scratch.keep(sketch(spark, docs, bands, rows, weighted), "sketch")
-    texts = table.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    texts = scratch.keep(texts, "texts")
+    # A node is a text, whatever its ids; named is its least id that is not null.
+    texts = table.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.nullif("id", F.lit(NO_ID))).alias("named"), F.count("*").alias("copies"))
+    texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     n_rows = texts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    row = ["k1", "k2", "id"]
+    rows_of = texts.select("k1", "k2", F.col("least").alias("id"), "node")
 
-    # Of each text the row with the least id goes on; texts of one id share the node.
-    first = table.where(F.size("bands") > 0).join(texts.hint("merge"), (table["k1"] == texts["k1"]) & (table["k2"] == texts["k2"]) & (table["id"] == texts["node"]), "left_semi")
-    entries = scratch.keep(first.select(F.col("id").alias("node"), F.explode("bands").alias("bucket")).distinct(), "entries")
+    # Of each text a row with the least id goes on.
+    first = table.where(F.size("bands") > 0).select(*row, "bands").join(rows_of.hint("merge"), row)
+    entries = scratch.keep(first.select("node", F.explode("bands").alias("bucket")).distinct(), "entries")
     buckets = scratch.keep(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
     n_entries = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shared = scratch.keep(join_counted(entries, buckets, ["bucket"], "n", n_entries), "shared")
@@ -214,27 +219,70 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SI
 
     pairs = hits.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    involved = hits.select(F.col("node").alias("id")).distinct()
-    whole = shingled(docs).join(involved.hint("merge"), "id", "left_semi").select("id", F.array_distinct(shingles(F.col("words"))).alias("shingles"))
-    sets = scratch.keep(whole.dropDuplicates(["id"]), "sets")
+    involved = rows_of.join(hits.select("node").distinct().hint("merge"), "node", "left_semi")
+    whole = keyed(docs).join(involved.hint("merge"), row).select(F.col("node").alias("id"), F.array_distinct(shingles(F.col("words"))).alias("shingles"))
+    sets = scratch.keep(whole.dropDuplicates(["id"]), "sets")  # rows of one node have equal words
+    scratch.drop("entries", "buckets", "shared", "pivots")
     links = scratch.keep(_verified(pairs, sets, similarity), "links")
     labels = scratch.keep(components(links, scratch, "star"), "labels")
 
     named = hits.select("bucket", "node").join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     named = scratch.keep(named, "named")
+    scratch.drop("hits", "star")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi"))
     mixed = scratch.keep(mixed, "mixed-buckets")
     if mixed.take(1):
         n_mixed = mixed.agg(F.sum("n").alias("n")).first()["n"]
         open_ = join_counted(named, mixed, ["bucket"], "n", n_mixed).select(F.col("node").alias("id"), "label").distinct()
         more = _rare_pairs(open_.join(sets.hint("merge"), "id"), scratch, similarity)
-        more = more.join(pairs.hint("merge"), ["a", "b"], "left_anti")
+        more = more.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti")
         found = scratch.keep(_verified(more, sets, similarity), "more-links")
         if found.take(1):
-            labels = scratch.keep(components(links.union(found), scratch, "all"), "labels")
-
-    classes = texts.join(labels.hint("merge"), texts["node"] == labels["node"], "left").select("k1", "k2", "copies", F.coalesce(labels["label"], texts["node"]).alias("class"))
+            labels = scratch.keep(components(links.union(found), scratch, "all"), "all-labels")
+
+    # The text of a class that has its least id; of several the one with the least hash.
+    linked = scratch.keep(texts.join(labels.hint("merge"), "node").select("node", "label", "k1", "k2", "named"), "linked")
+    foremost = F.struct(F.col("named").isNull(), "named", "k1", "k2")
+    chosen = linked.groupBy("label").agg(F.min("named").alias("class_id"), F.min_by("node", foremost).alias("chosen"), F.count("*").alias("n"))
+    chosen = scratch.keep(chosen, "chosen")
+    n_linked = chosen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    of_class = join_counted(linked.select("node", "label"), chosen, ["label"], "n", n_linked).select("node", "class_id", (F.col("node") == F.col("chosen")).alias("chosen"))
+    classes = texts.join(of_class.hint("merge"), "node", "left")
+    alone = F.col("chosen").isNull()
+    classes = classes.select("k1", "k2", "copies", F.coalesce("named", F.lit(NO_ID)).alias("owner"), F.when(alone, F.col("named")).otherwise(F.col("class_id")).alias("class_id"), (alone | F.col("chosen")).alias("chosen"))
     classes = scratch.keep(classes, "classes")
+    scratch.drop(*(set(scratch.names()) - {"sketch", "classes"}))
     out = join_counted(table.select("id", "k1", "k2"), classes, ["k1", "k2"], "copies", n_rows)
-    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return out.select(back("id").alias("doc_id"), back("class").alias("class_id"))
+    return out.select("id", "k1", "k2", "class_id", (F.col("chosen") & (F.col("id") == F.col("owner"))).alias("first"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """doc_id and class_id of every row of ``docs`` (doc_id, text): the least doc_id of its near-duplicate class.
+
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least ``similarity``; words
+    are runs of letters and digits, in lower case; a text of one to four words has one shingle. A class is a component
+    of the links. A text without words is linked to equal texts only, null counting as empty. Texts are classified whatever
+    their ids: rows that share a doc_id, or have none, are in one class only if their texts are. class_id is null where
+    no document of the class has an id. ``weighted`` gives shingles their number of occurrences as weight in the signatures.
+
+    With 40 bands of 6, a pair at 0.8 is missed with probability 5e-6 for the lack of a common bucket.
+    """
+    out = _classified(spark, docs, similarity, bands, rows, weighted)
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "class_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Of each class of near duplicates (see ``near_duplicates``) one row of ``docs``, with all its columns.
+
+    It is the row whose doc_id is the least of the class. Rows equal in doc_id and in the text's words count as one; the one with
+    the least hash of the raw text, then the least other columns, stays. So no class of texts disappears, whatever the ids.
+    """
+    out = _classified(spark, docs, similarity, bands, rows, False)
+    key = ["id", "k1", "k2"]
+    first = out.where("first").select(*[F.col(c).alias(f"__{c}") for c in key]).distinct()
+    rest = F.to_json(F.struct(*[F.col(f"__row.{c}").alias(c) for c in docs.columns if c != "text"]))
+    own = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
+    named = keyed(own, "__row").select("__row", *[F.col(c).alias(f"__{c}") for c in key])
+    kept = named.join(first.hint("merge"), [f"__{c}" for c in key], "left_semi")
+    least = F.struct(F.xxhash64(F.coalesce(F.col("__row.text"), F.lit(""))), rest)
+    return kept.groupBy(*[f"__{c}" for c in key]).agg(F.min_by("__row", least).alias("__row")).select("__row.*")

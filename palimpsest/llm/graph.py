@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch
+from palimpsest.llm.common import Scratch, join_counted
 
 
-def _minima(pairs: DataFrame) -> DataFrame:
-    """For every u of (u, v): the least of u and its v."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_least(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v) with m, the least of u and all its v. A hub's many rows are not gathered: its least is broadcast to them."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(pairs, least, ["u"], "n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minima(both).hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minima(down)
-    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    least = down.groupBy("u").agg(F.min("v").alias("v"))
+    moved = _with_least(down, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) of every node of the undirected edges (a, b); the label is the least node of its component.
 
-    Nodes without an edge to another node are not returned. Each round is written, so the lineage stays short; the rounds
+    Nodes without an edge to another node are not returned. Each step is written, so the lineage stays short; the rounds
     end when the edges no longer change, which their number and the sum of their hashes show.
     """
     now = scratch.keep(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -38,5 +39,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if tuple(state) == seen:
             break
         seen = tuple(state)
-        now = scratch.keep(_small_star(_large_star(now)).where(F.col("u") != F.col("v")).distinct(), name)
+        large = scratch.keep(_large_star(now, state["n"]).distinct(), name)
+        now = scratch.keep(_small_star(large, state["n"]).where(F.col("u") != F.col("v")).distinct(), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())

@@ -509,10 +509,34 @@ def test_near_duplicates_edges(spark, messy, nothing):
     for r in rows:
         got[r["doc_id"]].add(r["class_id"])
     assert got[1] == got[2] == {1} and got[5] == {5}
-    assert got[3] == got[4] == got[None] and len(got[None]) == 1  # a null text counts as empty, and null ids are one document
+    assert got[3] == got[4] == {3}  # a null text counts as empty
+    assert got[None] == {None, 3}  # one text with no id of its own, one equal to others
     assert dart.near_duplicates(spark, nothing).collect() == []
 
 
+def test_texts_without_an_id_of_their_own(spark):
+    """Null and repeated ids: every text is classified, and one row of each class stays."""
+    rng = random.Random(15)
+    a, b, c, d = (" ".join(rng.choice(VOCABULARY) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (7, a), (None, b), (9, b), (9, c), (9, c), (None, c + " end"), (None, d), (None, d), (None, d.upper())]
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, k1 int")
+    classes = collections.Counter((r["doc_id"], r["class_id"]) for r in dart.near_duplicates(spark, docs).collect())
+    assert classes == {(None, 7): 1, (7, 7): 1, (None, 9): 2, (9, 9): 3, (None, None): 3}
+    kept = dart.one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in kept.collect()), key=str) == sorted([(7, a), (9, b), (9, c), (None, d)], key=str)
+
+
+def test_central_ties_and_hubs(spark):
+    """A star of copies around one text, several texts equally central, and a chain between components."""
+    base = [f"s{i}" for i in range(200)]
+    rows = [" ".join(base)] + [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(0, 200, 2)]
+    rows += [" ".join(base[k:] + [f"t{k}_{j}" for j in range(k)]) for k in (2, 4, 6, 8, 10, 12)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dart.near_duplicates(spark, docs).collect()}
+    assert got == plain_classes(list(enumerate(rows)))
+
+
 # ---- pipeline
 
 
