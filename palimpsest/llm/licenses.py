@@ -20,12 +20,11 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, join_counted, words
+from palimpsest.llm.common import Scratch, join_counted, let, words
 
 #: Least cosine of a run of pieces, and of a whole file, to a template.
 LEAST = 0.6
@@ -287,11 +286,6 @@ class Templates:
         return let(F.array_sort(F.filter(run, lambda x: x >= 0)), judge)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _own(files: DataFrame, templates: Templates, least: float, least_file: float) -> DataFrame:
     """doc_id and own (bare, less, basis, spdx) of every row of ``files`` in which a licence is found, row by row."""
     lower = F.lower(F.col("text"))

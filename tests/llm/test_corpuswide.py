@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import dartminhash as dart
@@ -35,14 +36,15 @@ def shingles(text):
 def plain_dedup(rows, least=40, docs=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = collections.defaultdict(set)
+    doc = lambda i, t: (0, xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63) & (1 << 64) - 1) if i is None else (1, i)
     for i, t in rows:
         for line in (t or "").split("\n"):
-            held[key(line)].add(i)
-    gone = {k: max(x for x in v if x is not None) for k, v in held.items() if len(k) >= least and len(v) >= docs}
+            held[key(line)].add(doc(i, t))
+    gone = {k: max(v) for k, v in held.items() if len(k) >= least and len(v) >= docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if key(x) not in gone or gone[key(x)] == i]
+        kept = [x for x in lines if key(x) not in gone or gone[key(x)] == doc(i, t)]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -53,7 +55,9 @@ def test_lines_equal_a_plain_version(spark, batches, fanout):
     common = [f"{PROSE} {i}" for i in range(6)] + [PROSE.upper() + " É", "  " + PROSE + " 1\t", "short", "", "x" * 39, "y" * 40]
     rows = [(i, "\n".join(rng.choice([*common, f"unique line number {i} {rng.random()}"]) for _ in range(rng.randint(1, 6)))) for i in range(60)]
     rows += [(61, None), (62, ""), (62, common[0]), (63, "\n\n"), (None, common[0]), (None, common[1] + "\n" + common[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h1": F.lit(1), "n_docs": F.lit(2), "key": F.lit("k")})
+    rows += [(None, "z" * 50 + f"\nrow {i}") for i in range(7)]  # a line of rows without an id
+    rows += [(i, "\n".join([f"{PROSE} {k} of many" for k in range(150)] + ["", PROSE])) for i in range(70, 78)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("h1", "n_docs", "key", "__id", "__gone", "gone", "row", "doc", "kept")})
     got = linededup.dedup_lines(spark, docs, batches=batches, fanout=fanout)
     assert got.columns == [*docs.columns, "__lines", "__dropped"]
     assert sorted(((r["doc_id"], r["__lines"], r["__dropped"], r["text"] or "") for r in got.collect()), key=str) == plain_dedup(rows)
@@ -62,11 +66,37 @@ def test_lines_equal_a_plain_version(spark, batches, fanout):
 def test_line_runs_are_levelled(spark):
     runs = linededup.LineRuns(Scratch(spark, "t"), fanout=2)
     for b in range(5):
-        runs.add(spark.createDataFrame([(b, k, 0) for k in (b, b + 1)], "doc_id long, h1 long, h2 long"))
+        runs.add(spark.createDataFrame([(True, b, k, 0) for k in (b, b + 1)], "owned boolean, doc long, h1 long, h2 long"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     seen = [r["h1"] for run in runs.runs() for r in run.collect()]
     assert sorted(seen) == list(range(6))  # every line once
-    assert {(r["h1"], r["n_docs"], r["keeper"]) for r in runs.frequent(2).collect()} == {(k, 2, k) for k in range(1, 5)}
+    assert {(r["h1"], r["n_docs"], r["keeper"]["doc"]) for r in runs.frequent(2).collect()} == {(k, 2, k) for k in range(1, 5)}
+
+
+def test_line_runs_outlast_the_call(spark, tmp_path):
+    """Two calls, the second from stored runs, give what one call over both batches gives the later documents."""
+    rng = random.Random(31)
+    common = [f"{PROSE} {i}" for i in range(8)]
+    rows = [(i, "\n".join(rng.choice(common + [f"{PROSE} only {i}"]) for _ in range(4))) for i in range(40)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    runs = linededup.LineRuns(Scratch(spark, "t"))
+    linededup.dedup_lines(spark, frame(rows[:25]), batches=3, runs=runs)
+    runs.save(str(tmp_path / "note"))
+    again = linededup.LineRuns.load(Scratch(spark, "t"), str(tmp_path / "note"))
+    got = linededup.dedup_lines(spark, frame(rows[25:]), batches=2, runs=again)
+    assert sorted((r["doc_id"], r["__lines"], r["__dropped"], r["text"] or "") for r in got.collect()) == [r for r in plain_dedup(rows) if r[0] >= 25]
+
+
+def test_runs_are_merged_without_another_exchange(spark):
+    runs = linededup.LineRuns(Scratch(spark, "t"), fanout=9)
+    rows = lambda b: spark.range(2000).select(F.lit(True).alias("owned"), F.lit(b).cast("long").alias("doc"), (F.col("id") * (b + 1)).alias("h1"), F.lit(0).cast("long").alias("h2"))
+    for b in range(3):
+        runs.add(rows(b))
+    known = runs.runs()
+    with linededup._sorted_buckets(spark):
+        plan = known[2].join(known[0].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti").join(known[1].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Exchange" not in text and "Sort [" not in text
 
 
 def test_lines_of_nothing(spark, nothing, messy):
