@@ -44,9 +44,9 @@ def _runs(hashes: Column) -> Column:
     return F.when(F.size(hashes) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _shingled(df: DataFrame, id_: str, name: str) -> DataFrame:
-    hashed = df.select(F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    return hashed.select(name, _runs(F.col("words")).alias("shingles"))
+def _shingled(df: DataFrame, id_: str, name: str, *others: Column) -> DataFrame:
+    hashed = df.select(*others, F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    return hashed.select(*[c for c in hashed.columns if c != "words"], _runs(F.col("words")).alias("shingles"))
 
 
 def simhash(name: str) -> Column:
@@ -103,6 +103,27 @@ def contaminated(
     than five words, which have no shingle, are found nowhere. first_word counts from 0 and is the first word of the best window;
     of windows equally similar the first that begins with a shingle of the item, or ends with the document.
     """
+    found = _found(spark, docs, benchmark, similarity, radius, blocks, broadcast_rows)
+    # Items of one id may have several texts, and documents too.
+    best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("first_word", F.struct("similarity", -F.col("first_word"))).alias("first_word"))
+    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return best.select(back("doc_id"), back("item_id"), "similarity", "first_word")
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose texts no item is found (see ``contaminated``), whatever their ids."""
+    found = _found(spark, docs, benchmark, similarity, radius, blocks, broadcast_rows).select("d").distinct()
+    own = docs.select(F.struct(*docs.columns).alias("row"), _text_key(F.col("text")).alias("d"))
+    return own.join(found, "d", "left_anti").select("row.*")
+
+
+def _text_key(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, blocks: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, d (key of its text), item_id, similarity and first_word, at the best window of each text for each text of an item."""
     scratch = Scratch(spark, "decontam")
     keys = F.struct(F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), F.col("shingles")).alias("k2"))
     named = scratch.keep(_shingled(benchmark, "item_id", "item_id").where(F.size("shingles") > 0).select("item_id", keys.alias("t"), "shingles"), "named")
@@ -113,14 +134,13 @@ def contaminated(
     marks = scratch.keep(items.select("t", "m", F.explode(F.array_distinct("shingles")).alias("shingle")), "marks")
     n_anchors, n_marks = anchors.count(), marks.count()
 
-    text = _shingled(docs, "doc_id", "doc_id")
+    text = _shingled(docs, "doc_id", "doc_id", _text_key(F.col("text")).alias("d"))
     if n_anchors <= broadcast_rows:
         # Outer: else Spark would compute the shingles once more for a filter below, within each lambda's step.
-        met = text.select("doc_id", "shingles", F.explode_outer("shingles").alias("shingle")).join(F.broadcast(anchors), "shingle").select("doc_id", "shingles", "t")
+        met = text.select("doc_id", "d", "shingles", F.explode_outer("shingles").alias("shingle")).join(F.broadcast(anchors), "shingle").select("doc_id", "d", "shingles", "t")
     else:
-        keyed = text.select("doc_id", "shingles", keys.alias("d"))
-        each = keyed.select("d", F.explode_outer(F.array_distinct("shingles")).alias("shingle")).distinct()
-        met = keyed.join(each.join(anchors, "shingle").select("d", "t").distinct(), "d").select("doc_id", "shingles", "t")
+        each = text.select("d", F.explode_outer(F.array_distinct("shingles")).alias("shingle")).distinct()
+        met = text.join(each.join(anchors, "shingle").select("d", "t").distinct(), "d").select("doc_id", "d", "shingles", "t")
     # A row for each text of a document and each of its candidates.
     pairs = scratch.keep(met.distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
     hits = pairs.select("pair", "t", F.posexplode("shingles").alias("p", "shingle")).join(F.broadcast(marks) if n_marks <= broadcast_rows else marks, ["t", "shingle"])
@@ -132,8 +152,8 @@ def contaminated(
     follows = lambda p, i: F.get(F.col("places"), i + least - 1) < p + F.col("length")
     begun = F.filter(F.transform("places", lambda p, i: F.when((p <= last) & follows(p, i), p)), lambda p: p.isNotNull())
     ended = F.when(F.size(F.filter("places", lambda p: p >= last)) >= least, F.array(last)).otherwise(F.array().cast("array<int>"))
-    laid = laid.select("pair", "doc_id", "t", "length", "shingles", F.explode(F.array_union(begun, ended)).alias("start"))
-    windows = laid.select("pair", "doc_id", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
+    laid = laid.select("pair", "doc_id", "d", "t", "length", "shingles", F.explode(F.array_union(begun, ended)).alias("start"))
+    windows = laid.select("pair", "doc_id", "d", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
     windows = scratch.keep(windows.withColumn("fingerprint", simhash("window")), "windows")
 
     flips = _flips(spark, radius, blocks)
@@ -145,10 +165,8 @@ def contaminated(
 
     both = windows.join(candidates, ["pair", "start"]).join(items.select("t", F.col("shingles").alias("item")), "t")
     shared = F.size(F.array_intersect(occurrences(F.col("window")), occurrences(F.col("item"))))
-    judged = both.select("doc_id", "t", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
-    found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "t").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
+    judged = both.select("doc_id", "d", "t", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
+    found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "d", "t").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
     found = scratch.keep(found.join(named.select("item_id", "t").distinct(), "t"), "found")
-    # Items of one id may have several texts.
-    best = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("first_word", F.struct("similarity", -F.col("first_word"))).alias("first_word"))
-    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return best.select(back("doc_id"), back("item_id"), "similarity", "first_word")
+    scratch.drop(*(set(scratch.names()) - {"found"}))
+    return found

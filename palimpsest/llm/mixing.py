@@ -5,7 +5,8 @@ Native: DataFrame functions only.
 Tokens are summed over all documents by cell, a cell being one combination of source, language and topic. The cells' weights
 are raked: scaled to the target share of each source, then of each language, then of each topic, round after round,
 until all margins fit. A document is then sampled with its cell's probability, which is proportional to fitted over
-observed weight, by a hash of its id.
+observed weight, by a hash of its id. The factor is the largest that leaves every probability at most 1, so the sample's expected
+margins are the targets; a wanted part of all tokens that needs a larger factor is not given.
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ ROUNDS = 12
 CUT = 3
 #: Target share of a value: its observed share to this power, made to sum to 1.
 FLATTEN = 0.5
-#: Tokens to be sampled, as a part of all.
-FRACTION = 0.5
 #: Cells that one task may rake; more are raked over shuffles.
 ONE_TASK_CELLS = 100_000
 #: Digits of the md5 that make a document's number in [0, 1).
 DIGITS = 12
-#: Patterns of the topics, the first that matches names it.
+#: Patterns of the topics, the first that matches names it. They stand in for a topic column, where there is none.
 TOPICS = (
     ("legal", r"(?i)(licen[cs]e|copyright|all rights reserved)"),
     ("contact", r"([0-9]{1,3}\.){3}[0-9]{1,3}|[A-Za-z0-9._-]{1,64}@[A-Za-z0-9-]{1,64}\.|\+?[0-9][0-9 ()-]{8,20}[0-9]"),
@@ -94,52 +93,60 @@ def rake(cells: DataFrame, scratch: Scratch, power: float = FLATTEN, rounds: int
 CELL = [f"__{name}" for name in MARGINS]
 
 
-def celled(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of its cell, __source, __lang and __topic, and __tokens; a null value is ``-``."""
-    named = {f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("source", "lang")}
-    return docs.withColumns(named | {"__topic": F.coalesce(topic(F.col("text")), F.lit("prose")), "__tokens": token_weight(F.col("text"))})
+def celled(docs: DataFrame, by: Column | None = None) -> DataFrame:
+    """row (all columns of ``docs``), the columns of its cell, __source, __lang and __topic, and __tokens; a null value is ``-``.
+
+    ``by`` is the topic; null and where it is not given, it is told by patterns.
+    """
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"__{c}") for c in ("source", "lang")]
+    told = F.coalesce(topic(F.col("text")), F.lit("prose")) if by is None else F.coalesce(by.cast("string"), F.lit("-"))
+    return docs.select(F.struct(*docs.columns).alias("row"), *named, told.alias("__topic"), token_weight(F.col("text")).alias("__tokens"))
 
 
-def calibrate(spark: SparkSession, weights: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def calibrate(spark: SparkSession, weights: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """__source, __lang, __topic and __probability of every cell of ``weights`` (those and __tokens)."""
     scratch = Scratch(spark, "mixing")
     cells = scratch.keep(weights.groupBy(*CELL).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(dict(zip(CELL, MARGINS))), "observed")
     fitted = scratch.keep(rake(cells, scratch, power, rounds, given), "fitted")
     ratio = F.col("fitted") / F.col("tokens")
     total = fitted.agg(F.sum("tokens").alias("all_tokens"), F.max(ratio).alias("most"))
-    scaled = F.try_divide(ratio, F.col("most")) if fraction is None else ratio * F.col("all_tokens") * F.lit(float(fraction))
-    probability = F.coalesce(F.least(scaled, F.lit(1.0)), F.lit(0.0)).alias("__probability")
+    factor = F.try_divide(F.lit(1.0), F.col("most"))
+    if fraction is not None:
+        factor = F.least(factor, F.col("all_tokens") * F.lit(float(fraction)))
+    probability = F.coalesce(F.least(ratio * factor, F.lit(1.0)), F.lit(0.0)).alias("__probability")  # the least takes off what rounding adds
     rates = scratch.keep(fitted.join(F.broadcast(total)).select(*[F.col(m).alias(c) for m, c in zip(MARGINS, CELL)], probability), "rates")
+    scratch.drop(*(set(scratch.names()) - {"rates"}))
     return F.broadcast(rates) if rates.count() <= ONE_TASK_CELLS else rates
 
 
 def mix(
-    spark: SparkSession, docs: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11
+    spark: SparkSession, docs: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability and sampled (boolean) of every row of ``docs``.
 
-    docs has doc_id, text, source, lang; a null source or language is the value ``-``. The probability is the cell's fitted share
-    over its observed share, times ``fraction``, at most 1: a cell whose target is more than it has is taken whole, so the
-    sample is smaller and its expected margins miss the targets wherever a cell is cut. With ``fraction=None`` the factor is the largest that keeps all at most 1, and the sample's
-    expected margins are exactly the targets. Rows that share a doc_id are sampled together if their cells are the
+    docs has doc_id, text, source, lang; a null source or language is the value ``-``; ``by`` is a topic column, if there is one.
+    The probability is the cell's fitted share over its observed share, times one factor for all: the largest that leaves
+    all at most 1 or, if that is smaller, the one that samples ``fraction`` of the tokens. So the sample's expected margins
+    are the targets. Rows that share a doc_id are sampled together if their cells are the
     same. An empty table gives no row.
     """
-    each = Scratch(spark, "weights").keep(celled(docs).select("doc_id", *CELL, "__tokens"), "each")
+    each = Scratch(spark, "weights").keep(celled(docs, by).select("row.doc_id", *CELL, "__tokens"), "each")
     out = each.join(calibrate(spark, each, fraction, power, rounds, given), CELL).withColumnsRenamed(dict(zip(CELL, MARGINS)))
     sampled = uniform(F.col("doc_id"), seed) < F.col("__probability")
     return out.select("doc_id", *MARGINS, F.col("__tokens").alias("tokens"), F.col("__probability").alias("probability"), sampled.alias("sampled"))
 
 
 def sample(
-    spark: SparkSession, docs: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11
+    spark: SparkSession, docs: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples, with their columns and __probability."""
-    own = celled(docs)
+    """The rows of ``docs`` that ``mix`` samples, with their columns and probability, which takes the place of a column of that name."""
+    own = celled(docs, by)
     joined = own.join(calibrate(spark, own.select(*CELL, "__tokens"), fraction, power, rounds, given), CELL)
-    return joined.where(uniform(F.col("doc_id"), seed) < F.col("__probability")).select(*docs.columns, "__probability")
+    drawn = joined.where(uniform(F.col("row.doc_id"), seed) < F.col("__probability"))
+    return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "probability"], F.col("__probability").alias("probability"))
 
 
-def oracle(fraction: float = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, seed: int = 11) -> str:
+def oracle(power: float = FLATTEN, rounds: int = ROUNDS, seed: int = 11) -> str:
     """The same in DuckDB's SQL, round by round."""
     topics = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
     parts = [
@@ -156,6 +163,6 @@ def oracle(fraction: float = FRACTION, power: float = FLATTEN, rounds: int = ROU
         for name in MARGINS:
             parts.append(f"step_{step + 1} AS MATERIALIZED (SELECT c.* REPLACE (c.fitted * t.share / sum(c.fitted) OVER (PARTITION BY c.{name}) AS fitted) FROM step_{step} c JOIN target_{name} t USING ({name}))")
             step += 1
-    parts.append(f"rates AS (SELECT source, lang, topic, least(fitted / tokens * (SELECT sum(tokens) FROM step_{step}) * {fraction}, 1.0) AS probability FROM step_{step})")
+    parts.append(f"rates AS (SELECT source, lang, topic, least(fitted / tokens / (SELECT max(fitted / tokens) FROM step_{step}), 1.0) AS probability FROM step_{step})")
     number = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, {DIGITS}))::BIGINT / {16**DIGITS}.0"
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, {number} < probability AS sampled FROM each JOIN rates USING (source, lang, topic)"

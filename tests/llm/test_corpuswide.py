@@ -241,6 +241,16 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert got % (1 << 64) == want
 
 
+def test_clean_rows_stay_whatever_their_ids(spark):
+    rng = random.Random(23)
+    item, other = (" ".join(rng.choice(VOCABULARY) for _ in range(40)) for _ in range(2))
+    rows = [(None, item), (None, other), (3, f"x {item} y"), (3, other), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("__id", "d", "row", "t")})
+    kept = decontam.clean(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[i] for i in (1, 3, 4, 5, 6)], key=str)
+
+
 def test_decontamination_of_nothing(spark, messy, nothing, sf):
     bench = table(spark, sf, "benchmark")
     assert decontam.contaminated(spark, nothing, bench).collect() == []
@@ -271,20 +281,39 @@ def test_mixing_edges(spark, messy, nothing):
     assert len(rows) == messy.count() and all(0 <= r["probability"] <= 1 and r["tokens"] >= 1 for r in rows)
     assert mixing.mix(spark, nothing).collect() == []
     kept = mixing.sample(spark, messy)
-    assert kept.columns == [*messy.columns, "__probability"]
+    assert kept.columns == [*messy.columns, "probability"]
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in rows if r["sampled"])
-    exact = mixing.mix(spark, messy, fraction=None).collect()
-    assert max(r["probability"] for r in exact) == pytest.approx(1)
+    assert max(r["probability"] for r in rows) == pytest.approx(1)
+    clashing = messy.withColumns({c: F.lit(1) for c in ("__probability", "probability", "__source", "row")})
+    assert mixing.sample(spark, clashing).columns == [*messy.columns, "__probability", "__source", "row", "probability"]
 
 
 def test_sample_follows_the_probabilities(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 10 == 0, "s").otherwise("t").alias("source"), F.lit("en").alias("lang"))
-    rows = mixing.mix(spark, docs).collect()
+    rows = mixing.mix(spark, docs, fraction=0.3).collect()
     for s in "st":
         own = [r for r in rows if r["source"] == s]
         assert abs(np.mean([r["sampled"] for r in own]) - own[0]["probability"]) < 0.05
 
 
+@pytest.mark.parametrize("fraction", [None, 0.05, 0.9])
+def test_expected_margins_are_the_targets(spark, sf, fraction):
+    """On the driver's documents, whatever part is wanted, and by a topic column too."""
+    docs = table(spark, sf, "documents")
+    for by in (None, F.when(F.col("doc_id") % 3 == 0, "third").otherwise("other")):
+        cells = mixing.mix(spark, docs, fraction=fraction, by=by).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n"), F.first("probability").alias("p")).collect()
+        assert max(r["p"] for r in cells) <= 1
+        expected, total = sum(r["n"] * r["p"] for r in cells), sum(r["n"] for r in cells)
+        assert fraction is None or expected <= fraction * total * (1 + 1e-9)
+        for name in mixing.MARGINS:
+            seen, got = collections.Counter(), collections.Counter()
+            for r in cells:
+                seen[r[name]] += r["n"]
+                got[r[name]] += r["n"] * r["p"]
+            root = sum(math.sqrt(n) for n in seen.values())
+            assert all(abs(got[v] / expected - math.sqrt(n) / root) < 1e-3 for v, n in seen.items())
+
+
 def test_pipeline_sample_has_the_target_margins(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
