@@ -18,29 +18,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that too many of them repeat."""
-    done = linededup.dedup_lines(spark, docs).drop("__lines", "__dropped")
+    done = linededup.dedup_lines(spark, docs)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id, once."""
-    classes = dartminhash.near_duplicates(spark, docs.select("doc_id", "text"))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each class of near duplicates the document with the least doc_id, once; texts without an id of their own stay too."""
+    return dartminhash.one_of_each(spark, docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontam.contaminated(spark, docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("doc_id").alias("__id")).distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    return decontam.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected token shares by source, language and topic are the targets, with its probabilities.
 
-    As large as that allows without repeating a document: the factor is the largest that cuts no cell's probability.
+    As large as that allows without repeating a document: the factor is the largest that leaves every probability at most 1.
     """
-    return mixing.sample(spark, docs, fraction=None).withColumnRenamed("__probability", "probability")
+    return mixing.sample(spark, docs)
 
 
 STAGES = [
@@ -59,6 +56,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents in ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with Scratch.collected() as made:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        for used in made:  # the stage's own tables; its result is written
+            used.drop()
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
