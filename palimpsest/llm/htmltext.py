@@ -1,18 +1,26 @@
 """Main text of HTML pages by the line-block distribution.
 
-Markup is stripped to lines, one for each block-level element. Elements that never hold an article (menus, forms,
-scripts, adverts and the like, known by tag, role or class) become a barrier: empty lines, as many as a window
-is long; within an article they only end the line. Then the text lengths of the lines, less what is link text, are summed over sliding windows; where the
-sum surges above the threshold a run begins, where it dives to nothing the run ends, and the text between
-is kept, short lines too.
+Markup is stripped to lines, one for each block-level element, each with its text, how much of that is links, and the
+element whose blocks it is one of. Text lengths, less links, are summed over sliding windows of the lines of one
+element. Where a sum surges, the lines of its window are text of the article; from there on everything up to the
+element's next such line is, unless the sums dive in between. The rest (menus, footers in plain blocks, scattered
+lines) never surges and goes.
+
+Containers weigh in on both sides. Lines within ``article`` or ``main`` are text whatever their sums, and where there are
+any, nothing else is. Menus, headers, footers, asides, forms and blocks whose class or id speaks of adverts, notices,
+sidebars or comments are left out, unless a form or such a block is wrapped around the page: if what is left without
+it is a tenth of it or less, its name says nothing.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +31,37 @@ from palimpsest.llm.common import small_arrow_batches
 WINDOW = 3
 #: A surge: characters in a window. Pages whose richest window is poorer are measured by that window.
 SURGE = 86
+#: A dive: fewer characters than this in a window between two surges.
+DIVE = 12
+#: A line with more than this part of its text in links is none of the article's.
+LINKED = 0.6
+#: A block is wrapped around the page if the rest is so many times smaller.
+WRAPPED = 10
+#: Elements nested deeper count as their parent's text, as in browsers.
+DEEPEST = 512
 #: Fixed values of HTML: elements whose content is no markup.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 #: Fixed values of HTML: elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed values of HTML: elements that stand within a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is never text of a page.
+HARD = frozenset("head script style noscript template iframe object svg canvas audio video button select option optgroup datalist textarea".split())
 #: Elements that hold no article text.
-DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside form button select option textarea input fieldset dialog menu".split())
+STRUCTURE = frozenset("nav header footer aside dialog menu".split())
+#: Elements that hold no article text unless they are wrapped around the page.
+SOFT = frozenset("form fieldset".split())
 #: Roles that hold no article text.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Words of class and id that mark what is no article text.
+#: Words of class and id that weigh against a block; those in the second row hold articles of others.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer comment comments disqus respond reply replies "
-    "sidebar sidebars aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations footer header masthead popup modal overlay "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer "
+    "sidebar sidebars aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social footer header masthead popup modal overlay "
     "newsletter subscribe subscription signup login search toolbar skip copyright".split()
 )
+FIRM = frozenset("comment comments disqus respond reply replies related recommended recommendations".split())
+#: Words that turn such a name into a statement about the page (no-sidebar, comments-open).
+STATES = frozenset("no not has have with without hide hidden open closed enabled disabled free none off on".split())
 #: Fixed values of HTML: what a start tag closes though its end tag is missing, and the elements beyond which it closes nothing.
 BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SCOPES = frozenset("html template table td th caption object applet marquee".split())
@@ -58,39 +81,87 @@ OMITTED = (
     (SECTIONS, frozenset("thead tbody tfoot".split()), frozenset("table template".split())),
 )
 CLOSES = {name: [(closed, bounds) for closed, by, bounds in OMITTED if name in by] for _, by, _ in OMITTED for name in by}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are lines of their parent.
+PARAGRAPHS = HEADINGS | frozenset("p li dt dd pre blockquote figcaption address summary hr center".split())
+#: Comments, sections without markup, declarations, and tags; what the page's end cuts off is one too.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+#: How an element is marked: not, never text, no article text, no article text unless wrapped around it, and the same if it may hold articles of others.
+PLAIN, NEVER, NO_ARTICLE, UNLESS_WRAPPED, OTHERS = range(5)
+
+
+def _named(values: str) -> int:
+    """What the names of a class or id say."""
+    found = PLAIN
+    for name in values.split():
+        parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        if parts & STATES:
+            continue
+        found = max(found, OTHERS if parts & FIRM else UNLESS_WRAPPED if parts & MARKS else PLAIN)
+    return found
 
 
-def _no_article(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if name in ("html", "body", "article", "main") or "=" not in attributes and "hidden" not in attributes:
-        return False
+def mark(name: str, attributes: str) -> int:
+    if name in HARD:
+        return NEVER
+    if name in ("html", "body"):
+        return PLAIN
+    found = OTHERS if name == "aside" else NO_ARTICLE if name in STRUCTURE else UNLESS_WRAPPED if name in SOFT else PLAIN
+    if "=" not in attributes and "hidden" not in attributes:
+        return found
     for key, *values in ATTRIBUTE.findall(attributes):
-        value, key = "".join(values).lower(), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and MARKS & set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower())):
-            return True
-    return False
+        value, key = "".join(values), key.lower()
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return NEVER
+        if key == "role" and value.lower() in ROLES:
+            found = max(found, NO_ARTICLE)
+        elif key in ("class", "id") and not (found and name in STRUCTURE):
+            found = max(found, _named(value))
+    return found
+
+
+@dataclass
+class Page:
+    """Elements and lines of a page. Element 0 is the page; lines are in its order."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    name: list[str] = field(default_factory=lambda: [""])
+    mark: list[int] = field(default_factory=lambda: [PLAIN])
+    text: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+
+    def element(self, parent: int, name: str, mark: int) -> int:
+        self.parent.append(parent)
+        self.name.append(name)
+        self.mark.append(mark)
+        return len(self.parent) - 1
 
 
 class Open:
-    """Names of the open elements, outermost first; inline ones only within what is skipped."""
+    """The open elements, outermost first."""
 
     def __init__(self) -> None:
         self.names: list[str] = []
+        self.ids: list[int] = []
         self.held: Counter[str] = Counter()
+        self.deeper = 0
 
-    def push(self, name: str) -> None:
+    def push(self, name: str, id_: int) -> None:
         self.names.append(name)
+        self.ids.append(id_)
         self.held[name] += 1
 
     def cut(self, to: int) -> None:
         self.held.subtract(self.names[to:])
-        del self.names[to:]
+        del self.names[to:], self.ids[to:]
 
     def closed_by(self, name: str) -> int | None:
         """Place of the outermost element that a start tag closes."""
@@ -105,136 +176,206 @@ class Open:
         return found
 
     def ended_by(self, name: str) -> int | None:
-        """Place of the element that an end tag closes, with all within it."""
+        """Place of the element that an end tag closes, with all within it; one within a line closes no block."""
         if self.held[name]:
             for i in range(len(self.names) - 1, -1, -1):
                 if self.names[i] == name:
                     return i
-                if self.names[i] in SCOPES and name not in TABLE_PARTS:
+                if name in INLINE and self.names[i] not in INLINE or self.names[i] in SCOPES and name not in TABLE_PARTS:
                     break
         return None
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int]], list[bool]]:
-    """(text, characters of it within links) of each block, barriers as empty lines; which lines an article holds."""
-    lines: list[tuple[str, int]] = []
-    inside: list[bool] = []
+def read(page: str) -> Page:
+    """The elements and lines of a page, in one pass over it."""
+    out, opened = Page(), Open()
     parts: list[str] = []
-    linked, link, article, skip, skipping, at = 0, 0, 0, False, "", 0
-    opened, base = Open(), 0  # base: place of the element that is skipped
-    breaks = 0
+    linked, link, breaks, at = 0, -1, 0, 0  # link: depth at which a link was opened
 
     def close() -> None:
         nonlocal linked, breaks
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            lines.append((text, min(linked, len(text))))
-            inside.append(article > 0)
+            out.text.append(text)
+            out.linked.append(min(linked, len(text)))
+            out.at.append(opened.ids[-1] if opened.ids else 0)
         parts.clear()
         linked = breaks = 0
 
-    def barrier() -> None:
-        close()
-        if not article:  # what is removed from an article does not end it
-            lines.extend([("", 0)] * WINDOW)
-            inside.extend([False] * WINDOW)
-
     while at < len(page):
         found = TOKEN.search(page, at)
         stop = found.start() if found else len(page)
-        if stop > at and not skip:
+        if stop > at:
             piece = page[at:stop]
             parts.append(piece)
             if piece.strip():
                 breaks = 0
-                linked += len(SPACE.sub(" ", html.unescape(piece)).strip()) if link else 0
+                linked += len(SPACE.sub(" ", html.unescape(piece)).strip()) if link >= 0 else 0
         if not found:
             break
         at, name = found.end(), (found[2] or "").lower()
-        if not name:
+        if not name or found[0][-1] != ">":
             continue
         ends, attributes = bool(found[1]), found[3]
         if name in RAW and not ends:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if not skip and name not in DROPPED and name != "title":
-                barrier()
-            continue
-        place = opened.ended_by(name) if ends else opened.closed_by(name)
-        if place is not None and not (skip and ends and name in INLINE and place < base):
-            opened.cut(place)
-            if skip and place <= base:
-                skip = False
-                if ends and place == base:
-                    continue
-        if skip:
-            if name in ("article", "main") and not ends and skipping not in ("aside", "template", "noscript"):
-                skip = False  # a container that was never closed
-                article += 1
-                opened.cut(base)
-                opened.push(name)
-            elif not ends and name not in VOID:
-                opened.push(name)
-            continue
-        if ends:
-            if name == "a":
-                link = max(0, link - 1)
-            if name in ("article", "main"):
-                close()
-                article = max(0, article - 1)
-            elif name not in INLINE:
+            if name in ("xmp", "noembed", "noframes"):
                 close()
+            end = RAW_END[name].search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
             continue
-        if name not in VOID and _no_article(name, attributes):
-            barrier()
-            skip, skipping, base = True, name, len(opened.names)
-            opened.push(name)
-            continue
-        if name not in VOID and name not in INLINE:
-            opened.push(name)
+        marked = PLAIN if ends or name in VOID else mark(name, attributes)
+        flows = name in INLINE and not marked
         if name == "br":
             breaks += 1
             parts.append("\n")
             if breaks > 1:
                 close()
-        elif name == "a":
-            link += 1
-        elif name in ("article", "main"):
-            close()
-            article += 1
-        elif name not in INLINE:
+            continue
+        place = opened.ended_by(name) if ends else opened.closed_by(name)
+        if ends and opened.deeper and place is None:
+            opened.deeper -= 1
+            continue
+        within = flows if place is None else all(n in INLINE and not out.mark[i] for n, i in zip(opened.names[place:], opened.ids[place:])) and name in INLINE
+        if not within:
             close()
+        if place is not None:
+            opened.cut(place)
+        if link >= len(opened.names) or name == "a":
+            link = -1
+        if ends or name in VOID:
+            continue
+        if len(opened.names) >= DEEPEST:
+            opened.deeper += 1
+            continue
+        if name == "a":
+            link = len(opened.names)
+        opened.push(name, out.element(opened.ids[-1] if opened.ids else 0, name, marked))
     close()
-    return lines, inside
-
-
-def runs(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[first, last) of the lines between a surge of the window sums and the following dive."""
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    least = min(surge, max(sums, default=0))
-    found, start, rich = [], None, False
-    for i, total in enumerate([*sums, 0]):
-        if total and start is None:
-            start, rich = i, False
-        if start is not None:
-            rich |= total >= least > 0
-            if not total:
-                if rich:
-                    found.append((start, i))
-                start = None
-    return found
+    return out
+
 
+def _holding(page: Page, at: list[int], mass: list[int], around: set[int]) -> list[bool]:
+    """Which elements' marks hold, when those that are wrapped around the page are taken off.
 
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by a line feed; empty for an empty page or one without text."""
-    lines, inside = lines_of(page or "")
-    if any(inside):
-        lines = [line if keep else ("", 0) for line, keep in zip(lines, inside)]
-    else:
-        # Menus outside any known container: lines that are mostly links, and a notice of copyright.
-        lines = [("", 0) if linked > 0.6 * len(text) or text[:1] == "©" else (text, linked) for text, linked in lines]
-    kept = [text for a, b in runs([len(text) for text, _ in lines]) for text, _ in lines[a:b] if text]
-    return "\n".join(kept)
+    ``at`` and ``mass`` are the lines' elements and characters without links; ``around`` are the elements around articles.
+    """
+    n = len(page.parent)
+    holds = [m != PLAIN for m in page.mark]
+    for i in around:
+        holds[i] = False
+    owner = [0] * n  # the innermost element with a mark that holds, itself included
+    for i in range(1, n):
+        owner[i] = i if holds[i] else owner[page.parent[i]]
+    direct, whole = [0] * n, [0] * n
+    for i, m in zip(at, mass):
+        direct[owner[i]] += m
+    inner: dict[int, list[int]] = {}
+    for i in range(n - 1, 0, -1):
+        if holds[i]:
+            whole[i] += direct[i]
+            up = owner[page.parent[i]]
+            if up:
+                whole[up] += whole[i]
+            inner.setdefault(up, []).append(i)
+    heap = [(-whole[i], i) for i in inner.get(0, ()) if page.mark[i] in (UNLESS_WRAPPED, OTHERS)]
+    heapq.heapify(heap)
+    rest = direct[0]
+    while heap:
+        heaviest, i = heapq.heappop(heap)
+        if not heaviest or -heaviest < WRAPPED * rest:
+            break
+        if page.mark[i] == OTHERS and rest:
+            continue
+        holds[i] = False
+        rest += direct[i]
+        for k in inner.get(i, ()):
+            if page.mark[k] in (UNLESS_WRAPPED, OTHERS):
+                heapq.heappush(heap, (-whole[k], k))
+    return holds
+
+
+def surges(lengths: list[int], least: int, window: int = WINDOW) -> list[bool]:
+    """Which lines lie in a window whose sum is at least ``least``."""
+    sums = list(itertools.accumulate(lengths, initial=0))
+    last = max(0, len(lengths) - window)
+    inside, until = [], 0
+    for i in range(len(lengths)):
+        if i <= last and sums[min(len(lengths), i + window)] - sums[i] >= least:
+            until = i + window
+        inside.append(i < until)
+    return inside
+
+
+def _blocks(page: Page, lines: list[int]) -> list[int]:
+    """Those of the lines of a page without a container that the distribution keeps."""
+    group: dict[int, list[int]] = {}
+    bare: dict[int, int] = {}
+    for k in lines:
+        text, at = page.text[k], page.at[k]
+        while page.name[at] in PARAGRAPHS or page.name[at] in INLINE:
+            at = page.parent[at]
+        group.setdefault(at, []).append(k)
+        nothing = page.linked[k] > LINKED * len(text) or text.startswith("©")
+        bare[k] = 0 if nothing else len(text) - page.linked[k]
+    richest = max((sum(bare[k] for k in own[i : i + WINDOW]) for own in group.values() for i in range(len(own))), default=0)
+    if not richest:
+        return []
+    place = {k: i for i, k in enumerate(lines)}
+    sums = list(itertools.accumulate((bare[k] for k in lines), initial=0))
+    dives = list(itertools.accumulate((sums[min(len(lines), i + WINDOW)] - sums[i] < DIVE for i in range(len(lines))), initial=0))
+    change = [0] * (len(lines) + 1)
+    kept: set[int] = set()
+    for own in group.values():
+        lengths = [bare[k] for k in own]
+        core = [x for x, rich in enumerate(surges(lengths, min(SURGE, (richest + 1) // 2))) if rich and lengths[x]]
+        kept.update(own[x] for x in core)
+        for x, y in itertools.pairwise(core):
+            i, j = place[own[x]], place[own[y]]
+            if j - i <= WINDOW or dives[j - WINDOW + 1] == dives[i + 1]:  # no window between the two is a dive
+                kept.update(own[x:y])
+                change[i] += 1
+                change[j] -= 1
+    for k, depth in zip(lines, itertools.accumulate(change)):
+        if depth and bare[k]:
+            kept.add(k)
+    for k, after in reversed(list(itertools.pairwise(lines))):  # headings right before what is kept
+        if after in kept and bare[k] and page.name[page.at[k]] in HEADINGS:
+            kept.add(k)
+    return [k for k in lines if k in kept]
+
+
+def main_text(page: str | None, distribution: bool = True) -> str:
+    """The article's blocks joined by a line feed; empty for an empty page or one without text.
+
+    Without ``distribution`` a page without containers keeps all its unmarked lines, to compare.
+    """
+    p = read(page or "")
+    n = len(p.parent)
+    # Never text; in what may hold articles of others; the outermost article that an element is in.
+    never, others, article = [False] * n, [False] * n, [0] * n
+    for i in range(1, n):
+        up = p.parent[i]
+        never[i] = never[up] or p.mark[i] == NEVER
+        others[i] = others[up] or p.mark[i] in (NEVER, OTHERS)
+        article[i] = article[up] or (i if p.name[i] in ("article", "main") and not p.mark[i] and not others[i] else 0)
+    lines = [k for k in range(len(p.text)) if not never[p.at[k]]]
+    inside = [k for k in lines if article[p.at[k]]]
+    around: set[int] = set()
+    for i in {article[p.at[k]] for k in inside}:
+        # A mark on the way from the page to an article is that of an element that was never closed, or of a wrapper.
+        while i and i not in around:
+            around.add(i)
+            i = p.parent[i]
+    lines = inside or lines
+    holds = _holding(p, [p.at[k] for k in lines], [len(p.text[k]) - p.linked[k] for k in lines], around)
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[p.parent[i]] or holds[i]
+    lines = [k for k in lines if not out[p.at[k]]]
+    if not inside and distribution:
+        lines = _blocks(p, lines)
+    return "\n".join(p.text[k] for k in lines)
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

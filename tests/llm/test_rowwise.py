@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -183,9 +185,97 @@ def test_html_skips_end_as_html_says(page, text):
     assert htmltext.main_text(page) == text
 
 
-def test_html_surge_and_dive():
-    assert htmltext.runs([5, 0, 0, 0, 100, 3, 90, 0, 0, 0, 7]) == [(2, 7)]
-    assert htmltext.runs([]) == [] and htmltext.runs([4]) == [(0, 1)]
+def test_html_surges():
+    assert htmltext.surges([5, 0, 0, 0, 100, 3, 90, 0, 0, 0, 7], 86) == [False, False, True, True, True, True, True, True, True, False, False]
+    assert htmltext.surges([], 86) == [] and htmltext.surges([4], 4) == [True] and htmltext.surges([4], 5) == [False]
+
+
+LONG = PROSE + " " + PROSE
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # wrapped around the page: a form, a class that is a statement, a class that means something else
+        (f"<body><form id=aspnetForm><input name=q><p>{LONG}</p><p>Short.</p></form><div>© x</div>", f"{LONG}\nShort."),
+        (f'<div class="site no-sidebar"><p>{LONG}</p><p>Short.</p></div>', f"{LONG}\nShort."),
+        (f'<div class="search"><div class="promo"><p>{LONG}</p><p>{LONG}</p></div></div>', f"{LONG}\n{LONG}"),
+        (f'<article><div class="banner-layout"><p>{LONG}</p><p>Short.</p></div></article>', f"{LONG}\nShort."),
+        # readers' comments, however they are marked up
+        (f"<article><p>{LONG}</p><div id=comments><article class=c1><p>{LONG}</p></article></div><p>End.</p></article>", f"{LONG}\nEnd."),
+        (f"<article><p>One.</p></article><section class=comment-list><article><p>{LONG * 30}</p></article></section>", "One."),
+        (f"<p>{LONG}</p><ol class=commentlist><li class=comment><p>{LONG * 30}</p></ol>", LONG),
+        (f"<article><p>One.</p></article><aside><article>{LONG}</article></aside><div class=related-posts><article>{LONG}</article></div>", "One."),
+        # no container: a footer and scattered lines in plain blocks never surge
+        (f"<div><h1>Title</h1><p>{LONG}</p><p>Short.</p></div><div>Made by nobody, 2020</div><div>Imprint</div>", f"Title\n{LONG}\nShort."),
+        (f"<h1>Title</h1><div><p>{LONG}</p><ul><li>one thing<li>another<li>the last</ul><p><a href=x>a source</a></p><p>{LONG}</p></div>", f"Title\n{LONG}\none thing\nanother\nthe last\na source\n{LONG}"),
+        (f"<p>{LONG}</p><ul>{'<li><a href=x>menu entry</a>' * 9}</ul><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+        (f"<div><p>{LONG}</p></div><div>poor</div><div>{'<p>a b</p>' * 9}</div>", LONG),
+        (f"<article><p>One <script>x</script>two</p><p hidden>no</p></article>", "One two"),
+        ("<article><p>A <a href=x>linked</a> word &amp; one<br>more<br><br>then</p></article>", "A linked word & one more\nthen"),
+    ],
+)
+def test_html_blocks(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_html_distribution_decides_where_no_container_does(spark, sf):
+    """The driver's pages without their containers: the blocks find the article, and nothing else would."""
+    pages = [r["html"] for r in table(spark, sf, "pages").collect()]
+    true = lost = extra = without = 0
+    for page in pages:
+        want = htmltext.main_text(page).split("\n")
+        bare = page.replace("<article>", "<div><div>").replace("</article>", "</div></div>").replace("<footer>", "<div>").replace("</footer>", "</div>").replace('<div class="ad">', "<div>")
+        got, plain = htmltext.main_text(bare).split("\n"), htmltext.main_text(bare, distribution=False).split("\n")
+        both = sum(map(len, want)) - sum(len(x) for x in want if x not in got)
+        true, lost, extra = true + both, lost + sum(map(len, want)) - both, extra + sum(len(x) for x in got if x not in want)
+        without += got != plain
+    assert without > 0.9 * len(pages)
+    assert true / (true + lost) > 0.95 and true / (true + extra) > 0.9
+
+
+class PlainArticle(HTMLParser):
+    """The text of article, block by block, by Python's parser: right for pages whose only marked elements are outside of it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.lines, self.now = 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        self.lines += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.now += [" "] if tag == "br" else []
+        if tag not in htmltext.INLINE and tag != "br":
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in htmltext.INLINE:
+            self.flush()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.now += [data] if self.depth else []
+
+
+def test_html_equals_another_parser(spark, sf):
+    """All pages of the driver, brute force: whole articles, nothing else, nothing lost."""
+    for r in table(spark, sf, "pages").collect():
+        plain = PlainArticle()
+        plain.feed(r["html"])
+        plain.close()
+        assert htmltext.main_text(r["html"]) == "\n".join(plain.lines)
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a "', "<a ='", "<!", "<!--", "</script ", "<script>", "<p class=", "<form>", "<b><p>", "<table><td>", "<div class=ad>x", "&", "<p>a b c", '<form><p class="ad">word '])
+def test_html_takes_linear_time(bad):
+    """A megabyte of the worst."""
+    start = time.perf_counter()
+    htmltext.main_text(bad * (1_000_000 // len(bad)))
+    assert time.perf_counter() - start < 15
 
 
 def test_html_table(spark, sf):
