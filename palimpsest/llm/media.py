@@ -2,12 +2,14 @@
 
 ``pack`` writes a payload as an uncompressed 8-bit audio track: ftyp, moov with the sample tables, mdat. Each
 sample of the track is one frame of 576 one-byte units. ``inspect`` walks the nested boxes of any such file,
-decodes the sample tables (stsd, stts, stss, stsc, stsz, stco or co64) and returns codec, duration and the byte
-range of every keyframe; it never looks into mdat. The payload is read back through the ranges alone.
+decodes the sample tables (stsd, stts, stss, stsc, stsz or stz2, stco or co64) and those of fragments (trex, tfhd, trun), and
+returns codec, duration and the byte range of every keyframe; it never looks into mdat. The payload is read back through
+the ranges alone. ``describe`` does this for a column of given files, ``store`` for texts that it packs itself.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -17,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small_arrow_batches
 
@@ -103,6 +106,7 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
 class Track:
     codec: str = ""
     handler: str = ""
+    id: int = 0
     timescale: int = 0
     duration: int = 0
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -114,62 +118,183 @@ class Track:
         return [(int(self.offsets[k]), int(self.offsets[k] + self.sizes[k])) for k in self.keys]
 
 
-def _words(data: memoryview, at: int, count: int, kind: str) -> np.ndarray:
-    return np.frombuffer(data, kind, count, at).astype(np.int64)
+class Box:
+    """The body of a box; what it is too short for raises EOFError."""
+
+    def __init__(self, data: memoryview, start: int, end: int):
+        self.data, self.at, self.end = data, start, end
+
+    def take(self, form: str) -> tuple:
+        size = struct.calcsize(form)
+        if self.at + size > self.end:
+            raise EOFError
+        self.at += size
+        return struct.unpack_from(form, self.data, self.at - size)
+
+    def skip(self, size: int) -> None:
+        self.at += size
+
+    def table(self, rows: int, kind: str, columns: int = 1) -> np.ndarray:
+        """Rows of equal numbers; a table that says it is longer than its box is cut off there."""
+        width = np.dtype(kind).itemsize * columns
+        rows = max(0, min(rows, (self.end - self.at) // width))
+        found = np.frombuffer(self.data, kind, rows * columns, self.at).astype(np.int64)
+        self.at += rows * width
+        return found.reshape(-1, columns) if columns > 1 else found
 
 
 def _locate(sizes: np.ndarray, chunks: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Byte offset of every sample from chunk offsets and the (first chunk, samples) runs of stsc."""
-    ends = np.append(runs[1:, 0], len(chunks) + 1)
-    each = np.repeat(runs[:, 1], ends - runs[:, 0])
-    chunk = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
-    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    first = np.concatenate([[0], np.cumsum(each)[:-1]])
-    return chunks[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk]
+    """Byte offset of every sample that a chunk holds, from chunk offsets and the (first chunk, samples) runs of stsc."""
+    first = np.clip(runs[:, 0], 1, len(chunks) + 1)
+    spans = np.maximum(np.append(first[1:], len(chunks) + 1) - first, 0)
+    each = np.repeat(np.clip(runs[:, 1], 0, len(sizes)), spans)
+    each = np.diff(np.minimum(np.cumsum(each), len(sizes)), prepend=0)  # no more than there are samples
+    chunk = np.repeat(np.arange(len(each)), each)
+    before = np.cumsum(sizes) - sizes
+    start = np.cumsum(each) - each
+    return chunks[chunk] + before[: len(chunk)] - before[np.minimum(start, max(len(sizes) - 1, 0))][chunk]
+
+
+def _sizes(kind: bytes, body: Box, most: int) -> np.ndarray:
+    """Sample sizes of stsz or stz2. A file of ``most`` bytes has no more samples of one size than fit."""
+    body.skip(4)
+    if kind == b"stsz":
+        same, count = body.take(">II")
+        return np.full(min(count, most // same), same, np.int64) if same else body.table(count, ">u4")
+    bits, count = body.take(">II")
+    bits &= 0xFF
+    if bits == 4:
+        pairs = body.table((count + 1) // 2, ">u1")
+        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:count]
+    return body.table(count, ">u2" if bits == 16 else ">u1")
+
+
+def _tables(kind: bytes, body: Box, t: Track, raw: dict, most: int) -> None:
+    """Take one box of a track."""
+    if kind == b"tkhd":
+        (version,) = body.take(">B3x")
+        body.skip(16 if version == 1 else 8)
+        (t.id,) = body.take(">I")
+    elif kind == b"mdhd":
+        (version,) = body.take(">B3x")
+        body.skip(16 if version == 1 else 8)
+        t.timescale, t.duration = body.take(">IQ" if version == 1 else ">II")
+    elif kind == b"hdlr":
+        body.skip(8)
+        t.handler = b"".join(body.take("4c")).decode("latin-1")
+    elif kind == b"stsd":
+        body.skip(12)
+        t.codec = b"".join(body.take("4c")).decode("latin-1").strip()
+    elif kind in (b"stsz", b"stz2"):
+        raw["sizes"] = _sizes(kind, body, most)
+    elif kind in (b"stco", b"co64", b"stsc", b"stss", b"stts"):
+        body.skip(4)
+        (count,) = body.take(">I")
+        raw[kind if kind != b"co64" else b"stco"] = body.table(count, ">u8" if kind == b"co64" else ">u4", {b"stsc": 3, b"stts": 2}.get(kind, 1))
+
+
+def _finish(t: Track, raw: dict) -> None:
+    """Put a track's tables together; a track without some of them has no samples."""
+    sizes, chunks, runs = raw.get("sizes", np.zeros(0, np.int64)), raw.get(b"stco"), raw.get(b"stsc")
+    if chunks is not None and runs is not None and len(sizes) and len(runs):
+        t.offsets = _locate(sizes, chunks, runs)
+    t.sizes = sizes[: len(t.offsets)]
+    keys = raw[b"stss"] - 1 if b"stss" in raw else np.arange(len(t.sizes))  # without stss every sample is a keyframe
+    t.keys = keys[(keys >= 0) & (keys < len(t.sizes))]
+    if b"stts" in raw:
+        t.duration = int((raw[b"stts"][:, 0] * raw[b"stts"][:, 1]).sum())
+
+
+def _fragment(boxes: list[tuple[bytes, Box]], moof: int, tracks: dict[int, Track], preset: dict[int, tuple], seen: set[int]) -> None:
+    """Take one traf: its samples follow those of its track."""
+    t, base, duration, size, flags = None, moof, 0, 0, 0
+    next_at = None
+    for kind, body in boxes:
+        if kind == b"tfhd":
+            has, id_ = body.take(">II")
+            t = tracks.get(id_)
+            duration, size, flags = preset.get(id_, (0, 0, 0))
+            if has & 0x1:
+                (base,) = body.take(">Q")
+            body.skip(4 if has & 0x2 else 0)
+            duration = body.take(">I")[0] if has & 0x8 else duration
+            size = body.take(">I")[0] if has & 0x10 else size
+            flags = body.take(">I")[0] if has & 0x20 else flags
+        elif kind == b"trun" and t is not None:
+            has, count = body.take(">II")
+            has &= 0xFFFFFF
+            at = base + body.take(">i")[0] if has & 0x1 else next_at if next_at is not None else base
+            first = body.take(">I")[0] if has & 0x4 else None
+            names = [n for bit, n in ((0x100, "d"), (0x200, "s"), (0x400, "f"), (0x800, "c")) if has & bit]
+            if names:
+                rows = body.table(count, ">u4", len(names)).reshape(-1, len(names))
+            else:
+                rows = np.zeros((min(count, len(body.data) // size if size else 0), 0), np.int64)
+            column = {n: rows[:, i] for i, n in enumerate(names)}
+            sizes = column.get("s", np.full(len(rows), size, np.int64))
+            of = column.get("f", np.full(len(rows), flags, np.int64)).copy()
+            if first is not None and len(of):
+                of[0] = first
+            if t.id not in seen:  # durations of headers do not count fragments
+                seen.add(t.id)
+                t.duration = t.duration if len(t.sizes) else 0
+            t.keys = np.append(t.keys, len(t.sizes) + np.flatnonzero(of & 0x10000 == 0))
+            t.offsets = np.append(t.offsets, at + np.cumsum(sizes) - sizes)
+            t.sizes = np.append(t.sizes, sizes)
+            t.duration += int(column["d"].sum()) if "d" in column else duration * len(rows)
+            next_at = at + int(sizes.sum())
 
 
 def inspect(data: bytes) -> list[Track]:
-    """The tracks of a file from its boxes and sample tables alone."""
-    view, tracks, raw = memoryview(data), [], {}
+    """The tracks of a file from its boxes and sample tables alone.
+
+    Boxes that are cut short or say what cannot be are passed over, with what they would have told.
+    """
+    view = memoryview(data)
+    tracks: list[Track] = []
+    raws: list[dict] = []
+    preset: dict[int, tuple] = {}
+    fragments: list[tuple[int, list[tuple[bytes, Box]]]] = []
+    moof = 0
     for path, start, end in walk(view):
-        kind = path[-1]
+        kind, body = path[-1], Box(view, start, end)
         if kind == b"trak":
             tracks.append(Track())
-            raw = {}
-        if not tracks or b"trak" not in path:
+            raws.append({})
+        elif kind == b"moof":
+            moof = start - 8
+        elif kind == b"traf":
+            fragments.append((moof, []))
+        elif b"traf" in path and fragments:
+            fragments[-1][1].append((kind, body))
+        try:
+            if kind == b"trex":
+                body.skip(4)
+                id_, _, *rest = body.take(">IIIII")
+                preset[id_] = tuple(rest)
+            elif b"trak" in path and tracks:
+                _tables(kind, body, tracks[-1], raws[-1], len(data))
+        except EOFError:
             continue
-        t = tracks[-1]
-        if kind == b"mdhd":
-            at, form = (start + 20, ">IQ") if view[start] == 1 else (start + 12, ">II")
-            t.timescale, t.duration = struct.unpack_from(form, view, at)
-        elif kind == b"hdlr":
-            t.handler = bytes(view[start + 8 : start + 12]).decode("latin-1")
-        elif kind == b"stsd":
-            t.codec = bytes(view[start + 12 : start + 16]).decode("latin-1").strip()
-        elif kind == b"stsz":
-            same, count = struct.unpack_from(">II", view, start + 4)
-            t.sizes = np.full(count, same, np.int64) if same else _words(view, start + 12, count, ">u4")
-        elif kind in (b"stco", b"co64"):
-            (count,) = struct.unpack_from(">I", view, start + 4)
-            raw["chunks"] = _words(view, start + 8, count, ">u4" if kind == b"stco" else ">u8")
-        elif kind == b"stsc":
-            (count,) = struct.unpack_from(">I", view, start + 4)
-            raw["runs"] = _words(view, start + 8, 3 * count, ">u4").reshape(-1, 3)
-        elif kind == b"stss":
-            (count,) = struct.unpack_from(">I", view, start + 4)
-            raw["keys"] = _words(view, start + 8, count, ">u4") - 1
-        elif kind == b"stts":
-            (count,) = struct.unpack_from(">I", view, start + 4)
-            raw["spans"] = _words(view, start + 8, 2 * count, ">u4").reshape(-1, 2)
-        if len(t.sizes) and {"chunks", "runs"} <= raw.keys() and not len(t.offsets):
-            t.offsets = _locate(t.sizes, raw["chunks"], raw["runs"])
-        if len(t.sizes):
-            t.keys = raw.get("keys", np.arange(len(t.sizes)))  # without stss every sample is a keyframe
-        if "spans" in raw:
-            t.duration = int((raw["spans"][:, 0] * raw["spans"][:, 1]).sum())
+    for t, raw in zip(tracks, raws):
+        _finish(t, raw)
+    seen: set[int] = set()
+    for at, boxes in fragments:
+        with contextlib.suppress(EOFError):
+            _fragment(boxes, at, {t.id: t for t in tracks}, preset, seen)
+    for t in tracks:
+        _possible(t)
     return tracks
 
 
+def _possible(t: Track) -> None:
+    """Pass over samples that could lie in no file."""
+    fine = (t.offsets >= 0) & (t.offsets < 1 << 62)
+    if not fine.all():
+        t.keys = (np.cumsum(fine) - 1)[t.keys[fine[t.keys]]]
+        t.offsets, t.sizes = t.offsets[fine], t.sizes[fine]
+
+
 def payload_of(data: bytes, track: Track) -> bytes:
     """The bytes of all samples, in order; neighbours are read as one slice."""
     gaps = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
@@ -180,6 +305,8 @@ def payload_of(data: bytes, track: Track) -> bytes:
 def feature(track: Track) -> str:
     """Codec, duration and keyframes in one line; the ranges are given by their number, ends and a checksum."""
     ranges = track.ranges()
+    if not ranges:
+        return f"codec={track.codec};handler={track.handler};timescale={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes=0"
     sums = zlib.crc32(np.array(ranges, ">u8").tobytes()) & 0xFFFFFFFF
     first, last = (f"{a}-{b}" for a, b in (ranges[0], ranges[-1]))
     return f"codec={track.codec};handler={track.handler};timescale={track.timescale};duration={track.duration};samples={len(track.sizes)};keyframes={len(ranges)};first={first};last={last};ranges_crc32={sums}"
@@ -212,3 +339,23 @@ def store(spark: SparkSession, docs: DataFrame, media: bool = True) -> DataFrame
             yield pd.DataFrame([one(i, t) for i, t in zip(pdf["doc_id"], pdf["text"])])
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
+TRACK = "array<struct<codec:string,handler:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,end:long>>>>"
+
+
+def describe(spark: SparkSession, files: DataFrame, column: str = "media") -> DataFrame:
+    """``files`` with tracks: what the boxes of the media in a binary column tell, payloads left alone.
+
+    A track has codec, handler, timescale, duration (in that scale), samples and keyframes, the byte ranges of its sync samples in the
+    file. Null, empty and foreign bytes have no track; of malformed files there is what can be told. tracks takes the place of
+    a column of that name; rows stay as they are.
+    """
+    small_arrow_batches(spark)
+
+    @F.pandas_udf(TRACK)
+    def tracks(media: pd.Series) -> pd.Series:
+        row = lambda t: {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in t.ranges()]}
+        return pd.Series([[row(t) for t in inspect(bytes(data))] if data is not None else [] for data in media])
+
+    return files.withColumn("tracks", tracks(F.col(column)))

@@ -26,7 +26,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store(spark, table(spark, sf_dir, "documents"), media=False).drop("codec", "timescale", "duration", "keyframes")
+    return media.store(spark, table(spark, sf_dir, "documents"), media=False)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import time
 import zlib
 from html.parser import HTMLParser
@@ -93,8 +94,6 @@ def test_media_round_trip(n):
 
 def test_media_reads_other_tables():
     """Several chunks, 32-bit offsets, sizes given one by one and no stss: every sample is a keyframe."""
-    import struct
-
     parts = [b"abc", b"de", b"fghi", b"j"]
     stbl = media.box(
         b"stbl",
@@ -115,6 +114,69 @@ def test_media_reads_other_tables():
     assert media.inspect(data[:60]) == [] or media.inspect(data[:60])[0].codec in ("", "avc1")
 
 
+def fragmented():
+    """Two tracks, two fragments: sizes, durations and flags given one by one, by tfhd and by trex."""
+    box, full, pack = media.box, media.full, struct.pack
+    trak = lambda i, codec: box(b"trak", full(b"tkhd", pack(">III", 0, 0, i)), box(b"mdia", full(b"mdhd", pack(">IIII", 0, 0, 1000, 0)), box(b"minf", box(b"stbl", full(b"stsd", pack(">I", 1), box(codec, bytes(8)))))))
+    trex = lambda i, *preset: full(b"trex", pack(">IIIII", i, 1, *preset))
+    head = box(b"moov", trak(1, b"hvc1"), trak(2, b"mp4a"), box(b"mvex", trex(1, 40, 0, 0x10000), trex(2, 20, 3, 0)))
+
+    def moof(offset):
+        first = box(b"traf", full(b"tfhd", pack(">I", 1), flags=0x20000), full(b"trun", pack(">IiIIII", 3, offset, 0, 4, 5, 6), flags=0x205))
+        second = box(b"traf", full(b"tfhd", pack(">I", 2), flags=0x20000), full(b"trun", pack(">Ii", 2, offset + 15), flags=0x1))
+        return box(b"moof", full(b"mfhd", pack(">I", 1)), first, second)
+
+    one = moof(len(moof(0)) + 8) + box(b"mdat", b"AAAAbbbbbcccccc" + b"xxxyyy")
+    return head + one + one, len(head), len(one), len(moof(0)) + 8
+
+
+def test_media_fragments():
+    data, head, one, to = fragmented()
+    video, sound = media.inspect(data)
+    assert media.payload_of(data, video) == b"AAAAbbbbbcccccc" * 2 and media.payload_of(data, sound) == b"xxxyyy" * 2
+    assert [data[a:b] for a, b in video.ranges()] == [b"AAAA", b"AAAA"] and len(sound.ranges()) == 4
+    assert (video.codec, video.duration, sound.codec, sound.duration) == ("hvc1", 240, "mp4a", 80)
+
+
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_media_compact_sizes(bits):
+    sizes = [3, 1, 15, 0, 7]
+    packed = bytes([0x31, 0xF0, 0x70]) if bits == 4 else struct.pack(f">5{'B' if bits == 8 else 'H'}", *sizes)
+    stbl = media.box(b"stbl", media.full(b"stz2", struct.pack(">II", bits, 5), packed), media.full(b"stsc", struct.pack(">IIII", 1, 1, 5, 1)), media.full(b"stco", struct.pack(">II", 1, 100)), media.full(b"stss", struct.pack(">III", 2, 1, 3)))
+    (t,) = media.inspect(media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", stbl)))))
+    assert list(t.sizes) == sizes and t.ranges() == [(100, 103), (104, 119)]
+
+
+def test_media_survives_malformed_files():
+    """Every cut and many flipped bytes: no error, no sample beyond what the tables can hold."""
+    rng = random.Random(17)
+    whole = media.pack(media.pad(bytes(2000)))
+    for data in (whole, fragmented()[0]):
+        for n in range(0, len(data) if len(data) < 1500 else 1100):
+            [media.feature(t) for t in media.inspect(data[:n])]
+        for _ in range(3000):
+            bad = bytearray(data)
+            for _ in range(rng.randint(1, 4)):
+                bad[rng.randrange(min(len(bad), 900))] = rng.choice([0, 1, 255, rng.randrange(256)])
+            for t in media.inspect(bytes(bad)):
+                assert len(t.sizes) == len(t.offsets) <= 4 * len(bad)
+                media.feature(t)
+    short = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", b"ab"))))
+    assert media.inspect(short)[0].timescale == 0 and media.inspect(b"") == [] and media.inspect(b"no media at all") == []
+
+
+def test_media_of_given_files(spark):
+    payload = media.pad(b"given" * 5000)
+    rows = [(1, bytearray(media.pack(payload))), (2, bytearray(fragmented()[0])), (3, None), (4, bytearray()), (5, bytearray(b"junk" * 9)), (None, bytearray(media.pack(payload)[:400]))]
+    files = spark.createDataFrame(rows, "doc_id long, media binary").withColumn("codec", F.lit("clash"))
+    got = {r["doc_id"]: r for r in media.describe(spark, files).collect()}
+    (track,) = got[1]["tracks"]
+    assert (track["codec"], track["duration"], track["samples"]) == ("raw", len(payload), len(payload) // 576) and got[1]["codec"] == "clash"
+    assert [bytes(rows[0][1])[a:b] for a, b in track["keyframes"]] == [payload[i : i + 576] for i in range(0, len(payload), 576 * 16)]
+    assert [t["codec"] for t in got[2]["tracks"]] == ["hvc1", "mp4a"] and got[3]["tracks"] == got[4]["tracks"] == got[5]["tracks"] == []
+    assert media.describe(spark, files.limit(0)).collect() == []
+
+
 def test_media_columns(spark, messy, nothing):
     rows = media.store(spark, messy).collect()
     assert len(rows) == messy.count()
