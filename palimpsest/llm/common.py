@@ -110,11 +110,13 @@ SHARES = 1000
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
     """Inner join to a table of unique keys, whose column ``rows`` says how many rows of ``left`` hold each key.
 
-    Keys with at least total / SHARES rows are at most SHARES in number, whatever the input, so they are broadcast and
-    never meet in one task; of the others no key is heavy, and they are shuffled. ``total`` is the sum of ``rows``;
+    Keys with at least total / SHARES rows are at most SHARES in number, whatever the input, so they are broadcast and their
+    rows are not shuffled; of the others no key is heavy. ``total`` is the sum of ``rows``;
     ``left`` is read twice. Nulls in a key match nothing.
     """
     least = F.lit(max(2.0, total / SHARES))
-    heavy = left.join(F.broadcast(right.where(F.col(rows) >= least)), on)
-    light = left.join(right.where(F.col(rows) < least).hint("merge"), on)
+    hubs = right.where(F.col(rows) >= least)
+    heavy = left.join(F.broadcast(hubs), on)
+    others = left.join(F.broadcast(hubs.select(*on)), on, "left_anti")
+    light = others.join(right.where(F.col(rows) < least).hint("merge"), on)
     return heavy.unionByName(light)
