@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import Queries, Retrieval, Splits, Timeline
 from palimpsest.functions import text, times
-from palimpsest.operators import corpus, evaluate, pit, ranking, retrieval, splits, timeline
+from palimpsest.operators import corpus, evaluate, pit, ranking, replay, retrieval, splits, timeline
 from palimpsest.session import prepare
 from palimpsest.sources import changelog
 
@@ -81,7 +81,7 @@ def rerank_by_rules(pool: DataFrame, documents: DataFrame) -> DataFrame:
     """The pool under all rules and oracles, as one table of lists told apart by method."""
     chain = ["cve_id", "cvss_version", "source_key"]
     view = corpus.reranker_view(documents)
-    witnesses = view.join(documents.where(F.col("replacement_type") == timeline.CROSS).select("evidence_id"), "evidence_id", "left_anti")
+    witnesses = view.join(documents.where(F.col("replacement_type") == replay.CROSS).select("evidence_id"), "evidence_id", "left_anti")
     blind = pool.withColumn("canonical_base_vector", F.col("base_vector"))
     flagged = pit.first_witness(blind, witnesses, chain, "observed_from", "evidence_id", "canonical_base_vector", "query_time", ["query_id", "evidence_id"])
     flagged = pit.direct_link(flagged, documents, F.col("replaced_by_evidence_id"), "evidence_id", "observed_from", "query_time")
