@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.config import EMPTY, NULL, TRUNCATED
 
-#: The character references that are decoded; ``&amp;`` comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def unescape(text: Column) -> Column:
+    """Decode all character references of HTML: named ones (also without a semicolon where HTML allows it), decimal and hexadecimal ones.
 
+    A batch of texts at a time: the names are over two thousand, and the longest that fits counts.
+    """
 
-def unescape(text: Column) -> Column:
-    """Decode the common character references."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    def decoded(text: pd.Series) -> pd.Series:
+        return text.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decoded, "string")(text)
 
 
-def normalize_whitespace(text: Column, decode: bool = False) -> Column:
-    """Null gives "". Line ends become LF; runs of blanks one space, runs of LF one LF; the ends are stripped."""
+def normalize_whitespace(text: Column) -> Column:
+    """Null gives "". Character references stay. Line ends become LF; runs of blanks one space, runs of LF one LF; the ends are stripped."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    text = unescape(text) if decode else text
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), r"^\s+|\s+$", "")
 
@@ -32,13 +35,13 @@ def _cut(text: Column, limit: int) -> Column:
 
 def compact_text(text: Column, limit: int = 500) -> Column:
     """One line of at most ``limit`` characters; null gives [NULL]."""
-    flat = F.regexp_replace(F.regexp_replace(unescape(text), r"\s+", " "), "^ | $", "")
+    flat = F.regexp_replace(F.regexp_replace(unescape(text), r"(?U)\s+", " "), "^ | $", "")
     return F.when(text.isNull(), F.lit(NULL)).otherwise(_cut(flat, limit))
 
 
 def compact_normalized_text(text: Column, limit: int = 1200) -> Column:
     """As normalised, at most ``limit`` characters; nothing gives [EMPTY]."""
-    flat = normalize_whitespace(text, decode=True)
+    flat = normalize_whitespace(text)
     return F.when(flat == "", F.lit(EMPTY)).otherwise(_cut(flat, limit))
 
 

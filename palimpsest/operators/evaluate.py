@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.pit import graded
@@ -116,12 +117,23 @@ def report(rows: DataFrame, metrics: list[str], dimensions: list[str], by: str =
     return grouped.select(by, which.alias("grouping"), value.alias("value"), "queries", *metrics, *[f"{m}_n" for m in metrics])
 
 
-def lower_quantile(values: Column, p: float) -> Column:
-    """Element floor(p n) of the sorted values, at most the last: below the interpolated quantile. An aggregate."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(p) * F.size(ordered)).cast("int")) + 1)
+def at_place(rows: DataFrame, by: list[str], value: str, **places: Callable[[Column], Column]) -> DataFrame:
+    """(by, one column for each place): elements of each group's sorted values. A place tells an index from 0 by the number of values.
+
+    Equal values are counted first; nulls are left out. A group is counted up in order and never collected.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by)
+    so_far = counted.withColumns({"__upto": F.sum("__n").over(group.orderBy("__v")), "__all": F.sum("__n").over(group)})
+    at = lambda place: (place(F.col("__all")) >= F.col("__upto") - F.col("__n")) & (place(F.col("__all")) < F.col("__upto"))
+    return so_far.groupBy(*by).agg(*[F.max(F.when(at(place), F.col("__v"))).alias(name) for name, place in places.items()])
+
+
+def lower_quantile(p: float) -> Callable[[Column], Column]:
+    """Place floor(p n), at most the last: below the interpolated quantile."""
+    return lambda n: F.least(n - 1, F.floor(F.lit(p) * n))
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def upper_median(n: Column) -> Column:
+    """The place of the median; of an even number of values that of the upper one."""
+    return F.floor(n / 2)

@@ -83,35 +83,61 @@ def asof_join(queries: DataFrame, rows: DataFrame, on: list[str], at: str, obser
 def asof_count(queries: DataFrame, rows: DataFrame, key: str, at: str, observed: str) -> DataFrame:
     """(key, visible_count): how many rows were observed at or before each query.
 
-    Rows are counted by day, the days are summed up, and a query adds the rows of its own day up to its instant: no task
-    sees more than one day's rows, but for the table of days.
+    Rows are counted by instant, so that a bulk load at one instant is a single row from there on; instants are counted up within their
+    hour, and hours are summed up: no task sees more than the distinct instants of one hour, but for the table of hours.
     """
-    marks = rows.select(F.col(observed).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(dict(queries.dtypes)[key]).alias(key))
-    marks = marks.union(queries.select(F.col(at).alias("t"), F.lit(1).alias("side"), key)).withColumn("day", F.floor(F.col("t") / DAY))
-    days = marks.groupBy("day").agg(F.count_if(F.col("side") == 0).alias("n"))
-    before = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    so_far = F.count_if(F.col("side") == 0).over(Window.partitionBy("day").orderBy("t", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return marks.withColumn("so_far", so_far).where("side = 1").join(F.broadcast(before), "day").select(key, (F.col("before") + F.col("so_far")).alias("visible_count"))
+    hour = lambda c: F.floor(F.col(c) / (DAY // 24))
+    instants = rows.groupBy(F.col(observed).alias("t")).agg(F.count("*").alias("n"))
+    asked = queries.select(F.col(at).alias("t")).distinct().select("t", F.lit(0).cast("long").alias("n"))
+    marks = instants.union(asked).groupBy("t").agg(F.sum("n").alias("n")).withColumn("hour", hour("t"))
+    hours = marks.groupBy("hour").agg(F.sum("n").alias("n"))
+    before = hours.select("hour", F.coalesce(F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    so_far = marks.withColumn("so_far", F.sum("n").over(Window.partitionBy("hour").orderBy("t"))).select("t", "hour", "so_far")
+    counted = so_far.join(F.broadcast(before), "hour").select("t", (F.col("before") + F.col("so_far")).alias("visible_count"))
+    return queries.select(key, F.col(at).alias("t")).join(counted, "t").select(key, "visible_count")
+
+
+def _next_other(rows: DataFrame, marks: DataFrame, chain: list[str]) -> DataFrame:
+    """chain, __t, and what follows it: __one, the next instant of the chain, and __two, the next one that is not just of the same value.
+
+    Both have t, the first row (id i, value v) and the first row with another value than that (oi, null if all are equal). Windows along
+    the chain alone: no row meets the others of its chain.
+    """
+    by = Window.partitionBy(*chain)
+    firsts = rows.groupBy(*chain, "__t").agg(F.min(F.struct("__i", "__v")).alias("a"))
+    other = rows.join(firsts, [*chain, "__t"]).where(F.col("__v") != F.col("a.__v")).groupBy(*chain, "__t").agg(F.min("__i").alias("oi"))
+    at = firsts.join(other, [*chain, "__t"], "left").withColumn("pure", F.when(F.col("oi").isNull(), F.col("a.__v")))
+    order = by.orderBy("__t")
+    same = F.col("pure").isNotNull() & F.lag("pure").over(order).eqNullSafe(F.col("pure"))
+    at = at.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order))
+    at = at.withColumn("here", F.struct(F.col("__t").alias("t"), F.col("a.__i").alias("i"), F.col("a.__v").alias("v"), "oi"))
+    runs = at.groupBy(*chain, "run").agg(F.min_by("here", "__t").alias("begins"))
+    runs = runs.select(*chain, "run", F.lead("begins").over(by.orderBy("run")).alias("two"))
+    at = at.join(runs, [*chain, "run"]).select(*chain, "__t", F.struct("here", "two").alias("g"))
+    every = at.unionByName(marks.select(*chain, "__t").distinct(), allowMissingColumns=True).groupBy(*chain, "__t").agg(F.max("g").alias("g"))
+    after = F.first("g", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return every.select(*chain, "__t", after.alias("g")).select(*chain, "__t", F.col("g.here").alias("__one"), F.col("g.two").alias("__two"))
 
 
 def first_witness(candidates: DataFrame, rows: DataFrame, chain: list[str], observed: str, id_: str, value: str, at: str, keys: list[str]) -> DataFrame:
     """For every candidate the first later row of its chain, visible at the query, that has another value.
 
     ``candidates`` has chain, observed, value, at and ``keys``. Rows with an empty value are no witnesses. Adds witness and superseded.
+    Which row comes first does not depend on the query, so it is found once for each instant of a chain and compared with the query's time.
     """
-    w = rows.select(*chain, F.col(observed).alias("__wt"), F.col(id_).alias("__wi"), F.col(value).alias("__wv")).where(F.col("__wv").isNotNull() & (F.col("__wv").cast("string") != ""))
-    joined = candidates.join(w, chain)
-    later = joined.where((F.col("__wt") > F.col(observed)) & (F.col("__wt") <= F.col(at)) & (F.col("__wv") != F.col(value)))
-    found = later.groupBy(*keys).agg(F.min_by("__wi", F.struct("__wt", "__wi")).alias("witness"))
-    return candidates.join(found, keys, "left").withColumn("superseded", F.col("witness").isNotNull())
+    w = rows.select(*chain, F.col(observed).alias("__t"), F.col(id_).alias("__i"), F.col(value).alias("__v")).where(F.col("__v").isNotNull() & (F.col("__v").cast("string") != ""))
+    follows = _next_other(w, candidates.select(*chain, F.col(observed).alias("__t")), chain).withColumnRenamed("__t", observed)
+    both = candidates.join(follows, [*chain, observed], "left")
+    pick = lambda g: F.when(F.col(f"{g}.v") != F.col(value), F.struct(F.col(f"{g}.t"), F.col(f"{g}.i"))).when(F.col(f"{g}.oi").isNotNull(), F.struct(F.col(f"{g}.t"), F.col(f"{g}.oi").alias("i")))
+    found = both.withColumn("__w", F.coalesce(pick("__one"), pick("__two")))
+    seen = F.coalesce(F.col("__w.t") <= F.col(at), F.lit(False))
+    return found.select(*candidates.columns, F.when(seen, F.col("__w.i")).alias("witness"), seen.alias("superseded"))
 
 
 def superseded_semi(candidates: DataFrame, rows: DataFrame, chain: list[str], observed: str, value: str, at: str) -> DataFrame:
-    """The candidates that have a witness, as a semi join: no witness is named."""
-    c, w = candidates.alias("c"), rows.alias("w")
-    on = [F.col(f"c.{k}") == F.col(f"w.{k}") for k in chain]
-    on += [F.col(f"w.{observed}") > F.col(f"c.{observed}"), F.col(f"w.{observed}") <= F.col(f"c.{at}"), F.col(f"w.{value}") != F.col(f"c.{value}")]
-    return c.join(w, on, "left_semi")
+    """The candidates that have a witness; none is named."""
+    named = rows.withColumn("__id", F.lit(0))
+    return first_witness(candidates, named, chain, observed, "__id", value, at, []).where("superseded").select(*candidates.columns)
 
 
 def direct_link(candidates: DataFrame, rows: DataFrame, successor: Column, id_: str, observed: str, at: str) -> DataFrame:

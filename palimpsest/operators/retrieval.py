@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import Retrieval
 from palimpsest.operators.ranking import order_by_score, top_k
-
-
-def postings(docs: DataFrame, id_: str, tokens: Column) -> DataFrame:
-    """(term, evidence_id, tf, dl) of every document."""
-    each = docs.select(F.col(id_).alias("evidence_id"), tokens.alias("__tokens")).select("evidence_id", F.size("__tokens").alias("dl"), F.explode("__tokens").alias("term"))
-    return each.groupBy("term", "evidence_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def term_weights(posted: DataFrame, n_docs: int, epsilon: float = Retrieval.epsilon) -> DataFrame:
-    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean of all."""
-    return _idf(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs, epsilon)
+from palimpsest.session import kept
 
 
 def _idf(df: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
+    """(term, df, idf): ln(N - df + .5) - ln(df + .5); a negative one becomes epsilon times the mean of all."""
     raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -34,58 +26,84 @@ def _idf(df: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
 ASKED_ROWS = 2_000_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, id_: str = "evidence_id", observed: str = "observed_from", at: str = "query_time", cfg: Retrieval = Retrieval(), k: int | None = None) -> DataFrame:
-    """(query_id, evidence_id, score, rank): top k of the documents visible at each query.
+@dataclass
+class Index:
+    """Postings (evidence_id, observed, dl, term, tf; a row without a term for a document without any), weights of the terms, number and mean length of documents.
+
+    Frequencies and lengths are those of the whole corpus, also of documents that are not visible yet.
+    """
+
+    postings: DataFrame
+    weights: DataFrame
+    documents: int
+    mean: float
+
+    def save(self, path: str) -> None:
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        spark = self.postings.sparkSession
+        spark.createDataFrame([(self.documents, self.mean)], "documents long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        totals = spark.read.parquet(f"{path}/totals").first()
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights"), totals["documents"], totals["mean"])
+
 
-    Document frequencies and lengths are those of the whole corpus, also of documents that are not visible yet. A query term
-    counts as often as it is asked. Where fewer than k visible documents have a score, others fill up with score 0.
+def index(docs: DataFrame, tokens: Column, id_: str = "evidence_id", observed: str = "observed_from", cfg: Retrieval = Retrieval()) -> Index:
+    """The index of a corpus; its texts are cut into tokens once."""
+    each = docs.repartition(id_).select(F.col(id_).alias("evidence_id"), F.col(observed).alias("observed"), tokens.alias("t"))
+    each = each.select("evidence_id", "observed", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    posted = kept(each.groupBy("evidence_id", "observed", "dl", "term").agg(F.count("*").alias("tf")))
+    words = posted.where(F.col("term").isNotNull())
+    n = docs.count()
+    total = words.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]
+    weights = _idf(words.groupBy("term").agg(F.count("*").alias("df")), n, cfg.epsilon)
+    return Index(posted, weights, n, total / n if n else 0.0)
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, doc_tokens: Column | None, query_tokens: Column, id_: str = "evidence_id", observed: str = "observed_from", at: str = "query_time", cfg: Retrieval = Retrieval(), k: int | None = None) -> DataFrame:
+    """(query_id, evidence_id, score, rank): top k of the documents visible at each query; ``docs`` may be an index.
+
+    A query term counts as often as it is asked. Where fewer than k visible documents have a score, others fill up with score 0.
 
     Postings are dealt by document and meet the broadcast terms of all queries, so a document's scores are summed where it lies,
     and only each task's best k of a query are shuffled. Too many terms for a broadcast are joined by term instead.
     """
     k = k or cfg.top_k
-    tokens = docs.select(F.col(id_).alias("evidence_id"), F.col(observed).alias("__obs"), doc_tokens.alias("__t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("mean")).first()
-    if not stats["n"]:
-        return queries.select("query_id").limit(0).select("query_id", F.lit("").alias("evidence_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    # A term counts once for a document here: frequencies need no postings.
-    df = tokens.select(F.explode_outer(F.array_distinct("__t")).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
-    weights = _idf(df, stats["n"], cfg.epsilon)
+    found = docs if isinstance(docs, Index) else index(docs, doc_tokens, id_, observed, cfg)
     asked = queries.select("query_id", at, F.explode_outer(query_tokens).alias("term")).groupBy("query_id", at, "term").agg(F.count("*").alias("times"))
-    asked = asked.join(weights, "term").select("query_id", at, "term", (F.col("times") * F.col("idf")).alias("w"))
+    asked = asked.join(found.weights, "term").select("query_id", at, "term", (F.col("times") * F.col("idf")).alias("w"))
     small = queries.select(F.coalesce(F.sum(F.size(query_tokens)), F.lit(0)).alias("n")).first()["n"] <= ASKED_ROWS
-    each = tokens.repartition("evidence_id").select("evidence_id", "__obs", F.size("__t").alias("dl"), F.explode_outer("__t").alias("term"))
-    posted = each.groupBy("evidence_id", "__obs", "dl", "term").agg(F.count("*").alias("tf"))
-    part = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.lit(stats["mean"])))
-    part = posted.select("evidence_id", "__obs", "term", part.alias("__p"))
+    part = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.lit(found.mean or 1.0)))
+    part = found.postings.select("evidence_id", F.col("observed").alias("__obs"), "term", part.alias("__p"))
     joined = part.join(F.broadcast(asked) if small else asked.hint("merge"), "term").where(F.col("__obs") <= F.col(at))
     scored = joined.groupBy("evidence_id", "query_id").agg(F.sum(F.col("w") * F.col("__p")).alias("score")).select("query_id", "evidence_id", "score")
-    # At most k rows a query, read three times; the caller frees it with ``spark.catalog.clearCache()``.
-    ranked = top_k(scored, k, order_by_score(seed=cfg.tie_seed)).persist()
+    ranked = kept(top_k(scored, k, order_by_score(seed=cfg.tie_seed)))  # at most k rows a query, read three times
     # Fill up only the queries that came out short: the rest never meets the whole corpus.
-    seen = docs.select(F.col(id_).alias("evidence_id"), F.col(observed).alias("__obs"))
+    seen = found.postings.select("evidence_id", F.col("observed").alias("__obs")).distinct()
     short = queries.select("query_id", at).join(ranked.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", at)
     have = ranked.select("query_id", "evidence_id")  # a short query's list holds all that has a score
     zero = short.join(seen, F.col("__obs") <= F.col(at)).select("query_id", "evidence_id").join(have, ["query_id", "evidence_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(ranked.drop("rank").unionByName(zero), k, order_by_score(seed=cfg.tie_seed))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k, observed: str | None = None, at: str | None = None, seed: int = Retrieval.tie_seed, max_queries: int = 20_000) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k, observed: str | None = None, at: str | None = None, seed: int = Retrieval.tie_seed, max_queries: int = 20_000, cells: int = 4_000_000) -> DataFrame:
     """(query_id, evidence_id, score, rank): exact top k by inner product in float64, of what is visible.
 
     vectors: evidence_id, embedding; queries: query_id, embedding. Queries travel to every task, so they are counted first and are worked off in
-    groups of ``max_queries``; each task multiplies blocks and hands on its own k best of a query (and ties of the last).
+    groups of ``max_queries``; each task multiplies at most ``cells`` pairs at a time (32 MB of products) and hands on its own k best of a query (and ties of the last).
     """
     asked = queries.select("query_id", "embedding", *([at] if at else [])).orderBy("query_id")
     count, out = asked.count(), None
     for start in range(0, max(count, 1), max_queries):
         rows = asked.offset(start).limit(max_queries).collect()
-        part = _dense_block(vectors, rows, k, observed, at)
+        part = _dense_block(vectors, rows, k, observed, at, cells)
         out = part if out is None else out.unionByName(part)
     return top_k(out, k, order_by_score(seed=seed))
 
 
-def _dense_block(vectors: DataFrame, rows: list, k: int, observed: str | None, at: str | None) -> DataFrame:
+def _dense_block(vectors: DataFrame, rows: list, k: int, observed: str | None, at: str | None, cells: int) -> DataFrame:
     ids = [r["query_id"] for r in rows]
     matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 1))
     limits = np.array([r[at] for r in rows]) if at else None
@@ -93,8 +111,9 @@ def _dense_block(vectors: DataFrame, rows: list, k: int, observed: str | None, a
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        for pdf in batches:
-            if not ids or pdf.empty:
+        step = max(1, cells // max(1, len(ids)))
+        for pdf in (batch.iloc[i : i + step] for batch in batches for i in range(0, len(batch), step)):
+            if not ids:
                 continue
             product = np.round(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 12)
             if limits is not None:

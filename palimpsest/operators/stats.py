@@ -20,27 +20,41 @@ def hash_draw(replicate: Column, slot: Column, clusters: Column) -> Column:
     return F.conv(F.left(F.md5(F.concat_ws("|", replicate, slot).cast("binary")), F.lit(8)), 16, 10).cast("long") % clusters
 
 
-def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int) -> DataFrame:
+def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int, most: int = 100_000) -> DataFrame:
     """(by, replicate, mean): clusters drawn with replacement, the same draws for every metric.
 
-    The number of draws is replicates times clusters; each is one row of a join, none is collected.
+    Up to ``most`` clusters, the sums of a group are one row of arrays, which all tasks get, and a replicate is drawn and added
+    up within its row: nothing is shuffled. More clusters are joined to the draws, one row for each.
     """
     units = sums.select(unit).distinct()
     numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(unit)) - 1)  # a row for each cluster
-    n = units.agg(F.count("*").alias("clusters"))
+    clusters = units.count()
     reps = sums.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = reps.join(F.broadcast(numbered.select("slot"))).join(F.broadcast(n)).select("replicate", hash_draw(F.col("replicate"), F.col("slot"), F.col("clusters")).alias("slot"))
-    counted = draws.groupBy("replicate", "slot").agg(F.count("*").alias("times"))
-    joined = counted.join(numbered, "slot").join(sums, unit)
-    return joined.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col("total")), F.sum(F.col("times") * F.col("n"))).alias("mean"))
-
-
-def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Statistics = Statistics(), block: int = 500) -> DataFrame:
+    if clusters > most:
+        draws = reps.join(F.broadcast(numbered.select("slot"))).select("replicate", hash_draw(F.col("replicate"), F.col("slot"), F.lit(clusters)).alias("slot"))
+        counted = draws.groupBy("replicate", "slot").agg(F.count("*").alias("times"))
+        joined = counted.join(numbered, "slot").join(sums, unit)
+        return joined.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col("total")), F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    cells = sums.select(*by).distinct().join(numbered).join(sums, [unit, *by], "left")
+    cell = F.struct("slot", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    groups = cells.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # a row for each metric, of at most ``most`` cells
+    # Exploding a single element keeps Spark from drawing once more for every use.
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(max(clusters, 1) - 1)), lambda slot: hash_draw(F.col("replicate"), slot, F.lit(max(clusters, 1))).cast("int"))
+    draws = reps.select("replicate", F.explode(F.array(drawn)).alias("draws"))
+    add = lambda name: F.aggregate("draws", F.lit(0.0), lambda acc, d: acc + F.get(F.col("cells"), d)[name])
+    return draws.join(F.broadcast(groups)).select(*by, "replicate", F.try_divide(add("total"), add("n")).alias("mean"))
+
+
+def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Statistics = Statistics(), block: int = 500, most: int = 1_000_000) -> DataFrame:
     """(by, replicate, mean) with the draws of one PCG64 generator, made in order by blocks of replicates.
 
-    Draw i of replicate r is the same for every metric. The clusters' sums travel to every task: a row for each cluster and metric.
+    Draw i of replicate r is the same for every metric. The clusters' sums travel to every task, a row for each cluster and metric; more than
+    ``most`` clusters are an error, for they are for ``bootstrap_by_hash``. A task draws on from where its block before ended, and passes over
+    the draws of other tasks in slices of at most ``most``.
     """
     spark: SparkSession = sums.sparkSession
+    if (found := sums.select(unit).distinct().count()) > most:
+        raise ValueError(f"{found} clusters are too many for one generator; use bootstrap_by_hash")
     rows = sums.select(unit, *by, "total", "n").toPandas()
     units = sorted(rows[unit].unique())
     place = {u: i for i, u in enumerate(units)}
@@ -54,16 +68,21 @@ def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Stati
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", "mean double"])
 
     def run(batches):
+        rng, at = np.random.Generator(np.random.PCG64(cfg.seed)), 0
         for pdf in batches:
             for start in sorted(pdf["id"]):
-                rng = np.random.Generator(np.random.PCG64(cfg.seed))
-                if start:
-                    rng.integers(0, len(units), (start, len(units)))
-                draws = rng.integers(0, len(units), (min(block, cfg.replicates - start), len(units)))
+                left = (start - at) * len(units)
+                while left > 0:
+                    left -= len(rng.integers(0, len(units), min(left, most)))
+                at = min(start + block, cfg.replicates)
+                # How often each cluster is drawn in each replicate: the means are products of that and the sums.
+                times = np.zeros((at - start, len(units)))
+                for r in range(at - start):
+                    times[r] = np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units))
+                n, sums_ = times @ count.T, times @ total.T
+                mean = np.divide(sums_, n, out=np.full(n.shape, np.nan), where=n > 0)
                 for i, (key, _) in enumerate(groups):
-                    n = count[i][draws].sum(1)
-                    mean = np.divide(total[i][draws].sum(1), n, out=np.full(len(draws), np.nan), where=n > 0)
-                    yield pd.DataFrame({**dict(zip(by, key)), "replicate": np.arange(start, start + len(draws)), "mean": mean})
+                    yield pd.DataFrame({**dict(zip(by, key)), "replicate": np.arange(start, at), "mean": mean[:, i]})
 
     return starts.mapInPandas(run, schema)
 

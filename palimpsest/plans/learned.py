@@ -35,35 +35,35 @@ def impute_zscore(spark, sf):
     return learn.prepare(v, learn.fit_preparation(v, ["x"])).select("query_id", "evidence_id", "x")
 
 
-_NAMES = ["age", "newer_count", "position", "days_to_newest", "differs", "score"]
+def candidates(spark, sf):
+    """The pool with all features, a label and a role: entities are for training, for choosing the strength (dev) or held out (test)."""
+    f = features(spark, sf)
+    given = f.select("*", F.col("score").alias("score_scaled"), F.col("rank").alias("prior_rank"), F.col("age").alias("age_days"), F.col("entity").alias("q_entity"))
+    made, names, numeric = learn.feature_table(given, ["click", "purchase", "view"])
+    role = F.when(F.col("entity") % 3 == 0, "test").when(F.col("entity") % 3 == 1, "dev").otherwise("train")
+    return made.withColumns({"label": (F.col("class") == "TARGET_CURRENT").cast("int"), "role": role}), names, numeric
 
 
-def examples(spark, sf):
-    """Training rows: the target chain's current and outdated candidates; a third of the entities is held out."""
-    f = features(spark, sf).where(F.col("on_target") & F.col("class").isin("TARGET_CURRENT", "TARGET_OUTDATED"))
-    x = f.withColumns({"label": (F.col("class") == "TARGET_CURRENT").cast("int"), "differs": F.col("differs_from_newest").cast("int"), "held_out": F.col("entity") % 3 == 0})
-    return x
+def trained(spark, sf):
+    """(all rows prepared, the target chain's labelled ones, the model, the features): C is chosen on dev."""
+    rows, names, numeric = candidates(spark, sf)
+    mine = F.col("on_target") & F.col("class").isin("TARGET_CURRENT", "TARGET_OUTDATED")
+    preparation = learn.fit_preparation(rows.where(mine & (F.col("role") == "train")), numeric)
+    ready = learn.prepare(rows, preparation)
+    _, model, _ = learn.select_c(ready.where(mine & (F.col("role") == "train")), ready.where(mine & (F.col("role") == "dev")), names)
+    return ready, ready.where(mine), model, names
 
 
 @query()
 def lr_train_eval(spark, sf):
-    rows = examples(spark, sf)
-    train = rows.where(~F.col("held_out"))
-    ready = learn.fit_preparation(train, _NAMES)
-    model = learn.fit(learn.prepare(train, ready), _NAMES, c=0.1)
-    return learn.classification(learn.predict(learn.prepare(rows.where("held_out"), ready), model, _NAMES))
+    _, examples, model, names = trained(spark, sf)
+    return learn.classification(learn.predict(examples.where("role = 'test'"), model, names))
 
 
 @query()
 def lr_rerank_block(spark, sf):
-    rows = examples(spark, sf)
-    train = rows.where(~F.col("held_out"))
-    ready = learn.fit_preparation(train, _NAMES)
-    model = learn.fit(learn.prepare(train, ready), _NAMES, c=0.1)
-    pool = features(spark, sf).withColumn("differs", F.col("differs_from_newest").cast("int"))
-    kept = pool.select("query_id", "evidence_id", F.col("score").alias("prior_score"))
-    scored = learn.predict(learn.prepare(pool, ready), model, _NAMES).drop("score").join(kept, ["query_id", "evidence_id"]).withColumnRenamed("prior_score", "score")
-    return learn.rerank_learned(scored, F.col("on_target")).select("query_id", "evidence_id", "prior_rank", "suppressed", "rank")
+    rows, _, model, names = trained(spark, sf)
+    return learn.rerank_learned(learn.predict(rows, model, names), F.col("on_target")).select("query_id", "evidence_id", "prior_rank", "suppressed", "rank")
 
 
 _AUC = f"""WITH {CAND}, s AS (SELECT label = 'CURRENT' AS y, valid_from AS x FROM candl WHERE on_target), r AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM s)

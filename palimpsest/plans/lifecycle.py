@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import Queries, Retrieval, Splits, Timeline
 from palimpsest.functions import text, times
 from palimpsest.operators import corpus, evaluate, pit, ranking, replay, retrieval, splits, timeline
-from palimpsest.session import prepare
+from palimpsest.session import kept, prepare
 from palimpsest.sources import changelog
 
 
@@ -78,7 +78,8 @@ def hybrid(lexical: DataFrame, queries: DataFrame, documents: DataFrame, encoder
 
 
 def rerank_by_rules(pool: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pool under all rules and oracles, as one table of lists told apart by method."""
+    """The pool under all rules and oracles, as one table of lists told apart by method. The pool is computed once."""
+    pool = kept(pool)
     chain = ["cve_id", "cvss_version", "source_key"]
     view = corpus.reranker_view(documents)
     witnesses = view.join(documents.where(F.col("replacement_type") == replay.CROSS).select("evidence_id"), "evidence_id", "left_anti")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.config import Statistics
 from palimpsest.functions import text
 from palimpsest.operators import evaluate, gates, pit, ranking, retrieval, stats
 from palimpsest.operators.ranking import DECIMALS
 from palimpsest.plans.catalogue import query
 from palimpsest.plans.scalar import TOKENS, _TOKENS
+from palimpsest.session import kept
 from palimpsest.sources import adapters as A
 from palimpsest.sources.adapters import A5, A6, CHAIN, POOL, SEED, table
 
@@ -31,8 +33,7 @@ def _bm25(spark, sf):
 
 @query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_postings_stats(spark, sf):
-    d = A.documents(spark, sf)
-    return retrieval.term_weights(retrieval.postings(d, "evidence_id", text.tokenize(F.col("text"))), d.count())
+    return retrieval.index(A.documents(spark, sf), text.tokenize(F.col("text"))).weights
 
 
 @query(f"WITH {_BMQ} SELECT query_id, evidence_id, rank, round(score, 6) AS score FROM bm")
@@ -106,9 +107,9 @@ wit AS (SELECT DISTINCT p.query_id, p.evidence_id FROM pool p JOIN a2 w ON w.ent
 flag AS (SELECT p.*, wit.query_id IS NOT NULL AS superseded, coalesce(s.valid_from <= p.query_time, false) AS direct FROM pool p LEFT JOIN wit USING (query_id, evidence_id) LEFT JOIN a2 s ON p.replaced_by = s.id)"""
 
 
-def flagged(spark, sf):
+def flagged(spark, sf, pool=None):
     rows = A.intervals(spark, sf)
-    p = A.pool(spark, sf).withColumnRenamed("source", "q_source").withColumnRenamed("e_source", "source")
+    p = (A.pool(spark, sf) if pool is None else pool).withColumnRenamed("source", "q_source").withColumnRenamed("e_source", "source")
     w = pit.first_witness(p, rows, CHAIN, "valid_from", "evidence_id", "value", "query_time", ["query_id", "evidence_id"])
     return pit.direct_link(w, rows, F.col("replaced_by"), "id", "valid_from", "query_time")
 
@@ -118,8 +119,8 @@ def _rule(name: str) -> str:
     return f"WITH {_FLAG} SELECT query_id, evidence_id, rank AS prior_rank, {flag} AS suppressed, row_number() OVER (PARTITION BY query_id ORDER BY {flag}, rank) AS rank FROM flag"
 
 
-def rules(spark, sf):
-    f = flagged(spark, sf)
+def rules(spark, sf, pool=None):
+    f = flagged(spark, sf, pool)
     return {
         "rule_corpus": ranking.block_order(f, F.col("superseded"), "rule_corpus"),
         "rule_target": ranking.block_order(f, F.col("superseded") & F.col("on_target"), "rule_target"),
@@ -177,9 +178,10 @@ _NAMES = {"ndcg": "ndcg@10", "gndcg": "gndcg@10", "mrr": "mrr@10", "recall": "re
 
 
 def lists(spark, sf):
-    f = rules(spark, sf)["rule_target"]
+    pool = kept(A.pool(spark, sf))
+    f = rules(spark, sf, pool)["rule_target"]
     columns = ["query_id", "method", "evidence_id", "class", "rank", "score"]
-    return A.pool(spark, sf).select(*columns).unionByName(f.select(*columns))
+    return pool.select(*columns).unionByName(f.select(*columns))
 
 
 def metrics(spark, sf):
@@ -249,9 +251,24 @@ def suppression_audit(spark, sf):
     return a.withColumn("share", F.col("occurrences") / F.sum("occurrences").over(Window.partitionBy()))
 
 
-@query(f"WITH {POOL} SELECT gate, 0::BIGINT AS violations, true AS passed FROM (VALUES ('visibility'), ('nan_scores'), ('duplicates'), ('rank_gaps')) t(gate)")
+_FAULTY = f"""{POOL}, bad AS (SELECT query_id, evidence_id, CASE WHEN rank = 7 THEN rank + 1 ELSE rank END AS rank, CASE WHEN entity % 5 = 0 AND rank = 3 THEN 'NaN'::DOUBLE ELSE score END AS score, CASE WHEN entity % 7 = 0 AND rank = 2 THEN query_time + 1 ELSE valid_from END AS valid_from, query_time FROM pool
+  UNION ALL SELECT query_id, evidence_id, rank, score, valid_from, query_time FROM pool WHERE entity % 11 = 0 AND rank = 1),
+per AS (SELECT query_id, bool_or(valid_from > query_time) AS future, bool_or(isnan(score)) AS nan, count(*) <> count(DISTINCT evidence_id) AS twice, max(rank) <> count(*) AS gap FROM bad GROUP BY 1)"""
+
+
+@query(f"WITH {_FAULTY}, v AS (SELECT count(*) FILTER (WHERE future) AS a, count(*) FILTER (WHERE nan) AS b, count(*) FILTER (WHERE twice) AS c, count(*) FILTER (WHERE gap) AS d FROM per) SELECT gate, violations, violations = 0 AS passed FROM v, LATERAL (VALUES ('visibility', a), ('nan_scores', b), ('duplicates', c), ('rank_gaps', d)) t(gate, violations)")
 def list_gates(spark, sf):
-    return gates.list_gates(A.pool(spark, sf), observed="valid_from")
+    """The pool with faults planted in some entities: futures, NaN, repeated candidates and gaps."""
+    p = kept(A.pool(spark, sf))
+    entity, rank = F.col("entity"), F.col("rank")
+    bad = p.withColumns(
+        {
+            "score": F.when((entity % 5 == 0) & (rank == 3), F.lit(float("nan"))).otherwise(F.col("score")),
+            "valid_from": F.when((entity % 7 == 0) & (rank == 2), F.col("query_time") + 1).otherwise(F.col("valid_from")),
+            "rank": F.when(rank == 7, rank + 1).otherwise(rank),
+        }
+    )
+    return gates.list_gates(bad.unionByName(p.where((entity % 11 == 0) & (rank == 1))), observed="valid_from")
 
 
 _CL = f"{_METRICS}, val AS (SELECT a4.entity, met.query_id, met.method, m.metric, m.value FROM met JOIN a4 USING (query_id), LATERAL (VALUES ('ndcg', ndcg), ('stale', stale), ('joint', joint)) m(metric, value)), cs AS (SELECT entity, method, metric, sum(value) AS total, count(value) AS n FROM val GROUP BY 1, 2, 3)"
@@ -267,7 +284,7 @@ def cluster_sums(spark, sf):
     return stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"])
 
 
-_B = 100
+_B = Statistics.replicates
 _BOOT = f"""{_CL}, u AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS slot, count(*) OVER () AS m FROM (SELECT DISTINCT entity FROM cs)),
 d AS (SELECT r.replicate, CAST('0x' || left(md5(r.replicate || '|' || u.slot), 8) AS BIGINT) % u.m AS slot FROM range({_B}) r(replicate), u), dc AS (SELECT replicate, slot, count(*) AS times FROM d GROUP BY 1, 2),
 bo AS (SELECT method, metric, replicate, sum(times * total) / sum(times * n) AS mean FROM dc JOIN u USING (slot) JOIN cs USING (entity) GROUP BY 1, 2, 3)"""
@@ -281,8 +298,6 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def bootstrap_generator(spark, sf):
-    from palimpsest.config import Statistics
-
     s = stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"])
     return stats.intervals(stats.bootstrap_by_generator(s, "entity", ["method", "metric"], Statistics()), ["method", "metric"])
 

@@ -131,12 +131,12 @@ def quantile_linear(spark, sf):
 
 @query("SELECT user_id, s[least(len(s) - 1, CAST(floor(0.25 * len(s)) AS BIGINT)) + 1] AS p25, s[least(len(s) - 1, CAST(floor(0.9 * len(s)) AS BIGINT)) + 1] AS p90 FROM (SELECT user_id, list_sort(list(value)) AS s FROM events GROUP BY 1)")
 def quantile_lower_index(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(evaluate.lower_quantile(F.col("value"), 0.25).alias("p25"), evaluate.lower_quantile(F.col("value"), 0.9).alias("p90"))
+    return evaluate.at_place(table(spark, sf, "events"), ["user_id"], "value", p25=evaluate.lower_quantile(0.25), p90=evaluate.lower_quantile(0.9))
 
 
 @query("SELECT user_id, s[len(s) // 2 + 1] AS upper_median FROM (SELECT user_id, list_sort(list(value)) AS s FROM events GROUP BY 1)")
 def median_upper(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(evaluate.upper_median(F.col("value")).alias("upper_median"))
+    return evaluate.at_place(table(spark, sf, "events"), ["user_id"], "value", upper_median=evaluate.upper_median)
 
 
 @query(f"WITH {A3} SELECT signature, count(*) AS changes FROM (SELECT change_id, string_agg(action || ':' || source, ',' ORDER BY action, source) AS signature FROM a3 GROUP BY 1) GROUP BY 1")

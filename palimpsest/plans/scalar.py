@@ -24,14 +24,26 @@ def text_normalise(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.normalize_whitespace(F.col("html")).alias("flat"))
 
 
-@query("SELECT doc_id, CASE WHEN length(f) > 200 THEN left(f, 200) || '...[TRUNCATED]' ELSE f END AS short FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS f FROM documents WHERE NOT contains(text, '&'))")
+# References, as far as the documents have them: DuckDB knows no function that decodes them all.
+_DECODED = "text"
+for _name, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _DECODED = f"replace({_DECODED}, '{_name}', {_char})"
+
+
+
+@query(f"SELECT doc_id, CASE WHEN f IS NULL THEN '[NULL]' WHEN length(f) > 200 THEN left(f, 200) || '...[TRUNCATED]' ELSE f END AS short FROM (SELECT doc_id, regexp_replace(regexp_replace({_DECODED}, '[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS f FROM documents)")
 def compact_text(spark, sf):
-    return table(spark, sf, "documents").where(~F.contains("text", F.lit("&"))).select("doc_id", text.compact_text(F.col("text"), 200).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", text.compact_text(F.col("text"), 200).alias("short"))
+
+
+@query("SELECT doc_id, CASE WHEN f = '' THEN '[EMPTY]' WHEN length(f) > 300 THEN left(f, 300) || '...[TRUNCATED]' ELSE f END AS short FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS f FROM documents)")
+def compact_normalized_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.compact_normalized_text(F.col("text"), 300).alias("short"))
 
 
-@query(f"SELECT item_id, sha256('{SEED}|' || item_id || '|' || left(text, 10)) AS tie, 'q_' || substr(sha1(item_id || '|' || left(text, 10)), 1, 16) AS qid, sha256(text) AS text_hash FROM benchmark")
+@query(f"SELECT item_id, sha256('{SEED}|' || item_id || '|' || text) AS tie, 'q_' || substr(sha1(item_id || '|' || text), 1, 16) AS qid, sha256(text) AS text_hash FROM benchmark")
 def hash_keys(spark, sf):
-    i, t = F.col("item_id").cast("string"), F.left("text", F.lit(10))
+    i, t = F.col("item_id").cast("string"), F.col("text")
     return table(spark, sf, "benchmark").select("item_id", text.tie_key(SEED, i, t).alias("tie"), text.query_id(i, t).alias("qid"), F.sha2("text", 256).alias("text_hash"))
 
 

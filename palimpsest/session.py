@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -15,3 +17,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     }.items():
         spark.conf.set(key, value)
     return spark
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame``, computed once and read from the shared folder from then on, also when an executor is lost.
+
+    The folder is that of the session, else ``spark.checkpoint.dir``, else (in tests) a new local one.
+    """
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+    return frame.checkpoint()

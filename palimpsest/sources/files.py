@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,7 +51,11 @@ def inventory(spark: SparkSession, path: str, samples: int = 5) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"((?:\.tar|\.csv|\.json|\.jsonl)?\.[A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("[none]"))
-    return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.slice(F.array_sort(F.collect_list(name)), 1, samples).alias("samples"))
+    named = files.select(ext.alias("extension"), name.alias("name"), "length")
+    counted = named.groupBy("extension").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    # The first names of each extension; the limit of the window keeps no more than these.
+    first = named.withColumn("n", F.row_number().over(Window.partitionBy("extension").orderBy("name"))).where(F.col("n") <= samples)
+    return counted.join(first.groupBy("extension").agg(F.array_sort(F.collect_list("name")).alias("samples")), "extension")
 
 
 def describe(frame: DataFrame, depth: int = 3) -> list[tuple[str, str]]:

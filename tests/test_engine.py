@@ -52,6 +52,29 @@ def test_witness(spark):
     assert {x["id"] for x in pit.superseded_semi(c, r.where("v <> ''"), ["chain"], "t", "v", "at").collect()} == {"e1", "e2"}
 
 
+def test_chains_equal_a_plain_version(spark):
+    """Witnesses and features of random chains with ties of time, repeated values and empty ones, against every row of the chain."""
+    rng = random.Random(8)
+    made = [(rng.choice("ab"), rng.randrange(12), f"e{i:03d}", rng.choice(["A", "A", "B", "C", ""])) for i in range(120)]
+    asked = [(*row, row[1] + rng.choice([0, 1, 3, 9]), k) for k, row in enumerate(rng.choices(made, k=200))]
+    r = spark.createDataFrame(made, "chain string, t long, id string, v string")
+    c = spark.createDataFrame(asked, "chain string, t long, id string, v string, at long, k int")
+    got = {x["k"]: x["witness"] for x in pit.first_witness(c, r, ["chain"], "t", "id", "v", "at", ["k"]).collect()}
+    for chain, t, _, v, at, k in asked:
+        later = [(u, j) for g, u, j, w in made if g == chain and t < u <= at and w not in ("", v)]
+        assert got[k] == (min(later)[1] if later else None)
+    semi = {x["k"] for x in pit.superseded_semi(c, r, ["chain"], "t", "v", "at").collect()}
+    assert semi == {k for k, w in got.items() if w}
+    feats = {x["k"]: x for x in learn.chain_features(c, r, ["chain"], "t", "id", "v", "at", ["k"]).collect()}
+    assert len(feats) == len(asked)
+    for chain, t, i, v, at, k in asked:
+        seen = [(u, j, w) for g, u, j, w in made if g == chain and u <= at]
+        newest = max(seen)
+        newer = sum(u > t for u, _, _ in seen)
+        assert (feats[k]["newer_count"], feats[k]["position"], feats[k]["newest_id"]) == (newer, 1 + sum((u, j) < (t, i) for u, j, _ in seen), newest[1])
+        assert feats[k]["differs_from_newest"] == (newest[2] != v) and feats[k]["days_to_newest"] == pytest.approx((newest[0] - t) / 86_400e6 if newer else 0)
+
+
 def test_splits_are_disjoint_in_time(spark):
     ev = spark.createDataFrame([("a", 2024), ("a", 2026), ("b", 2025), ("c", 2026), ("d", 2024)], "cve_id string, year int")
     seen = splits.periods(ev, "cve_id", "year")
@@ -167,8 +190,14 @@ def test_metrics(spark):
 
 def test_quantiles_below(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 3, 2)], "x double")
-    got = df.agg(evaluate.lower_quantile(F.col("x"), 0.5).alias("a"), evaluate.lower_quantile(F.col("x"), 1.0).alias("b"), evaluate.upper_median(F.col("x")).alias("c")).first()
-    assert tuple(got) == (3.0, 5.0, 3.0)
+    places = {"a": evaluate.lower_quantile(0.5), "b": evaluate.lower_quantile(1.0), "c": evaluate.upper_median}
+    assert tuple(evaluate.at_place(df, [], "x", **places).first()) == (3.0, 5.0, 3.0)
+    rng = random.Random(2)
+    made = [(g, rng.choice([None, *range(6)])) for g in "abc" for _ in range(rng.randint(1, 40))]
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in evaluate.at_place(spark.createDataFrame(made, "g string, x int"), ["g"], "x", **places).collect()}
+    for g in "abc":
+        v = sorted(x for h, x in made if h == g and x is not None)
+        assert got[g] == (v[min(len(v) - 1, len(v) // 2)], v[-1], v[len(v) // 2])
 
 
 def test_bootstrap(spark):
@@ -212,7 +241,30 @@ def test_learning(spark):
     assert learn.auc(scored).first()["auc"] == pytest.approx(np.mean(pairs))
     assert sum(r["n"] for r in learn.probability_deciles(scored).collect()) == 400
     assert learn.auc(scored.where("label = 1")).first()["auc"] is None
-    assert learn.feature_order(["z", "b"], drop_rule=True)[-2:] == ["source_group_b", "source_group_z"] and learn.BINARY[0] not in learn.feature_order([], True)
+    whole = [(float(rng.randrange(300)) if i % 3 else rng.random(), int(rng.random() < 0.4)) for i in range(3000)]
+    y, p = [w[1] for w in whole], [w[0] for w in whole]
+    rank = {v: np.mean([i + 1 for i, x in enumerate(sorted(p)) if x == v]) for v in set(p)}
+    want = (sum(rank[v] for v, s in whole if s) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (len(y) - sum(y)))
+    for ranges in (2, 7, 256):
+        assert learn.auc(spark.createDataFrame(whole, "p double, label int"), ranges=ranges).first()["auc"] == pytest.approx(want)
+
+
+def test_strength_is_selected_on_dev(spark):
+    rng = random.Random(6)
+    made = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(600)]
+    df = spark.createDataFrame([(a, b, int(a + 2 * rng.gauss(0, 1) > 0), i % 2) for i, (a, b) in enumerate(made)], "a double, b double, label int, half int")
+    train, dev = df.where("half = 0"), df.where("half = 1")
+    c, model, tried = learn.select_c(train, dev, ["a", "b"], (1e-4, 0.1, 10.0))
+    assert dict(tried)[c] == min(dict(tried).values()) and c != 1e-4
+    assert learn.select_c(train, dev, ["a"], (1.0, 1.0))[0] == 1.0
+
+
+def test_feature_table(spark):
+    df = spark.createDataFrame([("e", "e", "s", "t", True, None, 2, "x")], "entity string, q_entity string, source string, q_source string, superseded boolean, valid_from_censored boolean, newer_count int, template string")
+    made, names, numeric = learn.feature_table(df, ["z", "s"], ["x", "y"])
+    assert names == ["f_newer_in_chain", "f_superseded", "f_from_censored", "f_entity_matches", "f_source_matches", "f_template_x", "f_template_y", "f_source_s", "f_source_z"] and numeric == ["f_newer_in_chain"]
+    assert [made.first()[n] for n in names] == [2.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0]
+    assert "f_superseded" not in learn.feature_table(df, [], with_rule=False)[1]
 
 
 def test_gates(spark):

@@ -1,6 +1,7 @@
 """Text, time, vector and score functions against known values."""
 
 import hashlib
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ def test_compact_texts(spark):
     assert one(spark, text.compact_text(F.col("x")), x=None) == "[NULL]"
     assert one(spark, text.compact_text(F.col("x"), 5), x=" a &amp;  bcdef") == "a & b...[TRUNCATED]"
     assert one(spark, text.compact_normalized_text(F.col("x")), x=" \n ") == "[EMPTY]"
+    assert one(spark, text.compact_normalized_text(F.col("x")), x="a &amp;  b&lt;") == "a &amp; b&lt;"
+    for raw in ("caf&eacute; &#8211; &#x2013; x", "&notit; &not &NotAName; &", "&amp;lt; &ampx", "&#0; &#128; &#x110000;"):
+        assert one(spark, text.compact_text(F.col("x")), x=raw) == " ".join(html.unescape(raw).split())
 
 
 @pytest.mark.parametrize("raw,want", [(None, "null"), ("null", "null"), ("{}", "dict"), ("[1]", "list"), ("true", "bool"), ("1", "int"), ("1.5", "float"), ('"a"', "string"), ("not json", "string")])
