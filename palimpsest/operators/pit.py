@@ -104,18 +104,18 @@ def _next_other(rows: DataFrame, marks: DataFrame, chain: list[str]) -> DataFram
     the chain alone: no row meets the others of its chain.
     """
     by = Window.partitionBy(*chain)
-    firsts = rows.groupBy(*chain, "__t").agg(F.min(F.struct("__i", "__v")).alias("a"))
-    other = rows.join(firsts, [*chain, "__t"]).where(F.col("__v") != F.col("a.__v")).groupBy(*chain, "__t").agg(F.min("__i").alias("oi"))
-    at = firsts.join(other, [*chain, "__t"], "left").withColumn("pure", F.when(F.col("oi").isNull(), F.col("a.__v")))
+    first = F.min(F.struct("__i", "__v")).over(Window.partitionBy(*chain, "__t"))
+    at = rows.withColumn("a", first).groupBy(*chain, "__t").agg(F.min("a").alias("a"), F.min(F.when(F.col("__v") != F.col("a.__v"), F.col("__i"))).alias("oi"))
+    at = at.withColumn("pure", F.when(F.col("oi").isNull(), F.col("a.__v")))
     order = by.orderBy("__t")
     same = F.col("pure").isNotNull() & F.lag("pure").over(order).eqNullSafe(F.col("pure"))
-    at = at.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order))
-    at = at.withColumn("here", F.struct(F.col("__t").alias("t"), F.col("a.__i").alias("i"), F.col("a.__v").alias("v"), "oi"))
-    runs = at.groupBy(*chain, "run").agg(F.min_by("here", "__t").alias("begins"))
-    runs = runs.select(*chain, "run", F.lead("begins").over(by.orderBy("run")).alias("two"))
-    at = at.join(runs, [*chain, "run"]).select(*chain, "__t", F.struct("here", "two").alias("g"))
+    at = at.withColumns({"here": F.struct(F.col("__t").alias("t"), F.col("a.__i").alias("i"), F.col("a.__v").alias("v"), "oi"), "same": same})
+    # What comes next is what came last in the opposite order: such a window is added up as it goes, one up to the end is not.
+    back = by.orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, -1)
+    two = F.last(F.when(~F.col("same"), F.col("here")), ignorenulls=True).over(back)  # the beginning of the next run
+    at = at.withColumn("two", two).select(*chain, "__t", F.struct("here", "two").alias("g"))
     every = at.unionByName(marks.select(*chain, "__t").distinct(), allowMissingColumns=True).groupBy(*chain, "__t").agg(F.max("g").alias("g"))
-    after = F.first("g", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("g", ignorenulls=True).over(back)
     return every.select(*chain, "__t", after.alias("g")).select(*chain, "__t", F.col("g.here").alias("__one"), F.col("g.two").alias("__two"))
 
 

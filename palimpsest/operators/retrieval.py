@@ -54,7 +54,7 @@ def index(docs: DataFrame, tokens: Column, id_: str = "evidence_id", observed: s
     """The index of a corpus; its texts are cut into tokens once."""
     each = docs.repartition(id_).select(F.col(id_).alias("evidence_id"), F.col(observed).alias("observed"), tokens.alias("t"))
     each = each.select("evidence_id", "observed", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-    posted = kept(each.groupBy("evidence_id", "observed", "dl", "term").agg(F.count("*").alias("tf")))
+    posted = kept(each.groupBy("evidence_id", "observed", "dl", "term").agg(F.count("*").alias("tf")), partitioned=True)
     words = posted.where(F.col("term").isNotNull())
     n = docs.count()
     total = words.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first()["n"]

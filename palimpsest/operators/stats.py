@@ -23,26 +23,58 @@ def hash_draw(replicate: Column, slot: Column, clusters: Column) -> Column:
 def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int, most: int = 100_000) -> DataFrame:
     """(by, replicate, mean): clusters drawn with replacement, the same draws for every metric.
 
-    Up to ``most`` clusters, the sums of a group are one row of arrays, which all tasks get, and a replicate is drawn and added
-    up within its row: nothing is shuffled. More clusters are joined to the draws, one row for each.
+    Up to ``most`` clusters, their sums go to all tasks, a replicate is drawn within its row, and the means of a batch of replicates are
+    products of how often each cluster is drawn and the sums: nothing is shuffled. More clusters are joined to the draws, one row for each.
     """
     units = sums.select(unit).distinct()
     numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(unit)) - 1)  # a row for each cluster
     clusters = units.count()
-    reps = sums.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     if clusters > most:
+        reps = sums.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
         draws = reps.join(F.broadcast(numbered.select("slot"))).select("replicate", hash_draw(F.col("replicate"), F.col("slot"), F.lit(clusters)).alias("slot"))
         counted = draws.groupBy("replicate", "slot").agg(F.count("*").alias("times"))
         joined = counted.join(numbered, "slot").join(sums, unit)
         return joined.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col("total")), F.sum(F.col("times") * F.col("n"))).alias("mean"))
-    cells = sums.select(*by).distinct().join(numbered).join(sums, [unit, *by], "left")
-    cell = F.struct("slot", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
-    groups = cells.groupBy(*by).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # a row for each metric, of at most ``most`` cells
-    # Exploding a single element keeps Spark from drawing once more for every use.
+    groups, total, count = _matrices(sums, unit, by)
+    schema = _schema(sums, by)
     drawn = F.transform(F.sequence(F.lit(0), F.lit(max(clusters, 1) - 1)), lambda slot: hash_draw(F.col("replicate"), slot, F.lit(max(clusters, 1))).cast("int"))
-    draws = reps.select("replicate", F.explode(F.array(drawn)).alias("draws"))
-    add = lambda name: F.aggregate("draws", F.lit(0.0), lambda acc, d: acc + F.get(F.col("cells"), d)[name])
-    return draws.join(F.broadcast(groups)).select(*by, "replicate", F.try_divide(add("total"), add("n")).alias("mean"))
+    slices = max(1, min(replicates, sums.sparkSession.sparkContext.defaultParallelism))
+    reps = sums.sparkSession.range(0, replicates, 1, slices).select(F.col("id").alias("replicate"))
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                times = np.stack([np.bincount(d, minlength=total.shape[1]) for d in part["draws"]]).astype(float)
+                yield from _means(groups, by, part["replicate"].to_numpy(), times, total, count)
+
+    return reps.select("replicate", drawn.alias("draws")).mapInPandas(run, schema)
+
+
+def _matrices(sums: DataFrame, unit: str, by: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(groups, totals, numbers) of all clusters in order, a row for each group: of clusters that are counted before."""
+    rows = sums.select(unit, *by, "total", "n").toPandas()
+    units = sorted(rows[unit].unique())
+    place = {u: i for i, u in enumerate(units)}
+    groups = [(key if isinstance(key, tuple) else (key,), g) for key, g in rows.groupby(by, dropna=False)]
+    total, count = (np.zeros((len(groups), len(units))) for _ in range(2))
+    for i, (_, g) in enumerate(groups):
+        at = g[unit].map(place).to_numpy()
+        total[i, at], count[i, at] = g["total"].fillna(0).to_numpy(), g["n"].to_numpy()
+    return [key for key, _ in groups], total, count
+
+
+def _schema(sums: DataFrame, by: list[str]) -> str:
+    kinds = dict(sums.dtypes)
+    return ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", "mean double"])
+
+
+def _means(groups: list[tuple], by: list[str], replicates: np.ndarray, times: np.ndarray, total: np.ndarray, count: np.ndarray):
+    """Rows of the means of some replicates, by how often each draws each cluster; NaN without any value."""
+    n, sums = times @ count.T, times @ total.T
+    mean = np.divide(sums, n, out=np.full(n.shape, np.nan), where=n > 0)
+    for i, key in enumerate(groups):
+        yield pd.DataFrame({**dict(zip(by, key)), "replicate": replicates, "mean": mean[:, i]})
 
 
 def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Statistics = Statistics(), block: int = 500, most: int = 1_000_000) -> DataFrame:
@@ -55,36 +87,24 @@ def bootstrap_by_generator(sums: DataFrame, unit: str, by: list[str], cfg: Stati
     spark: SparkSession = sums.sparkSession
     if (found := sums.select(unit).distinct().count()) > most:
         raise ValueError(f"{found} clusters are too many for one generator; use bootstrap_by_hash")
-    rows = sums.select(unit, *by, "total", "n").toPandas()
-    units = sorted(rows[unit].unique())
-    place = {u: i for i, u in enumerate(units)}
-    groups = [(key if isinstance(key, tuple) else (key,), g) for key, g in rows.groupby(by, dropna=False)]
-    total, count = (np.zeros((len(groups), len(units))) for _ in range(2))
-    for i, (_, g) in enumerate(groups):
-        at = g[unit].map(place).to_numpy()
-        total[i, at], count[i, at] = g["total"].fillna(0).to_numpy(), g["n"].to_numpy()
+    groups, total, count = _matrices(sums, unit, by)
+    clusters = total.shape[1]
     starts = spark.range(0, cfg.replicates, block, numPartitions=max(1, min(64, cfg.replicates // block)))
-    kinds = dict(sums.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "replicate long", "mean double"])
 
     def run(batches):
         rng, at = np.random.Generator(np.random.PCG64(cfg.seed)), 0
         for pdf in batches:
             for start in sorted(pdf["id"]):
-                left = (start - at) * len(units)
+                left = (start - at) * clusters
                 while left > 0:
-                    left -= len(rng.integers(0, len(units), min(left, most)))
+                    left -= len(rng.integers(0, clusters, min(left, most)))
                 at = min(start + block, cfg.replicates)
-                # How often each cluster is drawn in each replicate: the means are products of that and the sums.
-                times = np.zeros((at - start, len(units)))
-                for r in range(at - start):
-                    times[r] = np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units))
-                n, sums_ = times @ count.T, times @ total.T
-                mean = np.divide(sums_, n, out=np.full(n.shape, np.nan), where=n > 0)
-                for i, (key, _) in enumerate(groups):
-                    yield pd.DataFrame({**dict(zip(by, key)), "replicate": np.arange(start, at), "mean": mean[:, i]})
-
-    return starts.mapInPandas(run, schema)
+                for low in range(start, at, 64):
+                    high = min(low + 64, at)
+                    times = np.stack([np.bincount(rng.integers(0, clusters, clusters), minlength=clusters) for _ in range(low, high)]).astype(float)
+                    yield from _means(groups, by, np.arange(low, high), times, total, count)
+
+    return starts.mapInPandas(run, _schema(sums, by))
 
 
 def intervals(replicates: DataFrame, by: list[str], level: float = Statistics.level) -> DataFrame:

@@ -292,13 +292,13 @@ bo AS (SELECT method, metric, replicate, sum(times * total) / sum(times * n) AS
 
 @query(f"WITH {_BOOT} SELECT method, metric, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM bo GROUP BY 1, 2")
 def bootstrap_ci(spark, sf):
-    s = stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"])
+    s = kept(stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"]))
     return stats.intervals(stats.bootstrap_by_hash(s, "entity", ["method", "metric"], _B), ["method", "metric"])
 
 
 @query()
 def bootstrap_generator(spark, sf):
-    s = stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"])
+    s = kept(stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"]))
     return stats.intervals(stats.bootstrap_by_generator(s, "entity", ["method", "metric"], Statistics()), ["method", "metric"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +20,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(frame: DataFrame) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, else ``spark.checkpoint.dir``, else (in tests) a new local one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+    return context.getCheckpointDir()
+
+
+def kept(frame: DataFrame, partitioned: bool = False) -> DataFrame:
     """``frame``, computed once and read from the shared folder from then on, also when an executor is lost.
 
-    The folder is that of the session, else ``spark.checkpoint.dir``, else (in tests) a new local one.
+    A written table, or with ``partitioned`` a checkpoint, which keeps how the rows are dealt.
     """
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
-    return frame.checkpoint()
+    path = shared_dir(frame.sparkSession)
+    if partitioned:
+        return frame.checkpoint()
+    path = f"{path}/palimpsest-kept-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
