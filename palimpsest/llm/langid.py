@@ -135,20 +135,20 @@ def cut(data: bytes, window: int, overlap: int) -> np.ndarray:
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> ByteConvNet | None:
     """Train on rows (doc_id, text, lang). Nulls in either are left out; None if no label is left.
 
-    The sample is by a hash of doc_id, about ``docs_per_lang`` for each value of lang; the windows are cut by
-    Spark, so that only they reach the driver. Rows with equal ids are sampled together.
+    The sample is by a hash of the text, about ``docs_per_lang`` different texts for each value of lang, however often they or
+    their ids are repeated; the windows are cut by Spark, so that only they reach the driver.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.xxhash64("text").alias("key"), "text", "lang")
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, settings.docs_per_lang / counts[lang]))) for lang in langs])
     last = F.greatest(F.length("text") - F.lit(settings.window), F.lit(0))
-    cuts = [F.substring(F.col("text"), (1 + F.floor(spread(F.col("doc_id"), 100 + i) * (last + 1))).cast("int"), F.lit(settings.window)) for i in range(settings.windows_per_doc)]
-    picked = rows.where(spread(F.coalesce(F.col("doc_id"), F.lit(0)), settings.seed) < share)
-    sample = picked.select("doc_id", "lang", F.array_distinct(F.array(*cuts)).alias("cuts")).collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["cuts"]))
+    cuts = [F.substring(F.col("text"), (1 + F.floor(spread(F.col("key"), 100 + i) * (last + 1))).cast("int"), F.lit(settings.window)) for i in range(settings.windows_per_doc)]
+    picked = rows.where(spread(F.col("key"), settings.seed) < share)
+    sample = picked.select("key", "lang", F.array_distinct(F.array(*cuts)).alias("cuts")).distinct().collect()
+    sample.sort(key=lambda r: (r["key"], r["lang"], r["cuts"]))
     windows = [(cut(c.encode()[: settings.window], settings.window, max(settings.widths) - 1)[0], langs.index(r["lang"])) for r in sample for c in r["cuts"] if c]
     net = ByteConvNet(langs, settings)
     if windows:

@@ -173,15 +173,18 @@ def features(docs: DataFrame, *kept: str) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> AdditiveModel:
     """Train on the texts of ``docs`` whose ids have a non-null quality in ``labels``.
 
-    A bounded sample by a hash of doc_id; an id labelled more than once counts by its larger label. Without any
+    A bounded sample by a hash of doc_id; an id labelled more than once counts by its larger label, an id with several texts by the one with the
+    least hash, so that a sampled id is one row. Without any
     label the model gives every text the score 0.5; with labels of one class it gives that class's clipped share.
     """
     rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     share = min(1.0, settings.max_rows / max(rated.count(), 1))
     small_arrow_batches(spark)
     picked = rated.where(spread(F.col("doc_id"), settings.seed) < share)
-    sample = features(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "doc_id", "y").collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["features"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    sample = features(one, "doc_id", "y").collect()
+    sample.sort(key=lambda r: r["doc_id"])
     if not sample:
         zero = np.zeros((1, len(FEATURES)))
         return AdditiveModel(0.0, [c[:0] for c in zero.T], [np.zeros(1)] * len(FEATURES), [c[:0] for c in zero.T], [])

@@ -79,6 +79,41 @@ def test_conv_net_gradient_matches_differences():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
 
 
+def test_language_equals_a_plain_network():
+    """Brute force: every window, position, filter and byte one after the other."""
+    net = langid.ByteConvNet(["a", "b", "c"], langid.Settings(window=16, widths=(2, 4), filters=3, embedding=2))
+    net.bias[:], net.out_bias[:] = np.linspace(-0.1, 0.1, 6), [0.1, 0, -0.1]
+    texts = ["short", "x" * 40 + " äöü " + "mixed text of some length, and more", "", "ß" * 30]
+    langs, scores = langid.predict_texts(net, texts, group=2)
+    for text, lang, score in zip(texts, langs, scores):
+        data, step = text.encode(), 16 - 3
+        count = max(1, -(-max(len(data) - 3, 1) // step))
+        total, heavy = np.zeros(3), 0
+        for k in range(count):
+            window = list(data[k * step : k * step + 16]) + [256] * 16
+            hidden = []
+            for f in range(6):
+                width = (2, 4)[f // 3]
+                at = [sum(float(net.embed[window[p + o] if p + o < 16 else 256, e]) * float(net.filters[o * 2 + e, f]) for o in range(width) for e in range(2)) for p in range(16)]
+                hidden.append(max(0.0, max(at) + float(net.bias[f])))
+            logits = [sum(h * float(net.out[f, c]) for f, h in enumerate(hidden)) + float(net.out_bias[c]) for c in range(3)]
+            own = max(1, len(data[k * step : k * step + 16]))
+            total += np.exp(logits) / np.exp(logits).sum() * own
+            heavy += own
+        assert lang == "abc"[int(total.argmax())] and score == pytest.approx(total.max() / heavy, abs=1e-5)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """A third of all rows under one id, or under none, is one row of the sample of each text at most."""
+    rows = [(1, f"{PROSE} again", "en")] * 300 + [(None, f"{PROSE} and again", "de")] * 300 + [(i, f"{PROSE} {i}", "en") for i in range(2, 60)] + [(7, f"other {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs, langid.Settings(docs_per_lang=1000, windows_per_doc=1, epochs=1))
+    assert net.langs == ["de", "en"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    model = quality.fit(spark, docs, labels, quality.Settings(rounds=5, pair_rounds=2))
+    assert model.intercept == pytest.approx(np.log((30 / 59) / (29 / 59)))  # each id once
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 40, 576 * 40 + 3])
 def test_media_round_trip(n):
     data = bytes(random.Random(n).randrange(256) for _ in range(n))
@@ -376,6 +411,20 @@ def test_quality_model_learns_a_pair():
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.93
 
 
+def test_quality_equals_a_plain_sum(spark, sf):
+    """Brute force: table entries found by counting edges, one text and one feature after the other."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(spark, docs, labels.where(id_text_crc(F.col("doc_id"), 5) != 0))
+    got = {r["doc_id"]: r["score"] for r in queries.op9_quality_classifier(spark, sf).collect()}
+    for r in docs.collect():
+        x = quality.measure(r["text"])
+        place = lambda edges, i: sum(e <= x[i] for e in edges[i])
+        total = model.intercept + sum(t[place(model.edges, i)] for i, t in enumerate(model.tables))
+        for i, j, t in model.pairs:
+            total += t[place(model.pair_edges, i) * (len(model.pair_edges[j]) + 1) + place(model.pair_edges, j)]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_quality_tree_has_few_leaves():
     value = quality.shallow_tree(np.array([1.0, 1, -1, -1, 2, 2, 0, 0]), np.ones(8), np.full(8, 100), 2, 10)
     assert len(np.unique(value)) <= 4 and value[0] > value[2]
