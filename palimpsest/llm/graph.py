@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Scratch, join_counted
+from palimpsest.llm.common import SHARES, Scratch
 
 
 def _with_least(pairs: DataFrame, total: int) -> DataFrame:
-    """(u, v) with m, the least of u and all its v. A hub's many rows are not gathered: its least is broadcast to them."""
+    """(u, v) with m, the least of u and all its v.
+
+    A hub has at least one row in SHARES: there are no more hubs than that, so their numbers go to the plan and their
+    least values to all tasks, and none of their rows is shuffled.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return join_counted(pairs, least, ["u"], "n", total)
+    hubs = least.where(F.col("n") >= max(2.0, total / SHARES)).select("u", "m").collect()
+    if not hubs:
+        return pairs.join(least.select("u", "m").hint("merge"), "u")
+    table = pairs.sparkSession.createDataFrame([tuple(r) for r in hubs], "u long, m long")
+    many = F.col("u").isin([r["u"] for r in hubs])
+    others = pairs.where(~many).join(least.where(~many).select("u", "m").hint("merge"), "u")
+    return pairs.where(many).join(F.broadcast(table), "u").unionByName(others)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

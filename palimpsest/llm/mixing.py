@@ -4,9 +4,10 @@ Native: DataFrame functions only.
 
 Tokens are summed over all documents by cell, a cell being one combination of source, language and topic. The cells' weights
 are raked: scaled to the target share of each source, then of each language, then of each topic, round after round,
-until all margins fit. A document is then sampled with its cell's probability, which is proportional to fitted over
-observed weight, by a hash of its id. The factor is the largest that leaves every probability at most 1, so the sample's expected
-margins are the targets; a wanted part of all tokens that needs a larger factor is not given.
+until all margins fit. A document is then sampled by a hash of its id with its cell's probability: fitted over observed weight,
+times the part of all tokens that is wanted. No document is taken more than once, so no cell gets more than it has: what a
+cell can't take goes to the others round after round, and a margin's value that has too little for its target is taken whole, the
+other targets growing in proportion.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ CUT = 3
 FLATTEN = 0.5
 #: Cells that one task may rake; more are raked over shuffles.
 ONE_TASK_CELLS = 100_000
+#: Tokens to be sampled, as a part of all.
+FRACTION = 0.2
+#: Rounds in which targets that cannot be had are lowered.
+FILL = 8
 #: Digits of the md5 that make a document's number in [0, 1).
 DIGITS = 12
 #: Patterns of the topics, the first that matches names it. They stand in for a topic column, where there is none.
@@ -56,27 +61,38 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def targets(cells: DataFrame, name: str, power: float, given: dict[str, float] | None) -> DataFrame:
-    """value, share of one margin: as ``given`` (values not named get nothing), else observed tokens to the ``power``."""
+def targets(cells: DataFrame, name: str, power: float, given: dict[str, float] | None, fraction: float | None = None) -> DataFrame:
+    """value, share of one margin: as ``given`` (values not named get nothing), else observed tokens to the ``power``.
+
+    With ``fraction`` a value gets no more than all it has, and what that leaves over goes to the others in proportion.
+    """
     seen = cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("tokens"))
     if given is None:
         raw = F.pow(F.col("tokens").cast("double"), F.lit(power))
     else:
         raw = F.coalesce(*[F.when(F.col("value") == k, F.lit(float(v))) for k, v in given.items()], F.lit(0.0))
-    total = seen.agg(F.sum(raw).alias("total"))
-    return seen.join(F.broadcast(total)).select("value", (raw / F.col("total")).alias("share"))
+    whole = Window.partitionBy()  # a row for each value of the margin
+    room = F.col("tokens") / (F.sum("tokens").over(whole) * F.lit(float(fraction))) if fraction else F.lit(float("inf"))
+    rated = seen.withColumns({"raw": raw, "room": room}).withColumn("share", F.col("raw") / F.sum("raw").over(whole))
+    full = F.col("share") >= F.col("room")
+    for _ in range(FILL if fraction else 0):
+        sums = {"taken": F.sum(F.when(full, F.col("room")).otherwise(0.0)).over(whole), "rest": F.sum(F.when(full, 0.0).otherwise(F.col("raw"))).over(whole)}
+        rated = rated.withColumns(sums).withColumn("share", F.when(full, F.col("room")).otherwise(F.try_divide(F.col("raw") * (1 - F.col("taken")), F.col("rest"))))
+    return rated.select("value", "share")
 
 
-def rake(cells: DataFrame, scratch: Scratch, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def rake(cells: DataFrame, scratch: Scratch, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, fraction: float | None = None) -> DataFrame:
     """cells (source, lang, topic, tokens) with ``fitted``: shares whose margins are the targets.
 
-    ``given`` may name targets for a margin; observed cells stay the only ones, and a value without target gets weight 0. After each
-    round the topics fit exactly, the other margins up to what the rounds left.
+    ``given`` may name targets for a margin; observed cells stay the only ones, and a value without target gets weight 0. With ``fraction`` no
+    cell gets more than all it has. The margins fit up to what the rounds left.
     """
     count = cells.count()
-    fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    whole = cells.agg(F.sum("tokens").alias("all_tokens"))
+    cap = F.col("tokens") / (F.col("all_tokens") * F.lit(float(fraction))) if fraction else F.lit(float("inf"))
+    fitted = cells.join(F.broadcast(whole)).select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("fitted"), cap.alias("cap"))
     for name in MARGINS:
-        share = targets(cells, name, power, (given or {}).get(name)).select(F.col("value").alias(name), F.col("share").alias(f"{name}_share"))
+        share = targets(cells, name, power, (given or {}).get(name), fraction).select(F.col("value").alias(name), F.col("share").alias(f"{name}_share"))
         fitted = fitted.join(share, name)
     fitted = scratch.keep(fitted, "cells")
     for done in range(1, rounds + 1):
@@ -84,7 +100,7 @@ def rake(cells: DataFrame, scratch: Scratch, power: float = FLATTEN, rounds: int
             fitted = fitted.coalesce(1)
         for name in MARGINS:
             total = F.sum("fitted").over(Window.partitionBy(name))
-            fitted = fitted.withColumn("fitted", F.when(total > 0, F.col("fitted") * F.col(f"{name}_share") / total).otherwise(F.lit(0.0)))
+            fitted = fitted.withColumn("fitted", F.when(total > 0, F.least(F.col("fitted") * F.col(f"{name}_share") / total, F.col("cap"))).otherwise(F.lit(0.0)))
         if done % CUT == 0 or done == rounds:
             fitted = scratch.keep(fitted, f"raked-{done}")
     return fitted.select(*MARGINS, "tokens", "fitted")
@@ -103,16 +119,14 @@ def celled(docs: DataFrame, by: Column | None = None) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), *named, told.alias("__topic"), token_weight(F.col("text")).alias("__tokens"))
 
 
-def calibrate(spark: SparkSession, weights: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def calibrate(spark: SparkSession, weights: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """__source, __lang, __topic and __probability of every cell of ``weights`` (those and __tokens)."""
     scratch = Scratch(spark, "mixing")
     cells = scratch.keep(weights.groupBy(*CELL).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(dict(zip(CELL, MARGINS))), "observed")
-    fitted = scratch.keep(rake(cells, scratch, power, rounds, given), "fitted")
+    fitted = scratch.keep(rake(cells, scratch, power, rounds, given, fraction), "fitted")
     ratio = F.col("fitted") / F.col("tokens")
     total = fitted.agg(F.sum("tokens").alias("all_tokens"), F.max(ratio).alias("most"))
-    factor = F.try_divide(F.lit(1.0), F.col("most"))
-    if fraction is not None:
-        factor = F.least(factor, F.col("all_tokens") * F.lit(float(fraction)))
+    factor = F.try_divide(F.lit(1.0), F.col("most")) if fraction is None else F.col("all_tokens") * F.lit(float(fraction))
     probability = F.coalesce(F.least(ratio * factor, F.lit(1.0)), F.lit(0.0)).alias("__probability")  # the least takes off what rounding adds
     rates = scratch.keep(fitted.join(F.broadcast(total)).select(*[F.col(m).alias(c) for m, c in zip(MARGINS, CELL)], probability), "rates")
     scratch.drop(*(set(scratch.names()) - {"rates"}))
@@ -120,14 +134,14 @@ def calibrate(spark: SparkSession, weights: DataFrame, fraction: float | None =
 
 
 def mix(
-    spark: SparkSession, docs: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
+    spark: SparkSession, docs: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability and sampled (boolean) of every row of ``docs``.
 
     docs has doc_id, text, source, lang; a null source or language is the value ``-``; ``by`` is a topic column, if there is one.
-    The probability is the cell's fitted share over its observed share, times one factor for all: the largest that leaves
-    all at most 1 or, if that is smaller, the one that samples ``fraction`` of the tokens. So the sample's expected margins
-    are the targets. Rows that share a doc_id are sampled together if their cells are the
+    The probability is the cell's fitted share over its observed share, times ``fraction``. It is at most 1 without being cut:
+    see ``rake`` and ``targets``. Without ``fraction`` targets are not lowered, and the factor is the largest that
+    leaves all probabilities at most 1, however small the sample. Rows that share a doc_id are sampled together if their cells are the
     same. An empty table gives no row.
     """
     each = Scratch(spark, "weights").keep(celled(docs, by).select("row.doc_id", *CELL, "__tokens"), "each")
@@ -137,7 +151,7 @@ def mix(
 
 
 def sample(
-    spark: SparkSession, docs: DataFrame, fraction: float | None = None, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
+    spark: SparkSession, docs: DataFrame, fraction: float | None = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, given: dict[str, dict[str, float]] | None = None, seed: int = 11, by: Column | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that ``mix`` samples, with their columns and probability, which takes the place of a column of that name."""
     own = celled(docs, by)
@@ -146,23 +160,25 @@ def sample(
     return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "probability"], F.col("__probability").alias("probability"))
 
 
-def oracle(power: float = FLATTEN, rounds: int = ROUNDS, seed: int = 11) -> str:
+def oracle(fraction: float = FRACTION, power: float = FLATTEN, rounds: int = ROUNDS, seed: int = 11) -> str:
     """The same in DuckDB's SQL, round by round."""
     topics = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in TOPICS)
     parts = [
         f"each AS (SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, CASE {topics} ELSE 'prose' END AS topic, "
         "length(coalesce(text, '')) - length(replace(replace(coalesce(text, ''), ' ', ''), chr(10), '')) + 1 AS tokens FROM documents)",
-        "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM each GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM each GROUP BY ALL)",
     ]
     for name in MARGINS:
-        parts.append(f"seen_{name} AS (SELECT {name}, pow(sum(tokens), {power}) AS raw FROM cells GROUP BY {name})")
-        parts.append(f"target_{name} AS (SELECT {name}, raw / (SELECT sum(raw) FROM seen_{name}) AS share FROM seen_{name})")
-    parts.append("step_0 AS MATERIALIZED (SELECT *, tokens AS fitted FROM cells)")
+        parts.append(f"{name}_0 AS MATERIALIZED (SELECT {name}, pow(sum(tokens), {power}) AS raw, sum(tokens) / ((SELECT sum(tokens) FROM cells) * {fraction}::DOUBLE) AS room, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share FROM cells GROUP BY {name})")
+        for i in range(FILL):
+            free, rest = "(1 - sum(CASE WHEN share >= room THEN room ELSE 0 END) OVER ())", "nullif(sum(CASE WHEN share >= room THEN 0 ELSE raw END) OVER (), 0)"
+            parts.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN share >= room THEN room ELSE raw * {free} / {rest} END AS share) FROM {name}_{i})")
+    parts.append(f"step_0 AS MATERIALIZED (SELECT *, tokens AS fitted, tokens / ((SELECT sum(tokens) FROM cells) * {fraction}::DOUBLE) AS cap FROM cells)")
     step = 0
     for _ in range(rounds):
         for name in MARGINS:
-            parts.append(f"step_{step + 1} AS MATERIALIZED (SELECT c.* REPLACE (c.fitted * t.share / sum(c.fitted) OVER (PARTITION BY c.{name}) AS fitted) FROM step_{step} c JOIN target_{name} t USING ({name}))")
+            parts.append(f"step_{step + 1} AS MATERIALIZED (SELECT c.* REPLACE (least(c.fitted * t.share / sum(c.fitted) OVER (PARTITION BY c.{name}), c.cap) AS fitted) FROM step_{step} c JOIN {name}_{FILL} t USING ({name}))")
             step += 1
-    parts.append(f"rates AS (SELECT source, lang, topic, least(fitted / tokens / (SELECT max(fitted / tokens) FROM step_{step}), 1.0) AS probability FROM step_{step})")
+    parts.append(f"rates AS (SELECT source, lang, topic, least(fitted / tokens * (SELECT sum(tokens) FROM step_{step}) * {fraction}::DOUBLE, 1.0) AS probability FROM step_{step})")
     number = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, {DIGITS}))::BIGINT / {16**DIGITS}.0"
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, {number} < probability AS sampled FROM each JOIN rates USING (source, lang, topic)"
