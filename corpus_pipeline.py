@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected token shares by source, language and topic are the targets, with its probabilities.
 
-    As large as that allows without repeating a document: the factor is the largest that leaves every probability at most 1.
+    No document is taken twice: a value with too little for its target is taken whole, see ``mixing.targets``.
     """
     return mixing.sample(spark, docs)
 
