@@ -1,4 +1,4 @@
-"""Command line: ``python -m palimpsest timeline|corpus|rank ...``."""
+"""Command line: ``python -m palimpsest timeline|corpus|audit|rank ...``."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from palimpsest.plans import lifecycle
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="palimpsest")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, needs in {"timeline": ("history-dir", "out"), "corpus": ("intervals", "out"), "rank": ("corpus", "queries", "out")}.items():
+    for name, needs in {"timeline": ("history-dir", "out"), "corpus": ("intervals", "out"), "audit": ("out",), "rank": ("corpus", "queries", "out")}.items():
         sub = commands.add_parser(name)
         for need in needs:
             sub.add_argument(f"--{need}", required=True)
@@ -22,6 +22,8 @@ def main(args: list[str] | None = None) -> int:
         lifecycle.build_timeline(spark, given.history_dir, given.out)
     elif given.command == "corpus":
         lifecycle.build_corpus(spark, spark.read.parquet(given.intervals), given.out)
+    elif given.command == "audit":
+        lifecycle.audit_corpus(spark, given.out)
     else:
         lifecycle.prepare(spark)
         documents, queries = spark.read.parquet(given.corpus), spark.read.parquet(given.queries)

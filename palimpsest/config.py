@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+from datetime import datetime, timezone
+from pathlib import Path
+from typing import Any
 
 MISSING, UNKNOWN, NULL, EMPTY, TRUNCATED = "[MISSING]", "[UNKNOWN]", "[NULL]", "[EMPTY]", "...[TRUNCATED]"
 DAY = 86_400_000_000  # microseconds
@@ -67,3 +71,44 @@ class Statistics:
     alpha: float = 0.05
     capacity: int = 10
     tolerance: float = 1e-12
+
+
+def instant(value: str | datetime) -> str:
+    """A configured time in UTC; one without a time zone is an error."""
+    at = value if isinstance(value, datetime) else datetime.fromisoformat(value)
+    if at.tzinfo is None:
+        raise ValueError(f"a configured time needs a time zone: {value}")
+    return at.astimezone(timezone.utc).isoformat()
+
+
+def read(path: str | Path) -> dict[str, Any]:
+    """A configuration file: JSON by its name, else YAML. An empty one has no settings."""
+    given = Path(path).read_text(encoding="utf-8-sig")
+    if str(path).endswith(".json"):
+        return json.loads(given) or {}
+    import yaml
+
+    return yaml.safe_load(given) or {}
+
+
+def load(kind: type, path: str | Path, section: str | None = None):
+    """One of the classes above from a file or a section of it; what isn't given keeps its default, an unknown name is an error."""
+    given = read(path)
+    given = given if section is None else given[section]
+    if unknown := sorted(set(given) - {f.name for f in fields(kind)}):
+        raise ValueError(f"unknown settings of {kind.__name__}: {unknown}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def load_timeline(path: str | Path, aliases: str | Path | None = None) -> Timeline:
+    """The timeline's settings from its file and that of the source aliases. The names of the settings in both."""
+    given, names = read(path), read(aliases).get("aliases") or [] if aliases else None
+    own = {
+        "window_start": instant(given["observation_window"]["start"]),
+        "window_end": instant(given["observation_window"]["end"]),
+        "detail_types": tuple(given["timeline"]["supported_detail_types"]),
+        "main_types": tuple(given["timeline"]["main_replacement_types"]),
+    }
+    if names is not None:
+        own["aliases"] = {a["raw_identifier"]: a["normalized_source_key"] for a in names}
+    return Timeline(**own)

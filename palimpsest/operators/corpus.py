@@ -41,6 +41,31 @@ def documents(intervals: DataFrame, splits: DataFrame | None = None, lookup: Col
     )
 
 
+def with_published(rows: DataFrame, published: DataFrame, lookup: Column | None = None) -> DataFrame:
+    """Adds reported_score, reported_score_type and reported_score_matches: what the source published for this very vector, and how it
+    relates to the computed scores.
+
+    rows: cve_id, source_identifier_raw, cvss_version, vector; published: as of ``changelog.reported_scores``, one row a key. Without a
+    published score the type says so; a null in any of the four keys finds none.
+    """
+    p = published.select(
+        F.col("cve_id").alias("__cve"), F.col("source").alias("__source"), F.col("version").alias("__version"), F.col("vector").alias("__vector"),
+        F.col("reported_score").alias("__score"), F.col("reported_severity").alias("__severity"),
+    )
+    version, vector = F.col("cvss_version"), vectors.canonical_vector(F.col("vector"))
+    on = (F.col("cve_id") == F.col("__cve")) & (F.col("source_identifier_raw") == F.col("__source")) & (version == F.col("__version")) & (vector == F.col("__vector"))
+    found = rows.join(p, on, "left").withColumn("__m", vectors.components(F.col("vector")))
+    base, none = scores.base_score(version, F.col("__m"), F.col("vector"), lookup), F.lit(None).cast("double")
+    js, bt = base, none
+    if lookup is not None:
+        valid = (version == "4.0") & scores.valid_v4(F.col("vector"), F.col("__m"))
+        js = F.when(version == "4.0", F.when(valid, scores.score_v4(scores.keep_groups_v4(F.col("__m"), False), lookup, "js"))).otherwise(base)
+        bt = F.when(valid, scores.score_v4(scores.keep_groups_v4(F.col("__m"), True), lookup))
+    kind = scores.reported_kind(version, F.col("__base"), F.col("__js"), F.col("__bt"), F.col("__score"), F.col("__severity"))
+    told = found.withColumns({"__base": base, "__js": js, "__bt": bt}).withColumn("reported_score_type", kind)
+    return told.select(*rows.columns, F.col("__score").alias("reported_score"), "reported_score_type", F.col("reported_score_type").isin("ROUNDING_BOUNDARY_EQUIVALENT", "CVSS-B", "CVSS-BT").alias("reported_score_matches"))
+
+
 def eligibility(forbidden: tuple[str, ...] = Queries().forbidden) -> Column:
     """Why a corpus row is not admitted: the first rule that fails, or null."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""

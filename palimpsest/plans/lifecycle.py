@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import Queries, Retrieval, Splits, Timeline
 from palimpsest.functions import text, times
-from palimpsest.operators import corpus, evaluate, pit, ranking, replay, retrieval, splits, timeline
+from palimpsest.operators import corpus, evaluate, gates, pit, ranking, replay, retrieval, splits, timeline
 from palimpsest.session import kept, prepare
 from palimpsest.sources import changelog
 
@@ -47,6 +47,16 @@ def build_corpus(spark: SparkSession, intervals: DataFrame, out: str, lookup: Co
     return {name: spark.read.parquet(f"{out}/{name}") for name in parts}
 
 
+def audit_corpus(spark: SparkSession, out: str, counts: dict[str, int] | None = None, q: Queries = Queries(), window: Timeline = Timeline()) -> DataFrame:
+    """The gates of the corpus and questions under ``out``, written there; raises if one has not passed."""
+    prepare(spark)
+    bounds = tuple(int(pd.Timestamp(x).value // 1000) for x in (window.window_start, window.window_end))
+    gates.corpus_gates(spark.read.parquet(f"{out}/corpus"), spark.read.parquet(f"{out}/queries"), bounds, counts, q.forbidden).write.mode("overwrite").parquet(f"{out}/gates")
+    made = spark.read.parquet(f"{out}/gates")
+    gates.require(made)
+    return made
+
+
 def judge(lists: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds label, relation and class to (query_id, evidence_id, ...)."""
     q = queries.select("query_id", F.col("cve_id").alias("q_cve"), F.col("source_key").alias("q_source"), F.col("cvss_version").alias("q_version"), "query_time")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import Statistics
 from palimpsest.functions import text
-from palimpsest.operators import evaluate, gates, pit, ranking, retrieval, stats
+from palimpsest.operators import diagnostics, evaluate, gates, pit, ranking, retrieval, stats
 from palimpsest.operators.ranking import DECIMALS
 from palimpsest.plans.catalogue import query
 from palimpsest.plans.scalar import TOKENS, _TOKENS
@@ -244,13 +245,53 @@ def scope_comparison(spark, sf):
 
 @query(f"WITH {_FLAG} SELECT CASE WHEN class = 'TARGET_OUTDATED' THEN 'TARGET_CHAIN_OUTDATED' WHEN e_source <> source THEN 'SAME_CVE_OTHER_SOURCE_INFERRED_SUPERSEDED' WHEN class <> 'TARGET_CURRENT' THEN 'UNLABELED_CHAIN_CONTEXT' ELSE 'OTHER' END AS category, count(*) AS occurrences, count(DISTINCT evidence_id) AS evidence, count(DISTINCT entity) AS entities, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM flag WHERE superseded GROUP BY 1")
 def suppression_audit(spark, sf):
-    from pyspark.sql import Window
-
     category = pit.suppression_category(F.col("class"), F.lit(True), F.col("source") == F.col("q_source"), F.lit(True))
     a = flagged(spark, sf).where("superseded").groupBy(category.alias("category")).agg(F.count("*").alias("occurrences"), F.count_distinct("evidence_id").alias("evidence"), F.count_distinct("entity").alias("entities"))
     return a.withColumn("share", F.col("occurrences") / F.sum("occurrences").over(Window.partitionBy()))
 
 
+_COUNTERS = {
+    "l": {
+        "candidates": "count(*)", "suppressed": "count(*) FILTER (WHERE superseded)",
+        **{f"candidates_{c}": f"count(*) FILTER (WHERE class = '{c}')" for c in pit.CLASSES}, **{f"suppressed_{c}": f"count(*) FILTER (WHERE superseded AND class = '{c}')" for c in pit.CLASSES},
+        "candidates_open": "count(*) FILTER (WHERE valid_until IS NULL)", "suppressed_open": "count(*) FILTER (WHERE superseded AND valid_until IS NULL)",
+    },
+    "w": {
+        "witness_of_same_value": "count(*) FILTER (WHERE wv = value)", "witness_of_other_chain": "count(*) FILTER (WHERE we <> entity OR ws <> e_source)",
+        "witness_from_the_future": "count(*) FILTER (WHERE wt > query_time)", "witness_reversal": "count(*) FILTER (WHERE wr)",
+    },
+    "q": {
+        "queries": "count(*)", "queries_with_signal": "count(*) FILTER (WHERE gone > 0)", "queries_with_capacity": "count(*) FILTER (WHERE kept >= 10)", "queries_without_capacity": "count(*) FILTER (WHERE kept < 10)",
+        "queries_with_forced_stale": "count(*) FILTER (WHERE forced > 0)", "queries_with_same_list": "count(*) FILTER (WHERE same)", "stale_at_k": "coalesce(sum(stale), 0)", "forced_stale_at_k": "coalesce(sum(forced), 0)",
+        "stale_at_k_with_capacity": "coalesce(sum(stale) FILTER (WHERE kept >= 10), 0)", "mean_suppressed": "avg(gone)", "stale_rate_with_capacity": "avg(stale / 10.0::DOUBLE) FILTER (WHERE kept >= 10)",
+    },
+}
+_LISTED = f"""{_FLAG}, fw AS (SELECT p.query_id, p.evidence_id, min_by(w.evidence_id, (w.valid_from, w.evidence_id)) AS witness FROM pool p JOIN a2 w ON w.entity = p.entity AND w.source = p.e_source AND w.valid_from > p.valid_from AND w.valid_from <= p.query_time AND w.value <> p.value GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY superseded, rank) AS nr, row_number() OVER (PARTITION BY query_id ORDER BY direct, rank) AS dr FROM flag),
+w AS (SELECT l.*, a.value AS wv, a.entity AS we, a.source AS ws, a.valid_from AS wt, a.reversal AS wr FROM l JOIN fw USING (query_id, evidence_id) JOIN a2 a ON a.evidence_id = fw.witness),
+q AS (SELECT query_id, count(*) FILTER (WHERE superseded) AS gone, count(*) FILTER (WHERE NOT superseded) AS kept, count(*) FILTER (WHERE nr <= 10 AND class = 'TARGET_OUTDATED') AS stale, count(*) FILTER (WHERE superseded AND nr <= 10 AND class = 'TARGET_OUTDATED') AS forced, bool_and(nr = dr) AS same FROM l GROUP BY 1)"""
+
+
+def _listed(spark, sf):
+    """Lists of the rule over all chains, with each candidate's place in those of the direct rule."""
+    listed = kept(rules(spark, sf)["rule_corpus"])
+    return listed.withColumn("other_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("direct", "prior_rank")))
+
+
+@query(f"WITH {_LISTED} " + " UNION ALL ".join(f"SELECT '{name}' AS counter, round(CAST({sql} AS DOUBLE), 6) AS value FROM {view}" for view, each in _COUNTERS.items() for name, sql in each.items()))
+def rule_diagnostics(spark, sf):
+    rows = A.intervals(spark, sf)
+    return diagnostics.rule_counts(_listed(spark, sf), rows, CHAIN, "value", "valid_from", flags={"open": F.col("valid_until").isNull()}, witness_flags={"reversal": F.col("reversal")})
+
+
+@query(
+    f"WITH {_LISTED}, k AS (SELECT 'right' AS kind, query_id, nr, evidence_id FROM l WHERE superseded AND class = 'TARGET_OUTDATED' UNION ALL SELECT 'wrong', query_id, nr, evidence_id FROM l WHERE superseded AND class = 'TARGET_CURRENT' UNION ALL SELECT 'current_kept', query_id, nr, evidence_id FROM l WHERE NOT superseded AND class = 'TARGET_CURRENT'), f AS (SELECT kind, query_id, min_by(evidence_id, nr) AS evidence_id, min(nr) AS rank FROM k GROUP BY 1, 2) SELECT * FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY query_id) AS n, query_id, evidence_id, rank FROM f) WHERE n <= 5"
+)
+def rule_examples(spark, sf):
+    gone, is_ = F.col("suppressed"), lambda c: F.col("class") == c
+    return diagnostics.examples(_listed(spark, sf), {"right": gone & is_("TARGET_OUTDATED"), "wrong": gone & is_("TARGET_CURRENT"), "current_kept": ~gone & is_("TARGET_CURRENT")})
+
+
 _FAULTY = f"""{POOL}, bad AS (SELECT query_id, evidence_id, CASE WHEN rank = 7 THEN rank + 1 ELSE rank END AS rank, CASE WHEN entity % 5 = 0 AND rank = 3 THEN 'NaN'::DOUBLE ELSE score END AS score, CASE WHEN entity % 7 = 0 AND rank = 2 THEN query_time + 1 ELSE valid_from END AS valid_from, query_time FROM pool
   UNION ALL SELECT query_id, evidence_id, rank, score, valid_from, query_time FROM pool WHERE entity % 11 = 0 AND rank = 1),
 per AS (SELECT query_id, bool_or(valid_from > query_time) AS future, bool_or(isnan(score)) AS nan, count(*) <> count(DISTINCT evidence_id) AS twice, max(rank) <> count(*) AS gap FROM bad GROUP BY 1)"""

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from palimpsest.plans import catalogue, lifecycle
@@ -103,6 +104,11 @@ def test_end_to_end(spark, tmp_path):
     assert q.count() + c["excluded_queries"].count() == 48 and q.where("query_role = 'POST_REPLACEMENT_MAIN'").count() == 24
     row = q.where("query_role = 'POST_REPLACEMENT_MAIN'").first()
     assert row["answer_evidence_id"] == row["replacing_new_evidence_id"] and row["replaced_old_evidence_id"] in row["outdated_evidence_ids"] and set(row["current_evidence_ids"]) <= set(row["visible_evidence_ids"])
+    counts = {r["split"]: r["n"] for r in q.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    audited = lifecycle.audit_corpus(spark, str(tmp_path / "c"), counts)
+    assert audited.count() == 19 and audited.agg(F.sum("violations")).first()[0] == 0
+    with pytest.raises(RuntimeError, match="counts_as_listed"):
+        lifecycle.audit_corpus(spark, str(tmp_path / "c"), {"train": 0})
     main = q.where("query_role = 'POST_REPLACEMENT_MAIN'")
     found = lifecycle.retrieve(main, c["corpus"])
     lists = lifecycle.rerank_by_rules(found, c["corpus"]).persist()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.config import Splits, Statistics
-from palimpsest.operators import corpus, evaluate, gates, learn, pit, ranking, retrieval, splits, stats
+from palimpsest.operators import corpus, diagnostics, evaluate, gates, learn, pit, ranking, retrieval, splits, stats
 from palimpsest.sources import files
 
 
@@ -276,6 +276,80 @@ def test_gates(spark):
         gates.require(gates.list_gates(good.where("rank <> 2")))
 
 
+EVIDENCE = {"evidence_id": "e", "cve_id": "C", "source_key": "s", "cvss_version": "3.1", "base_vector": "AV:N", "base_score": 7.0, "bt_score": None, "valid_from": 2, "valid_until": 9, "observed_from": 2, "valid_from_censored": False, "activation_event_id": "a", "replaced_by_evidence_id": "zz", "evidence_text": "As of then."}
+ASKED = {"query_id": "q", "split": "test", "cve_id": "C", "source_key": "s", "cvss_version": "3.1", "query_role": "POST_REPLACEMENT_MAIN", "answer_evidence_id": "e", "replacing_new_evidence_id": "e", "answer_base_vector": "AV:N", "answer_base_score": 7.0, "multiple_current_targets": False, "current_evidence_ids": ["e"], "outdated_evidence_ids": ["o"], "visible_evidence_ids": ["e"], "query_time": 5}
+EVIDENCE_TYPES = "evidence_id string, cve_id string, source_key string, cvss_version string, base_vector string, base_score double, bt_score double, valid_from long, valid_until long, observed_from long, valid_from_censored boolean, activation_event_id string, replaced_by_evidence_id string, evidence_text string"
+ASKED_TYPES = "query_id string, split string, cve_id string, source_key string, cvss_version string, query_role string, answer_evidence_id string, replacing_new_evidence_id string, answer_base_vector string, answer_base_score double, multiple_current_targets boolean, current_evidence_ids array<string>, outdated_evidence_ids array<string>, visible_evidence_ids array<string>, query_time long"
+
+
+def test_corpus_gates_fire_one_by_one(spark):
+    other = ASKED | {"query_id": "q2", "split": "dev", "cve_id": "D"}
+    cases = [
+        ([], [], set()),
+        ([{"evidence_text": "the Former one"}], [], {"text_without_label_words"}),
+        ([{"evidence_text": "see zz"}], [], {"text_without_successor"}),
+        ([{"valid_from_censored": True}], [], {"censored_sentence"}),
+        ([{"activation_event_id": None}], [], {"start_is_an_activation"}),
+        ([{}], [{}, {"query_id": "q"}], {"query_ids_unique"}),
+        ([{}], [{}, {"split": "train"}], {"query_ids_unique", "one_split", "test_entities_apart"}),
+        ([{}], [{}, {"split": "future_event"}], {"query_ids_unique", "one_split", "future_events_not_in_test"}),
+        ([{}], [{}, other | {"cve_id": "C"}], {"test_entities_apart"}),
+        ([{}], [{"source_key": "x"}], {"target_in_its_chain"}),
+        ([{}], [{"current_evidence_ids": []}], {"main_has_current"}),
+        ([{}], [{"outdated_evidence_ids": None}], {"main_has_outdated"}),
+        ([{"valid_until": None}], [{"query_time": 50}], {"times_in_window"}),
+        ([{}], [{"answer_base_vector": None}], {"answer_is_the_documents"}),
+        ([{"bt_score": 5.0}], [{"answer_base_score": 5.0}], {"answer_is_the_documents", "answer_is_not_the_threat_score"}),
+        ([{}], [{"multiple_current_targets": True}], {"one_current_target"}),
+        ([{}], [{"query_time": 9}], {"before_the_next_replacement"}),
+        ([{"observed_from": 6}], [], {"nothing_from_the_future"}),
+        ([{}], [{"visible_evidence_ids": ["e", "unknown"]}], {"nothing_from_the_future"}),
+    ]
+    for docs, asked, want in cases:
+        e = spark.createDataFrame([tuple((EVIDENCE | d).values()) for d in docs or [{}]], EVIDENCE_TYPES)
+        q = spark.createDataFrame([tuple((ASKED | a).values()) for a in asked or [{}]], ASKED_TYPES)
+        assert {r["gate"] for r in gates.corpus_gates(e, q, (0, 20)).where("NOT passed").collect()} == want
+    twice = gates.corpus_gates(e.unionByName(e.withColumn("observed_from", F.lit(1).cast("long"))), q.limit(0), (0, 20), {"test": 1})
+    assert {r["gate"] for r in twice.where("NOT passed").collect()} == {"evidence_ids_unique", "counts_as_listed"} and twice.count() == 19
+    assert gates.corpus_gates(e.limit(0), q.limit(0), (0, 20), {}).where("NOT passed").count() == 0
+
+
+def test_rule_counts_of_nothing_and_examples_with_ties(spark):
+    p = pool(spark).withColumns({"suppressed": F.col("class") == "TARGET_OUTDATED", "witness": F.when(F.col("rank") == 1, "e2"), "other_rank": F.col("rank"), "chain": F.lit("c"), "v": F.lit("A"), "t": F.col("rank").cast("long"), "query_time": F.lit(1).cast("long")})
+    got = {r["counter"]: r["value"] for r in diagnostics.rule_counts(p, p, ["chain"], "v", "t").collect()}
+    assert (got["candidates"], got["suppressed"], got["suppressed_TARGET_OUTDATED"], got["witness_of_same_value"], got["witness_from_the_future"], got["witness_of_other_chain"]) == (4, 1, 1, 1, 1, 0)
+    assert (got["queries_without_capacity"], got["forced_stale_at_k"], got["queries_with_same_list"], got["stale_rate_with_capacity"]) == (1, 1, 1, None)
+    none = {r["counter"]: r["value"] for r in diagnostics.rule_counts(p.limit(0), p.limit(0), ["chain"], "v", "t").collect()}
+    assert set(none) == set(got) and set(none.values()) == {0.0, None}
+    more = p.unionByName(p.withColumn("query_id", F.lit("p")))
+    assert rows(diagnostics.examples(more, {"any": F.lit(True), "gone": F.col("suppressed")}, 1).select("kind", "n", "query_id", "evidence_id")) == [("any", 1, "p", "e1"), ("gone", 1, "p", "e1")]
+
+
+def test_configuration(tmp_path):
+    from palimpsest import config
+
+    (tmp_path / "t.yaml").write_text("observation_window: {start: '2024-01-01T02:00:00+02:00', end: 2024-05-01T00:00:00Z}\ntimeline: {supported_detail_types: [A], main_replacement_types: [M]}\n")
+    (tmp_path / "a.json").write_text('{"aliases": [{"raw_identifier": "x@y", "normalized_source_key": "X"}]}')
+    got = config.load_timeline(tmp_path / "t.yaml", tmp_path / "a.json")
+    assert (got.window_start, got.window_end, got.detail_types, got.main_types, got.aliases) == ("2024-01-01T00:00:00+00:00", "2024-05-01T00:00:00+00:00", ("A",), ("M",), {"x@y": "X"})
+    (tmp_path / "s.json").write_text('{"s": {"seed": 3, "train_years": [2020]}, "bad": {"sead": 3}}')
+    assert config.load(Splits, tmp_path / "s.json", "s") == Splits(train_years=(2020,), seed=3)
+    with pytest.raises(ValueError, match="sead"):
+        config.load(Splits, tmp_path / "s.json", "bad")
+    with pytest.raises(ValueError, match="time zone"):
+        config.instant("2024-01-01T00:00:00")
+
+
+def test_published_scores_are_classified(spark):
+    v = "AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"
+    docs = spark.createDataFrame([("C", "s", "3.1", v), ("D", "s", "3.1", v), ("C", "x", "3.1", v), ("C", None, "3.1", v)], "cve_id string, source_identifier_raw string, cvss_version string, vector string")
+    told = spark.createDataFrame([("C", "s", "3.1", v, 9.8, "CRITICAL", v), ("D", "s", "3.1", v, 5.0, "MEDIUM", v)], "cve_id string, source string, version string, vector string, reported_score double, reported_severity string, vector_string string")
+    got = {(r["cve_id"], r["source_identifier_raw"]): (r["reported_score"], r["reported_score_type"], r["reported_score_matches"]) for r in corpus.with_published(docs, told).collect()}
+    none = (None, "NOT_AVAILABLE_IN_HISTORY", False)
+    assert got == {("C", "s"): (9.8, "CVSS-B", True), ("D", "s"): (5.0, "UNRESOLVED", False), ("C", "x"): none, ("C", None): none}
+    assert {r["reported_score_type"] for r in corpus.with_published(docs, told.limit(0)).collect()} == {none[1]}
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"]), ("b", [])], "k string, v array<string>")
     files.write_csv(df, str(tmp_path / "c"), "|")
