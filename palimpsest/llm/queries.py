@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import dartminhash, decontam, htmltext, langid, licenses, linededup, media, mixing, quality, tokens
+from palimpsest.llm import dartminhash, decontam, htmltext, langid, lexical, licenses, linededup, media, mixing, quality, tokens, triejoin, whitening
 from palimpsest.llm.common import table
 
 
@@ -57,13 +57,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.similar_sets(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_line_dedup, op4_media_columns, op5_html_extraction, op6_source_mixing, op7_token_counts, op8_license_scan, op9_quality_classifier, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_line_dedup, op4_media_columns, op5_html_extraction, op6_source_mixing, op7_token_counts, op8_license_scan, op9_quality_classifier, op10_minhash_near_dedup, op11_ngram_jaccard_join, op12_embedding_whitening, op13_ranked_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_source_mixing": mixing.oracle(),
+        "op11_ngram_jaccard_join": triejoin.oracle(),
+        "op13_ranked_lexical_search": lexical.oracle(),
         "op3_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
