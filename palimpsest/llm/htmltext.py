@@ -6,10 +6,10 @@ element. Where a sum surges, the lines of its window are text of the article; fr
 element's next such line is, unless the sums dive in between. The rest (menus, footers in plain blocks, scattered
 lines) never surges and goes.
 
-Containers weigh in on both sides. Lines within ``article`` or ``main`` are text whatever their sums, and where there are
-any, nothing else is. Menus, headers, footers, asides, forms and blocks whose class or id speaks of adverts, notices,
-sidebars or comments are left out, unless a form or such a block is wrapped around the page: if what is left without
-it is a tenth of it or less, its name says nothing.
+Everything else only weighs. A character within ``article`` or ``main`` counts six times, elsewhere on a page that has one a
+sixty-fourth; in menus, headers, footers, asides, forms and blocks whose class or id speaks of adverts, notices, sidebars or
+comments there is nothing to count, unless a form or such a block is wrapped around the page: if what is left without it is a
+tenth of it or less, its name says nothing. So a paragraph of an article surges by itself, and a list of links without any name doesn't.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ WINDOW = 3
 SURGE = 86
 #: A dive: fewer characters than this in a window between two surges.
 DIVE = 12
+#: What a character counts within an article or main, and elsewhere on a page that has one.
+WITHIN, BESIDE = 6.0, 1 / 64
 #: A line with more than this part of its text in links is none of the article's.
 LINKED = 0.6
 #: A block is wrapped around the page if the rest is so many times smaller.
@@ -60,6 +62,8 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login search toolbar skip copyright".split()
 )
 FIRM = frozenset("comment comments disqus respond reply replies related recommended recommendations".split())
+#: Words that say nothing beside such a word. Within an article a name counts only if all its words are of these lists (ad-box, not related-work).
+NEUTRAL = frozenset("box block container wrapper wrap inner outer list item items section area panel slot unit bar row col group top bottom left right main link links button buttons form js id".split())
 #: Words that turn such a name into a statement about the page (no-sidebar, comments-open).
 STATES = frozenset("no not has have with without hide hidden open closed enabled disabled free none off on".split())
 #: Fixed values of HTML: what a start tag closes though its end tag is missing, and the elements beyond which it closes nothing.
@@ -97,34 +101,39 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 PLAIN, NEVER, NO_ARTICLE, UNLESS_WRAPPED, OTHERS = range(5)
 
 
-def _named(values: str) -> int:
-    """What the names of a class or id say."""
-    found = PLAIN
+def _named(values: str) -> tuple[int, bool]:
+    """What the names of a class or id say, and whether one of them says nothing else."""
+    found, plainly = PLAIN, False
     for name in values.split():
-        parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
         if parts & STATES:
             continue
-        found = max(found, OTHERS if parts & FIRM else UNLESS_WRAPPED if parts & MARKS else PLAIN)
-    return found
+        told = OTHERS if parts & FIRM else UNLESS_WRAPPED if parts & MARKS else PLAIN
+        found = max(found, told)
+        plainly |= told != PLAIN and parts <= FIRM | MARKS | NEUTRAL
+    return found, plainly
 
 
-def mark(name: str, attributes: str) -> int:
+def mark(name: str, attributes: str) -> tuple[int, bool]:
+    """How an element is marked, and whether that rests on nothing but names that say other things too."""
     if name in HARD:
-        return NEVER
+        return NEVER, False
     if name in ("html", "body"):
-        return PLAIN
+        return PLAIN, False
     found = OTHERS if name == "aside" else NO_ARTICLE if name in STRUCTURE else UNLESS_WRAPPED if name in SOFT else PLAIN
+    sure = found != PLAIN
     if "=" not in attributes and "hidden" not in attributes:
-        return found
+        return found, False
     for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return NEVER
+            return NEVER, False
         if key == "role" and value.lower() in ROLES:
-            found = max(found, NO_ARTICLE)
+            found, sure = max(found, NO_ARTICLE), True
         elif key in ("class", "id") and not (found and name in STRUCTURE):
-            found = max(found, _named(value))
-    return found
+            told, plainly = _named(value)
+            found, sure = max(found, told), sure or plainly
+    return found, found != PLAIN and not sure
 
 
 @dataclass
@@ -134,14 +143,16 @@ class Page:
     parent: list[int] = field(default_factory=lambda: [-1])
     name: list[str] = field(default_factory=lambda: [""])
     mark: list[int] = field(default_factory=lambda: [PLAIN])
+    vague: list[bool] = field(default_factory=lambda: [False])
     text: list[str] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
     at: list[int] = field(default_factory=list)
 
-    def element(self, parent: int, name: str, mark: int) -> int:
+    def element(self, parent: int, name: str, mark: int, vague: bool) -> int:
         self.parent.append(parent)
         self.name.append(name)
         self.mark.append(mark)
+        self.vague.append(vague)
         return len(self.parent) - 1
 
 
@@ -224,7 +235,7 @@ def read(page: str) -> Page:
             at = page.find(">", end.end()) + 1 if end else 0
             at = at or len(page)
             continue
-        marked = PLAIN if ends or name in VOID else mark(name, attributes)
+        marked, vague = (PLAIN, False) if ends or name in VOID else mark(name, attributes)
         flows = name in INLINE and not marked
         if name == "br":
             breaks += 1
@@ -250,7 +261,7 @@ def read(page: str) -> Page:
             continue
         if name == "a":
             link = len(opened.names)
-        opened.push(name, out.element(opened.ids[-1] if opened.ids else 0, name, marked))
+        opened.push(name, out.element(opened.ids[-1] if opened.ids else 0, name, marked, vague))
     close()
     return out
 
@@ -295,7 +306,7 @@ def _holding(page: Page, at: list[int], mass: list[int], around: set[int]) -> li
     return holds
 
 
-def surges(lengths: list[int], least: int, window: int = WINDOW) -> list[bool]:
+def surges(lengths: list[float], least: float, window: int = WINDOW) -> list[bool]:
     """Which lines lie in a window whose sum is at least ``least``."""
     sums = list(itertools.accumulate(lengths, initial=0))
     last = max(0, len(lengths) - window)
@@ -307,17 +318,21 @@ def surges(lengths: list[int], least: int, window: int = WINDOW) -> list[bool]:
     return inside
 
 
-def _blocks(page: Page, lines: list[int]) -> list[int]:
-    """Those of the lines of a page without a container that the distribution keeps."""
+#: A line that states rights, when it isn't within an article.
+RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s)|(?:©|\(c\)|copyright)\W{0,4}(?:19|20)\d\d\b|\ball rights reserved\b", re.I)
+
+
+def _blocks(page: Page, lines: list[int], weight: list[float]) -> list[int]:
+    """Those of the lines that the distribution keeps; a line's length is that of its text without links, times its ``weight``."""
     group: dict[int, list[int]] = {}
-    bare: dict[int, int] = {}
-    for k in lines:
+    bare: dict[int, float] = {}
+    for k, w in zip(lines, weight):
         text, at = page.text[k], page.at[k]
         while page.name[at] in PARAGRAPHS or page.name[at] in INLINE:
             at = page.parent[at]
         group.setdefault(at, []).append(k)
-        nothing = page.linked[k] > LINKED * len(text) or text.startswith("©")
-        bare[k] = 0 if nothing else len(text) - page.linked[k]
+        nothing = page.linked[k] > LINKED * len(text) or w <= 1 and RIGHTS.search(text)
+        bare[k] = 0 if nothing else w * (len(text) - page.linked[k])
     richest = max((sum(bare[k] for k in own[i : i + WINDOW]) for own in group.values() for i in range(len(own))), default=0)
     if not richest:
         return []
@@ -328,7 +343,7 @@ def _blocks(page: Page, lines: list[int]) -> list[int]:
     kept: set[int] = set()
     for own in group.values():
         lengths = [bare[k] for k in own]
-        core = [x for x, rich in enumerate(surges(lengths, min(SURGE, (richest + 1) // 2))) if rich and lengths[x]]
+        core = [x for x, rich in enumerate(surges(lengths, min(SURGE, richest / 2))) if rich and lengths[x]]
         kept.update(own[x] for x in core)
         for x, y in itertools.pairwise(core):
             i, j = place[own[x]], place[own[y]]
@@ -348,7 +363,8 @@ def _blocks(page: Page, lines: list[int]) -> list[int]:
 def main_text(page: str | None, distribution: bool = True) -> str:
     """The article's blocks joined by a line feed; empty for an empty page or one without text.
 
-    Without ``distribution`` a page without containers keeps all its unmarked lines, to compare.
+    Every line that can be text takes part in the distribution. Containers and marks only weigh: characters within article or main
+    count more, elsewhere on such a page less, in blocks that are marked not at all. Without ``distribution`` all lines stay, to compare.
     """
     p = read(page or "")
     n = len(p.parent)
@@ -357,9 +373,11 @@ def main_text(page: str | None, distribution: bool = True) -> str:
     for i in range(1, n):
         up = p.parent[i]
         never[i] = never[up] or p.mark[i] == NEVER
-        others[i] = others[up] or p.mark[i] in (NEVER, OTHERS)
-        article[i] = article[up] or (i if p.name[i] in ("article", "main") and not p.mark[i] and not others[i] else 0)
+        article[i] = article[up] or (i if p.name[i] in ("article", "main") and not p.mark[i] and not others[up] else 0)
+        others[i] = others[up] or p.mark[i] in (NEVER, OTHERS) and not (p.vague[i] and article[up])
     lines = [k for k in range(len(p.text)) if not never[p.at[k]]]
+    if not distribution:
+        return "\n".join(p.text[k] for k in lines)
     inside = [k for k in lines if article[p.at[k]]]
     around: set[int] = set()
     for i in {article[p.at[k]] for k in inside}:
@@ -367,15 +385,15 @@ def main_text(page: str | None, distribution: bool = True) -> str:
         while i and i not in around:
             around.add(i)
             i = p.parent[i]
-    lines = inside or lines
-    holds = _holding(p, [p.at[k] for k in lines], [len(p.text[k]) - p.linked[k] for k in lines], around)
+    holding = inside or lines
+    free = around | {i for i in range(1, n) if p.vague[i] and article[i]}
+    holds = _holding(p, [p.at[k] for k in holding], [len(p.text[k]) - p.linked[k] for k in holding], free)
     out = [False] * n
     for i in range(1, n):
         out[i] = out[p.parent[i]] or holds[i]
     lines = [k for k in lines if not out[p.at[k]]]
-    if not inside and distribution:
-        lines = _blocks(p, lines)
-    return "\n".join(p.text[k] for k in lines)
+    weight = [1.0 if not inside else WITHIN if article[p.at[k]] else BESIDE for k in lines]
+    return "\n".join(p.text[k] for k in _blocks(p, lines, weight))
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

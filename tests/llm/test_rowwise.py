@@ -1,5 +1,6 @@
 """Language ID, media, HTML, tokens and quality: operators that give a row for each row."""
 
+import collections
 import hashlib
 import random
 import struct
@@ -309,6 +310,13 @@ LONG = PROSE + " " + PROSE
         (f"<p>{LONG}</p><ul>{'<li><a href=x>menu entry</a>' * 9}</ul><p>{LONG}</p>", f"{LONG}\n{LONG}"),
         (f"<div><p>{LONG}</p></div><div>poor</div><div>{'<p>a b</p>' * 9}</div>", LONG),
         (f"<article><p>One <script>x</script>two</p><p hidden>no</p></article>", "One two"),
+        # within a container: lists of links and scattered lines go, though nothing names them; names that say other things too don't count
+        (f"<main><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><ul><li><a href=c>Read more one</a><li><a href=d>Read more two</a><li>Share on X</ul></main>", f"Title\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><p class=widget-text>{PROSE}</p><p id=related-work>{PROSE}</p><div class=search-results><p>{PROSE}</p></div><p>End.</p></article>", f"{LONG}\n{PROSE}\n{PROSE}\n{PROSE}\nEnd."),
+        (f"<article><p>{LONG}</p><div class=ad-box>{PROSE}</div><ul><li>one thing<li>another</ul><p class=copyright>{PROSE}</p><p>{LONG}</p></article>", f"{LONG}\none thing\nanother\n{LONG}"),
+        # beside a container: much less, and nothing without one that states rights
+        (f"<div>{LONG}</div><article><p>Short.</p><p>{PROSE}</p></article><div><p>{LONG}</p></div>", f"Short.\n{PROSE}"),
+        (f"<div><p>{LONG}</p><p>Copyright law is old.</p></div><div>Copyright 2020 Foo Inc. All rights reserved, and nobody may copy any of this without being asked to first.</div>", f"{LONG}\nCopyright law is old."),
         ("<article><p>A <a href=x>linked</a> word &amp; one<br>more<br><br>then</p></article>", "A linked word & one more\nthen"),
     ],
 )
@@ -316,6 +324,40 @@ def test_html_blocks(page, text):
     assert htmltext.main_text(page) == text
 
 
+def plain_distribution(lines):
+    """Line blocks by brute force: (element, weight, characters without links) of each line to whether it lies in a surge of its element."""
+    own = collections.defaultdict(list)
+    for k, (element, weight, length) in enumerate(lines):
+        own[element].append((k, weight * length))
+    windows = [[k for k, _ in one[i : i + htmltext.WINDOW]] for one in own.values() for i in range(max(1, len(one) - htmltext.WINDOW + 1))]
+    mass = lambda ks: sum(lines[k][1] * lines[k][2] for k in ks)
+    least = min(htmltext.SURGE, max((sum(m for _, m in one[i : i + htmltext.WINDOW]) for one in own.values() for i in range(len(one))), default=0) / 2)
+    return {k for ks in windows for k in ks if mass(ks) >= least and mass([k]) > 0}
+
+
+def test_html_surges_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        page, lines = htmltext.Page(), []
+        for _ in range(rng.randint(1, 5)):
+            page.element(0, "div", 0, False)
+        for _ in range(rng.randint(1, 25)):
+            element, length = rng.randrange(len(page.parent)), rng.choice((1, 5, 20, 60, 90, 300))
+            page.text.append("x" * length)
+            page.linked.append(rng.choice((0, 0, length)))
+            page.at.append(element)
+            lines.append((element, rng.choice((1 / 64, 1.0, 6.0)), length - page.linked[-1]))
+        got = set(htmltext._blocks(page, list(range(len(lines))), [w for _, w, _ in lines]))
+        assert plain_distribution(lines) <= got
+        for k in got - plain_distribution(lines):  # between two surging lines of one element
+            assert any(e == f and i < k < j for i, (e, _, _) in enumerate(lines) if i in got for j, (f, _, _) in enumerate(lines) if j in got)
+
+
+def test_html_distribution_decides_on_every_given_page(spark, sf):
+    pages = [r["html"] for r in table(spark, sf, "pages").collect()]
+    assert all(htmltext.main_text(p) != htmltext.main_text(p, distribution=False) for p in pages)
+
+
 def test_html_distribution_decides_where_no_container_does(spark, sf):
     """The driver's pages without their containers: the blocks find the article, and nothing else would."""
     pages = [r["html"] for r in table(spark, sf, "pages").collect()]
