@@ -5,16 +5,18 @@ Native: DataFrame functions only.
 A window is as many words of a document as a benchmark item has; a document shorter than the item is one window. A
 window similar to an item shares so many shingles with it that it has one of the item's rarest (its anchors). So:
 
-1. documents with an anchor of an item are candidates for it; rare shingles select, and most documents are done here;
-2. all places of the item's shingles in its candidates are found, and a window is laid at every place from which
-   enough of them follow within its length, wherever these stand in the item: sentences may be moved, halves swapped;
-3. each window gets a 64-bit SimHash of its shingles, weighted by their number. The fingerprint of every item is entered, for each
-   of its blocks of bits, under the values that differ in at most radius // blocks bits; two fingerprints within the
-   radius differ in no more than that in some block, so looking up the window's blocks finds all within the radius;
-4. what is within the radius is verified: the weighted Jaccard similarity of the shingles must reach the threshold.
+1. anchors filter: most documents have none of any item and are done here;
+2. in the others a window of an item's length is laid at every place from which enough of the item's shingles follow, wherever these
+   stand in it: sentences may be moved, halves swapped. From here on a window knows its length and no item;
+3. each window gets a 64-bit SimHash of its shingles, weighted by their number. The fingerprints of all items of one length are entered, for each
+   block of bits, under the values that differ in at most radius // blocks bits; two fingerprints within the radius differ in no more than that
+   in some block, so looking up the window's blocks finds every item within the radius, whatever the anchors said;
+4. what the index finds is verified: the weighted Jaccard similarity of the shingles must reach the threshold.
 
 The best window of any length begins with a shingle of the item or ends with the document: from any other, the next one
 shares as much. So step 2 loses nothing, and only step 3 can, by the chance that the fingerprints are farther apart.
+
+An item of one to four words is a single shingle, and so is each window of as many words: these are joined as they are.
 """
 
 from __future__ import annotations
@@ -38,17 +40,38 @@ NO_ID = -(1 << 63)
 BROADCAST_ROWS = 2_000_000
 
 
-def _runs(hashes: Column) -> Column:
-    """Hashes of all runs of five words, with repetition, by position; none if there are fewer words."""
-    each = F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE)]))
-    return F.when(F.size(hashes) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
+def _runs(hashes: Column, size: int = SHINGLE) -> Column:
+    """Hashes of all runs of ``size`` words, with repetition, by position; none if there are fewer words."""
+    each = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)]))
+    return F.when(F.size(hashes) >= size, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashed(df: DataFrame, id_: str, name: str, *others: Column) -> DataFrame:
+    return df.select(*others, F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
 
 def _shingled(df: DataFrame, id_: str, name: str, *others: Column) -> DataFrame:
-    hashed = df.select(*others, F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID)).alias(name), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = _hashed(df, id_, name, *others)
     return hashed.select(*[c for c in hashed.columns if c != "words"], _runs(F.col("words")).alias("shingles"))
 
 
+def _short_found(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, broadcast_rows: int) -> DataFrame | None:
+    """As ``_found``, for items of one to four words: every run of a document's words that equals one. None if there is no such item."""
+    items = _hashed(benchmark, "item_id", "item_id").withColumn("size", F.size("words")).where(F.col("size").between(1, SHINGLE - 1))
+    run = F.coalesce(*[F.when(F.col("size") == n, F.get(_runs(F.col("words"), n), 0)) for n in range(1, SHINGLE)])
+    items = scratch.keep(items.select("item_id", "size", run.alias("shingle")).distinct(), "short")
+    sizes = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    found = None
+    for size, n in sizes.items():
+        own = items.where(F.col("size") == size).select("item_id", "shingle")
+        runs = _hashed(docs, "doc_id", "doc_id", _text_key(F.col("text")).alias("d")).select("doc_id", "d", F.posexplode(_runs(F.col("words"), size)).alias("p", "shingle"))
+        met = runs.join(F.broadcast(own) if n <= broadcast_rows else own, "shingle").groupBy("doc_id", "d", "item_id").agg(F.min("p").alias("first_word"))
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return None
+    return found.select("doc_id", "d", "item_id", F.lit(1.0).alias("similarity"), "first_word")
+
+
 def simhash(name: str) -> Column:
     """64-bit fingerprint of an array column: bit b is set if it is set in more than half of the hashes, repeated ones counted."""
     ones = f"aggregate({name}, 0, (s, h) -> s + cast(shiftright(h, b) & 1L AS int))"
@@ -99,8 +122,8 @@ def contaminated(
     """doc_id, item_id, similarity and first_word of every item found in a document (at its best window).
 
     docs (doc_id, text) and benchmark (item_id, text); a row for each pair of ids, however often either is repeated; rows
-    with a null id are one document or item, and texts of one id are searched apart. Null and empty texts, and items of fewer
-    than five words, which have no shingle, are found nowhere. first_word counts from 0 and is the first word of the best window;
+    with a null id are one document or item, and texts of one id are searched apart. Null and empty texts are found nowhere; an item of fewer
+    than five words wherever its words stand in a row. first_word counts from 0 and is the first word of the best window;
     of windows equally similar the first that begins with a shingle of the item, or ends with the document.
     """
     found = _found(spark, docs, benchmark, similarity, radius, blocks, broadcast_rows)
@@ -152,21 +175,26 @@ def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarit
     follows = lambda p, i: F.get(F.col("places"), i + least - 1) < p + F.col("length")
     begun = F.filter(F.transform("places", lambda p, i: F.when((p <= last) & follows(p, i), p)), lambda p: p.isNotNull())
     ended = F.when(F.size(F.filter("places", lambda p: p >= last)) >= least, F.array(last)).otherwise(F.array().cast("array<int>"))
-    laid = laid.select("pair", "doc_id", "d", "t", "length", "shingles", F.explode(F.array_union(begun, ended)).alias("start"))
-    windows = laid.select("pair", "doc_id", "d", "t", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
-    windows = scratch.keep(windows.withColumn("fingerprint", simhash("window")), "windows")
+    laid = laid.select("doc_id", "d", "m", "length", "shingles", F.explode(F.array_union(begun, ended)).alias("start"))
+    windows = laid.select("doc_id", "d", "m", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("window"))
+    windows = scratch.keep(windows.withColumns({"fingerprint": simhash("window"), "wid": F.monotonically_increasing_id()}), "windows")
 
     flips = _flips(spark, radius, blocks)
-    entered = items.select("t", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
-    index = entered.join(F.broadcast(flips), "block").select("t", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("fingerprint").alias("of_item"))
-    looked = windows.select("pair", "t", "start", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
-    near = looked.join(index, ["t", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))) <= radius)
-    candidates = near.select("pair", "start").distinct()
-
-    both = windows.join(candidates, ["pair", "start"]).join(items.select("t", F.col("shingles").alias("item")), "t")
+    entered = items.select("t", "m", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
+    index = scratch.keep(entered.join(F.broadcast(flips), "block").select("t", "m", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("fingerprint").alias("of_item")), "index")
+    looked = windows.select("wid", "m", "fingerprint", F.inline(_block_values(F.col("fingerprint"), blocks)))
+    near = looked.join(F.broadcast(index) if index.count() <= broadcast_rows else index, ["m", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item"))) <= radius)
+    candidates = near.select("wid", "t").distinct()
+
+    # An item that half of the corpus quotes meets its windows by broadcast.
+    known = items.select("t", F.col("shingles").alias("item"))
+    both = windows.join(candidates, "wid").join(F.broadcast(known) if n_marks <= broadcast_rows else known, "t")
     shared = F.size(F.array_intersect(occurrences(F.col("window")), occurrences(F.col("item"))))
     judged = both.select("doc_id", "d", "t", "start", (shared / (F.size("window") + F.size("item") - shared)).alias("similarity"))
     found = judged.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "d", "t").agg(F.max("similarity").alias("similarity"), F.max_by("start", F.struct("similarity", -F.col("start"))).alias("first_word"))
-    found = scratch.keep(found.join(named.select("item_id", "t").distinct(), "t"), "found")
+    names = named.select("item_id", "t").distinct()
+    found = found.join(F.broadcast(names) if n_marks <= broadcast_rows else names, "t").drop("t")
+    short = _short_found(docs, benchmark, scratch, broadcast_rows)
+    found = scratch.keep(found if short is None else found.unionByName(short.select(found.columns)), "found")
     scratch.drop(*(set(scratch.names()) - {"found"}))
     return found

@@ -241,6 +241,39 @@ def test_simhash_is_the_majority_of_bits(spark):
     assert got % (1 << 64) == want
 
 
+@pytest.mark.parametrize("broadcast_rows", [decontam.BROADCAST_ROWS, 0])
+def test_short_items_are_found_where_their_words_stand_in_a_row(spark, broadcast_rows):
+    rows = [(1, "Paris is a town"), (2, "the town of Paris, France"), (3, "Paris"), (4, "France of Paris"), (None, "town of paris"), (5, None), (6, "of, Paris! France; of Paris France")]
+    items = [(1, "of Paris"), (2, "PARIS france"), (2, "paris"), (3, "the town of Paris"), (4, "unheard of"), (5, " "), (None, "town")]
+    find = lambda t: re.findall(r"[a-z]+", (t or "").lower())
+    truth = {}
+    for d, t in rows:
+        for i, it in items:
+            w, own = find(t), find(it)
+            for a in range(len(w) - len(own) + 1 if own else 0):
+                if w[a : a + len(own)] == own:
+                    truth[d, i] = min(a, truth.get((d, i), a))
+    got = decontam.contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows).collect()
+    assert {(r["doc_id"], r["item_id"]): r["first_word"] for r in got} == truth and all(r["similarity"] == 1.0 for r in got)
+    assert {r["doc_id"] for r in decontam.clean(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items[:1], "item_id long, text string")).collect()} == {1, 2, 3, 5} - {2}
+
+
+def test_the_index_finds_the_items(spark, monkeypatch):
+    """Without it there is nothing to verify; and an item is found through a window that another item of its length has laid."""
+    rng = random.Random(41)
+    w = [rng.choice(VOCABULARY) for _ in range(40)]
+    items = [(1, " ".join(w)), (2, " ".join(w[:38] + ["x", "y"]))]
+    docs = spark.createDataFrame([(i, " ".join([f"o{i}"] * (i % 7) + w)) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.contaminated(spark, docs, bench).collect()) == 60
+    one = decontam._anchors
+    monkeypatch.setattr(decontam, "_anchors", lambda items, similarity: one(items, similarity).join(items.orderBy("t").limit(1), "t", "left_semi"))
+    assert len(decontam.contaminated(spark, docs, bench).collect()) == 60
+    flips = decontam._flips
+    monkeypatch.setattr(decontam, "_flips", lambda *a: flips(*a).limit(0))
+    assert decontam.contaminated(spark, docs, bench).collect() == []
+
+
 def test_clean_rows_stay_whatever_their_ids(spark):
     rng = random.Random(23)
     item, other = (" ".join(rng.choice(VOCABULARY) for _ in range(40)) for _ in range(2))
