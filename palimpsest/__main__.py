@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from palimpsest.functions import scores
 from palimpsest.plans import lifecycle
 
 
@@ -16,12 +17,15 @@ def main(args: list[str] | None = None) -> int:
         sub = commands.add_parser(name)
         for need in needs:
             sub.add_argument(f"--{need}", required=True)
+        if name == "corpus":
+            sub.add_argument("--score-table", help="JSON file of the standard's table for version 4.0: {macro vector: score}")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("palimpsest").getOrCreate()
     if given.command == "timeline":
         lifecycle.build_timeline(spark, given.history_dir, given.out)
     elif given.command == "corpus":
-        lifecycle.build_corpus(spark, spark.read.parquet(given.intervals), given.out)
+        lookup = scores.read_score_table(given.score_table) if given.score_table else None
+        lifecycle.build_corpus(spark, spark.read.parquet(given.intervals), given.out, lookup)
     elif given.command == "audit":
         lifecycle.audit_corpus(spark, given.out)
     else:

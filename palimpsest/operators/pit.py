@@ -75,9 +75,21 @@ def snapshot(rows: DataFrame, at: Column, observed: str = "valid_from", until: s
     return rows.where(active(F.col(observed), F.col(until), at))
 
 
-def asof_join(queries: DataFrame, rows: DataFrame, on: list[str], at: str, observed: str) -> DataFrame:
-    """Every row of the same keys that was visible at the query; never a bare inequality join."""
-    return queries.join(rows, on).where(visible(F.col(observed), F.col(at)))
+#: Rows of one key in a task of an as-of join.
+HOT_ROWS = 1_000_000
+
+
+def asof_join(queries: DataFrame, rows: DataFrame, on: list[str], at: str, observed: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Every row of the same keys that was visible at the query; never a bare inequality join.
+
+    The rows of a key with more than ``hot`` of them are dealt into parts of about that many, by their hash, and the key's queries go to every part. Of the
+    table of such keys, which is broadcast, there is at most one row for every ``hot`` rows. Nulls in a key match nothing.
+    """
+    parts = rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*on, F.ceil(F.col("__n") / hot).cast("int").alias("__parts"))
+    plain = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    dealt = rows.join(F.broadcast(parts), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*plain), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    asked = queries.join(F.broadcast(parts), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return asked.join(dealt, [*on, "__part"]).where(visible(F.col(observed), F.col(at))).drop("__part")
 
 
 def asof_count(queries: DataFrame, rows: DataFrame, key: str, at: str, observed: str) -> DataFrame:

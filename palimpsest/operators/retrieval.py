@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,54 +85,108 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, doc_tokens: Column | None,
     scored = joined.groupBy("evidence_id", "query_id").agg(F.sum(F.col("w") * F.col("__p")).alias("score")).select("query_id", "evidence_id", "score")
     ranked = kept(top_k(scored, k, order_by_score(seed=cfg.tie_seed)))  # at most k rows a query, read three times
     # Fill up only the queries that came out short: the rest never meets the whole corpus.
+    short = queries.select("query_id", at).join(ranked.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", F.col(at).alias("__at"))
+    asking = short.count()
+    if not asking:
+        return ranked
     seen = found.postings.select("evidence_id", F.col("observed").alias("__obs")).distinct()
-    short = queries.select("query_id", at).join(ranked.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", at)
-    have = ranked.select("query_id", "evidence_id")  # a short query's list holds all that has a score
-    zero = short.join(seen, F.col("__obs") <= F.col(at)).select("query_id", "evidence_id").join(have, ["query_id", "evidence_id"], "left_anti").withColumn("score", F.lit(0.0))
+    zero = _least_tied(seen, short, asking, 2 * k, cfg.tie_seed)  # fewer than k of them have a score
+    zero = zero.join(ranked.select("query_id", "evidence_id"), ["query_id", "evidence_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(ranked.drop("rank").unionByName(zero), k, order_by_score(seed=cfg.tie_seed))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k, observed: str | None = None, at: str | None = None, seed: int = Retrieval.tie_seed, max_queries: int = 20_000, cells: int = 4_000_000) -> DataFrame:
-    """(query_id, evidence_id, score, rank): exact top k by inner product in float64, of what is visible.
+#: Documents, and questions, that meet in one task of ``_least_tied``; parts of time.
+TIED_DOCUMENTS, TIED_QUESTIONS, SPANS = 100_000, 5_000, 64
 
-    vectors: evidence_id, embedding; queries: query_id, embedding. Queries travel to every task, so they are counted first and are worked off in
-    groups of ``max_queries``; each task multiplies at most ``cells`` pairs at a time (32 MB of products) and hands on its own k best of a query (and ties of the last).
-    """
-    asked = queries.select("query_id", "embedding", *([at] if at else [])).orderBy("query_id")
-    count, out = asked.count(), None
-    for start in range(0, max(count, 1), max_queries):
-        rows = asked.offset(start).limit(max_queries).collect()
-        part = _dense_block(vectors, rows, k, observed, at, cells)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k, order_by_score(seed=seed))
 
+def _least_tied(documents: DataFrame, short: DataFrame, asking: int, k: int, seed: int) -> DataFrame:
+    """(query_id, evidence_id): of the documents (evidence_id, __obs) visible at each question (query_id, __at) at least the k first by ``tie_key``.
 
-def _dense_block(vectors: DataFrame, rows: list, k: int, observed: str | None, at: str | None, cells: int) -> DataFrame:
-    ids = [r["query_id"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], np.float64) if rows else np.zeros((0, 1))
-    limits = np.array([r[at] for r in rows]) if at else None
-    columns = ["evidence_id", "embedding", *([observed] if observed else [])]
+    Documents are cut into spans of time of about equally many, a span into parts by hash; a question goes to the parts of the spans
+    that have begun by its time. A part hands on its own first k of each question, so no pair is shuffled that can't be in a list.
+    """
+    cuts = documents.agg(F.percentile_approx("__obs", F.array(*[F.lit(i / SPANS) for i in range(1, SPANS)])).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    span = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
+    dealt = documents.withColumn("span", span(F.col("__obs")))
+    sizes = {r["span"]: r["n"] for r in dealt.groupBy("span").agg(F.count("*").alias("n")).collect()}
+    parts = [max(1, -(-sizes.get(i, 0) // TIED_DOCUMENTS)) for i in range(len(cuts) + 1)]
+    part_count = F.element_at(F.array(*map(F.lit, parts)), F.col("span") + 1)
+    blocks = max(1, -(-asking // TIED_QUESTIONS))
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("evidence_id"), part_count)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = short.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0), span(F.col("__at")))))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part_count.cast("long") - 1)))
+
+    def run(docs: pa.Table, questions: pa.Table) -> pa.Table:
+        by_time = sorted(zip(docs.column("__obs").to_pylist(), docs.column("evidence_id").to_pylist(), strict=True)) if questions.num_rows else []
+        instants, names = [t for t, _ in by_time], [str(e).encode() for _, e in by_time]
+        q, d = [], []
+        for query, limit in zip(questions.column("query_id").to_pylist(), questions.column("__at").to_pylist(), strict=True):
+            begun = hashlib.sha256(f"{seed}|{query}|".encode())
+
+            def key(i: int) -> bytes:
+                own = begun.copy()
+                own.update(names[i])
+                return own.digest()
+
+            least = heapq.nsmallest(k, range(bisect.bisect_right(instants, limit)), key)
+            q += [query] * len(least)
+            d += [by_time[i][1] for i in least]
+        return pa.table([pa.array(q, questions.schema.field("query_id").type), pa.array(d, docs.schema.field("evidence_id").type)], names=["query_id", "evidence_id"])
+
+    keys = ["span", "part", "block"]
+    kind = f"query_id {dict(short.dtypes)['query_id']}, evidence_id {dict(documents.dtypes)['evidence_id']}"
+    return left.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, kind)
+
+
+#: Bytes of float32 vectors, and of questions, that meet in one task.
+VECTOR_BYTES, QUESTION_BYTES = 64 << 20, 16 << 20
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k, observed: str | None = None, at: str | None = None, seed: int = Retrieval.tie_seed, cells: int = 4_000_000, vector_bytes: int = VECTOR_BYTES, question_bytes: int = QUESTION_BYTES) -> DataFrame:
+    """(query_id, evidence_id, score, rank): exact top k by inner product in float64, of what is visible.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        step = max(1, cells // max(1, len(ids)))
-        for pdf in (batch.iloc[i : i + step] for batch in batches for i in range(0, len(batch), step)):
-            if not ids:
-                continue
-            product = np.round(matrix @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 12)
-            if limits is not None:
-                product = np.where(pdf[observed].to_numpy()[None, :] <= limits[:, None], product, -np.inf)
-            least = np.partition(product, -k, axis=1)[:, -k][:, None] if product.shape[1] > k else -np.inf
-            q, d = np.nonzero((product >= least) & np.isfinite(product))
-            part = pd.DataFrame({"query_id": np.array(ids, dtype=object)[q], "evidence_id": pdf["evidence_id"].to_numpy()[d], "score": product[q, d]})
-            both = part if held is None else pd.concat([held, part])
-            held = both[both.groupby("query_id")["score"].rank(method="min", ascending=False) <= k]
-        if held is not None:
-            yield held
-
-    kind = dict(vectors.dtypes)["evidence_id"]
-    q_kind = "long" if rows and isinstance(ids[0], int) else "string"
-    return vectors.select(*columns).mapInPandas(run, f"query_id {q_kind}, evidence_id {kind}, score double")
+    vectors: evidence_id, embedding; queries: query_id, embedding. A blocked product, joined as data: both sides are dealt into blocks of at most about
+    ``vector_bytes`` and ``question_bytes``, every block of the one meets every block of the other in a task of its own, and hands on its k best of
+    a question (and ties of the last). A task multiplies at most ``cells`` pairs at a time (32 MB of products).
+    """
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    width = 4 * max(1, size["d"] or 1)
+    q_blocks = max(1, -(-size["n"] * width // question_bytes))
+    n_vectors = vectors.count()
+    # No fewer blocks than cores, if there are vectors enough to be worth it.
+    v_blocks = max(1, -(-n_vectors * width // vector_bytes), min(vectors.sparkSession.sparkContext.defaultParallelism, n_vectors // 1000))
+    number = lambda id_, blocks: F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = vectors.select("evidence_id", "embedding", *([F.col(observed).alias("__obs")] if observed else [])).where(F.col("embedding").isNotNull()).withColumns({"v": number("evidence_id", v_blocks), "q": every(q_blocks)})
+    right = queries.select("query_id", "embedding", *([F.col(at).alias("__at")] if at else [])).where(F.col("embedding").isNotNull()).withColumns({"q": number("query_id", q_blocks), "v": every(v_blocks)})
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        q_ids, v_ids = asked.column("query_id").combine_chunks(), block.column("evidence_id").combine_chunks()
+        found = []
+        if len(q_ids) and len(v_ids):
+            questions, stored = _matrix(asked), _matrix(block)
+            step = max(1, cells // len(stored))
+            for low in range(0, len(questions), step):
+                product = np.round(questions[low : low + step] @ stored.T, 12)
+                if at and observed:
+                    limits = asked.column("__at").to_numpy()[low : low + step]
+                    product = np.where(block.column("__obs").to_numpy()[None, :] <= limits[:, None], product, -np.inf)
+                least = np.partition(product, -k, axis=1)[:, -k][:, None] if product.shape[1] > k else -np.inf
+                q, d = np.nonzero((product >= least) & np.isfinite(product))
+                found.append((q + low, d, product[q, d]))
+        q, d, score = (np.concatenate([f[i] for f in found] or [np.empty(0, (int, int, float)[i])]) for i in range(3))
+        return pa.table([q_ids.take(pa.array(q)), v_ids.take(pa.array(d)), pa.array(score)], names=["query_id", "evidence_id", "score"])
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, evidence_id {dict(vectors.dtypes)['evidence_id']}, score double"
+    met = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(run, kinds)
+    return top_k(met, k, order_by_score(seed=seed))
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The embeddings of some rows, all of one length, as float64."""
+    flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(rows.num_rows, -1)
 
 
 def encode(rows: DataFrame, id_: str, text: str, encoder: Callable[[list[str]], np.ndarray], revision: str, known: DataFrame | None = None) -> DataFrame:

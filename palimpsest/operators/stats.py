@@ -20,21 +20,19 @@ def hash_draw(replicate: Column, slot: Column, clusters: Column) -> Column:
     return F.conv(F.left(F.md5(F.concat_ws("|", replicate, slot).cast("binary")), F.lit(8)), 16, 10).cast("long") % clusters
 
 
-def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int, most: int = 100_000) -> DataFrame:
+#: Clusters whose sums may travel to every task.
+MOST_CLUSTERS = 100_000
+
+
+def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int, most: int = MOST_CLUSTERS) -> DataFrame:
     """(by, replicate, mean): clusters drawn with replacement, the same draws for every metric.
 
     Up to ``most`` clusters, their sums go to all tasks, a replicate is drawn within its row, and the means of a batch of replicates are
-    products of how often each cluster is drawn and the sums: nothing is shuffled. More clusters are joined to the draws, one row for each.
+    products of how often each cluster is drawn and the sums: nothing is shuffled. More clusters are for ``bootstrap_by_poisson``.
     """
-    units = sums.select(unit).distinct()
-    numbered = units.withColumn("slot", F.row_number().over(Window.orderBy(unit)) - 1)  # a row for each cluster
-    clusters = units.count()
+    clusters = sums.select(unit).distinct().count()
     if clusters > most:
-        reps = sums.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-        draws = reps.join(F.broadcast(numbered.select("slot"))).select("replicate", hash_draw(F.col("replicate"), F.col("slot"), F.lit(clusters)).alias("slot"))
-        counted = draws.groupBy("replicate", "slot").agg(F.count("*").alias("times"))
-        joined = counted.join(numbered, "slot").join(sums, unit)
-        return joined.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col("total")), F.sum(F.col("times") * F.col("n"))).alias("mean"))
+        return bootstrap_by_poisson(sums, unit, by, replicates)
     groups, total, count = _matrices(sums, unit, by)
     schema = _schema(sums, by)
     drawn = F.transform(F.sequence(F.lit(0), F.lit(max(clusters, 1) - 1)), lambda slot: hash_draw(F.col("replicate"), slot, F.lit(max(clusters, 1))).cast("int"))
@@ -51,6 +49,46 @@ def bootstrap_by_hash(sums: DataFrame, unit: str, by: list[str], replicates: int
     return reps.select("replicate", drawn.alias("draws")).mapInPandas(run, schema)
 
 
+def poisson_times(key: int, seed: int, replicates: int) -> np.ndarray:
+    """How often one cluster counts in each replicate: Poisson numbers of mean 1, told by the cluster's hash alone."""
+    return np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, key & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, replicates)
+
+
+def bootstrap_by_poisson(sums: DataFrame, unit: str, by: list[str], replicates: int, seed: int = Statistics.seed, block: int = 1000) -> DataFrame:
+    """(by, replicate, mean) of any number of clusters in one pass: the Poisson bootstrap.
+
+    Instead of drawing a fixed number of clusters, each cluster counts a Poisson number of times in a replicate, the same for every
+    metric; for many clusters the two have the same distribution of means. A cluster's weights are made where its sums lie, a task sums them up to one
+    array for each metric and ``block`` replicates, and only these arrays are shuffled. Clusters of one hash share their weights; a replicate
+    without any value has a mean of NaN.
+    """
+    keyed = sums.groupBy(unit).agg(F.collect_list(F.struct(*by, "total", "n")).alias("series")).select(F.xxhash64(unit).alias("key"), "series")
+    kinds = ", ".join(f"{c} {k}" for c, k in sums.dtypes if c in by)
+
+    def run(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, series in zip(pdf["key"], pdf["series"], strict=True):
+                times = poisson_times(int(key), seed, replicates)
+                for s in series:
+                    group = tuple(s[c] for c in by)
+                    if group not in totals:
+                        totals[group] = np.zeros((2, replicates))
+                    totals[group] += np.outer([s["total"] or 0.0, s["n"]], times)
+        for group, (total, n) in totals.items():
+            for start in range(0, replicates, block):
+                yield pd.DataFrame({**{c: [v] for c, v in zip(by, group)}, "start": [start], "total": [total[start : start + block]], "n": [n[start : start + block]]})
+
+    parts = keyed.mapInPandas(run, f"{kinds}, start long, total array<double>, n array<double>")
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total, n = (np.sum(np.stack(rows[c].to_numpy()), axis=0) for c in ("total", "n"))
+        mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+        return pd.DataFrame({**dict(zip([*by, "replicate"], [*key[:-1], key[-1] + np.arange(len(mean))])), "mean": mean})
+
+    return parts.groupBy(*by, "start").applyInPandas(add, _schema(sums, by))
+
+
 def _matrices(sums: DataFrame, unit: str, by: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """(groups, totals, numbers) of all clusters in order, a row for each group: of clusters that are counted before."""
     rows = sums.select(unit, *by, "total", "n").toPandas()

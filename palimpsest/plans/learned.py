@@ -9,8 +9,11 @@ from palimpsest.plans.catalogue import query
 from palimpsest.sources import adapters as A
 from palimpsest.sources.adapters import CAND, CHAIN, POOL
 
-_FEAT = f"""{POOL}, ch AS (SELECT p.query_id, p.evidence_id, count(*) FILTER (WHERE w.valid_from > p.valid_from) AS newer_count, 1 + count(*) FILTER (WHERE w.valid_from < p.valid_from OR (w.valid_from = p.valid_from AND w.evidence_id < p.evidence_id)) AS position, max(w.valid_from) AS newest, max_by(w.value, (w.valid_from, w.evidence_id)) AS nv FROM pool p JOIN a2 w ON w.entity = p.entity AND w.source = p.e_source AND w.valid_from <= p.query_time GROUP BY 1, 2),
-feat AS (SELECT p.*, newer_count, position, CASE WHEN newer_count > 0 THEN (newest - valid_from) / 86400000000.0::DOUBLE ELSE 0 END AS days_to_newest, nv <> value AS differs FROM pool p JOIN ch USING (query_id, evidence_id))"""
+# What is visible of a chain at an instant, looked up by time: its rows so far and the last of them.
+_FEAT = f"""{POOL}, own AS (SELECT *, row_number() OVER (PARTITION BY entity, source ORDER BY valid_from, evidence_id) AS position, count(*) OVER (PARTITION BY entity, source ORDER BY valid_from) AS upto FROM a2),
+inst AS (SELECT entity, source, valid_from AS at_time, max(upto) AS upto, arg_max(value, position) AS nv FROM own GROUP BY 1, 2, 3),
+feat AS (SELECT p.*, i.upto - o.upto AS newer_count, o.position, CASE WHEN i.upto > o.upto THEN (i.at_time - p.valid_from) / 86400000000.0::DOUBLE ELSE 0 END AS days_to_newest, i.nv <> p.value AS differs
+ FROM pool p ASOF JOIN inst i ON p.entity = i.entity AND p.e_source = i.source AND p.query_time >= i.at_time JOIN own o ON o.evidence_id = p.evidence_id)"""
 
 
 def features(spark, sf):
@@ -29,7 +32,7 @@ def lr_features(spark, sf):
     return features(spark, sf).groupBy("class", "source").agg(F.count("*").alias("n"), F.avg("newer_count").alias("newer"), F.avg("age").alias("age"), F.count_if("on_target").alias("target"))
 
 
-@query(f"WITH {POOL}, v AS (SELECT query_id, evidence_id, CASE WHEN rank % 7 = 0 THEN NULL ELSE age END AS x FROM pool), m AS (SELECT quantile_cont(x, 0.5) AS med FROM v), f AS (SELECT query_id, evidence_id, coalesce(x, med) AS x FROM v, m) SELECT query_id, evidence_id, round((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS x FROM f")
+@query(f"WITH {POOL}, v AS MATERIALIZED (SELECT query_id, evidence_id, CASE WHEN rank % 7 = 0 THEN NULL ELSE age END AS x FROM pool), f AS (SELECT query_id, evidence_id, coalesce(x, (SELECT median(x) FROM v)) AS x FROM v), z AS (SELECT *, avg(x) OVER () AS mean, stddev_pop(x) OVER () AS deviation FROM f) SELECT query_id, evidence_id, round((x - mean) / deviation, 6) AS x FROM z")
 def impute_zscore(spark, sf):
     v = A.pool(spark, sf).select("query_id", "evidence_id", F.when(F.col("rank") % 7 != 0, F.col("age")).alias("x"))
     return learn.prepare(v, learn.fit_preparation(v, ["x"])).select("query_id", "evidence_id", "x")

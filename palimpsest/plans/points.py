@@ -34,22 +34,6 @@ def timeline_duplicates_dropped(spark, sf):
     return A.assertions(spark, sf).withColumn("prev", before).where(F.col("prev") == F.col("value")).groupBy("source").agg(F.count("*").alias("duplicates"))
 
 
-@query()
-def timeline_full_replay(spark, sf):
-    rows, _, _ = timeline.replay(A.chain_events(spark, sf))
-    return rows.select("evidence_id", "cve_id", "source_key", "vector", "valid_from", "valid_until", "timeline_status", "replacement_type", "superseded_by_evidence_id", "replaces_evidence_id", "chain_ambiguous", F.array_join("ambiguity_reason", ",").alias("ambiguity_reason"))
-
-
-@query()
-def timeline_chain_reports(spark, sf):
-    return timeline.replay(A.chain_events(spark, sf))[1].drop("reasons")
-
-
-@query()
-def timeline_cross_events(spark, sf):
-    return timeline.replay(A.chain_events(spark, sf))[2]
-
-
 @query(f"WITH {A2}, d AS (SELECT unnest([5, 10, 15, 20, 25])::BIGINT AS day) SELECT day, source, count(*) AS active, CAST(sum(value) AS BIGINT) AS total FROM a2, d WHERE valid_from <= {WINDOW_START} + day * 86400000000 AND (valid_until IS NULL OR {WINDOW_START} + day * 86400000000 < valid_until) GROUP BY 1, 2")
 def snapshot_as_of(spark, sf):
     rows = A.intervals(spark, sf).withColumn("day", F.explode(F.array(*[F.lit(d) for d in (5, 10, 15, 20, 25)])))

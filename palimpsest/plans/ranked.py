@@ -337,6 +337,20 @@ def bootstrap_ci(spark, sf):
     return stats.intervals(stats.bootstrap_by_hash(s, "entity", ["method", "metric"], _B), ["method", "metric"])
 
 
+_PAIRED = f"""{_BOOT}, df AS (SELECT metric, replicate, a.mean - b.mean AS d FROM (SELECT * FROM bo WHERE method = 'rule_target') a JOIN (SELECT * FROM bo WHERE method = 'pool') b USING (metric, replicate)),
+pd AS (SELECT metric AS test, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, least(1.0, greatest(2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)), 1.0::DOUBLE / count(*))) AS p FROM df WHERE d IS NOT NULL GROUP BY 1),
+hs AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1) * p) AS step FROM pd)"""
+
+
+@query(f"WITH {_PAIRED} SELECT test, round(low, 6) AS diff_low, round(high, 6) AS diff_high, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS p_holm, max(step) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) <= 0.05 AS rejected FROM hs")
+def paired_holm(spark, sf):
+    """The rule against the pool on every metric: paired cluster bootstrap, and Holm's correction over the metrics."""
+    s = kept(stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"]))
+    replicates = kept(stats.bootstrap_by_hash(s, "entity", ["method", "metric"], _B))
+    tests = stats.paired_difference(replicates, "rule_target", "pool", ["metric"]).withColumnRenamed("metric", "test")
+    return stats.holm(tests)
+
+
 @query()
 def bootstrap_generator(spark, sf):
     s = kept(stats.cluster_sums(values(spark, sf), "entity", ["method", "metric"]))

@@ -136,6 +136,67 @@ def macro_vector_v4(spark, sf):
     return A.vectors(spark, sf, "4.0").select("p_partkey", scores.macro_vector(vectors.components(F.col("vector"))).alias("macro"))
 
 
+#: A table of version 4.0 made by a rule, to stand in for the standard's, which users give: tenths that each level costs.
+COSTS4 = {"eq1": 9, "eq2": 6, "eq3": 11, "eq4": 8, "eq5": 5, "eq6": 7}
+
+
+def rule_table() -> dict[str, float]:
+    return {key: (100 - sum(int(q) * cost for q, cost in zip(key, COSTS4.values()))) / 10.0 for key in scores.macro_vectors()}
+
+
+#: Metrics beside the base ones, by digits of the key: name, letters, divisor.
+_MORE4 = (("E", "XAPU", 1), ("CR", "XHML", 3), ("IR", "HXLM", 7), ("AR", "MLXH", 11), ("MSI", "XSHL", 5), ("MPR", "XXNH", 13))
+
+
+def _score4_sql() -> str:
+    more = "".join(f" || '/{n}:' || substr('{letters}', 1 + (p_partkey // {div}) % 4, 1)" for n, letters, div in _MORE4)
+    raw = {n: f"split_part(split_part(v, '/{n}:', 2), '/', 1)" for n in ("AC", "AT", "PR", "UI", "VC", "VI", "VA", "SC", "SI", "SA", *(n for n, _, _ in _MORE4))}
+    raw["AV"] = "substr(v, 4, 1)"
+    default = {"E": "A", "CR": "H", "IR": "H", "AR": "H"}
+    own = {n: f"CASE WHEN {x} = 'X' THEN '{default[n]}' ELSE {x} END" if n in default else x for n, x in raw.items()}
+    for name in ("SI", "PR"):
+        own[name] = f"coalesce(nullif({raw['M' + name]}, 'X'), {raw[name]})"
+    step = lambda n, top: f"(CASE e_{n} " + " ".join(f"WHEN '{v}' THEN {0.1 * k!r}::DOUBLE" for v, k in scores.STEPS4[n].items()) + f" END - {0.1 * scores.STEPS4[n][top]!r}::DOUBLE)"
+
+    def distance(group: str, level: str) -> str:
+        whens = []
+        for key, highest in scores.HIGHEST4[group].items():
+            steps = [[step(*part.split(":")) for part in h.split("/")] for h in highest]
+            whens.append(f"WHEN '{key}' THEN coalesce(" + ", ".join("CASE WHEN " + " AND ".join(f"{x} > -0.05" for x in one) + " THEN " + " + ".join(one) + " END" for one in steps) + ")")
+        return f"CASE {level} {' '.join(whens)} END"
+
+    depth = lambda group, level: f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v * 0.1!r}::DOUBLE" for k, v in scores.DEPTH4[group].items()) + " END"
+    cost = lambda **up: "(100 - " + " - ".join(f"{c} * ({q}::INT + {up.get(q, 0)})" for q, c in COSTS4.items()) + ") / 10.0::DOUBLE"
+    level = {"eq1": "eq1", "eq2": "eq2", "eq3eq6": "eq3 || eq6", "eq4": "eq4"}
+    lower = {
+        "eq1": f"CASE WHEN eq1 < '2' THEN {cost(eq1=1)} END", "eq2": f"CASE WHEN eq2 < '1' THEN {cost(eq2=1)} END", "eq4": f"CASE WHEN eq4 < '2' THEN {cost(eq4=1)} END",
+        "eq3eq6": f"CASE eq3 || eq6 WHEN '11' THEN {cost(eq3=1)} WHEN '01' THEN {cost(eq3=1)} WHEN '10' THEN {cost(eq6=1)} WHEN '00' THEN greatest({cost(eq3=1)}, {cost(eq6=1)}) END",
+    }
+    groups = list(level)
+    return f"""
+WITH x AS (SELECT p_partkey, {vector_sql('4.0')}{more} AS v FROM part),
+e AS (SELECT p_partkey, {', '.join(f'{own[n]} AS e_{n}' for n in own)} FROM x),
+q AS (SELECT *, CASE WHEN e_AV = 'N' AND e_PR = 'N' AND e_UI = 'N' THEN '0' WHEN (e_AV = 'N' OR e_PR = 'N' OR e_UI = 'N') AND e_AV <> 'P' THEN '1' ELSE '2' END AS eq1,
+ CASE WHEN e_AC = 'L' AND e_AT = 'N' THEN '0' ELSE '1' END AS eq2, CASE WHEN e_VC = 'H' AND e_VI = 'H' THEN '0' WHEN e_VC = 'H' OR e_VI = 'H' OR e_VA = 'H' THEN '1' ELSE '2' END AS eq3,
+ CASE WHEN e_MSI = 'S' THEN '0' WHEN e_SC = 'H' OR e_SI = 'H' OR e_SA = 'H' THEN '1' ELSE '2' END AS eq4, CASE e_E WHEN 'A' THEN '0' WHEN 'P' THEN '1' ELSE '2' END AS eq5,
+ CASE WHEN (e_VC = 'H' AND e_CR = 'H') OR (e_VI = 'H' AND e_IR = 'H') OR (e_VA = 'H' AND e_AR = 'H') THEN '0' ELSE '1' END AS eq6 FROM e),
+t AS (SELECT *, {cost()} AS value, CASE WHEN eq5 < '2' THEN 1 ELSE 0 END AS c5, {', '.join(f'{lower[g]} AS t_{g}' for g in groups)}, {', '.join(f'{distance(g, level[g])} AS d_{g}' for g in groups)}, {', '.join(f'{depth(g, level[g])} AS m_{g}' for g in groups)} FROM q),
+m AS (SELECT *, {' + '.join(f'd_{g}' for g in groups)} IS NOT NULL AS complete, c5 + {' + '.join(f'CASE WHEN t_{g} IS NULL THEN 0 ELSE 1 END' for g in groups)} AS n FROM t),
+s AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE ({' + '.join(f'CASE WHEN t_{g} IS NULL THEN 0.0::DOUBLE ELSE (value - t_{g}) * ((CASE WHEN complete THEN d_{g} ELSE 0.0::DOUBLE END) / m_{g}) END' for g in groups)}) / n END AS mean FROM m),
+r AS (SELECT *, least(greatest(value - mean, 0), 10)::DOUBLE AS x, {' AND '.join(f"e_{n} = 'N'" for n in ('VC', 'VI', 'VA', 'SC', 'SI', 'SA'))} AS harmless FROM s)
+SELECT p_partkey, eq1 || eq2 || eq3 || eq4 || eq5 || eq6 AS macro, CASE WHEN harmless THEN 0 ELSE round(CAST(x AS DECIMAL(20, 10)), 1)::DOUBLE END AS score_decimal,
+ CASE WHEN harmless THEN 0 ELSE floor(x * 10 + 0.5) / 10 END::DOUBLE AS score_js, CASE WHEN harmless THEN 0 ELSE round(x, 6) END::DOUBLE AS score_none FROM r"""
+
+
+@query(_score4_sql())
+def score_v4(spark, sf):
+    """Scores by a table that a rule makes; the standard's own is a parameter (``scores.read_score_table``)."""
+    more = [F.concat(F.lit(f"{n}:"), F.substring(F.lit(letters), (F.floor(F.col("p_partkey") / div) % 4 + 1).cast("int"), F.lit(1))) for n, letters, div in _MORE4]
+    lookup = scores.score_table(rule_table())
+    m = A.vectors(spark, sf, "4.0").select("p_partkey", vectors.components(F.concat_ws("/", "vector", *more)).alias("m"))
+    return m.select("p_partkey", scores.macro_vector(F.col("m")).alias("macro"), *[scores.score_v4(F.col("m"), lookup, r).alias(f"score_{r}") for r in scores.ROUNDINGS])
+
+
 @query("SELECT p_partkey, round(floor(x * 10 + 0.5) / 10, 6) AS js, round(CAST(x AS DECIMAL(20, 10)), 1)::DOUBLE AS dec FROM (SELECT p_partkey, p_retailprice / 100.0 AS x FROM part)")
 def rounding_policies(spark, sf):
     x = F.col("p_retailprice") / 100.0

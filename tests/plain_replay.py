@@ -1,4 +1,4 @@
-"""Replay of chains: a table of transitions decides, a log of acts is kept, rows are read off the log.
+"""Replay of one chain in plain Python, which the windows of ``operators.replay`` are compared with: a table of transitions decides, a log of acts is kept, rows are read off the log.
 
 A chain's changes are cut into steps. What a step meets is its situation; TABLE says which acts follow. Acts change the
 few things a chain has to remember and go to the log; nothing in the log is ever changed. Intervals, the report and
@@ -12,20 +12,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 from palimpsest.config import DAY
-
-#: Statuses of an interval, kinds of replacement, and the rule of inference.
-INITIAL, ACTIVE, REPLACED, WITHDRAWN = "INITIAL_ADDITION", "ACTIVE", "REPLACED", "WITHDRAWN_WITHOUT_REPLACEMENT"
-STRICT, CROSS = "STRICT_SAME_CHANGE", "HIGH_CONFIDENCE_CROSS_EVENT"
-FIRST_REMOVAL = "FIRST_OBSERVED_EVENT_IS_REMOVAL"
-#: Reasons that make a chain ambiguous.
-COMPETING, SEVERAL, LOST, PAST, UNKNOWN = (
-    "MULTIPLE_COMPETING_ACTIVE_VALUES",
-    "MULTI_REMOVED_OR_ADDED_IN_ONE_CHANGE",
-    "STRICT_PAIR_OLD_VALUE_NOT_ACTIVE",
-    "REMOVAL_OF_INACTIVE_VALUE",
-    "REMOVAL_OF_UNOBSERVED_VALUE_AFTER_OTHER_EVENTS",
-)
-
+from palimpsest.operators.replay import ACTIVE, COMPETING, CROSS, FIRST_REMOVAL, INITIAL, LOST, PAST, REPLACED, SEVERAL, STRICT, UNKNOWN, WITHDRAWN
 
 class Step(NamedTuple):
     """strict and rewrite have both events, removal only what is gone, addition only what came."""

@@ -132,13 +132,66 @@ def test_dense_equals_numpy_and_admits_ties(spark):
     m[50:60] = m[7]
     v = spark.createDataFrame([(f"e{i}", [float(x) for x in r], i) for i, r in enumerate(m)], "evidence_id string, embedding array<float>, observed_from long").repartition(5)
     q = spark.createDataFrame([("q1", [float(x) for x in m[7]], 55), ("q2", [float(x) for x in m[3]], 500)], "query_id string, embedding array<float>, query_time long")
-    got = retrieval.dense(v, q, 5, "observed_from", "query_time", max_queries=1)
+    got = retrieval.dense(v, q, 5, "observed_from", "query_time", question_bytes=1, vector_bytes=1000)
     for qid, i, at in (("q1", 7, 55), ("q2", 3, 500)):
         s = m.astype(float) @ m[i].astype(float)
         order = sorted((-round(s[j], 9), __import__("hashlib").sha256(f"20260918|{qid}|e{j}".encode()).hexdigest(), f"e{j}") for j in range(200) if j <= at)
         assert [r["evidence_id"] for r in got.where(F.col("query_id") == qid).orderBy("rank").collect()] == [e for _, _, e in order[:5]]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_questions_are_filled_up_without_a_join_by_inequality(spark, monkeypatch):
+    """All questions are short; documents are observed at a few instants, so that spans and parts matter."""
+    monkeypatch.setattr(retrieval, "TIED_DOCUMENTS", 7)
+    monkeypatch.setattr(retrieval, "TIED_QUESTIONS", 3)
+    docs = [(f"d{i}", ["a"] if i % 11 == 0 else ["b"], (i % 4) * 10 if i < 60 else 35) for i in range(90)]
+    qs = [(f"q{j}", ["a"], t) for j, t in enumerate((-1, 0, 9, 10, 25, 30, 35, 99))]
+    d = spark.createDataFrame(docs, "evidence_id string, t array<string>, observed_from long")
+    q = spark.createDataFrame(qs, "query_id string, t array<string>, query_time long")
+    found = retrieval.bm25(d, q, F.col("t"), F.col("t"), k=12)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["evidence_id"])
+    key = lambda q, e: __import__("hashlib").sha256(f"20260918|{q}|{e}".encode()).hexdigest()
+    for qid, _, at in qs:
+        seen = [(t != ["a"], key(qid, e), e) for e, t, obs in docs if obs <= at]
+        assert got.get(qid, []) == [e for _, _, e in sorted(seen)[:12]]
+    assert not any(x in plan_of(found) for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
+def test_dense_takes_any_number_of_questions_as_data(spark):
+    v = spark.createDataFrame([(f"e{i}", [float(i), 1.0]) for i in range(40)] + [("none", None)], "evidence_id string, embedding array<float>")
+    for n, size in ((0, 100), (30, 24)):
+        q = spark.createDataFrame([(f"q{j}", [1.0 if j % 2 else -1.0, 0.0]) for j in range(n)], "query_id string, embedding array<float>")
+        got = retrieval.dense(v, q, 3, question_bytes=size, vector_bytes=64)
+        assert got.count() == 3 * n
+        for r in got.where("rank = 1").collect():
+            assert r["evidence_id"] == ("e39" if int(r["query_id"][1:]) % 2 else "e0")
+        assert "FlatMapCoGroupsInArrow" in plan_of(got) and "NestedLoop" not in plan_of(got)
+
+
+def test_a_hot_entity_is_joined_in_parts(spark):
+    """One entity has half of all rows: its rows are dealt over partitions, and the result is that of the plain join."""
+    rows = spark.createDataFrame([("hot" if i % 2 else f"k{i % 50}", i, f"e{i}", [i]) for i in range(4000)] + [(None, 1, "n", None)], "entity string, o long, evidence_id string, more array<int>")
+    q = spark.createDataFrame([(f"q{j}", "hot" if j < 6 else f"k{j % 50}", j * 70) for j in range(50)] + [("qn", None, 9)], "query_id string, entity string, t long")
+    plain = q.join(rows, "entity").where("o <= t")
+    whole, parts = (pit.asof_join(q, rows, ["entity"], "t", "o", hot=hot) for hot in (10_000, 100))
+    assert whole.columns == parts.columns == plain.columns
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, whole.collect())) == want and sorted(map(str, parts.collect())) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        count = lambda df: len(df.where("entity = 'hot'").select(F.spark_partition_id().alias("p")).distinct().collect())
+        assert [count(pit.asof_join(q, rows, ["entity"], "t", "o", hot=hot)) for hot in (10_000, 100)] == [1, 4]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def pool(spark):
     made = [("q", "e1", 1, 3.0, "TARGET_OUTDATED", 40.0, True), ("q", "e2", 2, 2.0, "TARGET_CURRENT", 1.0, True), ("q", "e3", 3, 1.0, "OTHER_SOURCE_CURRENT", 9.0, False), ("q", "e4", 4, 1.0, "OTHER", 90.0, False)]
     return spark.createDataFrame(made, "query_id string, evidence_id string, rank int, score double, class string, age double, on_target boolean").withColumn("method", F.lit("base"))
@@ -200,6 +253,24 @@ def test_quantiles_below(spark):
         assert got[g] == (v[min(len(v) - 1, len(v) // 2)], v[-1], v[len(v) // 2])
 
 
+def test_poisson_bootstrap_is_that_of_plain_weights(spark):
+    rng = random.Random(5)
+    raw = [(f"c{i}", m, k, rng.random() if rng.random() < 0.9 else None) for i in range(400) for m in ("a", "b") for k in ("x", "y")]
+    s = stats.cluster_sums(spark.createDataFrame(raw, "cve_id string, method string, metric string, value double"), "cve_id", ["method", "metric"]).repartition(3)
+    got = stats.bootstrap_by_hash(s, "cve_id", ["method", "metric"], 2500, most=10)
+    assert "Broadcast" not in plan_of(got) and got.columns == ["method", "metric", "replicate", "mean"]
+    table = got.toPandas()
+    keys = {r["cve_id"]: r["k"] for r in s.select("cve_id", F.xxhash64("cve_id").alias("k")).distinct().collect()}
+    sums = s.toPandas()
+    for (m, k), g in sums.groupby(["method", "metric"]):
+        w = np.stack([stats.poisson_times(keys[c], stats.Statistics.seed, 2500) for c in g["cve_id"]])
+        mean = (g["total"].fillna(0).to_numpy() @ w) / (g["n"].to_numpy() @ w)
+        mine = table[(table["method"] == m) & (table["metric"] == k)].sort_values("replicate")["mean"].to_numpy()
+        assert mine == pytest.approx(mean)
+        drawn = stats.bootstrap_by_hash(s.where((F.col("method") == m) & (F.col("metric") == k)), "cve_id", ["method", "metric"], 2500).toPandas()["mean"]
+        assert mine.mean() == pytest.approx(drawn.mean(), abs=2e-3) and mine.std() == pytest.approx(drawn.std(), rel=0.1)
+
+
 def test_bootstrap(spark):
     v = spark.createDataFrame([("q1", "c1", "m", "x", 1.0), ("q2", "c1", "m", "x", 0.0), ("q3", "c2", "m", "x", 1.0), ("q4", "c2", "m", "x", None)], "query_id string, cve_id string, method string, metric string, value double")
     s = stats.cluster_sums(v, "cve_id", ["method", "metric"])

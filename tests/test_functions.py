@@ -146,6 +146,22 @@ def test_score_4(spark, vector, want):
     assert one(spark, scores.score_v4(vectors.components(F.col("x")), table), x=vector) == want
 
 
+def test_score_table_is_checked(spark, tmp_path):
+    import json
+
+    from palimpsest.plans.scalar import rule_table
+
+    table = rule_table()
+    assert len(table) == 270 and table["000000"] == 10.0
+    (tmp_path / "t.json").write_text(json.dumps(table))
+    vector = "AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:H/SI:H/SA:H"
+    assert one(spark, scores.base_score(F.lit("4.0"), vectors.components(F.col("x")), F.col("x"), scores.read_score_table(str(tmp_path / "t.json"))), x=vector) == table["000100"]
+    assert one(spark, scores.base_score(F.lit("4.0"), vectors.components(F.col("x")), F.col("x")), x=vector) is None
+    for broken in ({k: v for k, v in table.items() if k != "000000"}, table | {"002000": 1.0}, table | {"212221": 11.0}, table | {"212221": 9.0}):
+        with pytest.raises(ValueError):
+            scores.score_table(broken)
+
+
 @pytest.mark.parametrize("vector,ok", [("AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:N/SI:N/SA:N/U:Red", True), ("AV:N", False), ("AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:N/SI:N/SA:Z", False), ("CVSS:3.1/AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:N/SI:N/SA:N", False), ("AV:N/AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:N/SI:N/SA:N", False)])
 def test_valid_4(spark, vector, ok):
     assert one(spark, scores.valid_v4(F.col("x"), vectors.components(F.col("x"))), x=vector) is ok
