@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder, so that losing an executor loses none of them.
+    """Intermediate tables in the shared folder, so that losing an executor loses none of them. What is left of them goes when the driver ends.
 
     ``keep`` writes a frame as Parquet and reads it back, which cuts its lineage; ``drop`` removes tables that nothing
     reads any more, by their names, or everything this object wrote. What a lazy result still reads stays until its caller
@@ -44,6 +44,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
         self.paths: list[tuple[str, str]] = []
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(place)
+        self.files.deleteOnExit(place)
         for made in Scratch._watchers:
             made.append(self)
 
@@ -62,8 +66,11 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for path in [path for name, path in self.paths if name in names] if names else [self.root]:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def outlast(self) -> None:
+        """Leave the tables where they are when the driver ends."""
+        self.files.cancelDeleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
 
     @staticmethod
     @contextlib.contextmanager

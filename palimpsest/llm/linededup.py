@@ -72,12 +72,14 @@ class LineRuns:
         self.levels: list[list[str]] = []
         self.hits: list[str] = []
         self.tables: dict[str, DataFrame] = {}
+        self.names: list[str] = []
 
     def _open(self, path: str) -> DataFrame:
         """The table at a path; its buckets are known from the catalog, where it has a name of its own."""
         if path not in self.tables:
             name = f"palimpsest_run_{uuid.uuid4().hex}"
             self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.names.append(name)
             self.tables[path] = self.spark.table(name)
         return self.tables[path]
 
@@ -86,9 +88,16 @@ class LineRuns:
         path, table = self.scratch.path(name), f"palimpsest_run_{uuid.uuid4().hex}"
         with _sorted_buckets(self.spark):
             df.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).format("parquet").saveAsTable(table)
+        self.names.append(table)
         self.tables[path] = self.spark.table(table)
         return path
 
+    def close(self) -> None:
+        """Take the runs' names out of the catalog; their files stay, and get other names when they are read again."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names, self.tables = [], {}
+
     def runs(self) -> list[DataFrame]:
         return [self._open(path) for level in self.levels for path in level]
 
@@ -146,6 +155,7 @@ class LineRuns:
         rows = [("run", i, p) for i, level in enumerate(self.levels) for p in level] + [("hits", -1, p) for p in self.hits]
         note = self.spark.createDataFrame([(i, *row, self.fanout, self.buckets) for i, row in enumerate(rows)], "i int, kind string, level int, path string, fanout int, buckets int")
         note.coalesce(1).write.mode("overwrite").parquet(path)
+        self.scratch.outlast()
 
     @classmethod
     def load(cls, scratch: Scratch, path: str) -> LineRuns:
@@ -180,11 +190,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_d
     entries.write.partitionBy("batch").parquet(path)
     entries = spark.read.schema(entries.schema).parquet(path)
 
-    runs = runs or LineRuns(scratch, fanout)
+    given, runs = runs, runs or LineRuns(scratch, fanout)
     for i in range(batches):
         runs.add(entries.where(F.col("batch") == i).select(*DOC, *HASH))
     with _sorted_buckets(spark):
         frequent = scratch.keep(runs.frequent(min_docs), "frequent")
+    runs.close()
+    if given is None:  # no more batches
+        scratch.drop(*{name for name in scratch.names() if name not in ("entries", "frequent")})
     total = frequent.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
 
     held = join_counted(entries.select(*DOC, *HASH), frequent, HASH, "n_docs", total)
