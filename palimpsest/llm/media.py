@@ -315,14 +315,15 @@ def feature(track: Track) -> str:
 def store(spark: SparkSession, docs: DataFrame, media: bool = True) -> DataFrame:
     """Every whole text of ``docs`` as a media column with what its boxes tell.
 
-    Columns doc_id, n_bytes, media (binary; left out with ``media=False``), codec, timescale, duration, keyframes
-    (array of start, end), payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null
+    Columns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec, timescale,
+    duration, keyframes (array of start, end) and media (binary; left out with ``media=False``). A null
     text counts as empty and gives one frame of filling; rows stay as they are, repeated ones too; columns other
     than doc_id and text are not read.
     """
     small_arrow_batches(spark)
-    binary = "media binary, " if media else ""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, {binary}codec string, timescale long, duration long, keyframes array<struct<start:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    binary = ", media binary" if media else ""
+    told = "codec string, timescale long, duration long, keyframes array<struct<start:long,end:long>>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {told}{binary}"
 
     def one(doc_id, text) -> dict:
         data = (text or "").encode("utf-8", "surrogatepass")
