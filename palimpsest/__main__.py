@@ -7,7 +7,9 @@ import argparse
 from pyspark.sql import SparkSession
 
 from palimpsest.functions import scores
+from palimpsest.operators import gates
 from palimpsest.plans import lifecycle
+from palimpsest.session import collected
 
 
 def main(args: list[str] | None = None) -> int:
@@ -31,11 +33,14 @@ def main(args: list[str] | None = None) -> int:
     else:
         lifecycle.prepare(spark)
         documents, queries = spark.read.parquet(given.corpus), spark.read.parquet(given.queries)
-        lists = lifecycle.rerank_by_rules(lifecycle.retrieve(queries, documents), documents)
-        lists.write.mode("overwrite").partitionBy("method").parquet(f"{given.out}/lists")
-        metrics, report = lifecycle.evaluate_lists(spark.read.parquet(f"{given.out}/lists"), queries)
-        metrics.write.mode("overwrite").parquet(f"{given.out}/metrics")
-        report.write.mode("overwrite").json(f"{given.out}/report")
+        with collected(spark):
+            lists = lifecycle.rerank_by_rules(lifecycle.retrieve(queries, documents), documents)
+            lists.write.mode("overwrite").partitionBy("method").parquet(f"{given.out}/lists")
+            stored = spark.read.parquet(f"{given.out}/lists")
+            gates.require(gates.list_gates(stored))
+            metrics, report = lifecycle.evaluate_lists(stored, queries)
+            metrics.write.mode("overwrite").parquet(f"{given.out}/metrics")
+            report.write.mode("overwrite").json(f"{given.out}/report")
     return 0
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import Retrieval
@@ -168,3 +172,67 @@ def classification(rows: DataFrame, p: str = "p", label: str = "label") -> DataF
 def probability_deciles(rows: DataFrame, p: str = "p") -> DataFrame:
     """(decile, n): the last one includes 1."""
     return rows.groupBy(F.least(F.floor(F.col(p) * 10), F.lit(9)).alias("decile")).agg(F.count("*").alias("n"))
+
+
+def manifest_of(model: LogisticRegressionModel, features: list[str], preparation: dict[str, tuple[float, float, float]], c: float, policy: str = "block", alpha: float | None = None, **facts) -> dict:
+    """All that scoring needs, and facts on how it came about, as plain values."""
+    weights = dict(zip(features, map(float, model.coefficients.toArray()), strict=True))
+    return {"features": features, "preparation": {k: list(v) for k, v in preparation.items()}, "c": c, "intercept": float(model.intercept), "weights": weights, "policy": policy, "alpha": alpha, "facts": facts}
+
+
+def _seal(manifest: dict) -> str:
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def lock(spark: SparkSession, manifest: dict, path: str) -> str:
+    """Write a manifest with its hash to ``path``; one that is there already can't be replaced by another. Returns the hash."""
+    seal = _seal(manifest)
+    try:
+        if unlock(spark, path)[1] == seal:
+            return seal
+        raise ValueError(f"{path} holds another manifest")
+    except FileNotFoundError:
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True, default=str), seal)], "manifest string, seal string").coalesce(1).write.json(path)
+    return seal
+
+
+def unlock(spark: SparkSession, path: str) -> tuple[dict, str]:
+    """(manifest, hash) from ``path``; an error if there is none, or if it isn't what was locked."""
+    try:
+        row = spark.read.schema("manifest string, seal string").json(path).first()
+    except AnalysisException as error:
+        raise FileNotFoundError(path) from error
+    manifest = json.loads(row["manifest"]) if row else {}
+    if not row or _seal(manifest) != row["seal"]:
+        raise ValueError(f"the manifest at {path} was changed after it was locked")
+    return manifest, row["seal"]
+
+
+def open_test(spark: SparkSession, rows: DataFrame, path: str, role: str = "role", held_out: str = "test") -> tuple[DataFrame, dict]:
+    """(the held-out rows, the manifest): only once a manifest is locked at ``path``."""
+    manifest, _ = unlock(spark, path)
+    return rows.where(F.col(role) == held_out), manifest
+
+
+def score_by(rows: DataFrame, manifest: dict) -> DataFrame:
+    """Adds p to rows with raw features, from a manifest alone: prepared as on the training rows, in plain expressions."""
+    ready = prepare(rows, {k: tuple(v) for k, v in manifest["preparation"].items()})
+    linear = F.lit(manifest["intercept"])
+    for name, weight in manifest["weights"].items():
+        linear = linear + F.lit(weight) * F.col(f"`{name}`").cast("double")
+    return ready.withColumn("p", 1 / (1 + F.exp(-linear)))
+
+
+def agreement(learned: DataFrame, rule: DataFrame, on_target: Column, by: list[str]) -> DataFrame:
+    """By ``by``: how far a learned list only repeats a rule's. Both have query_id, evidence_id, rank and suppressed, ``learned`` also what ``by`` and ``on_target`` need.
+
+    A question agrees in its decisions if both suppress the same candidates of the target chain, and in its list if every rank is the same.
+    """
+    other = rule.select("query_id", "evidence_id", F.col("suppressed").alias("__s"), F.col("rank").alias("__r"))
+    both = learned.withColumn("__on", on_target).join(other, ["query_id", "evidence_id"])
+    per = both.groupBy("query_id", *by).agg(
+        F.count("*").alias("candidates"), F.count_if(F.col("suppressed")).alias("by_model"), F.count_if(F.col("__s") & F.col("__on")).alias("by_rule"), F.count_if(F.col("suppressed") & F.col("__s") & F.col("__on")).alias("by_both"),
+        F.max((F.col("__on") & (F.col("suppressed") != F.col("__s"))).cast("int")).alias("differs"), F.max((F.col("rank") != F.col("__r")).cast("int")).alias("moved"), F.count_if(F.col("suppressed") & ~F.col("__on")).alias("off_target"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("candidates", "by_model", "by_rule", "by_both", "off_target")]
+    return per.groupBy(*by).agg(F.count("*").alias("queries"), *sums, F.sum(1 - F.col("differs")).alias("same_decisions"), F.sum(1 - F.col("moved")).alias("same_lists"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import Retrieval
 from palimpsest.operators.ranking import order_by_score, top_k
 from palimpsest.session import kept
+from palimpsest.sources.files import KeyedCache
 
 
 def _idf(df: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
@@ -158,14 +159,15 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k
     v_blocks = max(1, -(-n_vectors * width // vector_bytes), min(vectors.sparkSession.sparkContext.defaultParallelism, n_vectors // 1000))
     number = lambda id_, blocks: F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select("evidence_id", "embedding", *([F.col(observed).alias("__obs")] if observed else [])).where(F.col("embedding").isNotNull()).withColumns({"v": number("evidence_id", v_blocks), "q": every(q_blocks)})
-    right = queries.select("query_id", "embedding", *([F.col(at).alias("__at")] if at else [])).where(F.col("embedding").isNotNull()).withColumns({"q": number("query_id", q_blocks), "v": every(v_blocks)})
+    # New names: both sides may come from one table.
+    left = vectors.select("evidence_id", F.col("embedding").alias("__vector"), *([F.col(observed).alias("__obs")] if observed else [])).where(F.col("__vector").isNotNull()).withColumns({"v": number("evidence_id", v_blocks), "q": every(q_blocks)})
+    right = queries.select("query_id", F.col("embedding").alias("__asked"), *([F.col(at).alias("__at")] if at else [])).where(F.col("__asked").isNotNull()).withColumns({"q": number("query_id", q_blocks), "v": every(v_blocks)})
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         q_ids, v_ids = asked.column("query_id").combine_chunks(), block.column("evidence_id").combine_chunks()
         found = []
         if len(q_ids) and len(v_ids):
-            questions, stored = _matrix(asked), _matrix(block)
+            questions, stored = _matrix(asked, "__asked"), _matrix(block, "__vector")
             step = max(1, cells // len(stored))
             for low in range(0, len(questions), step):
                 product = np.round(questions[low : low + step] @ stored.T, 12)
@@ -183,9 +185,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k
     return top_k(met, k, order_by_score(seed=seed))
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
-    """The embeddings of some rows, all of one length, as float64."""
-    flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _matrix(rows: pa.Table, column: str) -> np.ndarray:
+    """The vectors of some rows, all of one length, as float64."""
+    flat = rows.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(rows.num_rows, -1)
 
 
@@ -230,6 +232,13 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], np.nd
     return pairs.withColumn("score", F.pandas_udf(run, "double")(query_text, doc_text))
 
 
+def cached_scores(pairs: DataFrame, cache: KeyedCache, key: Column, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs`` with score: what the cache doesn't hold is scored (by a function that adds score), each key once, and appended; all are read back from it."""
+    keyed = pairs.withColumn("key", key)
+    cache.append(score(cache.missing(keyed.dropDuplicates(["key"]))).select("key", F.col("score").cast("double").alias("value")))
+    return keyed.join(cache.read().withColumnRenamed("value", "score"), "key").drop("key")
+
+
 def encoding_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the largest difference between two encodings of the same ids."""
     joined = a.select("evidence_id", F.col("embedding").alias("x")).join(b.select("evidence_id", F.col("embedding").alias("y")), "evidence_id")
