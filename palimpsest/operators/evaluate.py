@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.pit import graded
+from palimpsest.operators.ranking import minmax
 
 K, POOL = 10, 50
 KEYS = ["query_id", "method"]
@@ -99,6 +100,50 @@ def suppression(ranked: DataFrame, baseline: DataFrame, k: int = K) -> DataFrame
     )
 
 
+def summary(metrics: DataFrame, by: list[str] | None = None, k: int = K, pool: int = POOL) -> DataFrame:
+    """The means that a report of ranked lists shows, from ``per_query`` with scores, by ``by`` (method). Ties and gaps count where both classes are listed."""
+    is_ = lambda c: F.col(f"`{c}`") > 0
+    rate = lambda test, name: F.avg(test.cast("double")).alias(name)
+    mean = lambda c, name: F.avg(f"`{c}`").alias(name)
+    listed, top = is_(f"current_in_top{pool}"), is_(f"current_in_top{k}")
+    return metrics.groupBy(*(by or ["method"])).agg(
+        F.count("*").alias("queries"), mean(f"recall@{k}", "recall_k"), mean(f"recall@{pool}", "recall_pool"), mean(f"mrr@{k}", "mrr"), mean(f"ndcg@{k}", "ndcg"), mean(f"gndcg@{k}", "ndcg_graded"), mean(f"stale@{k}", "stale"),
+        rate(~listed, "retrieval_failure"), rate(listed & ~top, "ranking_failure"), rate(is_(f"outdated_in_top{pool}"), "outdated_in_pool"), rate(is_(f"outdated_in_top{k}"), "outdated_in_k"),
+        rate(listed & is_(f"outdated_in_top{pool}"), "both_in_pool"), rate(is_(f"other_current_in_top{pool}"), "other_current_in_pool"), rate(top & is_(f"outdated_in_top{k}"), "both_in_k"), rate(is_(f"other_current_in_top{k}"), "other_current_in_k"),
+        mean("top1_current", "top1_current"), mean("top1_outdated", "top1_outdated"), mean("tie", "tie_rate"), mean("gap", "mean_gap"), F.count("gap").alias("both_listed"),
+    )
+
+
+def staleness(metrics: DataFrame, suppressed: DataFrame, k: int = K, pool: int = POOL) -> DataFrame:
+    """By method: where the first outdated candidate stands, and what was suppressed and preserved (see ``suppression``), each over the queries that define it."""
+    both = metrics.join(suppressed, KEYS, "left")
+    first = F.col("first_outdated_rank")
+    means = both.groupBy("method").agg(
+        F.count("*").alias("queries"), F.avg(f"`outdated_count@{k}`").alias("outdated_count"), F.avg(first).alias("first_outdated_mean"), F.avg((first > k).cast("double")).alias("beyond_k"), F.avg((first > pool).cast("double")).alias("not_in_pool"),
+        F.avg("outdated_suppression").alias("suppression"), F.count("outdated_suppression").alias("suppression_queries"), F.avg("current_preservation").alias("preservation"), F.count("current_preservation").alias("preservation_queries"), F.avg(f"`current_at1_no_stale@{k}`").alias("joint"),
+    )
+    # The upper median: ranks are whole numbers up to pool + 1, so they are counted.
+    counted = both.groupBy("method", first.alias("r")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("method").orderBy("r")
+    upto = counted.withColumns({"upto": F.sum("c").over(order), "all": F.sum("c").over(Window.partitionBy("method"))})
+    median = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("method").agg(F.min("r").alias("first_outdated_median"))
+    return means.join(median, "method")
+
+
+def grid_on_dev(pool: DataFrame, age: Column, taus: tuple[float, ...], weights: tuple[float, ...], order: Callable[[Column], list[Column]], k: int = K) -> DataFrame:
+    """(tau, weight, ndcg, stale, place) of every setting of the blended recency reranker on a pool of dev questions, the best first.
+
+    Best: the largest ndcg, then the least stale, then the smaller settings. ``order`` gives a list's total order by a score.
+    """
+    scaled = pool.withColumn("__s", minmax("score"))
+    grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.lit(float(w)).alias("weight")) for t in taus for w in weights]))
+    each = scaled.withColumn("__g", grid).select("*", "__g.*").withColumn("score", F.col("__s") + F.col("weight") * F.exp(-age / F.col("tau")))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "tau", "weight").orderBy(*order(F.col("score")))))
+    means = per_query(ranked, k=k, keys=["query_id", "tau", "weight"]).groupBy("tau", "weight").agg(F.avg(f"`ndcg@{k}`").alias("ndcg"), F.avg(f"`stale@{k}`").alias("stale"))
+    best = Window.orderBy(F.round("ndcg", 9).desc(), F.round("stale", 9), "tau", "weight")  # a row for each setting
+    return means.withColumn("place", F.row_number().over(best))
+
+
 def long(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """(keys, metric, value)."""
     return metrics.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])).alias("x")).select(*keys, "x.metric", "x.value")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.config import Splits
+from palimpsest.session import kept
 
 
 def periods(events: DataFrame, entity: str, year: str, cfg: Splits = Splits()) -> DataFrame:
@@ -15,14 +19,37 @@ def periods(events: DataFrame, entity: str, year: str, cfg: Splits = Splits()) -
     return events.groupBy(entity).agg(F.bool_or(F.col(year).isin(*cfg.train_years)).alias("in_train"), F.bool_or(F.col(year).isin(*cfg.test_years)).alias("in_test"))
 
 
-def seeded_sample(keys: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
+#: Keys of which a seeded sample may be drawn: the driver holds a number for each that is chosen.
+MOST_KEYS = 50_000_000
+
+
+def numbered(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """((key, place) of all different keys, place counting from 0 in their order; their number). Partitions hold consecutive places, sorted.
+
+    The keys are dealt by range and counted there; the driver sees a number for each partition.
+    """
+    dealt = keys.select(key).distinct()
+    ordered = kept(dealt.repartitionByRange(key).sortWithinPartitions(key), partitioned=True).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = dict(ordered.groupBy("__part").agg(F.count("*")).collect())
+    starts, total = {}, 0
+    for part in sorted(counts):
+        starts[part], total = total, total + counts[part]
+    if not total:
+        return ordered.select(key, F.col("__row").alias("place")), 0
+    offset = F.element_at(F.array(*[F.lit(starts.get(i, 0)).cast("long") for i in range(max(starts) + 1)]), F.col("__part") + 1)
+    return ordered.select(key, (offset + F.col("__row")).alias("place")), total
+
+
+def seeded_sample(keys: DataFrame, key: str, fraction: float, seed: int, most: int = MOST_KEYS) -> DataFrame:
     """The keys that a Mersenne Twister with ``seed`` samples from all of them in order; round(n fraction) of them, half to even.
 
-    The generator works on a sorted list, so the keys come to the driver: entities with a replacement, not rows. ``hash_sample`` scales without.
+    The generator draws places, so no key comes to the driver; more than ``most`` keys are an error, for they are for ``hash_sample``.
     """
-    ordered = sorted(r[0] for r in keys.select(key).distinct().collect())
-    chosen = random.Random(seed).sample(ordered, round(len(ordered) * fraction))
-    return keys.sparkSession.createDataFrame([(k,) for k in chosen], f"{key} {dict(keys.dtypes)[key]}")
+    ordered, total = numbered(keys, key)
+    if total > most:
+        raise ValueError(f"{total} keys are too many for one generator; use hash_sample")
+    places = pd.DataFrame({"place": np.array(random.Random(seed).sample(range(total), round(total * fraction)), np.int64)})
+    return ordered.join(keys.sparkSession.createDataFrame(places, "place long"), "place", "left_semi").select(key)
 
 
 def hash_sample(keys: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -32,10 +59,24 @@ def hash_sample(keys: DataFrame, key: str, fraction: float, seed: int) -> DataFr
 
 
 def seeded_choice(keys: DataFrame, key: str, options: tuple[str, ...], seed: int, name: str) -> DataFrame:
-    """(key, choice): a seeded generator draws once for each key in order."""
-    rng = random.Random(seed)
-    rows = [(r[0], rng.choice(sorted(options))) for r in keys.select(key).distinct().orderBy(key).collect()]
-    return keys.sparkSession.createDataFrame(rows, f"{key} {dict(keys.dtypes)[key]}, {name} string")
+    """(key, choice): a seeded generator draws once for each key in order.
+
+    A task draws for its own keys, and passes over the draws for those before them.
+    """
+    ordered, _ = numbered(keys, key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng, at, choices = random.Random(seed), 0, sorted(options)
+        for pdf in batches:
+            drawn = []
+            for place in pdf["place"]:
+                while at <= place:
+                    choice = rng.choice(choices)
+                    at += 1
+                drawn.append(choice)
+            yield pd.DataFrame({key: pdf[key], name: drawn})
+
+    return ordered.mapInPandas(run, f"{key} {dict(keys.dtypes)[key]}, {name} string")
 
 
 def assign(entities: DataFrame, seen: DataFrame, entity: str, dev: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def query(sql: str | None = None, digits: int = 6):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from palimpsest.plans import checked, cohorts, learned, points, ranked, relational, replayed, scalar, sourced  # noqa: F401
+    from palimpsest.plans import checked, cohorts, learned, points, ranked, relational, replayed, scalar, sourced, summaries  # noqa: F401
 
     return QUERIES
 

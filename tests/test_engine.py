@@ -139,6 +139,20 @@ def test_dense_equals_numpy_and_admits_ties(spark):
         assert [r["evidence_id"] for r in got.where(F.col("query_id") == qid).orderBy("rank").collect()] == [e for _, _, e in order[:5]]
 
 
+def test_seeded_draws_are_those_of_one_generator_over_sorted_keys(spark):
+    names = [f"k{i * 7919 % 1000:03d}" for i in range(700)]
+    frame = spark.createDataFrame([(n,) for n in names * 2], "k string").repartition(5)
+    options = ("x", "y", "z", "w", "v")
+    rng = random.Random(11)
+    assert dict(rows(splits.seeded_choice(frame, "k", options, 11, "c"))) == {n: rng.choice(sorted(options)) for n in sorted(set(names))}
+    assert sorted(r[0] for r in splits.seeded_sample(frame, "k", 0.15, 3).collect()) == sorted(random.Random(3).sample(sorted(set(names)), round(0.15 * 700)))
+    places, total = splits.numbered(frame, "k")
+    assert total == 700 and dict(rows(places)) == {n: i for i, n in enumerate(sorted(names))}
+    assert splits.seeded_choice(frame.limit(0), "k", options, 1, "c").collect() == [] and splits.seeded_sample(frame.limit(0), "k", 0.5, 1).collect() == []
+    with pytest.raises(ValueError, match="hash_sample"):
+        splits.seeded_sample(frame, "k", 0.5, 1, most=10)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
