@@ -59,6 +59,29 @@ def pit_query_generation(spark, sf):
     return g.select("query_id", "query_time", F.try_element_at("c", F.lit(1)).alias("answer"), F.array_join("c", ",").alias("current_ids"), F.array_join("o", ",").alias("outdated_ids"), F.array_join("x", ",").alias("other_ids"), "visible")
 
 
+_OFFSET = 30 * 86_400_000_000
+_ASKED = f"""{A2}, prs AS (SELECT entity, source, evidence_id AS old_id, valid_from AS o_from, valid_until AS o_until, replaced_by, lead(evidence_id) OVER w AS new_id, lead(valid_from) OVER w AS n_from, lead(valid_until) OVER w AS n_until FROM a2 WINDOW w AS (PARTITION BY entity, source ORDER BY seq)),
+tmd AS (SELECT *, 'POST_REPLACEMENT_MAIN' AS role, least(coalesce(n_until, {WINDOW_END}), {WINDOW_END}) - n_from AS room FROM prs WHERE new_id IS NOT NULL UNION ALL SELECT *, 'PRE_REPLACEMENT_CONTROL', o_until - greatest(o_from, {WINDOW_START}) FROM prs WHERE new_id IS NOT NULL),
+ask AS (SELECT * FROM (SELECT *, CASE WHEN role = 'POST_REPLACEMENT_MAIN' THEN n_from + least({_OFFSET}, CAST(floor(room * 0.5) AS BIGINT)) ELSE o_until - least({_OFFSET}, CAST(floor(room * 0.5) AS BIGINT)) END AS at_time FROM tmd WHERE room >= 2000000) WHERE at_time BETWEEN {WINDOW_START} AND {WINDOW_END}),
+cnd AS (SELECT a.old_id, a.role, e.evidence_id, e.source = a.source AS mine, e.valid_until IS NULL OR a.at_time < e.valid_until AS active FROM ask a JOIN a2 e ON e.entity = a.entity AND e.valid_from <= a.at_time),
+gld AS (SELECT old_id, role, min(evidence_id) FILTER (WHERE mine AND active) AS answer, count(*) FILTER (WHERE mine AND active) AS n_current, count(*) FILTER (WHERE mine AND NOT active) AS n_outdated, count(*) FILTER (WHERE NOT mine AND active) AS n_other, count(*) AS n_visible FROM cnd GROUP BY 1, 2),
+tot AS (SELECT valid_from AS t, max(n) AS n FROM (SELECT valid_from, count(*) OVER (ORDER BY valid_from) AS n FROM a2) GROUP BY 1)"""
+
+
+@query(f"WITH {_ASKED} SELECT 'q_' || substr(sha1('train|e' || a.replaced_by || '|' || a.old_id || '|' || a.role || '|base_severity'), 1, 16) AS query_id, a.role AS query_role, a.at_time AS query_time, g.answer AS answer_evidence_id, n_current, n_outdated, n_other, n_visible, CAST(tot.n AS BIGINT) AS visible_corpus_count FROM ask a JOIN gld g USING (old_id, role) ASOF JOIN tot ON a.at_time >= tot.t WHERE g.answer IS NOT NULL AND (a.role <> 'POST_REPLACEMENT_MAIN' OR n_outdated > 0)")
+def generated_queries(spark, sf):
+    """Questions after and before every replacement, by the library's generator."""
+    rows = A.intervals(spark, sf)
+    order = Window.partitionBy(*CHAIN).orderBy("seq")
+    named = rows.select(F.col("entity").cast("string").alias("cve_id"), F.col("source").alias("source_key"), F.lit("3.1").alias("cvss_version"), "evidence_id", "valid_from", "valid_until", "replaced_by", F.lead("evidence_id").over(order).alias("next_id"))
+    events = named.where(F.col("next_id").isNotNull()).select(F.lit("train").alias("split"), F.concat(F.lit("e"), "replaced_by").alias("termination_event_id"), "cve_id", "cvss_version", "source_key", F.col("evidence_id").alias("old_evidence_id"), F.col("next_id").alias("new_evidence_id"))
+    given = {"base_vector": F.lit("AV:N"), "base_score": F.lit(5.0), "base_severity": F.lit("MEDIUM"), "valid_from_censored": F.lit(False), "chain_ambiguous": F.lit(False)}
+    evidence = named.withColumns({"observed_from": F.col("valid_from"), "replacement_type": F.when(F.col("valid_until").isNotNull(), "STRICT_SAME_CHANGE"), **given}).drop("replaced_by", "next_id")
+    made, _ = pit.generate_queries(events, evidence, events.select("old_evidence_id", F.lit("base_severity").alias("query_template_id")), (WINDOW_START, WINDOW_END))
+    sizes = {"n_current": "current_evidence_ids", "n_outdated": "outdated_evidence_ids", "n_other": "other_source_current_evidence_ids", "n_visible": "visible_evidence_ids"}
+    return made.select("query_id", "query_role", "query_time", "answer_evidence_id", *[F.size(c).alias(name) for name, c in sizes.items()], "visible_corpus_count")
+
+
 @query(f"WITH {A2}, r AS (SELECT *, valid_until - greatest(valid_from, {WINDOW_START}) AS room FROM a2 WHERE valid_until IS NOT NULL) SELECT evidence_id, CASE WHEN room >= 2000000 THEN valid_until - least(86400000000, CAST(floor(room * 0.5) AS BIGINT)) END AS query_time, CASE WHEN room < 2000000 THEN 'OLD_INTERVAL_TOO_SHORT' END AS reason FROM r")
 def pit_query_pre_control(spark, sf):
     w = times.offset_before(F.col("valid_until"), F.col("valid_from"), F.lit(WINDOW_START), days=1)

@@ -203,10 +203,14 @@ def rounding_policies(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scores.round_js(x).alias("js"), scores.round_decimal(x).alias("dec"))
 
 
-@query("SELECT v AS text, m AS micros FROM (VALUES ('2024-03-01T10:00:00.000', 1709287200000000), ('2024-03-01T10:00:00Z', 1709287200000000), ('2024-03-01T12:00:00+02:00', 1709287200000000), ('??', -1), ('', -1)) t(v, m)")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_us(ts) // 1000 * 1000 WHEN 1 THEN epoch_us(ts) WHEN 2 THEN epoch_us(ts) // 1000000 * 1000000 ELSE -1 END AS micros FROM events")
 def utc_parse(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("2024-03-01T10:00:00.000", "2024-03-01T10:00:00Z", "2024-03-01T12:00:00+02:00", "??", "")], "text string")
-    return rows.select("text", F.coalesce(times.micros(times.parse_utc(F.col("text"))), F.lit(-1)).alias("micros"))
+    """The events' times, written without a zone, with Z, with an offset, and as no time at all, and parsed again."""
+    e = table(spark, sf, "events").select("event_id", F.timestamp_micros(times.micros(F.col("ts"))).alias("t"))
+    ahead = F.timestamp_micros(F.unix_micros("t") + 7_200_000_000)
+    forms = [F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.concat(F.date_format(ahead, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), F.lit("??"), F.lit("")]
+    written = e.select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int")).alias("text"))
+    return written.select("event_id", F.coalesce(times.micros(times.parse_utc(F.col("text"))), F.lit(-1)).alias("micros"))
 
 
 @query("SELECT DISTINCT date_trunc('month', CAST(o_orderdate AS DATE))::DATE::VARCHAR AS start, g::DATE::VARCHAR AS first, least(g::DATE + 119, (date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 1 YEAR)::DATE)::VARCHAR AS last FROM orders, LATERAL (SELECT unnest(generate_series(date_trunc('month', CAST(o_orderdate AS DATE)), date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 1 YEAR, INTERVAL 120 DAY)) AS g)")
