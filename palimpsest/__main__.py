@@ -1,21 +1,27 @@
-"""Command line: ``python -m palimpsest timeline|corpus|audit|rank ...``."""
+"""Command line: ``python -m palimpsest timeline|corpus|audit|rank|significance|cohorts ...``."""
 
 from __future__ import annotations
 
 import argparse
 
+import pandas as pd
 from pyspark.sql import SparkSession
 
+from palimpsest.config import Timeline
 from palimpsest.functions import scores
 from palimpsest.operators import gates
 from palimpsest.plans import lifecycle
 from palimpsest.session import collected
 
 
+#: Metrics that are tested.
+SIGNIFICANT = ("ndcg@10", "gndcg@10", "mrr@10", "recall@10", "stale@10", "current_at1_no_stale@10")
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="palimpsest")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, needs in {"timeline": ("history-dir", "out"), "corpus": ("intervals", "out"), "audit": ("out",), "rank": ("corpus", "queries", "out")}.items():
+    for name, needs in {"timeline": ("history-dir", "out"), "corpus": ("intervals", "out"), "audit": ("out",), "rank": ("corpus", "queries", "out"), "significance": ("metrics", "queries", "baseline", "out"), "cohorts": ("corpus", "queries", "out")}.items():
         sub = commands.add_parser(name)
         for need in needs:
             sub.add_argument(f"--{need}", required=True)
@@ -30,6 +36,20 @@ def main(args: list[str] | None = None) -> int:
         lifecycle.build_corpus(spark, spark.read.parquet(given.intervals), given.out, lookup)
     elif given.command == "audit":
         lifecycle.audit_corpus(spark, given.out)
+    elif given.command == "significance":
+        lifecycle.prepare(spark)
+        metrics, queries = spark.read.parquet(given.metrics), spark.read.parquet(given.queries)
+        with collected(spark):
+            intervals, tests = lifecycle.significance(metrics, queries, given.baseline, SIGNIFICANT)
+            intervals.write.mode("overwrite").json(f"{given.out}/intervals")
+            tests.write.mode("overwrite").json(f"{given.out}/tests")
+    elif given.command == "cohorts":
+        from palimpsest.plans import cohorts
+
+        lifecycle.prepare(spark)
+        end = int(pd.Timestamp(Timeline().window_end).value // 1000)
+        with collected(spark):
+            cohorts.run(spark, spark.read.parquet(given.corpus), spark.read.parquet(given.queries), given.out, end)
     else:
         lifecycle.prepare(spark)
         documents, queries = spark.read.parquet(given.corpus), spark.read.parquet(given.queries)

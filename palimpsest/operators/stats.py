@@ -152,14 +152,19 @@ def intervals(replicates: DataFrame, by: list[str], level: float = Statistics.le
     return replicates.groupBy(*by).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
 
 
-def paired_difference(replicates: DataFrame, method: str, baseline: str, by: list[str], level: float = Statistics.level) -> DataFrame:
-    """(by, diff_low, diff_high, p): of a method against a baseline, two-sided, no less than one in the number of replicates."""
+def paired_differences(replicates: DataFrame, baseline: str, by: list[str], level: float = Statistics.level) -> DataFrame:
+    """(method, by, diff_low, diff_high, p): of every other method against a baseline on the same draws, two-sided; p is no less than one in the number of replicates."""
     replicates = replicates.where(~F.isnan("mean"))
     b = replicates.where(F.col("method") == baseline).select(*by, "replicate", F.col("mean").alias("__b"))
-    d = replicates.where(F.col("method") == method).join(b, [*by, "replicate"]).withColumn("d", F.col("mean") - F.col("__b"))
+    d = replicates.where(F.col("method") != baseline).join(b, [*by, "replicate"]).withColumn("d", F.col("mean") - F.col("__b"))
     tail = (1 - level) / 2
     p = F.least(F.lit(1.0), F.greatest(2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))), 1.0 / F.count("*")))
-    return d.groupBy(*by).agg(F.percentile("d", F.lit(tail)).alias("diff_low"), F.percentile("d", F.lit(1 - tail)).alias("diff_high"), p.alias("p"))
+    return d.groupBy("method", *by).agg(F.percentile("d", F.lit(tail)).alias("diff_low"), F.percentile("d", F.lit(1 - tail)).alias("diff_high"), p.alias("p"))
+
+
+def paired_difference(replicates: DataFrame, method: str, baseline: str, by: list[str], level: float = Statistics.level) -> DataFrame:
+    """(by, diff_low, diff_high, p) of one method, see ``paired_differences``."""
+    return paired_differences(replicates.where(F.col("method").isin(method, baseline)), baseline, by, level).drop("method")
 
 
 def holm(tests: DataFrame, p: str = "p", name: str = "test", alpha: float = Statistics.alpha) -> DataFrame:

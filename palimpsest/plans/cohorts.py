@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import DAY, Retrieval
 from palimpsest.functions import text, times
 from palimpsest.operators import gates, pit, ranking, retrieval
+from palimpsest.plans import lifecycle
 from palimpsest.plans.catalogue import query
 from palimpsest.plans.ranked import _BMQ, _TIE
 from palimpsest.session import shared_dir
@@ -73,6 +74,27 @@ def control_checks(lists: DataFrame, controls: DataFrame, by: list[str]) -> Data
     )
 
 
+def run(spark: SparkSession, documents: DataFrame, queries: DataFrame, out: str, window_end: int, days: tuple[int, ...] = OFFSETS) -> dict[str, DataFrame]:
+    """The main questions asked again at later times, and the control questions, by one index stored under ``out``.
+
+    Written: index, offset_lists (by cohort), offset_overlap, offset_excluded, control_lists and control_report (by split and whether the answer is from before the window).
+    """
+    retrieval.index(documents, lifecycle.tokens("evidence_text")).save(f"{out}/index")
+    index, asked = retrieval.Index.load(spark, f"{out}/index"), lifecycle.tokens("query_text")
+    main = queries.where(F.col("query_role") == "POST_REPLACEMENT_MAIN")
+    original = retrieval.bm25(index, main, None, asked)
+    later, excluded = asked_later(main, documents, window_end, days)
+    lists, overlap = reretrieved(index, later, asked, original, documents.select("evidence_id", "observed_from"))
+    controls = queries.where(F.col("query_role") == "PRE_REPLACEMENT_CONTROL")
+    found = lifecycle.judge(retrieval.bm25(index, controls, None, asked).withColumn("method", F.lit("bm25")), controls, documents)
+    by = ["split", "valid_from_censored"]
+    told = controls.select("query_id", "query_time", F.col("replacing_new_evidence_id").alias("new_evidence_id"), *by)
+    parts = {"offset_lists": lists, "offset_overlap": overlap, "offset_excluded": excluded, "control_lists": found, "control_report": control_checks(found.select("query_id", "evidence_id", "rank", "class", "observed_from"), told, by)}
+    for name, frame in parts.items():
+        frame.write.mode("overwrite").parquet(f"{out}/{name}")
+    return {name: spark.read.parquet(f"{out}/{name}") for name in parts}
+
+
 _DAYS = (0, 1, 2, 5)
 _LATER = "a6 AS (SELECT item_id || '+' || days AS query_id, text, days, CAST(item_id AS VARCHAR) AS original_id, {start} + (item_id + 1 + days) * {day} AS query_time FROM benchmark, (SELECT unnest([{days}])::BIGINT AS days))".format(start=WINDOW_START, day=DAY, days=", ".join(map(str, _DAYS)))
 

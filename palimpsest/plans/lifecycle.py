@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.config import Queries, Retrieval, Splits, Timeline
+from palimpsest.config import Queries, Retrieval, Splits, Statistics, Timeline
 from palimpsest.functions import text, times
-from palimpsest.operators import corpus, evaluate, gates, pit, ranking, replay, retrieval, splits, timeline
+from palimpsest.operators import corpus, evaluate, gates, pit, ranking, replay, retrieval, splits, stats, timeline
 from palimpsest.session import kept, prepare
 from palimpsest.sources import changelog
 
@@ -69,11 +69,14 @@ def judge(lists: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFra
     return j.withColumn("class", pit.candidate_class(F.col("label"), F.col("relation")))
 
 
+def tokens(of: str) -> Column:
+    """What is retrieved by: a document is its identity and its sentence (evidence_text), a question its chain and its text (query_text)."""
+    return text.tokenize(F.concat_ws(" ", "cve_id", "source_key", "cvss_version", of))
+
+
 def retrieve(queries: DataFrame, documents: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
-    """Judged BM25 lists. A document is its identity and its sentence; a question is its chain and its text."""
-    doc = text.tokenize(F.concat_ws(" ", "cve_id", "source_key", "cvss_version", "evidence_text"))
-    asked = text.tokenize(F.concat_ws(" ", "cve_id", "source_key", "cvss_version", "query_text"))
-    found = retrieval.bm25(documents, queries, doc, asked, cfg=cfg).withColumn("method", F.lit("bm25"))
+    """Judged BM25 lists."""
+    found = retrieval.bm25(documents, queries, tokens("evidence_text"), tokens("query_text"), cfg=cfg).withColumn("method", F.lit("bm25"))
     return judge(found, queries, documents)
 
 
@@ -118,6 +121,19 @@ def evaluate_lists(lists: DataFrame, queries: DataFrame) -> tuple[DataFrame, Dat
     return metrics, evaluate.report(metrics.join(dims, "query_id"), names, ["split", "query_template_id", "censored", "cvss_version"])
 
 
+def significance(metrics: DataFrame, queries: DataFrame, baseline: str, names: tuple[str, ...], cfg: Statistics = Statistics()) -> tuple[DataFrame, DataFrame]:
+    """(intervals, tests): the mean of each method and metric with its bootstrap interval, and every method against the baseline on every metric.
+
+    Entities are the clusters, drawn the same way for all; the tests are one family for Holm's correction. Metrics: as of ``evaluate_lists``.
+    """
+    values = evaluate.long(metrics.join(queries.select("query_id", "cve_id"), "query_id"), ["query_id", "cve_id", "method"], list(names))
+    sums = kept(stats.cluster_sums(values, "cve_id", ["method", "metric"]))
+    replicates = kept(stats.bootstrap_by_hash(sums, "cve_id", ["method", "metric"], cfg.replicates))
+    means = sums.groupBy("method", "metric").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    tests = stats.paired_differences(replicates, baseline, ["metric"], cfg.level).withColumn("test", F.concat_ws("|", "method", "metric"))
+    return means.join(stats.intervals(replicates, ["method", "metric"], cfg.level), ["method", "metric"]), stats.holm(tests, alpha=cfg.alpha)
+
+
 def sample_queries(queries: DataFrame, per_split: int = 100, seed: int = 20260917) -> DataFrame:
     """Of so many entities of each split, chosen by a hash, the question with the least id."""
     entities = queries.select("split", "cve_id").distinct()

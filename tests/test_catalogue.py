@@ -124,6 +124,20 @@ def test_end_to_end(spark, tmp_path):
     assert lifecycle.sample_queries(main, 2).groupBy("split").count().where("count > 2").count() == 0
 
 
+    tested, family = lifecycle.significance(metrics, main, "bm25", ("ndcg@10", "stale@10"), __import__("palimpsest.config", fromlist=["Statistics"]).Statistics(replicates=200))
+    tests = {r["test"]: r for r in family.collect()}
+    assert tested.count() == 16 and len(tests) == 14 and all(r["p"] <= r["p_holm"] <= 1 and r["diff_low"] <= r["diff_high"] for r in tests.values())
+    assert tests["oracle_temporal|stale@10"]["diff_high"] <= 0 and {r["method"]: r["mean"] for r in tested.where("metric = 'stale@10'").collect()}["bm25"] == pytest.approx(by["bm25"]["stale@10"])
+
+    from palimpsest.plans import cohorts
+
+    done = cohorts.run(spark, c["corpus"], q, str(tmp_path / "x"), 1_788_000_000_000_000, (1, 60))
+    assert done["offset_lists"].where("observed_from > query_time").count() == 0 and done["offset_overlap"].where("overlap > 1").count() == 0
+    assert done["offset_lists"].select("query_id").distinct().count() + done["offset_excluded"].count() == 2 * main.count()
+    report = done["control_report"].agg(*[F.sum(x).alias(x) for x in ("queries", "visibility_violations", "replacing_in_pool")]).first()
+    assert report["queries"] == q.where("query_role = 'PRE_REPLACEMENT_CONTROL'").count() and report["visibility_violations"] == report["replacing_in_pool"] == 0
+
+
 def test_command_line(spark, tmp_path):
     from palimpsest.__main__ import main
 
