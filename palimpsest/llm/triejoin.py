@@ -4,28 +4,28 @@ A set's n-grams stand in one global order, rare ones first: by the sum of their
 Two sets that are similar enough share one of the first few n-grams of each (their prefixes), and after the first one that
 they share enough must be left of both.
 
-1. equal sets become one node; prefixes, a tenth of all n-grams, are all that is shuffled of most texts, because a prefix n-gram
-   that no other node has in its prefix links nothing;
-2. the nodes that are left are grouped by each shared n-gram. Each is paired with its group's most central node, verified, and
+1. equal sets become one node. Of most texts only the rarer quarter of their n-grams is shuffled, once: where more of them stand in no
+   other set than a similar set may lack, there is no similar set;
+2. the nodes that are left are grouped by each n-gram that several have in their prefixes. Each is paired with its group's most central node, verified, and
    the components of these links are taken: copies of one text are done here, without pairing them among each other;
 3. groups that still hold several components are joined by trie. The tails of a group's members after the n-gram (in order, at
    most ``TAIL`` n-grams) go into a prefix tree. A member is sought by walking the tree with the overlap so far; members with the same beginning
    share the walk. A subtree is left out as soon as what remains of the sought set or of the longest set in it can't reach the
-   overlap that is needed, or if all its sets are of the sought one's component;
+   overlap that is needed, or if all its sets are of the sought one's component, or have the same first shared n-gram and so meet elsewhere;
 4. what the trie leaves is verified on the whole sets, and the components are taken again.
 """
 
 from __future__ import annotations
 
-import bisect
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Scratch, join_counted, small_arrow_batches
@@ -38,7 +38,7 @@ NUM, DEN = 90, 100
 #: Words whose frequencies order the n-grams; rarer words count as never seen. A bound of what tasks are sent, not of what is joined.
 RANKED_WORDS = 65_536
 #: N-grams of a set that stand in a tree.
-TAIL = 32
+TAIL = 512
 #: Members of a group in one tree.
 BLOCK = 1000
 #: Levels of frequency for each unit of the logarithms' sum.
@@ -92,13 +92,30 @@ def grams(numbers: np.ndarray, words: Words, size: int = GRAM) -> tuple[np.ndarr
     return gram, np.sort((level << 52) | (gram >> np.uint64(12)).astype(np.int64))
 
 
-def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
-    """A set of n shares one of its first so many n-grams with any similar set, in whatever order: the rest is too little."""
-    return n - -(-num * n // den) + 1 if n else 0
+def lacking(n: int | Column, num: int = NUM, den: int = DEN) -> int | Column:
+    """So many n-grams of a set of n may be missing in a similar set. One more, its first ones in whatever order, are its prefix."""
+    return n - -(-num * n // den) if isinstance(n, int) else n - F.ceil(F.lit(num) * n / den - 1e-9)
 
 
-def word_weights(docs: DataFrame, ranked: int = RANKED_WORDS) -> dict[bytes, float]:
-    """Logarithm of the number of occurrences of the ``ranked`` commonest words of all texts."""
+def told_length(n: int | Column, num: int = NUM, den: int = DEN) -> int | Column:
+    """How many first n-grams are looked at to tell whether too many stand in no other set: half as many again as the prefix."""
+    return -(-3 * (lacking(n, num, den) + 1) // 2) if isinstance(n, int) else F.ceil(1.5 * (lacking(n, num, den) + 1))
+
+
+def stored_length(n: int, num: int = NUM, den: int = DEN) -> int:
+    """How many first n-grams of a set of n must be known so that no n-gram that a similar set looks at is taken for missing here.
+
+    A similar set has at most den n / num n-grams, and each of them stands here at most as many places later as n-grams may be missing there.
+    """
+    prefix = -(-(den - num) * n // num) + 1
+    return min(n, -(-3 * prefix // 2) + 1 + lacking(n, num, den))
+
+
+def word_weights(docs: DataFrame, scratch: Scratch, ranked: int = RANKED_WORDS) -> dict[bytes, float]:
+    """Logarithm of the number of occurrences of the commonest words of all texts, at most ``ranked``; a task leaves out what it has seen once.
+
+    Any weights give the right links; the better they tell how rare an n-gram is, the fewer texts are candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -108,17 +125,27 @@ def word_weights(docs: DataFrame, ranked: int = RANKED_WORDS) -> dict[bytes, flo
                 for word in split(text.as_py()):
                     counts[word] = counts.get(word, 0) + 1
             if len(counts) > REMEMBERED:
+                counts = {word: n for word, n in counts.items() if n > 1}
                 yield out()
                 counts = {}
+        counts = {word: n for word, n in counts.items() if n > 1}
         yield out()
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(ranked).collect()
+    counted = scratch.keep(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # The lowest level of frequency from which on there are no more words than that: some hundred numbers decide, and nothing is ordered.
+    level = F.floor(F.log2("n") * 8)
+    from_, held = None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > ranked:
+            break
+        from_ = r["level"]
+    top = [] if from_ is None else counted.where(level >= from_).collect()
     return {bytes(r["word"]): math.log(r["n"] + 1) for r in top}
 
 
 def ordered_sets(spark: SparkSession, docs: DataFrame, weights: dict[bytes, float], whole: bool, num: int, den: int, size: int) -> DataFrame:
-    """doc_id, n (size of the set), k1 and k2 (its hashes), and its n-grams in order: the whole set, or its prefix."""
+    """doc_id, n (size of the set), k1 and k2 (its hashes), and its n-grams in order: the whole set, or as many as ``stored_length`` says."""
     known = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +158,7 @@ def ordered_sets(spark: SparkSession, docs: DataFrame, weights: dict[bytes, floa
                 seen = Words(known.value)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s, _ in sets]
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if sets else np.empty((0, 2), np.int64)
-            cut = [s if whole else s[: prefix_length(len(s), num, den)] for _, s in sets]
+            cut = [s if whole else s[: stored_length(len(s), num, den)] for _, s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in cut])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *cut])
             yield pa.RecordBatch.from_arrays(
@@ -142,71 +169,165 @@ def ordered_sets(spark: SparkSession, docs: DataFrame, weights: dict[bytes, floa
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, grams array<long>")
 
 
+class Member(NamedTuple):
+    """A set in a group: its n-grams after the group's (at most TAIL), their number from that one on (rest), and its first shared n-gram."""
+
+    id: int
+    label: int
+    n: int
+    rest: int
+    first: int
+    tail: list[int]
+    entered: bool = True
+    sought: bool = True
+
+
+def needed(n: int, m: int, num: int, den: int) -> int:
+    """How many n-grams similar sets of n and m have in common at least; of any m, if m is 0."""
+    return -(-num * (n + m) // (num + den)) if m else -(-num * n // den)
+
+
 class Tree:
-    """Prefix tree of ordered tails. A node has its children by n-gram, the sets that end in it, and bounds over all sets below."""
-
-    __slots__ = ("children", "ends", "label", "most")
-
-    def __init__(self):
-        self.children: dict[int, Tree] = {}
-        self.ends: list[tuple[int, int, int, int]] = []
-        #: Most n-grams that a set below has from the group's n-gram on; the label all sets below have, or None.
-        self.most, self.label = 0, -1
-
-    def add(self, tail: list[int], number: int, n: int, rest: int, label: int) -> None:
-        """A set's tail after the group's n-gram; of its n n-grams ``rest`` stand from that one on."""
-        node = self
-        for gram in [None, *tail]:
-            if gram is not None:
-                node = node.children.setdefault(gram, Tree())
-            node.most = max(node.most, rest)
-            node.label = label if node.label in (-1, label) else None
-        node.ends.append((number, n, rest, label))
-
-    def find(self, tail: list[int], n: int, rest: int, label: int, num: int, den: int) -> Iterator[int]:
-        """Numbers of the sets of other labels that may be similar to the one with this tail, n and rest.
-
-        ``missed`` n-grams of the path to a node are not in the sought set, ``matched`` are. Both stand in one order, so what either has
-        passed by is lost for good; only behind the end of a tail that was cut the sought set may still have an n-gram of the path.
+    """Prefix tree of ordered tails, with a run of n-grams on each edge.
+
+    A node has the run that leads to it, its children by their first n-gram, the members that end in it, and of all members below
+    the most n-grams that are left from the group's on, the least and the largest size, and the label and the first n-gram, where these are
+    all the same.
+    """
+
+    __slots__ = ("children", "ends", "first", "high", "label", "low", "most", "run")
+
+    def __init__(self, run: list[int]):
+        self.run, self.children, self.ends = run, {}, []
+        self.most, self.low, self.high, self.label, self.first = 0, 1 << 62, 0, -1, -1
+
+    def _holds(self, member: Member) -> None:
+        self.most = max(self.most, member.rest)
+        self.low, self.high = min(self.low, member.n), max(self.high, member.n)
+        self.label = member.label if self.label in (-1, member.label) else None
+        self.first = member.first if self.first in (-1, member.first) else None
+
+    def add(self, member: Member) -> None:
+        node, tail, at = self, member.tail, 0
+        node._holds(member)
+        while at < len(tail):
+            child = node.children.get(tail[at])
+            if child is None:
+                child = node.children[tail[at]] = Tree(tail[at:])
+                at = len(tail)
+            else:
+                same = 0
+                while same < len(child.run) and at + same < len(tail) and child.run[same] == tail[at + same]:
+                    same += 1
+                if same < len(child.run):  # the run parts here
+                    upper = Tree(child.run[:same])
+                    upper.most, upper.label, upper.first, upper.low, upper.high = child.most, child.label, child.first, child.low, child.high
+                    child.run = child.run[same:]
+                    upper.children[child.run[0]] = child
+                    node.children[upper.run[0]] = upper
+                    child = upper
+                at += same
+            node = child
+            node._holds(member)
+        node.ends.append(member)
+
+    def find(self, sought: Member, gram: int, num: int, den: int) -> Iterator[tuple[Member, bool]]:
+        """Members that may be similar to the sought one, and whether they surely are: of other labels, and with another first n-gram.
+
+        Two sets with one first n-gram meet in that n-gram's group, so they are left out of any other (``gram`` is this group's). Along
+        a path, ``missed`` n-grams of it are not in the sought set and ``matched`` are. Both stand in one order, so what either has passed by is
+        lost for good; only behind the end of a tail that was cut the sought set may still have an n-gram of the path.
         """
-        there = set(tail)
-        known = tail[-1] if len(tail) < rest - 1 and tail else math.inf
+        tail, n = sought.tail, sought.n
+        there = {g: i + 1 for i, g in enumerate(tail)}
+        cut = len(tail) < sought.rest - 1
+        known = tail[-1] if cut and tail else math.inf
+        first = sought.first if sought.first != gram else -2
         stack = [(self, 0, 0, 0)]
         while stack:
             node, missed, matched, passed = stack.pop()
-            left = rest - (passed - matched)
-            if node.label == label or not enough(min(left, node.most - missed), n, 0, num, den):
+            if node.label == sought.label or node.first == first or num * n > den * node.high or num * node.low > den * n:
                 continue
-            for number, m, other, their in node.ends:
-                if their != label and enough(min(left, other - missed), n, m, num, den):
-                    yield number
-            for gram, child in node.children.items():
-                if gram in there:
-                    stack.append((child, missed, matched + 1, bisect.bisect_right(tail, gram)))
-                else:
-                    stack.append((child, missed + (gram < known), matched, bisect.bisect_left(tail, gram)))
-
-
-def enough(shared: int, n: int, m: int, num: int, den: int) -> bool:
-    """Whether sets of n and m may be similar with so many common n-grams at most; of any m, if m is 0."""
-    return (num + den) * shared >= num * (n + m) if m else den * shared >= num * n
+            # So many of the sought set's n-grams may be passed by without a match, and so many of the path's be missed.
+            least = max(needed(n, 0, num, den), needed(n, node.low, num, den))
+            lost, spare = sought.rest - least, node.most - least
+            for g in node.run:
+                at = there.get(g)
+                if at is not None:
+                    matched, passed = matched + 1, at
+                    if passed - matched > lost:
+                        break
+                elif g < known:
+                    missed += 1
+                    if missed > spare:
+                        break
+            else:
+                if passed - matched > lost or missed > spare:
+                    continue
+                for other in node.ends:
+                    if other.label != sought.label and other.first != first:
+                        enough = needed(n, other.n, num, den)
+                        if not cut and len(other.tail) == other.rest - 1:  # all of both is known
+                            if matched + 1 >= enough:
+                                yield other, True
+                        elif min(sought.rest - (passed - matched), other.rest - missed) >= enough:
+                            yield other, False
+                stack += [(child, missed, matched, passed) for child in node.children.values()]
+
+
+def _linked(group: Iterator[Member], gram: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one group that may be links. Of labels that a sure link joins no further pair is looked for: one link is as good as all.
+
+    The entered members come first; at most these are held, others are sought as they pass by.
+    """
+    tree, joined = Tree([]), {}
+
+    def top(label: int) -> int:
+        while label in joined:
+            label = joined[label]
+        return label
+
+    def pairs(member: Member) -> Iterator[tuple[int, int]]:
+        for other, sure in tree.find(member, gram, num, den):
+            a, b = top(member.label), top(other.label)
+            if a != b:
+                yield max(member.id, other.id), min(member.id, other.id)
+                if sure:
+                    joined[max(a, b)] = min(a, b)
+
+    held: list[Member] = []
+    for member in group:
+        if member.entered:
+            tree.add(member)
+            held.append(member)
+            continue
+        for own in held:
+            if own.sought:
+                yield from pairs(own)
+        held = []
+        yield from pairs(member)
+    for own in held:
+        if own.sought:
+            yield from pairs(own)
 
 
 def _by_trie(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) with different labels of each (gram, block): rows (gram, block, sought, id, label, n, rest, tail)."""
+    """Candidate pairs (a, b) of each (gram, block): rows (gram, block, id, label, n, rest, first, tail, entered, sought)."""
+    own = ("gram", "block", "id", "label", "n", "rest", "first", "tail", "entered", "sought")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in own), strict=True))
+        for (gram, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
+            yield from _linked((Member(*row[2:]) for row in group), gram, num, den)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tree, found = Tree(), []
-        members = list(zip(rows["id"], rows["label"], rows["n"], rows["rest"], rows["tail"], rows["entered"], rows["sought"], strict=True))
-        for number, (_, label, n, rest, tail, entered, _) in enumerate(members):
-            if entered:
-                tree.add([int(g) for g in tail], number, int(n), int(rest), int(label))
-        for id_, label, n, rest, tail, _, sought in members:
-            if sought:
-                found += [(max(id_, b), min(id_, b)) for b in (members[i][0] for i in tree.find([int(g) for g in tail], int(n), int(rest), int(label), num, den))]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = found(batches)
+        while some := list(itertools.islice(pairs, 10_000)):
+            a, b = zip(*dict.fromkeys(some), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return groups.groupBy("gram", "block").applyInPandas(run, "a long, b long").distinct()
+    ordered = groups.repartition("gram", "block").sortWithinPartitions("gram", "block", F.desc("entered"))
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,14 +352,23 @@ def similar_sets(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int
     """
     small_arrow_batches(spark)
     scratch = Scratch(spark, "triejoin")
-    weights = word_weights(docs)
-    table = scratch.keep(ordered_sets(spark, docs, weights, False, num, den, size), "prefixes")
+    weights = word_weights(docs, scratch)
+    made = scratch.keep(ordered_sets(spark, docs, weights, False, num, den, size), "sketches")
+    table = scratch.keep(made.select("doc_id", "n", "k1", "k2"), "ids")
     filled = table.where(F.col("n") > 0)
-    nodes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
-    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = made.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    sketched = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "sketched")
+    scratch.drop("sketches")
+    nodes = scratch.keep(sketched.drop("grams"), "nodes")
+
+    # A node of which too many n-grams stand in no other set has no similar set.
+    stored = sketched.select("node", told_length(F.col("n"), num, den).alias("told"), F.posexplode("grams").alias("place", "gram")).select("gram", "node", (F.col("place") < F.col("told")).alias("told"))
+    alone = stored.groupBy("gram").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.max("told").alias("told")).where((F.col("df") == 1) & F.col("told"))
+    lonely = alone.groupBy("node").agg(F.count("*").alias("alone")).join(sketched.select("node", "n").hint("merge"), "node").where(F.col("alone") > lacking(F.col("n"), num, den)).select("node")
+    left = scratch.keep(sketched.join(lonely.hint("merge"), "node", "left_anti").select("node", "n", F.slice("grams", F.lit(1), (lacking(F.col("n"), num, den) + 1).cast("int")).alias("grams")), "left")
 
     # Places of each prefix n-gram; those of one node alone link nothing.
-    each = scratch.keep(nodes.select("node", "n", F.posexplode("grams").alias("place", "gram")), "each")
+    each = scratch.keep(left.select("node", "n", F.posexplode("grams").alias("place", "gram")), "each")
     counted = scratch.keep(each.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > 1), "df")
     n_each = counted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
     shared = scratch.keep(join_counted(each, counted.select("gram", "df"), ["gram"], "df", n_each), "shared")
@@ -252,26 +382,34 @@ def similar_sets(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int
     # Whole sets of the nodes that share something, from the first of their texts.
     involved = nodes.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "k1", "k2", F.coalesce("named", F.lit(NO_ID)).alias("doc_id"))
     involved = scratch.keep(involved, "involved")
-    again = ordered_sets(spark, docs, weights, True, num, den, size).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    again = again.join(F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved.hint("merge"), ["k1", "k2", "doc_id"])
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    few = involved.count() <= BROADCAST_ROWS
+    if few:  # else all texts are read again
+        own = own.join(F.broadcast(involved.select("doc_id").distinct()), "doc_id", "left_semi")
+    again = ordered_sets(spark, own, weights, True, num, den, size)
+    again = again.join(F.broadcast(involved) if few else involved.hint("merge"), ["k1", "k2", "doc_id"])
     sets = scratch.keep(again.select("node", "grams").dropDuplicates(["node"]), "sets")
     links = scratch.keep(_verified(pairs, sets, num, den), "links")
     labels = scratch.keep(components(links, scratch, "star"), "labels")
-    scratch.drop("star", "each", "df")
-
-    named = scratch.keep(shared.join(labels.hint("merge"), "node", "left").select("gram", "node", "n", "place", F.coalesce("label", "node").alias("label")), "named")
-    of_label = named.groupBy("gram", "label").agg(F.count("*").alias("c"))
-    mixed = of_label.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("rows"))
-    mixed = scratch.keep(mixed.where(F.col("labels") > 1), "mixed")
+    scratch.drop("star", "each", "df", "left", "sketched")
+
+    by_place = Window.partitionBy("node").orderBy("place")
+    named = shared.withColumn("first", F.first("gram").over(by_place)).join(labels.hint("merge"), "node", "left")
+    named = scratch.keep(named.select("gram", "node", "n", "place", "first", F.coalesce("label", "node").alias("label")), "named")
+    # Groups of several components, but for those whose members all meet in another n-gram's group.
+    of_label = named.groupBy("gram", "label").agg(F.count("*").alias("c"), F.min("first").alias("lo"), F.max("first").alias("hi"))
+    mixed = of_label.groupBy("gram").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = scratch.keep(mixed.where((F.col("labels") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == F.col("gram")))).drop("lo", "hi"), "mixed")
     n_mixed = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
     if n_mixed:
         open_ = join_counted(named, mixed, ["gram"], "rows", n_mixed)
-        open_ = open_.join(sets.hint("merge"), "node").select("gram", F.col("node").alias("id"), "label", "main", "n", "rows", (F.col("n") - F.col("place")).alias("rest"), F.slice("grams", F.col("place") + 2, F.lit(tail)).alias("tail"))
+        rest = (F.col("n") - F.col("place")).alias("rest")
+        open_ = open_.join(sets.hint("merge"), "node").select("gram", F.col("node").alias("id"), "label", "main", "n", "rows", rest, "first", F.slice("grams", F.col("place") + 2, F.lit(tail)).alias("tail"))
         # Every member stands in the tree of one block; those that aren't of the commonest label are sought in all blocks.
         blocks = F.ceil(F.col("rows") / block).cast("long")
         own = F.pmod(F.xxhash64("id"), blocks)
         met = F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        dealt = open_.select("gram", "id", "label", "n", "rest", "tail", own.alias("own"), (F.col("label") != F.col("main")).alias("sought"), F.explode(met).alias("block")).withColumn("entered", F.col("own") == F.col("block"))
+        dealt = open_.select("gram", "id", "label", "n", "rest", "first", "tail", own.alias("own"), (F.col("label") != F.col("main")).alias("sought"), F.explode(met).alias("block")).withColumn("entered", F.col("own") == F.col("block"))
         more = _without(_by_trie(dealt, num, den), pairs)
         found = scratch.keep(_verified(more, sets, num, den), "more-links")
         if found.take(1):
@@ -292,7 +430,7 @@ def similar_sets(spark: SparkSession, docs: DataFrame, num: int = NUM, den: int
     n_rows = of_node.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     alone = table.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = join_counted(filled.select("doc_id", "n", "k1", "k2"), of_node, ["k1", "k2"], "copies", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    scratch.drop(*(set(scratch.names()) - {"prefixes", "classes"}))
+    scratch.drop(*(set(scratch.names()) - {"ids", "classes"}))
     return out.unionByName(alone)
 
 

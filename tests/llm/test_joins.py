@@ -104,23 +104,45 @@ def test_tree_loses_nothing_and_prunes(tail):
     rng = random.Random(tail)
     base = [sorted(rng.sample(range(400), 60)) for _ in range(5)]
     sets = [sorted((set(b) - set(rng.sample(b, rng.randint(0, 4)))) | set(rng.sample(range(400), rng.randint(0, 4)))) for b in base for _ in range(20)]
+    found, surely = set(), set()
     for common in range(400):
-        members = [(i, s) for i, s in enumerate(sets) if common in s]
-        tree, visited = triejoin.Tree(), 0
-        for i, s in members:
-            at = s.index(common)
-            tree.add(s[at + 1 : at + 1 + tail], i, len(s), len(s) - at, i)
-        for i, s in members:
-            at = s.index(common)
-            got = set(tree.find(s[at + 1 : at + 1 + tail], len(s), len(s) - at, i, 90, 100))
-            for j, o in members:
-                union, shared = len(set(s) | set(o)), set(s) & set(o)
-                if i != j and 100 * len(shared) >= 90 * union and min(shared) == common:
-                    assert j in got
-            visited += len(got)
-            if tail == 64:  # whole sets: nothing else is found than what is similar from here on
-                assert all(190 * len(set(s[at:]) & set(sets[j][sets[j].index(common) :])) >= 90 * (len(s) + len(sets[j])) for j in got)
-        assert visited <= len(members) ** 2
+        members = [triejoin.Member(i, i, len(s), len(s) - s.index(common), s[0], s[s.index(common) + 1 :][:tail]) for i, s in enumerate(sets) if common in s]
+        tree = triejoin.Tree([])
+        for m in members:
+            tree.add(m)
+        assert len({m.id for m in members}) == len(members)
+        for m in members:
+            for other, sure in tree.find(m, common, 90, 100):
+                assert other.id != m.id and (other.first != m.first or m.first == common)
+                found.add((m.id, other.id))
+                if sure:
+                    surely.add((m.id, other.id))
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(set(a) & set(b)) >= 90 * len(set(a) | set(b))}
+    assert similar <= found and surely <= similar and len(similar) > 100
+    if tail == 64:  # whole sets: what is found is similar, and known to be
+        assert similar == found == surely
+
+
+def test_one_sure_link_joins_two_labels():
+    """Of two components in one group one pair comes out; without whole tails all come out, to be verified."""
+    s = list(range(40))
+    members = lambda tail: iter([triejoin.Member(i, i % 2, 40, 40, 0, s[1 : 1 + tail]) for i in range(10)])
+    assert len(list(triejoin._linked(members(64), 0, 90, 100))) == 1
+    assert len({p for p in triejoin._linked(members(5), 0, 90, 100)}) == 25
+    assert list(triejoin._linked(iter([m._replace(first=7) for m in members(64)]), 0, 90, 100)) == []
+
+
+@pytest.mark.parametrize("num", [60, 80, 90, 97])
+def test_what_is_stored_holds_all_that_similar_sets_look_at(num):
+    rng = random.Random(num)
+    for _ in range(3000):
+        x = set(rng.sample(range(10_000), rng.randint(1, 120)))
+        y = (x - set(rng.sample(sorted(x), rng.randint(0, triejoin.lacking(len(x), num))))) | set(rng.sample(range(10_000), rng.choice((0, 0, 1, 3, 9))))
+        if 100 * len(x & y) >= num * len(x | y):
+            for a, b in ((x, y), (y, x)):
+                looked = sorted(a)[: triejoin.told_length(len(a), num)]
+                assert len(a - b) <= triejoin.lacking(len(a), num)
+                assert set(looked) & b <= set(sorted(b)[: triejoin.stored_length(len(b), num)])
 
 
 def test_join_of_messy_rows(spark, messy, nothing):
