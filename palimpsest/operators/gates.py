@@ -22,9 +22,9 @@ def require(gates: DataFrame) -> None:
         raise RuntimeError(f"gates failed: {failed}")
 
 
-def list_gates(ranked: DataFrame, at: str = "query_time", observed: str = "observed_from") -> DataFrame:
+def list_gates(ranked: DataFrame, at: str = "query_time", observed: str = "observed_from", keys: list[str] | None = None) -> DataFrame:
     """Gates of ranked lists: nothing from the future, no NaN, no candidate twice, ranks without gaps."""
-    per = ranked.groupBy("query_id", "method").agg(
+    per = ranked.groupBy(*(keys or ["query_id", "method"])).agg(
         F.count_if(F.col(observed) > F.col(at)).alias("future"), F.count_if(F.isnan("score")).alias("nan"), (F.count("*") - F.count_distinct("evidence_id")).alias("twice"), (F.max("rank") != F.count("*")).alias("gap")
     )
     return check(per, {"visibility": F.col("future") > 0, "nan_scores": F.col("nan") > 0, "duplicates": F.col("twice") > 0, "rank_gaps": F.col("gap")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.pit import graded
+from palimpsest.session import kept
 
 POSITIVE, NEGATIVE = "TARGET_CURRENT", "TARGET_OUTDATED"
 
@@ -14,26 +15,34 @@ def _section(frame: DataFrame, section: str, key: Column, value: Column) -> Data
     return frame.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
 
 
-def labels(pool: DataFrame, suppressed: Column, entity: str = "entity") -> DataFrame:
+def labels(pool: DataFrame, suppressed: Column, entity: str = "entity", query: list[str] | None = None) -> DataFrame:
     """(section, key, value): what there is to learn from in a pool (query_id, evidence_id, class, entity).
 
     Examples are the target chain's current (positive) and outdated (negative) candidates: their numbers, how many a question has, how many questions a
     piece of evidence is an example of, evidence with both labels, entities, classes of the other candidates, and what the rule (``suppressed``) says of examples.
+
+    The pool is read once: stored is a row for each question (told by ``query``) with its numbers by class, and the names of its examples.
     """
     example = F.col("class").isin(POSITIVE, NEGATIVE)
     marked = pool.withColumns({"__gone": F.coalesce(suppressed, F.lit(False)), "__example": example})
-    own = marked.where("__example")
-    per_query = marked.groupBy("query_id").agg(F.count_if(F.col("class") == POSITIVE).alias("positive"), F.count_if(F.col("class") == NEGATIVE).alias("negative"))
-    per_evidence = own.groupBy("evidence_id").agg(F.count("*").alias("n"), F.count_distinct("class").alias("classes"))
+    parts = marked.groupBy(*(query or ["query_id"]), "class", "__gone").agg(F.count("*").alias("n"), F.max("__example").alias("__example"), F.collect_list(F.when(F.col("__example"), F.struct("evidence_id", F.col(entity).alias("entity")))).alias("of"))
+    stored = kept(parts.groupBy(*(query or ["query_id"])).agg(F.collect_list(F.struct("class", "__gone", "__example", "n", "of")).alias("parts")).select("parts"))
+    number = lambda c: F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + F.when(x["class"] == c, x["n"]).otherwise(F.lit(0)))
+    per_query = stored.select(number(POSITIVE).alias("positive"), number(NEGATIVE).alias("negative"))
+    by_class = stored.select(F.explode("parts").alias("x")).groupBy("x.class", "x.__gone", "x.__example").agg(F.sum("x.n").alias("n"))
+    own = stored.select(F.explode("parts").alias("x")).select("x.class", F.explode("x.of").alias("e")).select("class", "e.*")
+    each_class = own.groupBy("evidence_id", "class").agg(F.count("*").alias("n"))
+    per_evidence = each_class.groupBy("evidence_id").agg(F.sum("n").alias("n"), F.count("*").alias("classes"))
     totals = per_query.agg(F.count("*").alias("queries"), F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-    wide = totals.join(per_evidence.agg(F.count("*").alias("evidence"), F.count_if(F.col("classes") > 1).alias("both_labels"))).join(own.agg(F.count_distinct(entity).alias("entities")))  # one row each
+    wide = totals.join(per_evidence.agg(F.count("*").alias("evidence"), F.count_if(F.col("classes") > 1).alias("both_labels"))).join(own.agg(F.count_distinct("entity").alias("entities")))  # one row each
     wide = wide.withColumn("ratio", F.try_divide(F.col("negative"), F.col("positive")))
     names = ("queries", "positive", "negative", "ratio", "evidence", "both_labels", "entities")
     each = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select(F.lit("totals").alias("section"), "x.key", "x.value")
     count = lambda frame, section, key: _section(frame.groupBy(key.alias("k")).agg(F.count("*").alias("n")), section, F.col("k"), F.col("n"))
+    summed = lambda frame, section, key: _section(frame.groupBy(key.alias("k")).agg(F.sum("n").alias("n")), section, F.col("k"), F.col("n"))
     parts = [
         each, count(per_query, "positive_per_query", F.col("positive")), count(per_query, "negative_per_query", F.col("negative")), count(per_evidence, "queries_per_evidence", F.col("n")),
-        count(marked.where(~F.col("__example")), "other_classes", F.col("class")), count(own, "rule_on_examples", F.concat_ws("|", "class", F.col("__gone").cast("string"))),
+        summed(by_class.where(~F.col("__example")), "other_classes", F.col("class")), summed(by_class.where("__example"), "rule_on_examples", F.concat_ws("|", "class", F.col("__gone").cast("string"))),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -8,10 +8,10 @@ from palimpsest.functions import text
 from palimpsest.operators import evaluate, pit, profiles
 from palimpsest.operators.ranking import DECIMALS
 from palimpsest.plans.catalogue import query
-from palimpsest.plans.ranked import _DCG, _FLAG, _IDEAL, _METRICS, _MM, _SUP, _TIE, flagged, lists, rules
+from palimpsest.plans.ranked import _DCG, _FLAG, _IDEAL, _METRICS, _MM, _SUP, _KEYS, _TIE, flagged, lists, rule
 from palimpsest.session import kept
 from palimpsest.sources import adapters as A
-from palimpsest.sources.adapters import POOL, SEED
+from palimpsest.sources.adapters import LIST, POOL, SEED
 
 _SUMMARY = f"""{_METRICS}, x AS (SELECT query_id, method, min(rank) FILTER (WHERE class = 'OTHER_SOURCE_CURRENT') AS fo, min_by(score, rank) FILTER (WHERE class = 'TARGET_CURRENT') - min_by(score, rank) FILTER (WHERE class = 'TARGET_OUTDATED') AS gap FROM lists GROUP BY 1, 2),
 y AS (SELECT met.*, ideal.fc, ideal.fs, ideal.nc, ideal.out10, ideal.top1, x.fo, x.gap, coalesce(ideal.fc <= 50, false) AS listed, coalesce(ideal.fc <= 10, false) AS top FROM met JOIN ideal USING (query_id, method) JOIN x USING (query_id, method))"""
@@ -24,7 +24,7 @@ y AS (SELECT met.*, ideal.fc, ideal.fs, ideal.nc, ideal.out10, ideal.top1, x.fo,
     "round(avg((abs(gap) < 1e-9)::INT), 6) AS tie_rate, round(avg(gap), 6) AS mean_gap, count(gap) AS both_listed FROM y GROUP BY 1"
 )
 def metric_summary(spark, sf):
-    return evaluate.summary(evaluate.per_query(lists(spark, sf)))
+    return evaluate.summary(evaluate.per_query(lists(spark, sf), keys=_KEYS))
 
 
 @query(
@@ -33,8 +33,9 @@ def metric_summary(spark, sf):
     "round(avg(suppression), 6) AS suppression, count(suppression) AS suppression_queries, round(avg(preservation), 6) AS preservation, count(preservation) AS preservation_queries, round(avg(joint), 6) AS joint FROM z GROUP BY 1"
 )
 def staleness_summary(spark, sf):
-    both = kept(lists(spark, sf))
-    return evaluate.staleness(evaluate.per_query(both), evaluate.suppression(both, both.where("method = 'pool'").drop("method")))
+    m = evaluate.per_query(lists(spark, sf), keys=_KEYS, prior="prior_rank")
+    needed = ["method", "outdated_count@10", "first_outdated_rank", "current_at1_no_stale@10", "outdated_suppression", "current_preservation"]
+    return evaluate.staleness(kept(m.select(*[F.col(f"`{c}`") for c in needed])), None)  # a row for each list, read twice
 
 
 _TAUS, _WEIGHTS = (30.0, 180.0, 365.0), (0.1, 0.3, 0.5)
@@ -50,7 +51,7 @@ def recency_dev_selection(spark, sf):
     """The grid of the blended recency reranker on the dev entities' questions alone."""
     dev = A.pool(spark, sf).where(F.col("entity") % 3 == 1)
     order = lambda s: [F.round(s, DECIMALS).desc(), text.tie_key(SEED, F.col("query_id"), F.col("evidence_id")).asc()]
-    return evaluate.grid_on_dev(dev, F.col("age"), _TAUS, _WEIGHTS, order)
+    return evaluate.grid_on_dev(dev, F.col("age"), _TAUS, _WEIGHTS, order, query=LIST)
 
 
 _LABELS = f"""{_FLAG}, mk AS (SELECT *, class IN ('TARGET_CURRENT', 'TARGET_OUTDATED') AS example FROM flag), ex AS (SELECT * FROM mk WHERE example),
@@ -64,7 +65,7 @@ _TOTALS = {"queries": "SELECT count(*) FROM pq", "positive": "SELECT sum(p) FROM
     " UNION ALL SELECT 'other_classes', class, count(*)::DOUBLE FROM mk WHERE NOT example GROUP BY class UNION ALL SELECT 'rule_on_examples', class || '|' || superseded, count(*)::DOUBLE FROM ex GROUP BY class, superseded"
 )
 def label_profile(spark, sf):
-    return profiles.labels(kept(flagged(spark, sf).select("query_id", "evidence_id", "entity", "class", "superseded")), F.col("superseded"))
+    return profiles.labels(flagged(spark, sf), F.col("superseded"), query=LIST)
 
 
 _MASS = f"{_FLAG}, l AS (SELECT *, rank AS prior, row_number() OVER (PARTITION BY query_id ORDER BY superseded, rank) AS nr, CASE class WHEN 'TARGET_CURRENT' THEN 2 WHEN 'OTHER_SOURCE_CURRENT' THEN 1 ELSE 0 END AS gain FROM flag)"
@@ -73,4 +74,4 @@ _MASS = f"{_FLAG}, l AS (SELECT *, rank AS prior, row_number() OVER (PARTITION B
 @query(f"WITH {_MASS} SELECT CASE WHEN class = 'TARGET_OUTDATED' THEN 'TARGET_CHAIN_OUTDATED' WHEN e_source <> source THEN 'SAME_CVE_OTHER_SOURCE_INFERRED_SUPERSEDED' WHEN class <> 'TARGET_CURRENT' THEN 'UNLABELED_CHAIN_CONTEXT' ELSE 'OTHER' END AS category, count(*) AS occurrences, count(DISTINCT evidence_id) AS evidence, count(DISTINCT entity) AS entities, CAST(sum(gain) AS BIGINT) AS graded, CAST(sum(CASE WHEN prior <= 10 AND nr > 10 THEN gain ELSE 0 END) AS BIGINT) AS graded_lost_at_k, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM l WHERE superseded GROUP BY 1")
 def suppressed_mass(spark, sf):
     category = pit.suppression_category(F.col("class"), F.lit(True), F.col("source") == F.col("q_source"), F.lit(True))
-    return profiles.suppressed_mass(rules(spark, sf)["rule_corpus"], category)
+    return profiles.suppressed_mass(rule(spark, sf, "rule_corpus"), category)
