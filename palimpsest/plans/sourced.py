@@ -20,11 +20,14 @@ from palimpsest.sources.adapters import A3, table, vector_sql
 FAULTS, MISSING, NULL, TEXT, EMPTY, NUMBER, BARE, TIME = 17, 0, 1, 2, 3, 4, 5, 6
 #: Pages that are no history: broken, no object, changes that are no list.
 BROKEN = ("{", "[]", '{"cveChanges": {}}')
+#: Pages of changes there are at least, and the changes that one has at most or so: their number grows with the table, not their size.
+PAGES, PAGE_CHANGES = 50, 5_000
 
 
 def change_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text: pages of changes with their actions as details, by entity, and the three broken ones."""
+    """text: pages of changes with their actions as details, and the three broken ones. No page or task holds more than a bounded part of an entity's changes."""
     a = A.actions(spark, sf_dir)
+    n = max(PAGES, -(-table(spark, sf_dir, "events").count() // PAGE_CHANGES))  # a change has an event at least
     value = F.concat(F.lit("v"), "value")
     detail = F.struct("t", "id", F.to_json(F.struct("action", F.lit("CVSS V3.1").alias("type"), F.when(F.col("action") == "Removed", value).alias("oldValue"), F.when(F.col("action") == "Added", value).alias("newValue"))).alias("json"))
     change = a.groupBy("change_id", "entity").agg(F.min("id").alias("c"), F.min("t").alias("t0"), F.min("source").alias("src"), F.array_join(F.transform(F.array_sort(F.collect_list(detail)), lambda x: x["json"]), ",").alias("details"))
@@ -36,7 +39,7 @@ def change_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.when(fault == TIME, "some day").otherwise(F.date_format(F.timestamp_micros("t0"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     head = F.to_json(F.struct(F.col("entity").cast("string").alias("cveId"), F.lit("CVE Modified").alias("eventName"), F.col("change_id").alias("cveChangeId"), F.col("src").alias("sourceIdentifier"), created.alias("created")))
     one = F.when(fault == BARE, '{"change":"x"}').otherwise(F.concat(F.lit('{"change":'), F.regexp_replace(head, r"\}$", ""), details, F.lit("}}")))
-    pages = change.groupBy((F.col("entity") % 50).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("changes"))
+    pages = change.groupBy(F.pmod(F.xxhash64("change_id"), F.lit(n)).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("changes"))
     whole = pages.select(F.concat(F.lit('{"cveChanges":['), "changes", F.lit("]}")).alias("text"))
     return whole.unionByName(spark.createDataFrame([(x,) for x in BROKEN], "text string"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import MISSING
 from palimpsest.functions import times, vectors
-from palimpsest.functions.text import value_shape
+from palimpsest.functions.text import variant_shape
 
 RECORD = "source_file string, change_pos int, cve_id string, event_name string, change_id string, source_identifier string, created string, created_at long, action string, detail_type string, old_value string, new_value string, detail_index int"
 
@@ -18,9 +18,14 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFram
     return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
+def _part(v: str, path: str) -> F.Column:
+    """A part of a variant, or null."""
+    return F.try_variant_get(F.col(v), path, "variant")
+
+
 def _json(v: str, path: str) -> F.Column:
     """A part of a variant as JSON text, or null."""
-    return F.to_json(F.try_variant_get(F.col(v), path, "variant"))
+    return F.to_json(_part(v, path))
 
 
 def _string(v: str, path: str) -> F.Column:
@@ -30,9 +35,9 @@ def _string(v: str, path: str) -> F.Column:
 def _levels(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, changes and details with their shapes; every level keeps what is malformed."""
     page = pages.withColumn("page", F.try_parse_json("text"))
-    page = page.withColumns({"page_shape": value_shape(F.to_json("page")), "changes_shape": value_shape(_json("page", "$.cveChanges"))})
+    page = page.withColumns({"page_shape": variant_shape(F.col("page")), "changes_shape": variant_shape(_part("page", "$.cveChanges"))})
     change = page.where(F.col("changes_shape") == "list").select("source_file", F.posexplode(F.try_variant_get("page", "$.cveChanges", "array<variant>")).alias("change_pos", "wrapper"))
-    change = change.withColumns({"wrapper_shape": value_shape(F.to_json("wrapper")), "change_shape": value_shape(_json("wrapper", "$.change")), "change": F.try_variant_get("wrapper", "$.change", "variant")})
+    change = change.withColumns({"wrapper_shape": variant_shape(F.col("wrapper")), "change_shape": variant_shape(_part("wrapper", "$.change")), "change": _part("wrapper", "$.change")})
     flat = change.withColumns(
         {
             "cve_id": F.coalesce(_string("change", "$.cveId"), F.lit(MISSING)),
@@ -40,14 +45,14 @@ def _levels(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             "change_id": F.coalesce(_string("change", "$.cveChangeId"), F.lit(MISSING)),
             "source_identifier": F.coalesce(_string("change", "$.sourceIdentifier"), F.lit(MISSING)),
             "created": F.coalesce(F.nullif(_string("change", "$.created"), F.lit("")), F.lit(MISSING)),
-            "details_shape": value_shape(_json("change", "$.details")),
-            "has_details": _json("change", "$.details").isNotNull(),
+            "details_shape": variant_shape(_part("change", "$.details")),
+            "has_details": _part("change", "$.details").isNotNull(),
         }
     )
     flat = flat.withColumn("created_at", times.micros(times.parse_utc(F.col("created"))))
     details = F.try_variant_get("change", "$.details", "array<variant>")
     detail = flat.where((F.col("change_shape") == "dict") & (F.col("details_shape").isin("list", "null"))).select("*", F.posexplode_outer(F.when(F.col("details_shape") == "list", details)).alias("pos", "detail"))
-    detail = detail.withColumn("detail_shape", F.when(F.col("pos").isNotNull(), value_shape(F.to_json("detail"))))
+    detail = detail.withColumn("detail_shape", F.when(F.col("pos").isNotNull(), variant_shape(F.col("detail"))))
     return page, flat, detail
 
 
@@ -71,20 +76,22 @@ def issues(pages: DataFrame) -> DataFrame:
 
     CREATED_UNPARSEABLE only flags a time that can't be parsed; its rows stay.
     """
-    page, change, detail = _levels(pages)
+    page, change, _ = _levels(pages)
     none = F.lit(None).cast("int")
-    parts = [
-        page.where(F.coalesce(F.col("page_shape"), F.lit("null")) != "dict").select("source_file", none.alias("change_pos"), none.alias("detail_index"), F.lit("PAGE_READ_ERROR").alias("kind")),
-        page.where((F.col("page_shape") == "dict") & (F.col("changes_shape") != "list")).select("source_file", none, none, F.lit("CVE_CHANGES_NOT_LIST")),
-        change.where((F.col("wrapper_shape") != "dict") | (F.col("change_shape") != "dict")).select("source_file", "change_pos", none, F.lit("CHANGE_NOT_DICT")),
-        change.where((F.col("change_shape") == "dict") & ~F.col("details_shape").isin("list", "null")).select("source_file", "change_pos", none, F.lit("DETAILS_NOT_LIST")),
-        change.where((F.col("change_shape") == "dict") & (F.col("created") != MISSING) & F.col("created_at").isNull()).select("source_file", "change_pos", none, F.lit("CREATED_UNPARSEABLE")),
-        detail.where(F.col("pos").isNotNull() & (F.col("detail_shape") != "dict")).select("source_file", "change_pos", "pos", F.lit("DETAIL_NOT_DICT")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    issue = lambda test, kind, at=none: F.when(test, F.struct(at.alias("detail_index"), F.lit(kind).alias("kind")))
+    known = lambda *found: F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    whole = F.coalesce(F.col("page_shape"), F.lit("null")) == "dict"
+    broken = page.where(~whole | (F.col("changes_shape") != "list")).select("source_file", none.alias("change_pos"), known(issue(~whole, "PAGE_READ_ERROR"), issue(whole, "CVE_CHANGES_NOT_LIST")).alias("x"))
+    # One pass over the changes: each with all that is wrong with it and its details.
+    fine, listed = (F.col("wrapper_shape") == "dict") & (F.col("change_shape") == "dict"), F.col("details_shape").isin("list", "null")
+    parts = F.transform(F.when((F.col("change_shape") == "dict") & (F.col("details_shape") == "list"), F.try_variant_get("change", "$.details", "array<variant>")), lambda d, i: issue(variant_shape(d) != "dict", "DETAIL_NOT_DICT", i))
+    own = F.array(
+        issue(~fine, "CHANGE_NOT_DICT"), issue((F.col("change_shape") == "dict") & ~listed, "DETAILS_NOT_LIST"),
+        issue((F.col("change_shape") == "dict") & (F.col("created") != MISSING) & F.col("created_at").isNull(), "CREATED_UNPARSEABLE"),
+    )
+    wrong = F.filter(F.concat(own, F.coalesce(parts, F.array().cast("array<struct<detail_index:int,kind:string>>"))), lambda x: x.isNotNull())
+    out = broken.unionByName(change.select("source_file", "change_pos", F.explode(wrong).alias("x")))
+    return out.select("source_file", "change_pos", "x.detail_index", "x.kind")
 
 
 def empty_details(pages: DataFrame) -> DataFrame:
