@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import Retrieval
+from palimpsest.functions.text import tie_key
 from palimpsest.operators.ranking import order_by_score, top_k
 from palimpsest.session import kept
 from palimpsest.sources.files import KeyedCache
@@ -185,6 +186,41 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = Retrieval.dense_top_k
     return top_k(met, k, order_by_score(seed=seed))
 
 
+def by_hash(documents: DataFrame, queries: DataFrame, k: int = Retrieval.top_k, seed: int = Retrieval.tie_seed, block: int = 250_000, questions: int = 1_000) -> DataFrame:
+    """The k documents of every question whose ``tie_key`` is least, with rank: what remains of a ranking when all scores are the same.
+
+    documents: evidence_id; queries: query_id (strings). All pairs are hashed, blocks of the one against blocks of the other, each in a task of its own that keeps the k least of a
+    question: pairs are neither sorted nor shuffled, only the k best of each question and block of documents are.
+    """
+    n, asked = documents.count(), queries.count()
+    d_blocks = max(1, -(-n // block), min(documents.sparkSession.sparkContext.defaultParallelism, n // 1000))
+    q_blocks = max(1, -(-asked // questions))
+    number = lambda id_, blocks: F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = documents.select("evidence_id").withColumns({"d": number("evidence_id", d_blocks), "q": every(q_blocks)})
+    right = queries.select("query_id").withColumns({"q": number("query_id", q_blocks), "d": every(d_blocks)})
+
+    def run(rows: pa.Table, questions: pa.Table) -> pa.Table:
+        ids = rows.column("evidence_id").to_pylist()
+        ends = [i.encode() for i in ids]
+        out: dict[str, list] = {"query_id": [], "evidence_id": []}
+        for q in questions.column("query_id").to_pylist() if ids else ():
+            start = hashlib.sha256(f"{seed}|{q}|".encode())
+
+            def key(place: int, start=start) -> bytes:
+                h = start.copy()
+                h.update(ends[place])
+                return h.digest()
+
+            best = heapq.nsmallest(k, range(len(ids)), key)
+            out["query_id"] += [q] * len(best)
+            out["evidence_id"] += [ids[i] for i in best]
+        return pa.table(out, schema=pa.schema([("query_id", pa.string()), ("evidence_id", pa.string())]))
+
+    best = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(run, "query_id string, evidence_id string")
+    return top_k(best, k, [tie_key(seed, F.col("query_id"), F.col("evidence_id")).asc()])
+
+
 def _matrix(rows: pa.Table, column: str) -> np.ndarray:
     """The vectors of some rows, all of one length, as float64."""
     flat = rows.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
