@@ -12,6 +12,7 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString().splitlines()
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
 def test_ranking_by_hash(spark, block):
     ids, asked = [f"{i}" for i in range(40)], ["a", "b", "c"]
     d, q = spark.createDataFrame([(i,) for i in ids], "evidence_id string"), spark.createDataFrame([(i,) for i in asked], "query_id string")
