@@ -49,7 +49,7 @@ _TAUS, _WEIGHTS = (30.0, 180.0, 365.0), (0.1, 0.3, 0.5)
 )
 def recency_dev_selection(spark, sf):
     """The grid of the blended recency reranker on the dev entities' questions alone."""
-    dev = A.pool(spark, sf).where(F.col("entity") % 3 == 1)
+    dev = A.pool(spark, sf, only=F.col("entity") % 3 == 1)
     order = lambda s: [F.round(s, DECIMALS).desc(), text.tie_key(SEED, F.col("query_id"), F.col("evidence_id")).asc()]
     return evaluate.grid_on_dev(dev, F.col("age"), _TAUS, _WEIGHTS, order, query=LIST)
 

@@ -44,6 +44,22 @@ def test_only_plain_assertions_are_shuffled(spark, sf, plans, monkeypatch, name)
         assert not [x for x in by if x not in whole and ("valid_from#" in x or "e_source#" in x or "replaced_by#" in x)], by
 
 
+@pytest.mark.parametrize("name", ONE_SIDED)
+def test_condition_on_the_entity_holds_before_assertions_are_dealt(spark, sf, plans, monkeypatch, name):  # noqa: F811
+    monkeypatch.setattr(pit, "TASK_PAIRS", 2_000)
+    frame = catalogue.queries()[name](spark, sf)
+    for each in [frame, *plans]:
+        assert len([x for x in shuffles(each) if "hashpartitioning(entity#" in x and "cell#" in x]) == 1
+
+
+@pytest.mark.parametrize("most", [60, 10**9])
+def test_candidates_of_some_entities_are_those_of_all(spark, sf, monkeypatch, most):
+    monkeypatch.setattr(pit.deal, "__defaults__", (most,))
+    only = F.col("entity") % 3 == 1
+    names = ["query_id", "evidence_id", "class", "old_id", "new_id", "replaced_by", "value", "rank"]
+    assert sorted(map(str, A.pool(spark, sf, only=only).select(*names).collect())) == sorted(map(str, A.pool(spark, sf).where(only).select(*names).collect()))
+
+
 @pytest.mark.parametrize("name", ["suppression_audit", "suppressed_mass"])
 def test_evidence_is_counted_where_it_lies(spark, sf, monkeypatch, name):
     """What leaves a cell has the name of its evidence only if the entity has several cells."""
